@@ -46,21 +46,26 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 200) -> np.ndarray:
-    """Logistic regression by accelerated gradient descent; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    pos = max(1, int(y.sum()))
-    weight = np.where(y > 0, len(y) / (2 * pos), len(y) / (2 * max(1, len(y) - pos))).astype(np.float32)
+def _fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 120) -> np.ndarray:
+    """Logistic regression by accelerated gradient descent on scaled columns; the last weight is the bias."""
+    n = len(x)
+    x = np.hstack([x, np.ones((n, 1), np.float32)]).astype(np.float32)
+    scale = (1 / np.sqrt(np.square(x).mean(0) + 1e-6)).astype(np.float32)
+    x *= scale
+    top = np.ones(x.shape[1], np.float32)
+    for _ in range(12):  # power iteration for the step length
+        top = x.T @ (x @ (top / np.linalg.norm(top))) / n
+    rate = 1 / (0.3 * float(np.linalg.norm(top)) + l2)
     w = np.zeros(x.shape[1], np.float32)
-    v, rate = w.copy(), 4 * len(x) / (np.square(x.sum(1)).mean() * weight.sum() + 1e-9)
+    v, y = w.copy(), y.astype(np.float32)
     for i in range(steps):
-        g = x.T @ (weight * (_sigmoid(x @ v) - y)) / len(x) + l2 * np.append(v[:-1], 0)
+        g = x.T @ (_sigmoid(x @ v) - y) / n + l2 * np.append(v[:-1], np.float32(0))
         new = (v - rate * g).astype(np.float32)
-        v, w = new + i / (i + 3) * (new - w), new
-    return w
+        v, w = new + np.float32(i / (i + 3)) * (new - w), new
+    return w * scale
 
 
-def fit_chain(x: np.ndarray, labels: dict[str, np.ndarray], features: np.ndarray, folds: int = 5, l2: float = 1e-3) -> Chain:
+def fit_chain(x: np.ndarray, labels: dict[str, np.ndarray], features: np.ndarray, folds: int = 4, l2: float = 3e-4) -> Chain:
     """Train the chain; rows are dealt to folds by position."""
     names, n = list(labels), len(x)
     fold = np.arange(n) % folds
@@ -104,7 +109,7 @@ def _filter(features: np.ndarray) -> np.ndarray:
     return filt
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, max_features: int = 800, min_rows: int = 4, id_col: str = "doc_id", text: str = "text") -> Chain | None:
+def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, max_features: int = 1000, min_rows: int = 3, min_lift: float = 1.5, id_col: str = "doc_id", text: str = "text") -> Chain | None:
     """Fit the chain on at most ``sample_rows`` labelled rows (half of each class, by smallest hash of the id).
 
     Only the bounded sample is fitted on; None if it lacks one of the classes.
@@ -134,8 +139,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000
         return None
     stats = sample.mapInArrow(counted, "h long, neg long, pos long").groupBy("h").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     p, q = (F.col("pos") + 0.5) / (n[1] + 1.0), (F.col("neg") + 0.5) / (n[0] + 1.0)
-    gain = F.abs(p - q) * F.abs(F.log(p / q))
-    chosen = stats.where(F.col("pos") + F.col("neg") >= min_rows).withColumn("g", gain).orderBy(F.desc("g"), "h").limit(max_features).select("h").collect()
+    lift, gain = F.abs(F.log(p / q)), F.abs(p - q) * F.abs(F.log(p / q))
+    chosen = stats.where((F.col("pos") + F.col("neg") >= min_rows) & (lift >= min_lift)).withColumn("g", gain).orderBy(F.desc("g"), "h").limit(max_features).select("h").collect()
     features = np.sort(np.array([r["h"] for r in chosen], np.int64).view(np.uint64))
     if not len(features):
         return None
