@@ -1,4 +1,6 @@
 """All registered queries of the catalog operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from shelfmark.plans import q_category  # noqa: F401
+from shelfmark.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
