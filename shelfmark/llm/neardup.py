@@ -9,9 +9,10 @@ Candidates share a band of registers.  Their similarity is estimated from the
 registers above, equal and below by maximum likelihood with the known set sizes;
 pairs that may reach the threshold are verified on the full sets.  Documents of
 equal sets are one class from the start.  Inside a band bucket members are first
-compared with a pivot only; buckets whose members are still in different
-components are then compared across components, so components are those of all
-candidate pairs although the pairs of a large group are never listed.
+compared with a pivot only; members of buckets that still hold different
+components are then compared with a central member, and across components where
+an exact bound from that comparison allows a link, so components are those of
+all candidate pairs although the pairs of a large group are never listed.
 """
 
 from __future__ import annotations
@@ -154,6 +155,21 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.n_docs), pa.array([sets[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["v", "shingles"])
 
 
+def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of two sets, how many shingles they share, and the first set's shingles that the second lacks."""
+    for b in batches:
+        n, m, shared, rest = [], [], [], []
+        for x, y in zip(b.column(2), b.column(3), strict=True):
+            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            inside = q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p
+            n.append(len(p))
+            m.append(len(q))
+            shared.append(int(inside.sum()))
+            rest.append(p[~inside].view(np.int64))
+        cols = [b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in (n, m, shared)), pa.array(rest, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, ["v", "pv", "n", "np", "i", "rest"])
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,15 +265,38 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     links = links.union(more)
     labels = components(links)
 
-    # pairs inside buckets that still hold several components: all members of the smaller ones against all
-    tagged = shared.select("band", "v").join(labels, "v", "left").select("band", "v", F.coalesce("component", "v").alias("c"))
-    per = tagged.groupBy("band", "c").agg(F.count("*").alias("m"))
-    largest = per.groupBy("band").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1").select("band", "top")
-    mixed = written(tagged.join(largest, "band"), "mixed")
-    minor = mixed.where("c <> top").select("band", F.col("v").alias("x"), F.col("c").alias("cx"))
-    cross = minor.join(mixed.select("band", F.col("v").alias("y"), F.col("c").alias("cy")), "band").where("cx <> cy")
-    final = written(verified(likely(ordered(cross.select("x", "y")).join(candidates, ["a", "b"], "left_anti"))), "links")
-    labels = components(links.union(final))
+    # Buckets that still hold several components are measured against a central member, the one that shares most
+    # buckets.  Two sets meet in at most min(|x & p|, |y & p|) shingles of the centre p, and beyond these only in
+    # shingles that p lacks: a pair can be a link only if that bound allows it or if both have such a shingle.
+    tagged = shared.select("band", "v").join(labels, "v", "left").withColumn("c", F.coalesce("component", "v"))
+    several = tagged.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
+    mixed = written(tagged.select("band", "v").join(several, "band"), "mixed")
+    degree = mixed.groupBy("v").agg(F.count("*").alias("deg"))
+    central = mixed.join(degree, "v").groupBy("band").agg(F.max_by("v", F.struct("deg", F.xxhash64("v"))).alias("pv"))
+    spokes = mixed.join(central, "band").select("v", "pv").distinct()
+    of_v, of_p = sets.select("v", F.col("shingles").alias("sv")), sets.select(F.col("v").alias("pv"), F.col("shingles").alias("sp"))
+    measured = written(spokes.join(of_v, "v").join(of_p, "pv").select("v", "pv", "sv", "sp").mapInArrow(_against, "v long, pv long, n long, np long, i long, rest array<long>"), "spokes")
+    star = measured.where((F.col("v") != F.col("pv")) & (100 * F.col("i") >= percent * (F.col("n") + F.col("np") - F.col("i"))))
+    links = links.union(star.select(F.least("v", "pv").alias("a"), F.greatest("v", "pv").alias("b")))
+    labels = components(links)
+
+    around = written(measured.join(labels, "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component"), "around")
+    sizes = around.groupBy("pv", "c").agg(F.count("*").alias("m")).groupBy("pv").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1").select("pv", "top")
+    around = around.join(sizes, "pv")
+    # the bound needs x to come near the centre itself, unless y is smaller than it: checked before the join
+    least_n = around.groupBy("pv").agg(F.min("n").alias("least"))
+    near = around.join(least_n, "pv").where(100 * F.col("i") >= percent * (F.col("n") + F.greatest("least", F.col("i")) - F.col("i")))
+    x = near.where("c <> top").select("pv", F.col("v").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
+    y = near.select(F.col("pv").alias("py"), F.col("v").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"))
+    most = F.least("ix", "iy")
+    bounded = x.join(y, (F.col("pv") == F.col("py")) & (F.col("cx") != F.col("cy")) & (100 * most >= percent * (F.col("nx") + F.col("ny") - most))).select("x", "y")
+    beyond = around.select("pv", "v", "c", F.explode("rest").alias("h"))
+    twice = beyond.groupBy("pv", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("pv", "h")
+    beyond = beyond.join(twice, ["pv", "h"])
+    other = beyond.select("pv", "h", F.col("v").alias("y"), F.col("c").alias("cy"))
+    common = beyond.select("pv", "h", F.col("v").alias("x"), F.col("c").alias("cx")).join(other, ["pv", "h"]).where("cx < cy").select("x", "y")
+    fresh = ordered(bounded.union(common)).join(candidates, ["a", "b"], "left_anti")
+    labels = components(links.union(written(verified(likely(fresh)), "links")))
 
     nodes = member.join(labels, "v", "left").select("doc_id", F.col("v").alias("class_id"), F.coalesce("component", "v").alias("c"))
     nodes = nodes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("c").alias("c"))
