@@ -57,11 +57,17 @@ class PieceModel:
         #: byte-pair pieces carry ranks; a rank costs its logarithm, so that frequent pieces are cheap
         self.score = {p: -float(np.log(2.0 - max(scores[i], 2 * low))) for p, i in self.pieces.items()}
         self.unknown = min(self.score.values()) - BYTE_PENALTY
-        self.by_length: list[tuple[np.ndarray, np.ndarray]] = []
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for n in range(1, self.longest + 1):
-            of = sorted((_pack(np.array([[ord(c) for c in p]], np.uint64))[0], s) for p, s in self.score.items() if len(p) == n)
-            self.by_length.append((np.array([k for k, _ in of], np.uint64), np.array([s for _, s in of])))
+            of = sorted((_pack(np.array([[ord(c) for c in p]], np.uint64))[0], s, self.pieces[p]) for p, s in self.score.items() if len(p) == n)
+            keys = np.array([k for k, _, _ in of], np.uint64)
+            maybe = np.zeros(1 << 18, bool)
+            maybe[(keys >> np.uint64(46)).astype(np.int64)] = True
+            self.by_length.append((keys, np.array([s for _, s, _ in of]), np.array([i for _, _, i in of], np.int32), maybe))
         self.raw = [bytes([x]) if isinstance(x, int) else (x or "").replace(MARK, " ").encode("utf-8") for x in self.surface]
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_sizes = np.array([len(x) for x in self.raw])
+        self.raw_starts = np.cumsum(self.raw_sizes) - self.raw_sizes
         self._paths = lru_cache(200_000)(self._search)
 
     def units(self, text: str) -> list[str]:
@@ -74,9 +80,11 @@ class PieceModel:
             return self.unknown * len(_raw(unit[i]))
         return s
 
-    def viterbi(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """For each unit: best score, loss of its second-best path (inf if there is none), and best cut points."""
-        best, loss, cuts = np.zeros(len(units)), np.full(len(units), np.inf), [None] * len(units)
+    def viterbi(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each unit: best score and loss of its second-best path (inf if there is none);
+        then the piece ids of all best paths, and where each unit's ids start and how many there are."""
+        best, loss = np.zeros(len(units)), np.full(len(units), np.inf)
+        counts, parts = np.zeros(len(units), np.int64), []
         lengths = np.array([len(u) for u in units], np.int64)
         step = np.maximum(4, 1 << np.maximum(0, np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64) - 2))
         padded = -(-lengths // step) * step  # units of similar lengths are worked on together
@@ -89,27 +97,46 @@ class PieceModel:
             z = min(z, a + max(1, 2_000_000 // (n * min(n, self.longest))))
             at = order[a:z]
             codes = np.frombuffer("".join([units[i].ljust(n, FILL) for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n)
-            best[at], loss[at], cut = self._viterbi(codes)
-            for k, i in enumerate(at):
-                cuts[i] = cut[k, : len(units[i]) + 1]
+            best[at], loss[at], paths = self._viterbi(codes)
+            there = paths != _NO_ID
+            counts[at] = there.sum(1)
+            parts.append((at, paths[there]))
             a = z
-        return best, loss, cuts
+        flat = np.concatenate([ids for _, ids in parts]) if parts else np.zeros(0, np.int32)
+        starts = np.zeros(len(units), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        # units with characters that no piece covers: each becomes the ids of its bytes
+        odd = np.flatnonzero(np.bincount(np.repeat(order, counts[order])[flat == _BYTES], minlength=len(units))) if len(flat) else []
+        extra, size = [], len(flat)
+        for i in odd:
+            own = self.ids(units[i], list(self.n_best(units[i], 1)[0][1]))
+            starts[i], counts[i] = size, len(own)
+            size += len(own)
+            extra += own
+        return best, loss, np.concatenate([flat, np.array(extra, np.int32)]), starts, counts
 
     def _viterbi(self, codes: np.ndarray):
         m, n = codes.shape
         top = min(n, self.longest)
         single = np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4))) * self.unknown
-        single[codes == ord(FILL)] = 0
+        fill = codes == ord(FILL)
+        single[fill] = 0
         edges = np.full((top, m, n), -np.inf)  # edges[w - 1, :, i]: the piece of w characters that starts at i
+        ids = np.full((top, m, n), _BYTES, np.int32)
         packed = codes.astype(np.uint64)
-        h = np.zeros_like(packed)
+        h = packed
         for w in range(1, top + 1):
-            h = h[:, : n - w + 1] * _PACK + packed[:, w - 1 :] if w > 1 else packed.copy()
-            keys, scores = self.by_length[w - 1]
+            h = h[:, : n - w + 1] * _PACK + packed[:, w - 1 :] if w > 1 else packed
+            keys, scores, own, maybe = self.by_length[w - 1]
             if len(keys):
-                k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                edges[w - 1, :, : n - w + 1] = np.where(keys[k] == h, scores[k], -np.inf)
+                r, c = np.nonzero(maybe[(h >> np.uint64(46)).astype(np.int64)])
+                some = h[r, c]
+                k = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
+                ok = keys[k] == some
+                edges[w - 1, r[ok], c[ok]] = scores[k[ok]]
+                ids[w - 1, r[ok], c[ok]] = own[k[ok]]
         edges[0] = np.where(np.isinf(edges[0]), single, edges[0])
+        ids[0][fill] = _NO_ID
         f, back = np.full((m, n + 1), -np.inf), np.zeros((m, n + 1), np.int32)
         f[:, 0] = 0
         for j in range(1, n + 1):
@@ -123,21 +150,21 @@ class PieceModel:
         for i in range(n - 1, -1, -1):
             for w in range(1, min(top, n - i) + 1):
                 g[:, i] = np.maximum(g[:, i], edges[w - 1, :, i] + g[:, i + w])
-        cut = np.zeros((m, n + 1), bool)
-        at = np.full(m, n)
-        rows = np.arange(m)
+        paths = np.full((m, n), _NO_ID, np.int32)
+        at, live, turn = np.full(m, n), np.arange(m), n
         used = np.zeros((top, m, n), bool)
-        while (at > 0).any():
-            live = at > 0
-            cut[rows[live], at[live]] = True
-            w = back[rows[live], at[live]]
+        while len(live):
+            turn -= 1
+            w = back[live, at[live]]
             at[live] -= w
-            used[w - 1, rows[live], at[live]] = True
+            used[w - 1, live, at[live]] = True
+            paths[live, turn] = ids[w - 1, live, at[live]]
+            live = live[at[live] > 0]
+        edges[used] = -np.inf
         second = np.full(m, -np.inf)
         for w in range(1, top + 1):
-            through = f[:, : n - w + 1] + edges[w - 1, :, : n - w + 1] + g[:, w:]
-            second = np.maximum(second, np.where(used[w - 1, :, : n - w + 1], -np.inf, through).max(1))
-        return f[:, n], f[:, n] - second, cut
+            second = np.maximum(second, (f[:, : n - w + 1] + edges[w - 1, :, : n - w + 1] + g[:, w:]).max(1))
+        return f[:, n], f[:, n] - second, paths
 
     def n_best(self, unit: str, n: int) -> tuple[tuple[float, tuple[int, ...]], ...]:
         """The n best (score, cut points), best first; ties by cut points."""
@@ -177,6 +204,8 @@ class PieceModel:
 
 
 _PACK = np.uint64(0x9E3779B97F4A7C15)
+#: ids that stand for the bytes of a character, and for nothing
+_BYTES, _NO_ID = -1, -2
 
 
 def _pack(codes: np.ndarray) -> np.ndarray:
@@ -233,29 +262,45 @@ def _cuts(column: pa.Array, max_units: int) -> Iterator[tuple[int, int]]:
         yield a, len(column)
 
 
+def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Positions of all spans, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
 def _encode(model: PieceModel, texts: list[str | None], n: int, with_ids: bool) -> list[tuple]:
-    split = [model.units(t or "") for t in texts]
     index: dict[str, int] = {}
-    refs = [[index.setdefault(u, len(index)) for u in units] for units in split]
+    number, refs, sizes = index.setdefault, [], []
+    for t in texts:
+        units = model.units(t or "")
+        sizes.append(len(units))
+        refs += [number(u, len(index)) for u in units]
     distinct = list(index)
-    best, loss, cuts = model.viterbi(distinct)
-    ids = [model.ids(u, np.flatnonzero(c).tolist()) for u, c in zip(distinct, cuts, strict=True)]
+    best, loss, flat, starts, counts = model.viterbi(distinct)
+    r = np.array(refs, np.int64)
+    ids = flat[_spans(starts[r], counts[r])]
+    unit_at = np.concatenate([[0], np.cumsum(sizes)])
+    id_at = np.concatenate([[0], np.cumsum(counts[r])])[unit_at]
+    # decoding: the bytes of all pieces, cut where the texts end; each text begins with one space too many
+    decoded = model.raw_bytes[_spans(model.raw_starts[ids], model.raw_sizes[ids])]
+    byte_at = np.concatenate([[0], np.cumsum(model.raw_sizes[ids])])[id_at]
+    best_r, loss_r = best[r], loss[r]
     out = []
-    for t, ref in zip(texts, refs, strict=True):
+    for i, t in enumerate(texts):
         if t is None:
             out.append((None,) * len(ADDED))
             continue
-        r = np.array(ref, np.int64)
-        total = float(best[r].sum())
-        losses = loss[r]
-        k = min(n - 1, len(ref))
-        pick = np.sort(np.lexsort((np.arange(len(r)), losses))[:k]) if k else []
-        choices = [(int(i), [(best[r[i]] - s, c) for s, c in model.n_best(distinct[r[i]], n)]) for i in pick if np.isfinite(losses[i])]
+        a, z = int(unit_at[i]), int(unit_at[i + 1])
+        total, losses = float(best_r[a:z].sum()), loss_r[a:z]
+        k = min(n - 1, z - a)
+        near = np.flatnonzero(losses <= np.partition(losses, k - 1)[k - 1]) if k else []
+        pick = sorted(sorted(near, key=lambda j: (losses[j], j))[:k])
+        choices = [(int(j), [(best_r[a + j] - s, c) for s, c in model.n_best(distinct[r[a + j]], n)]) for j in pick if np.isfinite(losses[j])]
         ranked = _combine(choices, n)
-        flat = [x for u in ref for x in ids[u]]
-        packed = np.array(flat, np.int32)
-        changed = [" ".join(f"{i}:{','.join(map(str, alts[c][1]))}" for (i, alts), c in zip(choices, combo, strict=True) if c) for _, combo in ranked]
-        out.append((packed if with_ids else None, len(flat), total, [total - lost for lost, _ in ranked], changed, hashlib.sha256(packed.astype("<i4").tobytes()).hexdigest(), model.decode(flat) == t))
+        own = ids[id_at[i] : id_at[i + 1]]
+        changed = [" ".join(f"{j}:{','.join(map(str, alts[c][1]))}" for (j, alts), c in zip(choices, combo, strict=True) if c) for _, combo in ranked]
+        same = decoded[byte_at[i] + (z > a) : byte_at[i + 1]].tobytes() == t.encode("utf-8")
+        out.append((own if with_ids else None, len(own), total, [total - lost for lost, _ in ranked], changed, hashlib.sha256(own.astype("<i4").tobytes()).hexdigest(), same))
     return out
 
 
