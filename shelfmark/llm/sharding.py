@@ -66,7 +66,7 @@ def place(key: Column, tree: Node) -> Column:
 
 
 def assign_shards(docs: DataFrame, tree: Node | None = None, key: str = "doc_id", text: str = "text", rows_per_run: int = 20_000) -> DataFrame:
-    """Add size, text_crc32, law, shard, slot and grown_shard to every row.
+    """Per row: the key, size, text_crc32, law, shard, slot and grown_shard.
 
     Law ``key``: only the key and the tree decide, so a row never moves because
     of other rows.  Slots are gapless from 0 in each shard: rows are dealt into
@@ -78,7 +78,7 @@ def assign_shards(docs: DataFrame, tree: Node | None = None, key: str = "doc_id"
     tree = tree or topology()
     n_shards = _leaves(tree)
     out = docs.select(
-        "*",
+        key,
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
