@@ -109,7 +109,7 @@ def _filter(features: np.ndarray) -> np.ndarray:
     return filt
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, max_features: int = 1000, min_rows: int = 3, min_lift: float = 1.5, id_col: str = "doc_id", text: str = "text") -> Chain | None:
+def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, max_features: int = 1000, min_rows: int = 3, min_lift: float = 1.5, min_surprise: float = 3.5, id_col: str = "doc_id", text: str = "text") -> Chain | None:
     """Fit the chain on at most ``sample_rows`` labelled rows (half of each class, by smallest hash of the id).
 
     Only the bounded sample is fitted on; None if it lacks one of the classes.
@@ -140,7 +140,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000
     stats = sample.mapInArrow(counted, "h long, neg long, pos long").groupBy("h").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     p, q = (F.col("pos") + 0.5) / (n[1] + 1.0), (F.col("neg") + 0.5) / (n[0] + 1.0)
     lift, gain = F.abs(F.log(p / q)), F.abs(p - q) * F.abs(F.log(p / q))
-    chosen = stats.where((F.col("pos") + F.col("neg") >= min_rows) & (lift >= min_lift)).withColumn("g", gain).orderBy(F.desc("g"), "h").limit(max_features).select("h").collect()
+    seen, share = F.col("pos") + F.col("neg"), n[1] / (n[0] + n[1])
+    surprise = F.abs(F.col("pos") - seen * share) / F.sqrt(seen * share * (1 - share))  # in standard deviations
+    chosen = stats.where((seen >= min_rows) & (lift >= min_lift) & (surprise >= min_surprise)).withColumn("g", gain).orderBy(F.desc("g"), "h").limit(max_features).select("h").collect()
     features = np.sort(np.array([r["h"] for r in chosen], np.int64).view(np.uint64))
     if not len(features):
         return None
