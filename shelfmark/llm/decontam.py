@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from shelfmark.llm import textkit as tk
 from shelfmark.llm.common import text_bytes, with_fields
 
 #: words of already lower-cased UTF-8: ASCII letters and digits and all of non-ASCII
@@ -167,4 +168,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, f.type) for c, f in zip(cols, ADDED, strict=True))], [*keep, *ADDED.names])
 
     added = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, cleaned_text string"
-    return docs.mapInArrow(run, with_fields(docs.schema, added))
+    return docs.mapInArrow(tk.tidy(run), with_fields(docs.schema, added))

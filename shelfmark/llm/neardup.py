@@ -222,13 +222,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     """
     threshold = percent / 100
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = written(base.mapInArrow(_sketch, "doc_id long, n long, s1 long, s2 long, regs binary"), "sketches")
+    sketched = written(base.mapInArrow(tk.tidy(_sketch), "doc_id long, n long, s1 long, s2 long, regs binary"), "sketches")
     linked = sketched.where("n > 0 and doc_id is not null")
     classes = linked.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("v"))
     member = written(linked.select("doc_id", "n", "s1", "s2").distinct().join(classes, ["n", "s1", "s2"]).select("doc_id", "v").distinct(), "members")
     reps = written(linked.withColumnRenamed("doc_id", "v").join(classes, ["v", "n", "s1", "s2"], "left_semi").select("v", "n", "regs"), "classes")
 
-    bands = reps.select("v", "regs").mapInArrow(_bands, "band long, v long")
+    bands = reps.select("v", "regs").mapInArrow(tk.tidy(_bands), "band long, v long")
     pivots = bands.groupBy("band").agg(F.min_by("v", F.xxhash64("v", F.pmod("band", F.lit(4)))).alias("p"), F.count("*").alias("size")).where("size > 1").select("band", "p")
     shared = written(bands.join(pivots, "band"), "buckets")
 
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         one = reps.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
         two = reps.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
         with_regs = pairs.join(one, "a").join(two, "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-        return with_regs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(threshold), "a long, b long, j double")
+        return with_regs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(tk.tidy(_likely(threshold)), "a long, b long, j double")
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -244,11 +244,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     candidates = written(likely(ordered(shared.select(F.col("v").alias("x"), F.col("p").alias("y")))), "pairs")
     wanted = shared.select("v").distinct()
     texts = base.where("doc_id is not null").withColumnRenamed("doc_id", "v").join(wanted, "v", "left_semi")
-    sets = written(texts.mapInArrow(_shingled, "v long, shingles binary"), "shingles")
+    sets = written(texts.mapInArrow(tk.tidy(_shingled), "v long, shingles binary"), "shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb"))
-        return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_verified(percent), "a long, b long")
+        return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(tk.tidy(_verified(percent)), "a long, b long")
 
     def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs that are still in different components, with these."""
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     central = mixed.join(degree, "v").groupBy("band").agg(F.max_by("v", F.struct("deg", F.xxhash64("v"))).alias("pv"))
     spokes = mixed.join(central, "band").select("v", "pv").distinct()
     of_v, of_p = sets.select("v", F.col("shingles").alias("sv")), sets.select(F.col("v").alias("pv"), F.col("shingles").alias("sp"))
-    measured = written(spokes.join(of_v, "v").join(of_p, "pv").select("v", "pv", "sv", "sp").mapInArrow(_against, "v long, pv long, n long, np long, i long, rest array<long>"), "spokes")
+    measured = written(spokes.join(of_v, "v").join(of_p, "pv").select("v", "pv", "sv", "sp").mapInArrow(tk.tidy(_against), "v long, pv long, n long, np long, i long, rest array<long>"), "spokes")
     star = measured.where((F.col("v") != F.col("pv")) & (100 * F.col("i") >= percent * (F.col("n") + F.col("np") - F.col("i"))))
     links = links.union(star.select(F.least("v", "pv").alias("a"), F.greatest("v", "pv").alias("b")))
     labels = components(links)

@@ -23,6 +23,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from shelfmark.llm import textkit as tk
 from shelfmark.llm.common import with_fields
 
 MARK = "▁"
@@ -68,7 +69,7 @@ class PieceModel:
         self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
         self.raw_sizes = np.array([len(x) for x in self.raw])
         self.raw_starts = np.cumsum(self.raw_sizes) - self.raw_sizes
-        self._paths = lru_cache(200_000)(self._search)
+        self._paths = lru_cache(20_000)(self._search)
 
     def units(self, text: str) -> list[str]:
         """The text with space marks, cut before each run of space marks."""
@@ -94,7 +95,7 @@ class PieceModel:
         while a < len(units):
             n = int(sizes[a])
             z = int(np.searchsorted(sizes, n, "right"))
-            z = min(z, a + max(1, 2_000_000 // (n * min(n, self.longest))))
+            z = min(z, a + max(1, 1_000_000 // (n * min(n, self.longest))))
             at = order[a:z]
             codes = np.frombuffer("".join([units[i].ljust(n, FILL) for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n)
             best[at], loss[at], paths = self._viterbi(codes)
@@ -223,7 +224,7 @@ ADDED = pa.schema([("piece_ids", pa.list_(pa.int32())), ("n_pieces", pa.int64())
 ADDED_DDL = "piece_ids array<int>, n_pieces long, best_score double, n_best_scores array<double>, n_best_cuts array<string>, ids_sha256 string, round_trip boolean"
 
 
-def encode_pieces(docs: DataFrame, model_path: str, n_best: int = 4, with_ids: bool = True, max_batch_units: int = 400_000, text: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, n_best: int = 4, with_ids: bool = True, max_batch_units: int = 200_000, text: str = "text") -> DataFrame:
     """All columns plus the columns of ``ADDED`` (which replace clashing names).
 
     ``n_best_scores`` are the scores of the best segmentations, best first (fewer
@@ -247,7 +248,7 @@ def encode_pieces(docs: DataFrame, model_path: str, n_best: int = 4, with_ids: b
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, f.type) for c, f in zip(cols, ADDED, strict=True))], [*keep, *ADDED.names])
 
-    return docs.mapInArrow(run, with_fields(docs.schema, ADDED_DDL))
+    return docs.mapInArrow(tk.tidy(run), with_fields(docs.schema, ADDED_DDL))
 
 
 def _cuts(column: pa.Array, max_units: int) -> Iterator[tuple[int, int]]:

@@ -143,6 +143,7 @@ def _candidates(window: int):
             return _CANDIDATE.empty_table()
         h, d, start = (np.concatenate(x) for x in zip(*out, strict=True))
         _, first = np.unique(h, return_index=True)  # parts are in document order
+        tk.release()
         return pa.table([pa.array(h[first].view(np.int64)), ids.take(pa.array(d[first])), pa.array(start[first].astype(np.int32))], schema=_CANDIDATE)
 
     return run
@@ -176,6 +177,7 @@ def _remove(window: int, out_schema: pa.Schema, with_text: bool):
             k = np.minimum(np.searchsorted(late, h), len(late) - 1)
             gone |= late[k] == h
         rows, base = [], 0
+        tk.release()
         for s, hs, starts, _, _ in parts:
             bad = starts[gone[base : base + len(hs)]]
             base += len(hs)
@@ -216,7 +218,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, bucket_bytes: int = 4 << 2
     n_buckets = max(1, -(-text_bytes(docs) // bucket_bytes))
     kept = docs.select(F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(n_buckets)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
     dealt = kept.repartition("bucket")  # all its users take all its columns, so that the exchange is written once
-    phrases = dealt.mapInArrow(_count_phrases(window), "h long, bucket int, n int")
+    phrases = dealt.mapInArrow(tk.tidy(_count_phrases(window)), "h long, bucket int, n int")
     recurring = phrases.withColumn("total", F.sum("n").over(W.partitionBy("h"))).where("total > 1").select("bucket", "h")
     windows = dealt.groupBy("bucket").cogroup(recurring.groupBy("bucket")).applyInArrow(_candidates(window), "w long, doc_id long, start int")
     order = W.partitionBy("w").orderBy("doc_id", "start")

@@ -12,13 +12,15 @@ words; words never reach across documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -62,6 +64,32 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def tidy(f: Callable) -> Callable:
+    """Wrap a function over Arrow batches: when it ends, freed memory goes back to the system.
+
+    Python workers live on from stage to stage, and what their allocators keep
+    counts against the executor.
+    """
+
+    @functools.wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    global _powers
+    _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 @dataclass
 class Slice:
     """Some consecutive documents of one batch."""

@@ -137,7 +137,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000
     n = {r["_y"]: r["count"] for r in total}
     if not n.get(0) or not n.get(1):
         return None
-    stats = sample.mapInArrow(counted, "h long, neg long, pos long").groupBy("h").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    stats = sample.mapInArrow(tk.tidy(counted), "h long, neg long, pos long").groupBy("h").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     p, q = (F.col("pos") + 0.5) / (n[1] + 1.0), (F.col("neg") + 0.5) / (n[0] + 1.0)
     lift, gain = F.abs(F.log(p / q)), F.abs(p - q) * F.abs(F.log(p / q))
     seen, share = F.col("pos") + F.col("neg"), n[1] / (n[0] + n[1])
@@ -166,7 +166,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000
                 rows = [(ids[s.first + i], y[s.first + i], True in kinds.get(i, ()), False in kinds.get(i, ()), np.unique(at[bounds[i] : bounds[i + 1]]).tolist()) for i in range(s.n_docs)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.int32())), strict=True)], ["id", "y", "insult", "contempt", "at"])
 
-    rows = sample.select(F.col("_id").cast("long"), "_t", "_y").mapInArrow(encoded, "id long, y int, insult boolean, contempt boolean, at array<int>").collect()
+    rows = sample.select(F.col("_id").cast("long"), "_t", "_y").mapInArrow(tk.tidy(encoded), "id long, y int, insult boolean, contempt boolean, at array<int>").collect()
     rows.sort(key=lambda r: (r["id"] * 0x9E3779B97F4A7C15 % 2**64, r["id"]))
     x, y = np.zeros((len(rows), len(features)), np.float32), np.array([r["y"] for r in rows])
     for i, r in enumerate(rows):
@@ -205,4 +205,4 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, threshold: float = 0.5,
             p = np.concatenate(out) if out else np.zeros((0, len(chain.names)))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] >= threshold)], [*kept, *names])
 
-    return docs.mapInArrow(run, with_fields(docs.schema, "p_insult double, p_contempt double, p_toxic double, toxic boolean"))
+    return docs.mapInArrow(tk.tidy(run), with_fields(docs.schema, "p_insult double, p_contempt double, p_toxic double, toxic boolean"))
