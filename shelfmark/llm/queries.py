@@ -11,6 +11,7 @@ from shelfmark.llm.decontam import decontaminate
 from shelfmark.llm.licenses import scan_licenses
 from shelfmark.llm.lm import score_corpus
 from shelfmark.llm.neardup import near_duplicates
+from shelfmark.llm.oracles import ORACLES
 from shelfmark.llm.pieces import encode_pieces
 from shelfmark.llm.quality import clean_lines
 from shelfmark.llm.repeats import remove_repeats
@@ -66,4 +67,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_sharding, op3_substring_dedup, op4_sentencepiece, op5_warc, op6_lm_score, op7_licenses, op8_toxicity, op9_quality, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
