@@ -8,6 +8,11 @@ every context of the trie comes from the same text, the bytes excluded at an
 order are exactly the followers of the longer context, so all probabilities of
 the trie can be tabled once and texts scored by table lookup.
 
+The order is the same for every corpus.  The table that is broadcast holds all
+shorter contexts and the most frequent of the longest; the other longest
+contexts stay a Spark table that is joined in full with the contexts of the
+texts.
+
 The unigram base score needs the count of every word in the training texts; it
 is computed by a join with the full count table.
 """
@@ -89,19 +94,26 @@ def _learn(order: int):
 
 
 class Trie:
-    """Tabled log10 probabilities: a row for each context, a column for each byte of the alphabet."""
+    """Tabled log10 probabilities: a row for each context, a column for each byte of the alphabet.
+
+    ``lower`` are keys and counts of all contexts of ``order - 1``, ``top`` those of
+    some contexts of ``order``; the others are scored as if they had not been seen.
+    """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, lower: tuple[np.ndarray, np.ndarray], top: tuple[np.ndarray, np.ndarray], order: int):
         self.order = order
-        symbols = np.unique(keys & np.uint64(255)).astype(np.int64)
+        symbols = np.unique(lower[0] & np.uint64(255)).astype(np.int64)
         self.column = np.full(256, len(symbols), np.int32)  # bytes never seen share the last column
         self.column[symbols] = np.arange(len(symbols))
         width = len(symbols) + 1
-        lower = None
+        full, lower = lower, None
         self.row = np.zeros(1, np.int32)
         tables: list[np.ndarray] = []
         base = 0
         for k in range(order + 1):
+            keys, counts = full if k < order else top
+            if k == order:  # what tells whether a text's context may be one that is joined
+                self.base, self.low_row, self.low_base, self.low_seen = base, lower[1], lower[0][3], lower[0][0] > 0
             short = keys & np.uint64((1 << 8 * (k + 1)) - 1)
             at = np.argsort(short, kind="stable")
             short, n = short[at], counts[at]
@@ -162,19 +174,35 @@ class Trie:
     def score(self, s: tk.Slice) -> np.ndarray:
         """log10 probability of each text and its end."""
         key = _grams(s, self.order)
-        cell = self.row[key >> np.uint32(8)].astype(np.int64) * self.table.shape[1] + self.column[(key & np.uint32(255)).astype(np.int64)]
-        logs = self.table.ravel()[cell].astype(np.float64)
+        logs = self._logs(key).astype(np.float64)
         first = s.offsets[:-1] + np.arange(s.n_docs)
         return np.add.reduceat(logs, first) if len(logs) else np.zeros(0)
 
+    def _logs(self, key: np.ndarray) -> np.ndarray:
+        cell = self.row[key >> np.uint32(8)].astype(np.int64) * self.table.shape[1] + self.column[(key & np.uint32(255)).astype(np.int64)]
+        return self.table.ravel()[cell]
+
+    def untabled(self, s: tk.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Document, key, count, tabled log10 and whether the shorter context has the byte, where the longest context is not tabled but may be known."""
+        key = _grams(s, self.order)
+        ctx = key >> np.uint32(8)
+        low = ctx & np.uint32((1 << 8 * (self.order - 1)) - 1)
+        left = np.flatnonzero((self.row[ctx] < self.base) & (self.low_row[low] >= self.low_base))
+        doc = np.repeat(np.arange(s.n_docs, dtype=np.uint64), np.diff(s.offsets) + 1)[left]
+        pairs, n = np.unique(doc << np.uint64(32) | key[left], return_counts=True)
+        key = (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        low = self.low_row[key >> np.uint32(8) & np.uint32((1 << 8 * (self.order - 1)) - 1)] - self.low_base
+        return (pairs >> np.uint64(32)).astype(np.int64), key, n, self._logs(key), self.low_seen[low, self.column[(key & np.uint32(255)).astype(np.int64)]]
+
 
 def score_corpus(docs: DataFrame, order: int = 3, max_cells: int = 24_000_000, frequent: int = 1 << 18, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Counts come from all training rows.  The trie has the highest order up to
-    ``order`` (2 or 3) whose table has at most ``max_cells`` cells; order 2 has at
-    most 65,793 contexts of 256 bytes, so what is broadcast is bounded whatever
-    the corpus.  The ``frequent`` most frequent words are looked up in a
+    Counts come from all training rows.  The trie has order ``order`` (2 or 3)
+    whatever the corpus.  Its table of about ``max_cells`` cells is broadcast: all
+    shorter contexts (65,793 of 256 bytes at most), and the most frequent of the
+    longest ones as far as there is room; the rest are joined in full, so
+    ``max_cells`` changes no score but by rounding.  The ``frequent`` most frequent words are looked up in a
     broadcast table of that size; all other words are joined with the full
     count table.  A null text is an empty text (one token, its end).  Repeated
     rows are scored one by one.  With no training rows all counts are 0.
@@ -195,10 +223,21 @@ def score_corpus(docs: DataFrame, order: int = 3, max_cells: int = 24_000_000, f
         floor = r["level"]
 
     grams = counts.where(F.col("kind") == GRAMS)
-    sizes = grams.agg(F.approx_count_distinct(F.shiftright("key", 8), 0.02).alias("c"), F.approx_count_distinct(F.col("key").bitwiseAND(255), 0.02).alias("a")).first()
-    if order > 2 and sizes["c"] * 1.1 * (sizes["a"] + 2) > max_cells:
-        order, grams = 2, grams.select(F.col("key").bitwiseAND((1 << 24) - 1).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
-    trie = sc.broadcast((*_sorted(grams.select("key", "n").toArrow()), order))
+    lower = grams.groupBy(F.col("key").bitwiseAND((1 << 8 * order) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    full = _sorted(lower)
+    contexts = grams.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("total"))
+    cells = len(np.unique(full[0] & np.uint64(255))) + 1
+    space = max_cells - cells * sum(len(np.unique(full[0] >> np.uint64(8) & np.uint64((1 << 8 * k) - 1))) for k in range(order))
+    least = 0  # contexts seen less often are joined
+    for r in contexts.groupBy(F.floor(F.log2("total")).cast("int").alias("level")).count().orderBy(F.desc("level")).collect():
+        space -= r["count"] * cells
+        if space < 0:
+            least = 2 << r["level"]
+            break
+    hot = grams
+    if least:
+        hot = grams.withColumn("ctx", F.shiftright("key", 8)).join(contexts.where(F.col("total") >= least), "ctx", "left_semi")
+    trie = sc.broadcast((full, _sorted(hot.select("key", "n").toArrow()), order))
     top_keys, top_counts = _sorted(vocabulary.where(level >= floor).toArrow())
     known = sc.broadcast((top_keys, np.log10(top_counts + 0.5)))
     unit = float(np.log10(n_train + 0.5 * (v_train + 1)))
@@ -225,6 +264,16 @@ def score_corpus(docs: DataFrame, order: int = 3, max_cells: int = 24_000_000, f
             # one marker for each row, so that repeated rows can be told from repeated words
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(0), pa.array(np.full(len(b), -1, np.int32))], ["_key", "key", "tf"])
 
+    def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for b in batches:
+            model = model or Trie(*trie.value)
+            row_keys = b.column(0).to_numpy()
+            for s in tk.slices(b.column(1), fold=tk.LOWER):
+                d, key, n, logs, seen = model.untabled(s)
+                if len(key):
+                    yield pa.RecordBatch.from_arrays([pa.array(row_keys[s.first + d]), pa.array((key >> np.uint32(8)).astype(np.int32)), pa.array((key & np.uint32(255)).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(logs.astype(np.float64)), pa.array(seen)], ["_key", "ctx", "byte", "tf", "low", "seen"])
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for b in batches:
@@ -246,14 +295,45 @@ def score_corpus(docs: DataFrame, order: int = 3, max_cells: int = 24_000_000, f
     )
     schema = f"_id {docs.schema[id_col].dataType.simpleString()}, _key long, _held boolean, n_tokens long, n_top long, logs double, score double"
     per_row = rows.select(F.col(id_col).alias("_id"), "_key", "_held", "_t").mapInArrow(tk.tidy(scored), schema)
+    if least:
+        found = rows.select("_key", "_t").mapInArrow(tk.tidy(cold), "_key long, ctx int, byte int, tf int, low double, seen boolean").join(_cold_contexts(grams, contexts.where(F.col("total") < least), order), "ctx")
+        n = F.try_element_at("followers", F.col("byte"))
+        change = F.when(n.isNotNull(), F.log10(n) - F.col("scale") - F.col("low")).when(F.col("seen"), F.col("to_seen")).otherwise(F.col("to_other"))
+        more = found.groupBy("_key").agg(F.sum(F.col("tf") * change).alias("more"))
+        rest = rest.join(more, "_key", "left")
+    else:
+        rest = rest.withColumn("more", F.lit(0.0))
     return per_row.join(rest, "_key", "left").select(
         F.col("_id").alias(id_col), F.col("_held").alias("held_out"), "n_tokens",
         (F.col("n_top") + F.coalesce(F.col("n_rest") / F.col("copies"), F.lit(0.0)) + int(n_ends > 0)).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce(F.col("rest") / F.col("copies"), F.lit(0.0)) + end_log - F.col("n_tokens") * unit).alias("base_score"), "score",
+        (F.col("logs") + F.coalesce(F.col("rest") / F.col("copies"), F.lit(0.0)) + end_log - F.col("n_tokens") * unit).alias("base_score"),
+        (F.col("score") + F.coalesce(F.col("more") / F.col("copies"), F.lit(0.0))).alias("score"),
     )
 
 
+def _cold_contexts(grams: DataFrame, wanted: DataFrame, order: int) -> DataFrame:
+    """Per wanted context: ctx, followers (byte to count), scale, and what to add to the
+    shorter context's log10 probability for another byte that it has (to_seen) or has not (to_other).
+
+    Excluding the followers takes their counts out of the shorter context, whose
+    followers they all are.
+    """
+    byte = F.col("key").bitwiseAND(255).cast("int")
+    low = grams.groupBy(F.col("key").bitwiseAND((1 << 8 * order) - 1).alias("low")).agg(F.sum("n").alias("n_low"))
+    short = low.groupBy(F.shiftright("low", 8).alias("short")).agg(F.sum("n_low").alias("t_low"), F.count("*").alias("k_low"))
+    long = grams.withColumn("ctx", F.shiftright("key", 8)).join(wanted.select("ctx"), "ctx", "left_semi")
+    long = long.withColumn("low", F.col("key").bitwiseAND((1 << 8 * order) - 1)).join(low, "low")
+    own = long.groupBy("ctx").agg(F.sum("n").alias("t"), F.count("*").alias("k"), F.sum("n_low").alias("gone"), F.map_from_entries(F.collect_list(F.struct(byte, "n"))).alias("followers"))
+    own = own.withColumn("short", F.col("ctx").bitwiseAND((1 << 8 * (order - 1)) - 1)).join(short, "short")
+    kinds = F.col("k_low") - F.col("k")
+    left = F.greatest(F.col("t_low") - F.col("gone") + kinds, F.lit(1))
+    scale, scale_low = F.log10(F.col("t") + F.col("k")), F.log10(F.col("t_low") + F.col("k_low"))
+    escape = F.log10("k") - scale
+    further = F.when(kinds > 0, F.log10(kinds) - F.log10(left)).otherwise(0.0)
+    return own.select(F.col("ctx").cast("int").alias("ctx"), "followers", scale.alias("scale"), (escape + scale_low - F.log10(left)).alias("to_seen"), (escape + further - F.log10("k_low") + scale_low).alias("to_other"))
+
+
 def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys = table.column("key").to_numpy().view(np.uint64)
     at = np.argsort(keys)

@@ -286,6 +286,18 @@ def test_two_byte_contexts_where_the_table_would_be_too_large(docs):
     assert all(r.score < 0 for r in lm.score_corpus(docs, max_cells=10).collect())
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_the_order_is_kept_where_the_table_would_be_too_large(spark, docs, order):
+    """Scores do not depend on how many contexts are broadcast and how many joined."""
+    both = repeated(spark, docs)
+    scores = lambda cells: sorted((r.doc_id is not None, r.doc_id or 0, r.score) for r in lm.score_corpus(both, order=order, max_cells=cells).collect())
+    want = scores(24_000_000)
+    for cells in (10, 9_000):
+        got = scores(cells)
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+        assert all(math.isclose(g[2], w[2], rel_tol=1e-5) for g, w in zip(got, want, strict=True))
+
+
 def test_licenses(spark, docs, none):
     phrases = [("under the mit license".split(), "mit"), ("apache license version 2".split(), "apache-2"), ("cc by nc".split(), "cc-by-nc")]
     got = {r.doc_id: r for r in scan_licenses(docs).collect()}
