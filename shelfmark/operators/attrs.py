@@ -241,6 +241,13 @@ def audit_summary(df: DataFrame, assigned: DataFrame, missing: DataFrame, contra
     return a.crossJoin(b).crossJoin(c).crossJoin(d)  # one row each
 
 
+def without_filled_peers(df: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Rows (row_ord) in no cluster, or in one that has no row with any attributes."""
+    filled = df.where(~X.is_empty_filter(F.col("filters"))).select("row_ord")
+    served = assigned.where("cluster_id is not null").join(filled, "row_ord", "left_semi").select("cluster_id").distinct()
+    return assigned.join(served, "cluster_id", "left_anti").select("row_ord")
+
+
 def rescue_peers(df: DataFrame, wanted: DataFrame, max_postings: int = 4000, top: int = 400, threshold: float = 0.5, min_peers: int = MIN_PEERS) -> DataFrame:
     """Corpus-wide peers among filled rows for rows whose cluster has none: frequent tokens do not nominate,
     the ``top`` rows by shared tokens are compared by Jaccard similarity."""

@@ -107,3 +107,29 @@ def test_roles_and_files(spark, tmp_path):
         path = str(tmp_path / kind)
         getattr(df.select("o", "leaf").write.option("header", True), kind)(path)
         assert tables.read(spark, path, kind, "o int, leaf string" if kind == "csv" else None).count() == 2
+
+
+PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+
+
+def parts(spark, path, names):
+    """A folder with a part table: size by key, names as given."""
+    spark.createDataFrame([(i, name, "Brand", "T", i % 50 + 1, 1.0) for i, name in names], PART).write.parquet(f"{path}/part.parquet")
+    return str(path)
+
+
+def test_every_row_without_filled_peers_asks_the_whole_catalog(spark, tmp_path):
+    from shelfmark.functions import text as X
+    from shelfmark.plans import q_attrs
+    from shelfmark.plans import views
+
+    many = [(i, "red bolt") for i in range(100, 500) if i % 10 != 3]  # tokens with more than 300 rows
+    d = parts(spark, tmp_path, [*many, (13, "red bolt zinc"), (23, "red bolt"), (33, "quite other words here"), (53, "blue ring brass"), *((i, "blue ring") for i in (1, 2, 4, 5, 6, 8))])
+    rows = views.catalog(spark, d).select("row_ord", "filters", X.tokens(F.col("description")).alias("t")).collect()
+    toks, filled = {r.row_ord: set(r.t) for r in rows}, [r.row_ord for r in rows if r.filters]
+    want = set()
+    for a in (13, 33, 53):  # each alone with its skeleton, in no group
+        hits = sorted((-len(toks[a] & toks[b]), b) for b in filled if toks[a] & toks[b])[:400]
+        peers = {b for _, b in hits if len(toks[a] & toks[b]) / len(toks[a] | toks[b]) >= 0.5}
+        want |= {(a, b) for b in peers} if len(peers) >= 5 else set()
+    assert {(r.a, r.b) for r in q_attrs.b05_rescue_peers(spark, d).collect()} == want and {a for a, _ in want} == {13, 53}
