@@ -73,14 +73,22 @@ def axis_label_choice(long: DataFrame, target: str, min_rows: int = 6, min_keys:
 
 
 def cross_check(answers: DataFrame, found: DataFrame) -> DataFrame:
-    """Answers (id, grp, x, y) in conflict with each other: same x and other y, or order against the curve."""
-    a = answers.select("grp", F.col("id").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    b = answers.select("grp", F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    both = a.join(b, "grp").where("x1 <= x2 and i <> j").join(found.select("grp", "direction"), "grp", "left")
-    same = (F.col("x1") == F.col("x2")) & (F.col("y1") != F.col("y2"))
-    against = (F.col("x1") < F.col("x2")) & (((F.col("direction") == "up") & (F.col("y1") > F.col("y2"))) | ((F.col("direction") == "down") & (F.col("y1") < F.col("y2"))))
-    bad = both.select("i", "j", F.when(same, "SAME_X").when(against, "ORDER").alias("reason")).where("reason is not null")
-    return bad.select(F.col("i").alias("id"), "reason").union(bad.select("j", "reason")).distinct()
+    """Answers (id, grp, x, y) in conflict with each other: same x and other y, or order against the curve.
+
+    Each distinct (grp, x, y) is held against the least and greatest y at its x,
+    before it and after it, so no pairs are listed.  Two answers of one id that
+    differ are in conflict as well.
+    """
+    at = answers.where("x is not null and y is not null").groupBy("grp", "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    by = W.partitionBy("grp").orderBy("x")
+    before, after = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(1, W.unboundedFollowing)
+    seen = at.withColumns({"lo_before": F.min("lo").over(before), "hi_before": F.max("hi").over(before), "lo_after": F.min("lo").over(after), "hi_after": F.max("hi").over(after)})
+    both = answers.select("grp", "id", "x", "y").distinct().join(seen, ["grp", "x"]).join(found.select("grp", "direction"), "grp", "left")
+    up = (F.col("direction") == "up") & ((F.col("hi_before") > F.col("y")) | (F.col("lo_after") < F.col("y")))
+    down = (F.col("direction") == "down") & ((F.col("lo_before") < F.col("y")) | (F.col("hi_after") > F.col("y")))
+    same = F.col("y").isNotNull() & (F.col("lo") != F.col("hi"))
+    reasons = F.array(F.when(same, "SAME_X"), F.when(up | down, "ORDER"))
+    return both.select("id", F.explode(reasons).alias("reason")).where("reason is not null").distinct()
 
 
 def merge_judges(answers: DataFrame) -> DataFrame:

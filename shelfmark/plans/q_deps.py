@@ -89,7 +89,7 @@ def d05_refine_lookup(spark, d):
 def d06_note_attributes(spark, d):
     """Remarks: texts of documents by language and source."""
     docs = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
-    return P.note_attributes(docs.select(F.col("lang").alias("grp"), F.col("source").alias("k"), F.left("text", F.lit(60)).alias("v")))
+    return P.note_attributes(docs.select(F.col("lang").alias("grp"), F.col("source").alias("k"), F.col("text").alias("v")))
 
 
 @query(f"{_LONG}, dv AS (SELECT DISTINCT grp, k, v FROM lg), h AS (SELECT n.grp, n.row_ord, dv.k, dv.v FROM nm n JOIN dv ON dv.grp = n.grp AND contains(' ' || lower(n.name) || ' ', ' ' || lower(dv.v) || ' ') WHERE NOT EXISTS (SELECT 1 FROM lg WHERE lg.row_ord = n.row_ord AND lg.k = dv.k)) SELECT grp, row_ord, k, min(v) v FROM h GROUP BY 1, 2, 3 HAVING count(DISTINCT v) = 1")
@@ -100,7 +100,7 @@ def d07_labels_from_names(spark, d):
 @query(f"{_LONG}, c AS (SELECT grp, row_ord, k, 'M' || CAST(row_ord % 50 + 1 AS VARCHAR) v FROM lg WHERE k LIKE 'Size%' AND row_ord % 9 = 0), en AS (SELECT l.grp, l.k FROM lg l JOIN nm USING (grp, row_ord) GROUP BY 1, 2 HAVING count(*) >= 10 AND avg(contains(lower(name), lower(v))::INT) >= 0.3) SELECT c.grp, c.row_ord, c.k, c.v, min(o.v) in_name FROM c JOIN en USING (grp, k) JOIN nm ON nm.row_ord = c.row_ord JOIN (SELECT DISTINCT grp, k, v FROM lg) o ON o.grp = c.grp AND o.k = c.k AND o.v <> c.v AND contains(lower(nm.name), lower(o.v)) WHERE NOT contains(lower(nm.name), lower(c.v)) GROUP BY 1, 2, 3, 4")
 def d08_name_guard(spark, d):
     rows = long(spark, d)
-    cand = rows.where("k like 'Size%' and row_ord % 9 = 0").select("grp", "row_ord", "k", F.concat(F.lit("M"), (F.col("row_ord") % 50 + 1).cast("string")).alias("v"))
+    cand = rows.where("k like 'Size%'").select("grp", "row_ord", "k", F.concat(F.lit("M"), (F.col("row_ord") % 50 + 1).cast("string")).alias("v"))
     return P.name_guard(names(spark, d).select("grp", "row_ord", "name"), rows, cand)
 
 
@@ -230,7 +230,7 @@ def e06_cross_check(spark, d):
     base = long(spark, d).withColumn("b", X.base_attr(F.col("k")))
     x = base.where("b = 'Size'").select("grp", "row_ord", X.axis(F.col("v")).alias("x"))
     y = base.where("b = 'Key'").select("grp", "row_ord", X.measure(F.col("v")).alias("y"))
-    a = x.join(y, ["grp", "row_ord"]).where("row_ord % 10 < 3").select(F.col("row_ord").alias("id"), "grp", "x", F.when(F.col("row_ord") % 97 == 1, F.col("y") + 25).otherwise(F.col("y")).alias("y"))
+    a = x.join(y, ["grp", "row_ord"]).select(F.col("row_ord").alias("id"), "grp", "x", F.when(F.col("row_ord") % 97 == 1, F.col("y") + 25).otherwise(F.col("y")).alias("y"))
     return V.cross_check(a, _curves(spark, d))
 
 

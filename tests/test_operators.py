@@ -112,9 +112,9 @@ def test_roles_and_files(spark, tmp_path):
 PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
 
 
-def parts(spark, path, names):
+def parts(spark, path, names, size=lambda i: i % 50 + 1):
     """A folder with a part table: size by key, names as given."""
-    spark.createDataFrame([(i, name, "Brand", "T", i % 50 + 1, 1.0) for i, name in names], PART).write.parquet(f"{path}/part.parquet")
+    spark.createDataFrame([(i, name, "Brand", "T", size(i), 1.0) for i, name in names], PART).write.parquet(f"{path}/part.parquet")
     return str(path)
 
 
@@ -133,3 +133,38 @@ def test_every_row_without_filled_peers_asks_the_whole_catalog(spark, tmp_path):
         peers = {b for _, b in hits if len(toks[a] & toks[b]) / len(toks[a] | toks[b]) >= 0.5}
         want |= {(a, b) for b in peers} if len(peers) >= 5 else set()
     assert {(r.a, r.b) for r in q_attrs.b05_rescue_peers(spark, d).collect()} == want and {a for a, _ in want} == {13, 53}
+
+
+def test_answers_are_checked_against_all_others(spark):
+    import itertools
+    import random
+
+    r = random.Random(5)
+    rows = [(i, r.choice("uvn"), r.choice([None, *map(float, range(12))]), r.choice([None, *map(float, range(30))])) for i in range(60)]
+    rows += [(100 + i, "u", float(20 + i), float(50 + i)) for i in range(20)]
+    way = {"u": "up", "v": "down"}
+    want = set()
+    for a, b in itertools.permutations(rows, 2):
+        if a[1] == b[1] and None not in (*a[2:], *b[2:]):
+            if a[2] == b[2] and a[3] != b[3]:
+                want |= {(a[0], "SAME_X"), (b[0], "SAME_X")}
+            if a[2] < b[2] and ((way.get(a[1]) == "up" and a[3] > b[3]) or (way.get(a[1]) == "down" and a[3] < b[3])):
+                want |= {(a[0], "ORDER"), (b[0], "ORDER")}
+    got = verify.cross_check(spark.createDataFrame(rows, "id long, grp string, x double, y double"), spark.createDataFrame([*way.items()], "grp string, direction string"))
+    assert sorted((x.id, x.reason) for x in got.collect()) == sorted(want)
+
+
+def test_dependency_queries_read_whole_texts_and_all_rows(spark, tmp_path):
+    from shelfmark.plans import q_deps
+
+    head = "the same words begin every one of these texts, sixty letters and more "
+    spark.createDataFrame([("en", "web", head + w) for w in "abcdef"] + [("en", "mail", f"{head} {i} at the end") for i in range(6)], "lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.grp, r.k, r.n_values) for r in q_deps.d06_note_attributes(spark, str(tmp_path)).collect()] == [("en", "web", 6)]
+    d = parts(spark, tmp_path, [(i, "red bolt") for i in range(1, 201)], size=lambda i: 7 * i % 50 + 1)
+    wrong = {r.id for r in q_deps.e06_cross_check(spark, d).collect()}
+    assert 98 in wrong and 195 in wrong  # the two answers changed in the query; neither has row_ord % 10 < 3
+    guarded = {r.row_ord for r in q_deps.d08_name_guard(spark, d).collect()}
+    sized = {r.row_ord for r in q_deps.long(spark, d).where("k like 'Size%'").collect()}
+    named = lambda i: f"red bolt m{7 * i % 50 + 1}x"
+    want = {i for i in sized if f"m{i % 50 + 1}" not in named(i)}  # the guessed value is not in the name, the row's own is
+    assert guarded == want and any(i % 9 for i in want)
