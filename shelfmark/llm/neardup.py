@@ -11,8 +11,9 @@ pairs that may reach the threshold are verified on the full sets.  Documents of
 equal sets are one class from the start.  Inside a band bucket members are first
 compared with a pivot only; members of buckets that still hold different
 components are then compared with a central member, and across components where
-an exact bound from that comparison allows a link, so components are those of
-all candidate pairs although the pairs of a large group are never listed.
+exact bounds from that comparison and a prefix filter on the shingles that the
+central member lacks allow a link, so components are those of all candidate
+pairs although the pairs of a large group are never listed.
 """
 
 from __future__ import annotations
@@ -209,6 +210,56 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` after further links: only the components that they join are worked on."""
+    ends = links.select("a", "b")
+    for c in ("a", "b"):
+        ends = ends.join(labels.select(F.col("v").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+    joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    new = joined.select(F.col("v").alias("component"), F.col("component").alias("to"))
+    old = labels.join(new, "component", "left").select("v", F.coalesce("to", "component").alias("component"))
+    return written(old.union(joined.join(labels, "v", "left_anti")), "labels")
+
+
+def _beyond_centres(measured: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of one centre and different components that may be links.
+
+    ``measured``: v, pv, n, i (shingles shared with the centre pv), rest (those it
+    lacks).  A link needs ``need`` shared shingles, at most min(ix, iy) of them
+    the centre's.  Where that suffices, a pair is listed by its sizes.  All other
+    links share need - min(ix, iy) shingles or more that the centre lacks, so
+    they meet in the rarest ones (prefix filtering): ordered by rarity, the first
+    |rest| - t + 1 of either side hold a common one, if t are shared.  Shingles
+    that only one component has come first and need not be joined at all.
+    """
+    salt = F.pmod(F.xxhash64("v"), F.lit(16))
+    around = measured.join(labels, "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component", "np").withColumn("salt", salt)
+    around = written(around, "around")
+    sizes = around.groupBy("pv", "c").agg(F.count("*").alias("m"), F.min("n").alias("least")).groupBy("pv").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.min("least").alias("least"), F.count("*").alias("cs"))
+    sizes = sizes.where("cs > 1").select("pv", "top", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("salt"))
+    around = written(around.join(sizes, ["pv", "salt"]), "around")
+
+    need = lambda n: F.ceil(percent * n / (100 + percent) - 1e-6)
+    # the bound needs x to come near the centre itself, unless y is smaller than it: checked before the join
+    near = around.where(F.col("i") >= need(F.col("n") + F.greatest("least", F.ceil(percent * F.col("n") / 100 - 1e-6))))
+    x = near.where("c <> top").select("pv", F.col("v").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
+    y = near.select(F.col("pv").alias("py"), F.col("v").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"))
+    bounded = x.join(y, (F.col("pv") == F.col("py")) & (F.col("cx") != F.col("cy")) & (F.least("ix", "iy") >= need(F.col("nx") + F.col("ny")))).select("x", "y")
+
+    beyond = around.select("pv", "v", "c", "n", "i", "least", F.size("rest").alias("own"), F.explode("rest").alias("h"))
+    useful = beyond.groupBy("pv", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("pv", "h", "df")
+    lists = beyond.join(useful, ["pv", "h"]).groupBy("pv", "v", "c", "n", "i", "least", "own").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    alone = F.col("own") - F.size("hs")
+    smaller = F.greatest(need(2 * F.col("n")) - F.col("i"), F.lit(1))
+    larger = F.greatest(need(F.col("n") + F.greatest("least", F.ceil(percent * F.col("n") / 100 - 1e-6))) - F.col("i"), F.lit(1))
+    lists = lists.withColumn("as_smaller", F.col("own") - smaller + 1 - alone).withColumn("as_larger", F.col("own") - larger + 1 - alone)
+    prefixes = written(lists.where("as_larger > 0").select("pv", "v", "c", "n", "as_smaller", F.posexplode(F.slice("hs", F.lit(1), F.greatest(F.col("as_larger"), F.lit(0)).cast("int"))).alias("at", "e")).select("pv", "v", "c", "n", F.col("e.h").alias("h"), (F.col("at") < F.col("as_smaller")).alias("small")), "prefixes")
+    small = prefixes.where("small").select("pv", "h", F.col("v").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
+    large = prefixes.select("pv", "h", F.col("v").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
+    fit = (F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny")) & (100 * F.col("nx") >= percent * F.col("ny"))
+    return bounded.union(small.join(large, ["pv", "h"]).where(fit).select("x", "y"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept, class_id.
 
@@ -229,7 +280,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     reps = written(linked.withColumnRenamed("doc_id", "v").join(classes, ["v", "n", "s1", "s2"], "left_semi").select("v", "n", "regs"), "classes")
 
     bands = reps.select("v", "regs").mapInArrow(tk.tidy(_bands), "band long, v long")
+    # small tables by band are written before they are joined, so that adaptive execution can split a large bucket
     pivots = bands.groupBy("band").agg(F.min_by("v", F.xxhash64("v", F.pmod("band", F.lit(4)))).alias("p"), F.count("*").alias("size")).where("size > 1").select("band", "p")
+    pivots = written(pivots, "pivots")
     shared = written(bands.join(pivots, "band"), "buckets")
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -258,45 +311,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     # first each document's likeliest pair, then what is still apart
     best = candidates.groupBy("b").agg(F.max_by("a", F.struct("j", -F.col("a"))).alias("a"))
-    links = written(verified(best.select("a", "b")), "links")
-    labels = components(links)
+    labels = components(verified(best.select("a", "b")))
     rest = apart(candidates.join(best, ["a", "b"], "left_anti"), labels)
-    more = written(verified(rest), "links")
-    links = links.union(more)
-    labels = components(links)
+    labels = merged(labels, written(verified(rest), "links"))
 
-    # Buckets that still hold several components are measured against a central member, the one that shares most
-    # buckets.  Two sets meet in at most min(|x & p|, |y & p|) shingles of the centre p, and beyond these only in
-    # shingles that p lacks: a pair can be a link only if that bound allows it or if both have such a shingle.
+    # Buckets that still hold several components are measured against a centre.  The hub of a component is its member
+    # that meets most others in such buckets, and a bucket's centre is the strongest hub of the components in it.  Two
+    # sets meet in at most min(|x & p|, |y & p|) shingles of the centre p, and beyond these only in shingles that p
+    # lacks: a pair can be a link only if that bound allows it or if the two have enough of such shingles in common.
     tagged = shared.select("band", "v").join(labels, "v", "left").withColumn("c", F.coalesce("component", "v"))
-    several = tagged.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    mixed = written(tagged.select("band", "v").join(several, "band"), "mixed")
-    degree = mixed.groupBy("v").agg(F.count("*").alias("deg"))
-    central = mixed.join(degree, "v").groupBy("band").agg(F.max_by("v", F.struct("deg", F.xxhash64("v"))).alias("pv"))
-    spokes = mixed.join(central, "band").select("v", "pv").distinct()
+    several = tagged.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "size")
+    mixed = written(tagged.select("band", "v", "c").join(written(several, "several"), "band"), "mixed")
+    met = mixed.groupBy("v", "c").agg(F.sum("size").alias("met"))
+    hubs = met.groupBy("c").agg(F.max_by("v", F.struct("met", F.xxhash64("v"))).alias("pv"), F.max("met").alias("met"))
+    central = mixed.select("band", "c").distinct().join(hubs, "c").groupBy("band").agg(F.max_by("pv", F.struct("met", F.xxhash64("pv"))).alias("pv"))
+    spokes = mixed.join(written(central, "central"), "band").select("v", "pv").distinct()
     of_v, of_p = sets.select("v", F.col("shingles").alias("sv")), sets.select(F.col("v").alias("pv"), F.col("shingles").alias("sp"))
     measured = written(spokes.join(of_v, "v").join(of_p, "pv").select("v", "pv", "sv", "sp").mapInArrow(tk.tidy(_against), "v long, pv long, n long, np long, i long, rest array<long>"), "spokes")
     star = measured.where((F.col("v") != F.col("pv")) & (100 * F.col("i") >= percent * (F.col("n") + F.col("np") - F.col("i"))))
-    links = links.union(star.select(F.least("v", "pv").alias("a"), F.greatest("v", "pv").alias("b")))
-    labels = components(links)
-
-    around = written(measured.join(labels, "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component"), "around")
-    sizes = around.groupBy("pv", "c").agg(F.count("*").alias("m")).groupBy("pv").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1").select("pv", "top")
-    around = around.join(sizes, "pv")
-    # the bound needs x to come near the centre itself, unless y is smaller than it: checked before the join
-    least_n = around.groupBy("pv").agg(F.min("n").alias("least"))
-    near = around.join(least_n, "pv").where(100 * F.col("i") >= percent * (F.col("n") + F.greatest("least", F.col("i")) - F.col("i")))
-    x = near.where("c <> top").select("pv", F.col("v").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
-    y = near.select(F.col("pv").alias("py"), F.col("v").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"))
-    most = F.least("ix", "iy")
-    bounded = x.join(y, (F.col("pv") == F.col("py")) & (F.col("cx") != F.col("cy")) & (100 * most >= percent * (F.col("nx") + F.col("ny") - most))).select("x", "y")
-    beyond = around.select("pv", "v", "c", F.explode("rest").alias("h"))
-    twice = beyond.groupBy("pv", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("pv", "h")
-    beyond = beyond.join(twice, ["pv", "h"])
-    other = beyond.select("pv", "h", F.col("v").alias("y"), F.col("c").alias("cy"))
-    common = beyond.select("pv", "h", F.col("v").alias("x"), F.col("c").alias("cx")).join(other, ["pv", "h"]).where("cx < cy").select("x", "y")
-    fresh = ordered(bounded.union(common)).join(candidates, ["a", "b"], "left_anti")
-    labels = components(links.union(written(verified(likely(fresh)), "links")))
+    labels = merged(labels, star.select(F.least("v", "pv").alias("a"), F.greatest("v", "pv").alias("b")))
+    labels = merged(labels, written(verified(likely(ordered(_beyond_centres(measured, labels, percent)).join(candidates, ["a", "b"], "left_anti"))), "links"))
 
     nodes = member.join(labels, "v", "left").select("doc_id", F.col("v").alias("class_id"), F.coalesce("component", "v").alias("c"))
     nodes = nodes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("c").alias("c"))
