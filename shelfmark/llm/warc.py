@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import shared_dir, written
@@ -85,9 +85,16 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def train_dictionary(pages: DataFrame, html: str, sample_rows: int, dict_bytes: int) -> bytes:
-    """Dictionary from the ``sample_rows`` rows of smallest hash; empty if there is too little to train on."""
-    rows = pages.select(F.substring(F.col(html), 1, 20_000).alias("h")).where(F.length("h") > 0).orderBy(F.xxhash64("h"), "h").limit(sample_rows).collect()
-    samples = [r["h"].encode("utf-8") for r in rows]
+    """Dictionary from the ``sample_rows`` distinct texts of smallest hash; empty if there is too little to train on.
+
+    A threshold for the hash comes from the number of distinct texts, so that
+    about four times the sample is looked at, however many rows there are.
+    """
+    hashed = pages.select(F.substring(F.col(html), 1, 20_000).alias("h")).where(F.length("h") > 0).withColumn("k", F.xxhash64("h"))
+    distinct = hashed.agg(F.approx_count_distinct("k").alias("n")).first()["n"]
+    share = min(1.0, 4 * sample_rows / max(1, distinct))
+    some = hashed.where(F.col("k") <= int(min(2**63 - 1, -(2**63) + share * 2**64)))
+    samples = [r["h"].encode("utf-8") for r in some.groupBy("k").agg(F.first("h").alias("h")).orderBy("k").limit(sample_rows).collect()]
     if sum(map(len, samples)) < 20 * 1024 or len(samples) < 8:
         return b""
     return zstandard.train_dictionary(min(dict_bytes, sum(map(len, samples)) // 10), samples).as_bytes()
@@ -154,30 +161,40 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", html: s
     return marked.mapInArrow(write, "archive string, records long, bytes long")
 
 
-def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_archives(archives: DataFrame, folder: str, batch_bytes: int = 4 << 20) -> DataFrame:
     """One row per record of the archives; a bad header, length or digest fails the job.
 
-    The list is a manifest of complete archives (one name for each ``roll_bytes``
-    of output): an archive that a lost task left behind is not in it.
+    ``archives`` is the manifest that ``write_archives`` returns, with the names of
+    complete archives below ``folder``: one that a lost task left behind is not in
+    it.  Tasks open their archives themselves; payloads leave in batches of about
+    ``batch_bytes``.
     """
-    if not paths:
-        return spark.createDataFrame([], _READ_DDL)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for content in batch.column(0):
-                out = []
-                for h, body in read_archive(content.as_py()):
+            for name in batch.column(0).to_pylist():
+                with fs.open_input_file(f"{root}/{name}") as f:
+                    data = f.read()
+                out, size = [], 0
+                for h, body in read_archive(data):
                     if h["warc-type"] == "response" and h["warc-payload-digest"] != f"sha1:{_digest(body)}":
                         raise ValueError(f"digest of {h['warc-record-id']} does not match its payload")
                     page, refers = (h[k].removeprefix("<urn:page:").removesuffix(">") if k in h else "" for k in ("warc-record-id", "warc-refers-to"))
                     out.append((int(page) if page else None, h.get("warc-target-uri"), int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], int(refers) if refers else None, body.decode("utf-8") if h["warc-type"] == "response" else None))
-                for a in range(0, len(out), 500):
-                    cols = zip(*out[a : a + 500], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _READ.types, strict=True)], schema=_READ)
+                    size += len(body) + 200
+                    if size >= batch_bytes:
+                        yield _batch(out)
+                        out, size = [], 0
+                if out:
+                    yield _batch(out)
+
+    names = archives.select("archive")
+    return names.repartition(max(1, min(names.count(), 20_000))).mapInArrow(read, _READ_DDL)
+
 
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(paths)
-    return files.select("content").mapInArrow(read, _READ_DDL)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _READ.types, strict=True)], schema=_READ)
 
 
 _READ_DDL = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
@@ -186,7 +203,5 @@ _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_byte
 
 def archive_round_trip(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     """Write all pages to archives in the shared folder, then read the archives back."""
-    spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    manifest = written(write_archives(pages, path, revisit_from=revisit_from), "warc-manifest")
-    return read_archives(spark, [f"{path}/{r['archive']}" for r in manifest.select("archive").orderBy("archive").collect()])
+    path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    return read_archives(written(write_archives(pages, path, revisit_from=revisit_from), "warc-manifest"), path)
