@@ -12,13 +12,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shelfmark.llm import textkit as tk
-from shelfmark.llm.common import text_bytes, with_fields
+from shelfmark.llm.common import text_bytes, with_fields, written
 
 #: words of already lower-cased UTF-8: ASCII letters and digits and all of non-ASCII
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -131,41 +134,101 @@ def _cut(raw: bytes, spans: list[tuple[int, int]], hit: np.ndarray, limit: int)
     return b"".join([*parts, raw[at:]]).decode("utf-8", "replace")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage_percent: int = 5, span_limit: int = 0, max_benchmark_bytes: int = 64 << 20, text: str = "text") -> DataFrame:
+@lru_cache(1)
+def _automaton(items: tuple[tuple[str, str | None], ...], window: int) -> SuffixAutomaton:
+    """The last automaton used stays in the worker, for the tasks that follow."""
+    return SuffixAutomaton(list(items), window)
+
+
+def _runs(hit: np.ndarray) -> list[int]:
+    """Starts and ends of the runs of hit words, in turn."""
+    return np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).tolist()
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage_percent: int = 5, span_limit: int = 0, part_bytes: int = 4 << 20, text: str = "text") -> DataFrame:
     """All columns of ``docs`` plus the columns of ``ADDED`` (which replace clashing names).
 
     ``contaminated`` where at least one word is hit and hits are at least
     ``coverage_percent`` of all words; ``cleaned_text`` lacks every run of more
-    than ``span_limit`` hit words.  The benchmark goes to every task whole, so its
-    size is checked first; a larger one has to be run in parts of at most
-    ``max_benchmark_bytes``, each over the output of the one before.  Null and
-    empty texts have no words; null items are ignored; items of equal ids count
-    once.  One pass over the documents, no shuffle.
+    than ``span_limit`` hit words.  Null and empty texts have no words; null items
+    are ignored; items of equal ids count once.
+
+    An automaton takes about 75 times the bytes of its items, so the items go to
+    the workers in parts of about ``part_bytes`` (checked before anything is sent).
+    With one part, as usual, this is one pass over the documents without a shuffle.
+    Otherwise every part is a pass over the same whole texts, which lists the runs
+    of hit words and the items of the texts that it hits; these are united for
+    each text before anything is judged or cut, so the result is that of one part.
     """
-    size = text_bytes(benchmark)
-    if size > max_benchmark_bytes:
-        raise ValueError(f"the benchmark has {size} bytes, over {max_benchmark_bytes}: run it in parts")
-    items = [(str(r[0]), r[1]) for r in benchmark.selectExpr("cast(item_id as string)", "text").where("item_id is not null and text is not null").collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(items)
     keep = [c for c in docs.columns if c not in ADDED.names]
     docs = docs.select(*keep)
-    at = keep.index(text)
+    items = benchmark.selectExpr("cast(item_id as string) as id", "text").where("id is not null and text is not null")
+    parts = max(1, -(-text_bytes(items) // part_bytes))
+    rule = (coverage_percent, span_limit)
+    if parts == 1:
+        return _with_added(docs, keep, text, rule, _shared(items), window)
+    hits = None
+    for k in range(parts):
+        some = _spotted(docs.select(F.col(text).alias("text")).where("text is not null"), _shared(items.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k)), window)
+        hits = some if hits is None else hits.union(some)
+    hits = hits.groupBy("_sha").agg(F.flatten(F.collect_list("_hits")).alias("_hits"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))
+    joined = docs.withColumn("_sha", F.unhex(F.sha1(F.col(text).cast("binary")))).join(hits, "_sha", "left").select(*keep, "_hits", "_items")
+    return _with_added(joined, keep, text, rule)
+
+
+def _shared(items: DataFrame) -> Broadcast:
+    return items.sparkSession.sparkContext.broadcast(tuple((r[0], r[1]) for r in items.select("id", "text").collect()))
+
+
+def _spotted(texts: DataFrame, items: Broadcast, window: int) -> DataFrame:
+    """Digests of the texts that these items hit, with the runs of hit words and the items found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = SuffixAutomaton(shared.value, window)
+        automaton = _automaton(items.value, window)
         get = automaton.ids.get
         for batch in batches:
             rows = []
-            for t in batch.column(at):
-                raw = (t.as_py() or "").encode("utf-8")
-                low = raw.lower()
-                ids = [get(w, -1) for w in WORD.findall(low)]
-                hit, found = automaton.scan(ids)
+            for t in batch.column(0):
+                raw = t.as_py().encode("utf-8")
+                hit, found = automaton.scan([get(w, -1) for w in WORD.findall(raw.lower())])
+                if found:
+                    rows.append((hashlib.sha1(raw).digest(), _runs(hit), sorted(found)))
+            cols = zip(*rows, strict=True) if rows else [[]] * 3
+            kinds = (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["_sha", "_hits", "_items"])
+
+    return written(texts.mapInArrow(tk.tidy(run), "_sha binary, _hits array<int>, _items array<string>").dropDuplicates(["_sha"]), "hits")
+
+
+def _with_added(docs: DataFrame, keep: list[str], text: str, rule: tuple[int, int], items: Broadcast | None = None, window: int = 0) -> DataFrame:
+    """The columns ``keep`` and those of ``ADDED``: hits are looked for in ``items``, or else are the last two columns."""
+    at, (coverage_percent, span_limit) = keep.index(text), rule
+
+    def spotted(batch: pa.RecordBatch) -> Iterator[tuple[str | None, bytes, int, list[int], list[str]]]:
+        automaton = _automaton(items.value, window) if items else None
+        get = automaton.ids.get if automaton else None
+        given = None if automaton else [batch.column(i).to_pylist() for i in (-2, -1)]
+        for i, t in enumerate(batch.column(at).to_pylist()):
+            raw = (t or "").encode("utf-8")
+            words = WORD.findall(raw.lower())
+            if automaton:
+                hit, found = automaton.scan([get(w, -1) for w in words])
+                yield t, raw, len(words), _runs(hit) if found else [], sorted(found)
+            else:
+                yield t, raw, len(words), given[0][i] or [], sorted(given[1][i] or ())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for t, raw, n, runs, found in spotted(batch):
+                hit = np.zeros(n, bool)
+                for a, z in zip(runs[::2], runs[1::2], strict=True):
+                    hit[a:z] = True
                 n_hit = int(hit.sum())
-                clean = t.as_py() if not n_hit else _cut(raw, [m.span() for m in WORD.finditer(low)], hit, span_limit)
-                rows.append((len(ids), n_hit, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n_hit > 0 and 100 * n_hit >= coverage_percent * len(ids), clean))
+                clean = _cut(raw, [m.span() for m in WORD.finditer(raw.lower())], hit, span_limit) if n_hit else t
+                rows.append((n, n_hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), n_hit > 0 and 100 * n_hit >= coverage_percent * n, clean))
             cols = zip(*rows, strict=True) if rows else [[]] * len(ADDED)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, f.type) for c, f in zip(cols, ADDED, strict=True))], [*keep, *ADDED.names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c, f.type) for c, f in zip(cols, ADDED, strict=True))], [*keep, *ADDED.names])
 
     added = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, cleaned_text string"
-    return docs.mapInArrow(tk.tidy(run), with_fields(docs.schema, added))
+    return docs.mapInArrow(tk.tidy(run), with_fields(docs.select(*keep).schema, added))
