@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from shelfmark.llm.licenses import BASE_PHRASES, STATEMENTS
-from shelfmark.llm.quality import BOILERPLATE
+from shelfmark.llm.quality import BOILERPLATE, BULLET, CLOSING, RULES, SENTENCE
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -36,26 +36,39 @@ t AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) kept FROM (SELECT doc_id, unn
 SELECT doc_id, n n_words, r n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM k LEFT JOIN t USING (doc_id)"""
 
 _TEMPLATES = ", ".join(f"({i}, '{label}', {str(i < len(BASE_PHRASES)).lower()}, '{phrase}')" for i, (phrase, label) in enumerate([*BASE_PHRASES, *STATEMENTS]))
-LICENSES = f"""WITH w AS (SELECT doc_id, {_alnum(_LOWER)} ws FROM documents), tp(template, label, is_base, phrase) AS (VALUES {_TEMPLATES}),
-tg AS (SELECT template, label, is_base, len(string_split(phrase, ' ')) - 2 ng, i - 1 tpos, array_to_string(string_split(phrase, ' ')[i:i + 2], ' ') k FROM (SELECT *, unnest(range(1, len(string_split(phrase, ' ')) - 1)) i FROM tp)),
-dg AS (SELECT doc_id, i - 1 pos, array_to_string(ws[i:i + 2], ' ') k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) i FROM w)),
-v AS (SELECT DISTINCT doc_id, template, label, is_base, ng, tpos, pos, pos - tpos dia FROM dg JOIN tg USING (k)),
-ex AS (SELECT doc_id, label, dia FROM v WHERE is_base GROUP BY doc_id, template, label, dia HAVING count(*) = any_value(ng)),
-bf AS (SELECT doc_id, count(*) n_base, min(dia) f, max(dia) l, list_sort(list(DISTINCT label)) bl FROM ex GROUP BY 1),
-o AS (SELECT *, CASE WHEN lag(dia) OVER q IS NULL OR abs(dia - lag(dia) OVER q) > 2 OR pos - lag(pos) OVER q > ng + 2 THEN 1 ELSE 0 END op FROM v WINDOW q AS (PARTITION BY doc_id, template ORDER BY pos, tpos)),
-sp AS (SELECT *, sum(op) OVER (PARTITION BY doc_id, template ORDER BY pos, tpos ROWS UNBOUNDED PRECEDING) span FROM o),
-cv AS (SELECT doc_id, label, count(DISTINCT tpos) / any_value(ng)::DOUBLE cover FROM sp GROUP BY doc_id, template, label, span HAVING count(DISTINCT tpos) / any_value(ng)::DOUBLE >= 0.8),
-mf AS (SELECT doc_id, list(DISTINCT label) ml, max(cover) cover, count(*) n_spans FROM cv GROUP BY 1)
+_CODED = "array_to_string(list_transform(ts, lambda w: chr(CAST(32 + list_position(ts, w) AS INTEGER))), '')"
+LICENSES = f"""WITH w AS (SELECT doc_id, row_number() OVER () r, {_alnum(_LOWER)} ws FROM documents), tp AS (SELECT *, string_split(phrase, ' ') ts FROM (VALUES {_TEMPLATES}) t(template, label, is_base, phrase)),
+tg AS (SELECT template, label, is_base, len(ts) sz, {_CODED} cd, i - 1 tpos, array_to_string(ts[i:i + 2], ' ') k FROM (SELECT *, unnest(range(1, len(ts) - 1)) i FROM tp)),
+dg AS (SELECT r, i - 1 pos, array_to_string(ws[i:i + 2], ' ') k FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) i FROM w)),
+v AS (SELECT r, template, label, is_base, sz, cd, tpos, pos, pos - tpos dia FROM dg JOIN tg USING (k)),
+dd AS (SELECT r, template, label, is_base, sz, dia, count(*) n FROM v GROUP BY ALL),
+bf AS (SELECT r, count(*) n_base, min(dia) f, max(dia) l, list_sort(list(DISTINCT label)) bl FROM dd WHERE is_base AND n = sz - 2 GROUP BY 1),
+o AS (SELECT *, CASE WHEN dia - lag(dia) OVER q <= 2 THEN 0 ELSE 1 END op FROM dd WINDOW q AS (PARTITION BY r, template ORDER BY dia)),
+sp AS (SELECT r, template, dia, sum(op) OVER (PARTITION BY r, template ORDER BY dia ROWS UNBOUNDED PRECEDING) span FROM o),
+sv AS (SELECT v.*, span FROM v JOIN sp USING (r, template, dia)),
+cd AS (SELECT r, template, label, sz, cd, span, min(pos) a, max(pos) + 2 z FROM sv GROUP BY ALL HAVING count(DISTINCT tpos) >= 0.5 * (sz - 2)),
+ch AS (SELECT DISTINCT r, template, span, pos + j p, substr(cd, CAST(tpos + j + 1 AS INTEGER), 1) c FROM sv, (SELECT unnest(range(3)) j)),
+st AS (SELECT r, template, span, any_value(label) label, any_value(sz) sz, any_value(cd) cd, string_agg(coalesce(c, '~'), '' ORDER BY p) x FROM (SELECT *, unnest(range(a, z + 1)) p FROM cd) LEFT JOIN ch USING (r, template, span, p) GROUP BY 1, 2, 3),
+si AS (SELECT r, label, 1.0::DOUBLE - levenshtein(x, cd) / sz::DOUBLE sim FROM st WHERE 1.0::DOUBLE - levenshtein(x, cd) / sz::DOUBLE >= 0.8),
+mf AS (SELECT r, list(DISTINCT label) ml, max(sim) sim, count(*) n_spans FROM si GROUP BY 1)
 SELECT doc_id, len(ws)::BIGINT n_words, coalesce(n_base, 0) n_base, f first_word, l last_word, coalesce(array_to_string(bl, ','), '') base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(bl, []), coalesce(ml, [])))), ','), '') labels,
-  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(cover, 0.0::DOUBLE) END score, coalesce(n_spans, 0) n_spans FROM w LEFT JOIN bf USING (doc_id) LEFT JOIN mf USING (doc_id)"""
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(sim, 0.0::DOUBLE) END score, coalesce(n_spans, 0) n_spans FROM w LEFT JOIN bf USING (r) LEFT JOIN mf USING (r)"""
 
 _FURNITURE = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
-_PASSES = rf"length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) <= 0.1 * length(x) AND length(regexp_replace(x, '[^|»•]', '', 'g')) <= 2 AND NOT (({_FURNITURE}) AND len({_spaced('x')}) < 20)"
-QUALITY = rf"""WITH w AS (SELECT doc_id, coalesce(text, '') t, {_spaced("coalesce(text, '')")} ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls FROM documents),
-g AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) i FROM w)),
-tw AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1), rp AS (SELECT doc_id, count(DISTINCT p) n FROM (SELECT doc_id, unnest(range(i, i + 5)) p FROM tw) GROUP BY 1),
-m AS (SELECT doc_id, len(ws)::BIGINT n_words, length(array_to_string(ws, ''))::BIGINT word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines, coalesce(n, 0)::BIGINT n_repeat_words, len({_spaced("array_to_string(list_distinct(list_filter(ls, lambda x: " + _PASSES + ")), chr(10))")}) kw FROM w LEFT JOIN rp USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND kw >= 0.5 * n_words kept FROM m"""
+_CLOSING = ", ".join("'" + c.replace("'", "''") + "'" for c in CLOSING)
+_RULE = rf"""CASE WHEN length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > 0.1 * length(x) THEN 'symbols' WHEN length(regexp_replace(x, '[^|»•]', '', 'g')) > 2 THEN 'bars' WHEN ({_FURNITURE}) AND n < 20 THEN 'furniture'
+  WHEN n < 5 AND regexp_matches(x, '{BULLET}') THEN 'bullet' WHEN sh AND (lag(sh, 2, false) OVER q AND lag(sh, 1, false) OVER q OR lag(sh, 1, false) OVER q AND lead(sh, 1, false) OVER q OR lead(sh, 1, false) OVER q AND lead(sh, 2, false) OVER q) THEN 'menu'
+  WHEN n >= 20 AND NOT regexp_matches(x, '{SENTENCE}') THEN 'unpunctuated' END"""
+_COUNTS = ", ".join(f"count(*) FILTER (rule = '{r}') n_{r}_lines" for r in RULES)
+QUALITY = rf"""WITH w AS (SELECT doc_id, row_number() OVER () r, coalesce(text, '') t, {_spaced("coalesce(text, '')")} ws FROM documents),
+g AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') k FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) i FROM w)),
+tw AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, k) > 1), rp AS (SELECT r, count(DISTINCT p) n FROM (SELECT r, unnest(range(i, i + 5)) p FROM tw) GROUP BY 1),
+li AS (SELECT r, p, x, {_spaced('x')} xw FROM (SELECT r, unnest(string_split(t, chr(10))) x, generate_subscripts(string_split(t, chr(10)), 1) p FROM w)),
+ln AS (SELECT r, p, x, len(xw) n, len(xw) <= 6 AND right(xw[len(xw)], 1) NOT IN ({_CLOSING}) sh FROM li WHERE len(xw) > 0),
+ju AS (SELECT *, {_RULE} rule FROM ln WINDOW q AS (PARTITION BY r ORDER BY p)),
+ag AS (SELECT r, count(*) - count(DISTINCT x) dups, {_COUNTS} FROM ju GROUP BY 1), lf AS (SELECT r, sum(n) kw FROM (SELECT DISTINCT r, x, n FROM ju WHERE rule IS NULL) GROUP BY 1),
+m AS (SELECT doc_id, len(ws)::BIGINT n_words, length(array_to_string(ws, ''))::BIGINT word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT n_symbols, coalesce(dups, 0) n_dup_lines, coalesce(rp.n, 0)::BIGINT n_repeat_words, coalesce(kw, 0) kw, {", ".join(f"coalesce(n_{r}_lines, 0) n_{r}_lines" for r in RULES)} FROM w LEFT JOIN rp USING (r) LEFT JOIN ag USING (r) LEFT JOIN lf USING (r))
+SELECT * EXCLUDE (kw), n_words < 10 OR 100 * n_repeat_words > 20 * n_words base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND kw >= 0.5 * n_words kept FROM m"""
 
 DECONTAMINATION = f"""WITH w AS (SELECT doc_id, {_alnum(_LOWER)} ws FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) item_id, {_alnum(_LOWER)} ws FROM benchmark),
 k AS (SELECT DISTINCT item_id, least(len(ws), 13) n, array_to_string(ws[i:i + least(len(ws), 13) - 1], ' ') k FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) i FROM b WHERE len(ws) > 0)),
