@@ -5,6 +5,12 @@ probabilities of the categories before it.  While training, these come from
 models that did not see the row (out-of-fold), so later models learn how far
 earlier ones can be trusted.  Features are words and byte prefixes of words,
 hashed; the ones that tell the classes apart are chosen on the sample.
+
+The categories are ``low_quality`` and ``toxic``, both from the label table, and
+between them ``group_1`` and ``group_2``, which are found in the sample: the
+features that lean to toxic rows are split in two by the sign of the first
+principal axis of their occurrence in toxic rows, so features that keep company
+share a group, and a toxic row is in a group if it has one of its features.
 """
 
 from __future__ import annotations
@@ -20,9 +26,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm import textkit as tk
 from shelfmark.llm.common import with_fields
 
-# English words that mark the first two categories among toxic rows.
-INSULT = ["idiot", "moron", "stupid", "loser", "clown", "scum"]
-CONTEMPT = ["pathetic", "worthless", "trash", "disgusting", "garbage"]
+CATEGORIES = ["low_quality", "group_1", "group_2", "toxic"]
 PREFIXES = (4, 5, 6)
 
 
@@ -49,6 +53,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def _fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 120) -> np.ndarray:
     """Logistic regression by accelerated gradient descent on scaled columns; the last weight is the bias."""
     n = len(x)
+    if not n:
+        return np.zeros(x.shape[1] + 1, np.float32)
     x = np.hstack([x, np.ones((n, 1), np.float32)]).astype(np.float32)
     scale = (1 / np.sqrt(np.square(x).mean(0) + 1e-6)).astype(np.float32)
     x *= scale
@@ -66,23 +72,36 @@ def _fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 120) -> np.ndarra
 
 
 def fit_chain(x: np.ndarray, labels: dict[str, np.ndarray], features: np.ndarray, folds: int = 4, l2: float = 3e-4) -> Chain:
-    """Train the chain; rows are dealt to folds by position."""
+    """Train the chain; rows are dealt to folds by position, and a model is fitted on rows whose label is known (not NaN)."""
     names, n = list(labels), len(x)
     fold = np.arange(n) % folds
     earlier, weights = np.zeros((n, 0), np.float32), []
     for k, name in enumerate(names):
         y, inputs = labels[name].astype(float), np.hstack([x, earlier])
+        known = ~np.isnan(y)
         out = np.zeros(n)
         for f in range(folds):
             test = fold == f
-            w = _fit(inputs[~test], y[~test], l2)
+            w = _fit(inputs[known & ~test], y[known & ~test], l2)
             out[test] = _sigmoid(inputs[test] @ w[:-1] + w[-1])
-        w = _fit(inputs, y, l2)
+        w = _fit(inputs[known], y[known], l2)
         weights.append(np.concatenate([w[:-1], np.zeros(len(names) - k), w[-1:]]))
         earlier = np.hstack([earlier, out[:, None].astype(np.float32)])
     return Chain(names, features, np.array(weights))
 
 
+def toxic_groups(x: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """0/1 membership of the rows in the two groups of toxic features."""
+    rows = x[toxic == 1]
+    lean = np.flatnonzero(rows.mean(0) > x[toxic == 0].mean(0))
+    if not len(lean):
+        return np.zeros(len(x)), np.zeros(len(x))
+    held = rows[:, lean] - rows[:, lean].mean(0)
+    axis = np.linalg.eigh(held.T @ held)[1][:, -1]
+    axis *= 1 if axis[np.abs(axis).argmax()] > 0 else -1
+    return tuple((toxic == 1) * (x[:, lean[side]].sum(1) > 0) for side in (axis >= 0, axis < 0))
+
+
 def word_features(s: tk.Slice) -> tuple[np.ndarray, np.ndarray]:
     """(feature hash, document) of every word and every long enough prefix of a word."""
     hashes, docs = [s.word_hashes()], [s.word_docs()]
@@ -113,9 +132,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000
     """Fit the chain on at most ``sample_rows`` labelled rows (half of each class, by smallest hash of the id).
 
     Only the bounded sample is fitted on; None if it lacks one of the classes.
-    Labels or texts that are null are left out.
+    Rows without an id, a text or a toxic label of 0 or 1 are left out; of the
+    labels of one id the largest counts.  A quality that is not 0 or 1 (or no such
+    column) is unknown.  Ids may be of any type.
     """
-    usable = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").dropDuplicates(["_id"])
+    quality = F.col("quality").cast("int") if "quality" in labels.columns else F.lit(None).cast("int")
+    usable = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("_y"), quality.alias("_q")).where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"), F.max("_q").alias("_q"))
     picked = [usable.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows // 2) for y in (0, 1)]
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_t")).where("_t is not null").join(F.broadcast(picked[0].unionByName(picked[1])), "_id")
 
@@ -147,45 +169,40 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000
     if not len(features):
         return None
     filt = _filter(features)
-    seeds = {w: i for i, w in enumerate([*INSULT, *CONTEMPT])}
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = [next(tk.slices(pa.array([w]), tk.ALNUM_WORDS, tk.LOWER)).word_hashes()[0] for w in seeds]
-        first = {m: i < len(INSULT) for i, m in enumerate(marks)}
         for b in batches:
-            ids, y = b.column(0).to_pylist(), b.column(2).to_pylist()
             for s in tk.slices(b.column(1), tk.ALNUM_WORDS, tk.LOWER):
                 d, at = _known(s, features, filt)
-                h, wd = s.word_hashes(), s.word_docs()
-                marked = np.flatnonzero(np.isin(h, marks))
-                kinds: dict[int, set[bool]] = {}
-                for m, doc in zip(h[marked], wd[marked].tolist(), strict=True):
-                    kinds.setdefault(doc, set()).add(first[m])
-                bounds = np.searchsorted(d[np.argsort(d, kind="stable")], np.arange(s.n_docs + 1))
-                at = at[np.argsort(d, kind="stable")]
-                rows = [(ids[s.first + i], y[s.first + i], True in kinds.get(i, ()), False in kinds.get(i, ()), np.unique(at[bounds[i] : bounds[i + 1]]).tolist()) for i in range(s.n_docs)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.int32())), strict=True)], ["id", "y", "insult", "contempt", "at"])
-
-    rows = sample.select(F.col("_id").cast("long"), "_t", "_y").mapInArrow(tk.tidy(encoded), "id long, y int, insult boolean, contempt boolean, at array<int>").collect()
-    rows.sort(key=lambda r: (r["id"] * 0x9E3779B97F4A7C15 % 2**64, r["id"]))
+                order = np.argsort(d, kind="stable")
+                bounds = np.searchsorted(d[order], np.arange(s.n_docs + 1))
+                at = at[order]
+                lists = [np.unique(at[bounds[i] : bounds[i + 1]]).tolist() for i in range(s.n_docs)]
+                rows = b.slice(s.first, s.n_docs)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(lists, pa.list_(pa.int32()))], ["key", "y", "q", "at"])
+
+    rows = sample.select(F.xxhash64("_id"), "_t", "_y", "_q").mapInArrow(tk.tidy(encoded), "key long, y int, q int, at array<int>").collect()
+    rows.sort(key=lambda r: (r["key"], r["at"]))
     x, y = np.zeros((len(rows), len(features)), np.float32), np.array([r["y"] for r in rows])
     for i, r in enumerate(rows):
         x[i, r["at"]] = 1
-    insult, contempt = (y * np.array([r[k] for r in rows]) for k in ("insult", "contempt"))
-    return fit_chain(x, {"insult": insult, "contempt": contempt, "toxic": y}, features)
+    low = np.array([1.0 - r["q"] if r["q"] in (0, 1) else np.nan for r in rows])
+    one, two = toxic_groups(x, y)
+    return fit_chain(x, dict(zip(CATEGORIES, (low, one, two, y), strict=True)), features)
 
 
 def score_toxicity(docs: DataFrame, chain: Chain | None, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """All columns plus p_insult, p_contempt, p_toxic and toxic (these replace clashing names).
+    """All columns plus a probability ``p_<category>`` for each of ``CATEGORIES`` and toxic (these replace clashing names).
 
     One pass, no shuffle; the model (at most a few thousand weights) goes with the
     task.  Null and empty texts get the probabilities of a text without features.
     Without a model (no labels of one class) nothing is toxic.
     """
-    names = ["p_insult", "p_contempt", "p_toxic", "toxic"]
+    probabilities = [f"p_{c}" for c in CATEGORIES]
+    names = [*probabilities, "toxic"]
     docs = docs.select(*[c for c in docs.columns if c not in names])
     if chain is None:
-        return docs.selectExpr("*", "0D as p_insult", "0D as p_contempt", "0D as p_toxic", "false as toxic")
+        return docs.selectExpr("*", *[f"0D as {p}" for p in probabilities], "false as toxic")
     at_text, kept = docs.columns.index(text), docs.columns
     filt = _filter(chain.features)
 
@@ -203,6 +220,6 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, threshold: float = 0.5,
                     p[:, k] = _sigmoid(np.bincount(d, w[at], s.n_docs) + p[:, :k] @ w[f : f + k] + w[-1])
                 out.append(p)
             p = np.concatenate(out) if out else np.zeros((0, len(chain.names)))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] >= threshold)], [*kept, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(len(names) - 1)), pa.array(p[:, -1] >= threshold)], [*kept, *names])
 
-    return docs.mapInArrow(tk.tidy(run), with_fields(docs.schema, "p_insult double, p_contempt double, p_toxic double, toxic boolean"))
+    return docs.mapInArrow(tk.tidy(run), with_fields(docs.schema, ", ".join(f"{p} double" for p in probabilities) + ", toxic boolean"))
