@@ -233,7 +233,7 @@ def b21_audit_summary(spark, d):
     return A.audit_summary(rows, groups, missing(spark, d), A.contradictions(rows, groups, learned))
 
 
-@query(f"{P}, tk AS (SELECT row_ord, emp, {D.tokens('description')} t FROM flags), cand AS (SELECT a.row_ord a, b.row_ord b, list_intersect(a.t, b.t) sh, len(list_distinct(list_concat(a.t, b.t))) un FROM tk a JOIN tk b ON NOT b.emp AND a.row_ord <> b.row_ord WHERE a.row_ord % 40 = 3), post AS (SELECT tok, count(*) df FROM (SELECT unnest(t) tok FROM tk WHERE NOT emp) GROUP BY 1 HAVING count(*) <= 300), h AS (SELECT a, b, len(sh) ov, un, (SELECT count(*) FROM post WHERE list_contains(sh, tok)) hits FROM cand), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY hits DESC, b) k FROM h WHERE hits > 0), q AS (SELECT a, b, round_even((ov / un::DOUBLE)::DECIMAL(18,9), 6)::DOUBLE jaccard FROM r WHERE k <= 400) SELECT * FROM q WHERE jaccard >= 0.5 QUALIFY count(*) OVER (PARTITION BY a) >= 5")
+@query(f"{G}, served AS (SELECT DISTINCT cluster_id FROM assigned JOIN flags USING (row_ord) WHERE cluster_id IS NOT NULL AND NOT emp), wanted AS (SELECT row_ord FROM assigned a WHERE NOT EXISTS (SELECT 1 FROM served s WHERE s.cluster_id = a.cluster_id)), tk AS (SELECT row_ord, emp, {D.tokens('description')} t FROM flags), cand AS (SELECT a.row_ord a, b.row_ord b, list_intersect(a.t, b.t) sh, len(list_distinct(list_concat(a.t, b.t))) un FROM tk a JOIN wanted w ON w.row_ord = a.row_ord JOIN tk b ON NOT b.emp AND a.row_ord <> b.row_ord), post AS (SELECT tok, count(*) df FROM (SELECT unnest(t) tok FROM tk WHERE NOT emp) GROUP BY 1 HAVING count(*) <= 4000), h AS (SELECT a, b, len(sh) ov, un, (SELECT count(*) FROM post WHERE list_contains(sh, tok)) hits FROM cand), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY hits DESC, b) k FROM h WHERE hits > 0), q AS (SELECT a, b, round_even((ov / un::DOUBLE)::DECIMAL(18,9), 6)::DOUBLE jaccard FROM r WHERE k <= 400) SELECT * FROM q WHERE jaccard >= 0.5 QUALIFY count(*) OVER (PARTITION BY a) >= 5")
 def b05_rescue_peers(spark, d):
     rows = catalog(spark, d)
     return A.rescue_peers(rows, A.without_filled_peers(rows, assigned(spark, d)))

@@ -85,7 +85,7 @@ def d05_refine_lookup(spark, d):
     return P.refine_lookup(P.index_lookup(opened, rows, keys), rows, keys)
 
 
-@query("WITH s AS (SELECT DISTINCT lang grp, source k, left(text, 60) v FROM documents WHERE text IS NOT NULL), n AS (SELECT grp, k, count(*) n_values, avg((len(list_filter(regexp_split_to_array(v, '\\s+'), lambda w: w <> '')) >= 4)::INT) a, avg((NOT regexp_matches(v, '[0-9]'))::INT) b FROM s GROUP BY 1, 2) SELECT grp, k, n_values FROM n WHERE n_values >= 5 AND a >= 0.5 AND b >= 0.5")
+@query("WITH s AS (SELECT DISTINCT lang grp, source k, text v FROM documents WHERE text IS NOT NULL), n AS (SELECT grp, k, count(*) n_values, avg((len(list_filter(regexp_split_to_array(v, '\\s+'), lambda w: w <> '')) >= 4)::INT) a, avg((NOT regexp_matches(v, '[0-9]'))::INT) b FROM s GROUP BY 1, 2) SELECT grp, k, n_values FROM n WHERE n_values >= 5 AND a >= 0.5 AND b >= 0.5")
 def d06_note_attributes(spark, d):
     """Remarks: texts of documents by language and source."""
     docs = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
@@ -97,7 +97,7 @@ def d07_labels_from_names(spark, d):
     return P.labels_from_names(names(spark, d).select("grp", "row_ord", "name"), long(spark, d))
 
 
-@query(f"{_LONG}, c AS (SELECT grp, row_ord, k, 'M' || CAST(row_ord % 50 + 1 AS VARCHAR) v FROM lg WHERE k LIKE 'Size%' AND row_ord % 9 = 0), en AS (SELECT l.grp, l.k FROM lg l JOIN nm USING (grp, row_ord) GROUP BY 1, 2 HAVING count(*) >= 10 AND avg(contains(lower(name), lower(v))::INT) >= 0.3) SELECT c.grp, c.row_ord, c.k, c.v, min(o.v) in_name FROM c JOIN en USING (grp, k) JOIN nm ON nm.row_ord = c.row_ord JOIN (SELECT DISTINCT grp, k, v FROM lg) o ON o.grp = c.grp AND o.k = c.k AND o.v <> c.v AND contains(lower(nm.name), lower(o.v)) WHERE NOT contains(lower(nm.name), lower(c.v)) GROUP BY 1, 2, 3, 4")
+@query(f"{_LONG}, c AS (SELECT grp, row_ord, k, 'M' || CAST(row_ord % 50 + 1 AS VARCHAR) v FROM lg WHERE k LIKE 'Size%'), en AS (SELECT l.grp, l.k FROM lg l JOIN nm USING (grp, row_ord) GROUP BY 1, 2 HAVING count(*) >= 10 AND avg(contains(lower(name), lower(v))::INT) >= 0.3) SELECT c.grp, c.row_ord, c.k, c.v, min(o.v) in_name FROM c JOIN en USING (grp, k) JOIN nm ON nm.row_ord = c.row_ord JOIN (SELECT DISTINCT grp, k, v FROM lg) o ON o.grp = c.grp AND o.k = c.k AND o.v <> c.v AND contains(lower(nm.name), lower(o.v)) WHERE NOT contains(lower(nm.name), lower(c.v)) GROUP BY 1, 2, 3, 4")
 def d08_name_guard(spark, d):
     rows = long(spark, d)
     cand = rows.where("k like 'Size%'").select("grp", "row_ord", "k", F.concat(F.lit("M"), (F.col("row_ord") % 50 + 1).cast("string")).alias("v"))
@@ -225,7 +225,7 @@ def e05_axis_choice(spark, d):
     return V.axis_label_choice(long(spark, d), "Key")
 
 
-@query(f"{_PTS}, a AS (SELECT row_ord id, grp, x, CASE WHEN row_ord % 97 = 1 THEN y + 25 ELSE y END y FROM xy WHERE row_ord % 10 < 3), h AS (SELECT a.id i, b.id j, CASE WHEN a.x = b.x AND a.y <> b.y THEN 'SAME_X' WHEN a.x < b.x AND ((c.direction='up' AND a.y > b.y) OR (c.direction='down' AND a.y < b.y)) THEN 'ORDER' END reason FROM a JOIN a b ON a.grp = b.grp AND a.x <= b.x AND a.id <> b.id LEFT JOIN cur c ON c.grp = a.grp) SELECT DISTINCT id, reason FROM (SELECT i id, reason FROM h WHERE reason IS NOT NULL UNION ALL SELECT j, reason FROM h WHERE reason IS NOT NULL)")
+@query(f"{_PTS}, a AS (SELECT row_ord id, grp, x, CASE WHEN row_ord % 97 = 1 THEN y + 25 ELSE y END y FROM xy), h AS (SELECT a.id i, b.id j, CASE WHEN a.x = b.x AND a.y <> b.y THEN 'SAME_X' WHEN a.x < b.x AND ((c.direction='up' AND a.y > b.y) OR (c.direction='down' AND a.y < b.y)) THEN 'ORDER' END reason FROM a JOIN a b ON a.grp = b.grp AND a.x <= b.x LEFT JOIN cur c ON c.grp = a.grp) SELECT DISTINCT id, reason FROM (SELECT i id, reason FROM h WHERE reason IS NOT NULL UNION ALL SELECT j, reason FROM h WHERE reason IS NOT NULL)")
 def e06_cross_check(spark, d):
     base = long(spark, d).withColumn("b", X.base_attr(F.col("k")))
     x = base.where("b = 'Size'").select("grp", "row_ord", X.axis(F.col("v")).alias("x"))
