@@ -224,10 +224,19 @@ def a20_duplicate_sources(spark, d):
     return C.duplicate_sources(v.unionByName(v.where("judge = 'a'").withColumn("judge", F.lit("c"))))
 
 
-@query(f"{_G}, {_APPLIED} SELECT * FROM (VALUES ('row_count',0::BIGINT),('immutable_columns',0),('untouched_rows',0),('missing_rows',0),('unknown_leaf',0),('part_id_twice',0)) t(check_name, failed)")
+_DAMAGED = """dm AS (SELECT c.* REPLACE (CASE WHEN c.part_id % 103 = 1 THEN c.description || ' x' ELSE c.description END AS description, CASE WHEN c.part_id % 107 = 2 THEN 'no such leaf' ELSE a.leaf_name END AS leaf_name, a.leaf_id AS leaf_id), a.changed FROM catalog c JOIN applied a USING (part_id) WHERE c.part_id % 101 <> 5),
+t AS (SELECT * FROM dm UNION ALL SELECT * FROM dm WHERE part_id % 109 = 3),
+fj AS (SELECT s.row_ord sr, t.row_ord tr, (s.row_ord, s.part_number, s.description, s.level1_name, s.filters) IS DISTINCT FROM (t.row_ord, t.part_number, t.description, t.level1_name, t.filters) differs, s.leaf_name IS DISTINCT FROM t.leaf_name OR s.leaf_id IS DISTINCT FROM t.leaf_id moved, coalesce(t.changed, false) changed FROM catalog s FULL JOIN t USING (part_id))"""
+
+
+@query(f"""{_G}, {_APPLIED}, {_DAMAGED} SELECT 'row_count' check_name, abs(count(sr) - count(tr)) failed FROM fj UNION ALL SELECT 'immutable_columns', count(*) FROM fj WHERE differs AND sr IS NOT NULL AND tr IS NOT NULL UNION ALL SELECT 'untouched_rows', count(*) FROM fj WHERE moved AND NOT changed UNION ALL SELECT 'missing_rows', count(*) FROM fj WHERE tr IS NULL
+UNION ALL SELECT 'unknown_leaf', count(*) FROM t WHERE NOT EXISTS (SELECT 1 FROM catalog c WHERE c.level1_name = t.level1_name AND c.leaf_name = t.leaf_name AND c.leaf_id = t.leaf_id) UNION ALL SELECT 'part_id_twice', count(*) FROM (SELECT part_id FROM t GROUP BY 1 HAVING count(*) > 1)""")
 def a21_verification(spark, d):
-    rows = catalog(spark, d)
-    return C.verification(rows, applied(spark, d), C.leaf_catalog(rows))
+    """The applied table with rows lost, repeated, edited and moved, so that every check has something to find."""
+    rows, done = catalog(spark, d), applied(spark, d)
+    m = lambda n: F.col("part_id") % n
+    damaged = done.where(m(101) != 5).withColumn("description", F.when(m(103) == 1, F.concat("description", F.lit(" x"))).otherwise(F.col("description"))).withColumn("leaf_name", F.when(m(107) == 2, "no such leaf").otherwise(F.col("leaf_name")))
+    return C.verification(rows, damaged.unionByName(damaged.where(m(109) == 3)), C.leaf_catalog(rows))
 
 
 @query(f"WITH {CATALOG_CTE} SELECT leaf_id, count(DISTINCT leaf_name) n_names FROM (SELECT CASE WHEN part_id % 500 = 7 THEN substr(md5('nut'),1,6) ELSE leaf_id END leaf_id, leaf_name FROM catalog) GROUP BY 1 HAVING count(DISTINCT leaf_name) > 1")

@@ -276,10 +276,13 @@ def e10_row_confidence(spark, d):
     return V.row_confidence(rows, gaps.where("action = 'FILLED'").withColumn("source", F.lit("rule")), bad)
 
 
-@query(f"WITH {QA.CATALOG_CTE}, {QA.PAIRS} SELECT 'row_count' check_name, 0::BIGINT failed UNION ALL SELECT 'original_columns', 0 UNION ALL SELECT 'identical_pairs', (SELECT count(*) FROM (SELECT row_ord, k, v FROM long GROUP BY 1, 2, 3 HAVING count(*) > 1))")
+@query(f"""WITH {QA.CATALOG_CTE}, {QA.PAIRS}, o AS (SELECT * REPLACE (CASE WHEN row_ord % 223 = 9 THEN description || '!' ELSE description END AS description) FROM catalog WHERE row_ord % 211 <> 7), b AS (SELECT c.row_ord a, o.row_ord b, c.description IS DISTINCT FROM o.description df FROM catalog c FULL JOIN o USING (row_ord))
+SELECT 'row_count' check_name, count(*) failed FROM b WHERE a IS NULL OR b IS NULL UNION ALL SELECT 'original_columns', count(*) FROM b WHERE a IS NOT NULL AND b IS NOT NULL AND df UNION ALL SELECT 'identical_pairs', (SELECT count(*) FROM (SELECT row_ord, k, v FROM long GROUP BY 1, 2, 3 HAVING count(*) > 1))""")
 def e11_output_checks(spark, d):
+    """An output that lost some rows and edited others."""
     rows = catalog(spark, d)
-    out = rows.join(A.proposals(rows, QA.missing(spark, d)), "row_ord", "left")
+    out = rows.join(A.proposals(rows, QA.missing(spark, d)), "row_ord", "left").where("row_ord % 211 <> 7")
+    out = out.withColumn("description", F.when(F.col("row_ord") % 223 == 9, F.concat("description", F.lit("!"))).otherwise(F.col("description")))
     return V.output_checks(rows, out, ["part_id", "part_number", "description", "leaf_name", "filters"], A.pairs(rows))
 
 

@@ -222,12 +222,16 @@ def s03_manifest(spark, d):
     return S.manifest(catalog(spark, d))
 
 
-@query(f"{_C} SELECT * FROM (VALUES ('description','filters'),('level1_name','level1_name'),('leaf_name','leaf_name')) t(role, name) WHERE role <> 'description' UNION ALL SELECT 'description', 'description'")
+_PROFILE = ", ".join(f"count(*) - count({c}) AS \"{c}|n_null\", count(DISTINCT CAST({c} AS VARCHAR)) AS \"{c}|n_distinct\", avg(length(CAST({c} AS VARCHAR))) AS \"{c}|mean_length\", avg(regexp_matches(CAST({c} AS VARCHAR), '[0-9]')::INT) AS \"{c}|digit_share\", avg(contains(CAST({c} AS VARCHAR), ':')::INT) AS \"{c}|colon_share\"" for c in ("description", "leaf_name", "level1_name", "filters", "part_id"))
+_PROFILES = " UNION ALL ".join(f"SELECT '{c}' name, " + ", ".join(f'"{c}|{x}" AS {x}' for x in ("n_null", "n_distinct", "mean_length", "digit_share", "colon_share")) + " FROM wd" for c in ("description", "leaf_name", "level1_name", "filters", "part_id"))
+
+
+@query(f"{_C}, wd AS (SELECT {_PROFILE} FROM catalog), pf AS ({_PROFILES}), de AS (SELECT name FROM pf WHERE mean_length > 0 AND colon_share < 0.5 AND n_distinct > 50 ORDER BY mean_length DESC, n_null, name LIMIT 1), l1 AS (SELECT name FROM pf WHERE mean_length > 0 AND digit_share < 0.2 AND n_distinct > 1 AND n_distinct <= 50 ORDER BY n_distinct, n_null, name LIMIT 1), lf AS (SELECT name FROM pf WHERE mean_length > 0 AND digit_share < 0.2 AND n_distinct > 1 AND name NOT IN (SELECT name FROM l1) ORDER BY n_distinct DESC, n_null, name LIMIT 1) SELECT 'description' AS role, name FROM de UNION ALL SELECT 'level1_name', name FROM l1 UNION ALL SELECT 'leaf_name', name FROM lf")
 def s04_role_suggestion(spark, d):
     return S.suggest_roles(S.profile(catalog(spark, d).select("description", "leaf_name", "level1_name", "filters", "part_id")))
 
 
-@query(f"{_C} SELECT 200::BIGINT n_values, true passed")
+@query(f"{_C} SELECT count(*) n_values, coalesce(avg(contains(filters, ':')::INT), 0) >= 0.5 passed FROM (SELECT filters FROM catalog WHERE trim(coalesce(filters, '')) <> '' ORDER BY row_ord LIMIT 200)")
 def s07_content_assertion(spark, d):
     return S.assert_content(catalog(spark, d), "filters", "row_ord")
 

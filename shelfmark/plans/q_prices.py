@@ -122,11 +122,19 @@ def h11_split_column(spark, d):
     return H.split_column(items(spark, d), "name").select("row_ord", "part_key", "sub")
 
 
-@query(f"{_I} SELECT sheet, rank, pattern, label FROM (SELECT DISTINCT sheet FROM items) CROSS JOIN (VALUES (1, '^d_', 'd_mm'), (2, 'dd_mm', 'dd_mm'), (3, '(?i)chieu dai', 'Chiều Dài')) t(rank, pattern, label)")
+_FOLDP = lambda x: f"trim(regexp_replace(lower(strip_accents(replace(replace({x}, 'đ', 'd'), 'Đ', 'D'))), '\\s+', ' ', 'g'))"
+_HEADS = "hl AS (SELECT DISTINCT sheet, CASE row_ord % 4 WHEN 0 THEN 'Chiều Dài' WHEN 1 THEN 'd_mm' WHEN 2 THEN 'dd_mm' ELSE split_part(name, ' ', 2) || ' dài' END AS label, row_ord % 4 pos FROM items WHERE d_mm % 3 = 0)"
+
+
+@query(f"""{_I}, {_HEADS}, hp(rank, pattern) AS (VALUES (1, '^d_'), (2, 'dd_mm'), (3, '(?i)chieu dai'), (4, 'ring'), (5, 'nothing')), hb AS (SELECT sheet, rank, pattern, label, row_number() OVER (PARTITION BY sheet, rank ORDER BY label = pattern DESC, pos, label) r FROM hl JOIN hp ON regexp_matches(label, pattern) OR regexp_matches({_FOLDP('label')}, pattern) OR label = pattern)
+SELECT sheet, rank, pattern, label FROM hb WHERE r = 1 QUALIFY row_number() OVER (PARTITION BY sheet, label ORDER BY rank) = 1""")
 def h12_sort_columns(spark, d):
-    labels = items(spark, d).select("sheet").distinct().withColumn("x", F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(x).alias("label")) for i, x in enumerate(["Chiều Dài", "d_mm", "dd_mm"])])))
-    patterns = spark.createDataFrame([(1, "^d_"), (2, "dd_mm"), (3, "(?i)chieu dai"), (4, "nothing")], "rank int, pattern string")
-    return H.sort_columns(labels.select("sheet", "x.pos", "x.label"), patterns)
+    """Column labels of a sheet come from its rows, so sheets differ in what they have."""
+    m = F.col("row_ord") % 4
+    label = F.when(m == 0, "Chiều Dài").when(m == 1, "d_mm").when(m == 2, "dd_mm").otherwise(F.concat(F.split("name", " ")[1], F.lit(" dài")))
+    labels = items(spark, d).where("d_mm % 3 = 0").select("sheet", label.alias("label"), m.alias("pos")).distinct()
+    patterns = spark.createDataFrame([(1, "^d_"), (2, "dd_mm"), (3, "(?i)chieu dai"), (4, "ring"), (5, "nothing")], "rank int, pattern string")
+    return H.sort_columns(labels, patterns)
 
 
 @query(f"{_I} SELECT row_ord, CAST(row_number() OVER (PARTITION BY sheet ORDER BY d_mm, dd_mm, CAST(regexp_extract(code, '^([0-9]+)', 1) AS BIGINT), length(code), row_ord) AS INT) AS position FROM items")
@@ -161,21 +169,35 @@ def h18_price_table(spark, d):
     return H.price_table(priced(spark, d))
 
 
-@query(f"{_I}, g AS (SELECT sheet, count(*) n FROM items GROUP BY 1) SELECT sheet, 'Material' AS label, 'Material: Steel' AS line FROM g WHERE n >= 3")
+_SPECS = """sc AS (SELECT sheet, row_ord, 'Maker' AS label, 0 pos, sheet AS value FROM items UNION ALL SELECT sheet, row_ord, 'Noun', 1, split_part(name, ' ', 2) FROM items WHERE d_mm % 7 = 1 UNION ALL SELECT sheet, row_ord, 'd', 2, sheet FROM items UNION ALL SELECT sheet, row_ord, 'Size', 3, CAST(d_mm AS VARCHAR) FROM items WHERE d_mm <= 9 UNION ALL SELECT sheet, row_ord, 'Series' || chr(10) || '(x)', 4, CASE WHEN row_ord % 50 <> 3 OR sheet NOT LIKE '%2' THEN substr(code, 1, 1) END FROM items UNION ALL SELECT sheet, row_ord, 'Long label', 5, sheet || ' and more of the same' FROM items)"""
+
+
+@query(f"""{_I}, {_SPECS}, cg AS (SELECT sheet, label, pos, split_part(label, chr(10), 1) || ': ' || min(value) AS line FROM sc GROUP BY sheet, label, pos HAVING count(*) >= 3 AND count(DISTINCT value) = 1 AND count(value) = count(*) AND length(split_part(label, chr(10), 1)) > 2)
+SELECT sheet, label, line FROM (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY pos) r FROM cg WHERE length(line) <= {H.LINE_MAX}) WHERE r < {H.LINES_MAX}""")
 def h19_constant_lines(spark, d):
+    """Columns of each sheet that are constant, varied, partly empty, too long or too short a label."""
     i = items(spark, d)
-    specs = i.select("sheet", "row_ord", F.lit("Material").alias("label"), F.lit(0).alias("pos"), F.lit("Steel").alias("value"))
-    for k, (label, value) in enumerate([("d", F.lit("5")), ("Size", F.col("d_mm").cast("string")), ("Long label", F.lit("a value that is far too long"))]):
-        specs = specs.unionByName(i.select("sheet", "row_ord", F.lit(label).alias("label"), F.lit(k + 1).alias("pos"), value.alias("value")))
-    return H.constant_lines(specs).where("label <> 'Size'")
+    parts = [
+        (i, "Maker", F.col("sheet")), (i.where("d_mm % 7 = 1"), "Noun", F.split("name", " ")[1]), (i, "d", F.col("sheet")), (i.where("d_mm <= 9"), "Size", F.col("d_mm").cast("string")),
+        (i, "Series\n(x)", F.when((F.col("row_ord") % 50 != 3) | ~F.col("sheet").endswith("2"), F.substring("code", 1, 1))), (i, "Long label", F.concat("sheet", F.lit(" and more of the same"))),
+    ]
+    frames = [df.select("sheet", "row_ord", F.lit(label).alias("label"), F.lit(pos).alias("pos"), value.alias("value")) for pos, (df, label, value) in enumerate(parts)]
+    specs = frames[0]
+    for more in frames[1:]:
+        specs = specs.unionByName(more)
+    return H.constant_lines(specs)
 
 
-@query(f"{_I}, s AS (SELECT DISTINCT sheet FROM items) SELECT sheet, 'd' AS label, 1 pos, CASE WHEN sheet LIKE '%1' THEN 'd: Own' ELSE 'd: Inner' END AS line FROM s UNION ALL SELECT sheet, 'D', 2, 'D: Outer' FROM s")
+_COLS = "lc AS (SELECT DISTINCT sheet, CASE WHEN sheet LIKE '%3' THEN 'seal' ELSE 'bearing' END family, CASE row_ord % 3 WHEN 0 THEN 'd' WHEN 1 THEN 'D' ELSE split_part(name, ' ', 2) END AS label, row_ord % 3 pos FROM items)"
+
+
+@query(f"{_I}, {_COLS}, lg(family, label, line) AS (VALUES ('bearing', 'd', 'd: Inner'), ('bearing', 'D', 'D: Outer'), ('seal', 'ring', 'ring: Lip')), ow AS (SELECT sheet, name AS label, min(code) AS own FROM (SELECT sheet, split_part(name, ' ', 2) AS name, code FROM items WHERE d_mm = 11) GROUP BY 1, 2) SELECT sheet, label, pos, coalesce(own, line) AS line FROM lc LEFT JOIN lg USING (family, label) LEFT JOIN ow USING (sheet, label) WHERE coalesce(own, line) IS NOT NULL")
 def h20_default_legend(spark, d):
-    s = items(spark, d).select("sheet").distinct()
-    columns = s.withColumn("x", F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(x).alias("label")) for i, x in ((1, "d"), (2, "D"), (3, "Z"))]))).select("sheet", F.lit("bearing").alias("family"), "x.label", "x.pos")
-    legends = spark.createDataFrame([("bearing", "d", "d: Inner"), ("bearing", "D", "D: Outer")], "family string, label string, line string")
-    return H.default_legend(columns, legends, s.where("sheet like '%1'").select("sheet", F.lit("d").alias("label"), F.lit("d: Own").alias("line")))
+    """Columns and some own legends come from the rows of a sheet."""
+    i, m, noun = items(spark, d), F.col("row_ord") % 3, F.split("name", " ")[1]
+    columns = i.select("sheet", F.when(F.col("sheet").endswith("3"), "seal").otherwise("bearing").alias("family"), F.when(m == 0, "d").when(m == 1, "D").otherwise(noun).alias("label"), m.alias("pos")).distinct()
+    legends = spark.createDataFrame([("bearing", "d", "d: Inner"), ("bearing", "D", "D: Outer"), ("seal", "ring", "ring: Lip")], "family string, label string, line string")
+    return H.default_legend(columns, legends, i.where("d_mm = 11").groupBy("sheet", noun.alias("label")).agg(F.min("code").alias("line")))
 
 
 @query(f"{_CARD} SELECT row_ord, chunk, card_id FROM cd")
@@ -284,11 +306,20 @@ def h27_lint_rows(spark, d):
     return H.lint_rows(carded(spark, d))
 
 
-@query(f"{_I}, s AS (SELECT DISTINCT sheet FROM items) SELECT sheet, label, fixed FROM s CROSS JOIN (VALUES ('Chiều Dài mm', 'Chiều Dài' || chr(10) || '(mm)'), ('Length (Inch)', 'Length' || chr(10) || '(inch)'), ('d mm', 'd' || chr(10) || 'mm')) t(label, fixed)")
+_LABELS = "lb AS (SELECT DISTINCT sheet, CASE row_ord % 6 WHEN 0 THEN name || ' mm' WHEN 1 THEN split_part(name, ' ', 2) || ' (Inch)' WHEN 2 THEN substr(name, 1, 1) || ' mm' WHEN 3 THEN name WHEN 4 THEN split_part(name, ' ', 1) || chr(10) || '(mm)' ELSE upper(substr(name, 1, 2)) || ' mm2' END AS label FROM items)"
+_UNITRX = r"^(.*?)[ ]*\(?\b(Inch|INCH|inch|in|lbs|kg|mm²|mm2|mm|cm|N\.m|g|V|W)\)?$"
+
+
+@query(rf"""{_I}, {_LABELS}, l1 AS (SELECT sheet, label, regexp_replace(trim(label), '[ \t]+', ' ', 'g') s, replace(regexp_replace(trim(label), '[ \t]+', ' ', 'g'), chr(10), ' ') fl FROM lb), l2 AS (SELECT *, trim(regexp_extract(fl, '{_UNITRX}', 1)) nm, regexp_extract(fl, '{_UNITRX}', 2) u0 FROM l1), l3 AS (SELECT *, CASE WHEN u0 IN ('Inch', 'INCH', 'in') THEN 'inch' WHEN u0 = 'mm2' THEN 'mm²' ELSE u0 END u FROM l2),
+l4 AS (SELECT sheet, label, CASE WHEN nm = '' THEN s WHEN regexp_matches(nm, '^[A-Za-zΦφØøΔδ][A-Za-z0-9₀]{{0,2}}$') AND u = 'mm' AND NOT contains(fl, '(') THEN nm || chr(10) || 'mm' ELSE nm || chr(10) || '(' || u || ')' END fixed FROM l3) SELECT sheet, label, fixed FROM l4 WHERE fixed <> label""")
 def h27_lint_labels(spark, d):
-    """X28 over the labels of every sheet."""
-    labels = F.explode(F.array(*map(F.lit, ["Chiều Dài mm", "Length (Inch)", "d mm", "Răng", "Cao\n(mm)"])))
-    return H.lint_labels(items(spark, d).select("sheet").distinct().withColumn("label", labels))
+    """X28 over labels made from the names of every sheet."""
+    m, noun, first = F.col("row_ord") % 6, F.split("name", " ")[1], F.split("name", " ")[0]
+    label = (
+        F.when(m == 0, F.concat("name", F.lit(" mm"))).when(m == 1, F.concat(noun, F.lit(" (Inch)"))).when(m == 2, F.concat(F.substring("name", 1, 1), F.lit(" mm"))).when(m == 3, F.col("name"))
+        .when(m == 4, F.concat(first, F.lit("\n(mm)"))).otherwise(F.concat(F.upper(F.substring("name", 1, 2)), F.lit(" mm2")))
+    )
+    return H.lint_labels(items(spark, d).select("sheet", label.alias("label")).distinct())
 
 
 @query(f"{_CARDS} SELECT card_id, upper(title) title, CASE WHEN len(lines) = 2 THEN 'Good Line;Dotted Line' ELSE array_to_string(lines, ';') END AS lines, trim(coalesce(note, '')) note FROM cards")
