@@ -1,6 +1,7 @@
 """Attribute audit: which ``Key: Value`` pairs are missing, wrong or odd, judged by peers.
 
-Rows of one name skeleton (or, failing that, of one group) are peers.  What
+Rows of one name skeleton (or, failing that, similar rows of one group, the whole
+group, or similar rows anywhere) are peers.  What
 nearly all peers have is the schema of their cluster; an attribute is constant,
 a slot (a template around one number of the name), or neither.  Everything is
 grouped and joined on (cluster, attribute) keys of the exploded pair table.
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from shelfmark.functions import text as X
+from shelfmark.operators.steps import kept
 
 MIN_PEERS = 5
-COVERAGE = {1: 0.90, 3: 0.95}
+#: share of the filled peers that makes an attribute part of the schema; clusters of a whole group need more
+COVERAGE, GROUP_COVERAGE = 0.90, 0.95
 
 
 def pairs(df: DataFrame) -> DataFrame:
@@ -46,63 +49,96 @@ def resolve_groups(df: DataFrame) -> DataFrame:
     return own.join(major, "skeleton", "left").select("row_ord", "skeleton", F.coalesce("own", "major").alias("grp"), F.col("own").isNull().alias("voted"))
 
 
-def assign_clusters(grouped: DataFrame, min_peers: int = MIN_PEERS) -> DataFrame:
-    """Level 1: rows of one skeleton; level 3: rows of one group; null where neither has enough rows."""
-    sized = grouped.withColumns({"_s": F.count("*").over(W.partitionBy("skeleton")), "_g": F.when(F.col("grp").isNotNull(), F.count("*").over(W.partitionBy("grp")))})
-    level = F.when(F.col("_s") >= min_peers, 1).when(F.col("_g") >= min_peers, 3)
-    key = F.when(F.col("_s") >= min_peers, F.concat(F.lit("s:"), F.md5(F.col("skeleton").cast("binary")))).when(F.col("_g") >= min_peers, F.concat(F.lit("g:"), "grp"))
-    return sized.select("row_ord", "grp", key.alias("cluster_id"), level.alias("level"))
+def _sized(grouped: DataFrame) -> DataFrame:
+    """Rows with the number of rows of their skeleton and of their group (rows without a group have no such number)."""
+    by_skeleton = grouped.groupBy("skeleton").agg(F.count("*").alias("n_skeleton"))
+    by_group = grouped.where("grp is not null").groupBy("grp").agg(F.count("*").alias("n_grp"))
+    return grouped.join(by_skeleton, "skeleton").join(by_group, "grp", "left")
+
+
+def clusters(df: DataFrame, grouped: DataFrame, min_peers: int = MIN_PEERS) -> tuple[DataFrame, DataFrame]:
+    """Which cluster judges each row, and the members that a cluster learns from.
+
+    The first that has enough rows: level 1, rows of one skeleton; level 2, a row
+    of a rare skeleton and its similar peers in the group; level 3, the whole
+    group.  A row without a cluster, or in one in which no row has attributes, is
+    judged by filled rows that are like it anywhere (level 4), if there are enough.
+    Returns (row_ord, grp, cluster_id, level), with nulls where a row stands alone,
+    and (cluster_id, level, row_ord).
+    """
+    sized = _sized(grouped)
+    similar = kept(similar_peers(df, grouped, min_peers=min_peers).select("a", "b"))
+    own = similar.groupBy(F.col("a").alias("row_ord")).agg(F.count("*").alias("n_similar")).where(F.col("n_similar") + 1 >= min_peers)
+    level = F.when(F.col("n_skeleton") >= min_peers, 1).when(F.col("n_similar").isNotNull(), 2).when(F.col("n_grp") >= min_peers, 3)
+    placed = sized.join(own, "row_ord", "left").withColumn("level", level)
+    key = F.when(F.col("level") == 1, F.concat(F.lit("s:"), F.md5(F.col("skeleton").cast("binary")))).when(F.col("level") == 2, F.concat(F.lit("p:"), F.col("row_ord").cast("string"))).when(F.col("level") == 3, F.concat(F.lit("g:"), "grp"))
+    first = kept(placed.select("row_ord", "grp", key.alias("cluster_id"), "level"))
+    lone = first.where("level = 2").select("row_ord", "cluster_id", "level")
+    members = first.where("level <= 2").select("cluster_id", "level", "row_ord")
+    members = members.unionByName(lone.withColumnRenamed("row_ord", "a").join(similar, "a").select("cluster_id", "level", F.col("b").alias("row_ord")))
+    whole = first.where("level = 3").select("grp", "cluster_id", "level").distinct()
+    members = kept(members.unionByName(whole.join(grouped.select("grp", "row_ord"), "grp").select("cluster_id", "level", "row_ord")))
+    rescued = kept(rescue_peers(df, without_filled_peers(df, first, members), min_peers=min_peers).select("a", "b"))
+    label = F.concat(F.lit("r:"), F.col("a").cast("string"))
+    saved = rescued.select(F.col("a").alias("row_ord"), label.alias("_r")).distinct()
+    assigned = first.join(saved, "row_ord", "left").select("row_ord", "grp", F.coalesce("_r", "cluster_id").alias("cluster_id"), F.when(F.col("_r").isNotNull(), 4).otherwise(F.col("level")).alias("level"))
+    return kept(assigned), kept(members.unionByName(rescued.select(label.alias("cluster_id"), F.lit(4).alias("level"), F.col("b").alias("row_ord"))))
 
 
 def similar_peers(df: DataFrame, grouped: DataFrame, threshold: float = 0.6, min_peers: int = MIN_PEERS) -> DataFrame:
     """For rows whose skeleton is rare: peers of the same group by token Jaccard similarity.
 
-    An inverted index on (group, token) joins rare rows with all rows of their
-    group; pairs are counted, never listed without a shared token.
+    Prefix filtering: ordered by rarity in the group, rows that share enough tokens
+    share one among the first n - ceil(threshold * n) + 1 of either, so tokens that
+    the whole group has join nothing; pairs that meet are then compared in full.
     """
-    toks = df.select("row_ord", X.tokens(F.col("description")).alias("t")).join(grouped.select("row_ord", "skeleton", "grp"), "row_ord").where("grp is not null")
-    toks = toks.withColumn("_s", F.count("*").over(W.partitionBy("skeleton")))
-    long = toks.select("row_ord", "grp", F.size("t").alias("n"), "_s", F.explode("t").alias("tok"))
-    rare = long.where(F.col("_s") < min_peers).select(F.col("row_ord").alias("a"), "grp", "tok", F.col("n").alias("na"))
-    both = rare.join(long.select(F.col("row_ord").alias("b"), "grp", "tok", F.col("n").alias("nb")), ["grp", "tok"]).where("a <> b")
-    overlap = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("ov"))
-    return overlap.where(F.col("ov") >= threshold * (F.col("na") + F.col("nb") - F.col("ov"))).select("a", "b", F.bround(F.col("ov") / (F.col("na") + F.col("nb") - F.col("ov")), 6).alias("jaccard"))
-
-
-def cluster_coverage(df: DataFrame, assigned: DataFrame) -> DataFrame:
-    """(cluster_id, level, k, cov, n_have): share of rows with any attributes that have the attribute."""
-    members = assigned.where("cluster_id is not null").select("row_ord", "cluster_id", "level")
+    toks = df.select("row_ord", X.tokens(F.col("description")).alias("t")).join(_sized(grouped).select("row_ord", "grp", (F.col("n_skeleton") < min_peers).alias("rare")), "row_ord").where("grp is not null")
+    long = toks.select("row_ord", "grp", F.explode("t").alias("tok"))
+    common = long.groupBy("grp", "tok").agg(F.count("*").alias("df"))
+    ordered = long.join(common, ["grp", "tok"]).groupBy("row_ord").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"))
+    n = F.size("o")
+    lead = toks.join(ordered, "row_ord").select("row_ord", "grp", "rare", "t", F.explode(F.slice("o", F.lit(1), (n - F.ceil(threshold * n - 1e-9) + 1).cast("int"))).alias("e")).select("row_ord", "grp", "rare", "t", F.col("e.tok").alias("tok"))
+    asking = lead.where("rare").select(F.col("row_ord").alias("a"), "grp", "tok", F.col("t").alias("ta"))
+    met = asking.join(lead.select(F.col("row_ord").alias("b"), "grp", "tok", F.col("t").alias("tb")), ["grp", "tok"]).where("a <> b").dropDuplicates(["a", "b"])
+    ov = F.size(F.array_intersect("ta", "tb"))
+    both = met.select("a", "b", ov.alias("ov"), (F.size("ta") + F.size("tb") - ov).alias("un"))
+    return both.where((F.col("ov") > 0) & (F.col("ov") >= threshold * F.col("un"))).select("a", "b", F.bround(F.col("ov") / F.col("un"), 6).alias("jaccard"))
+
+
+def cluster_coverage(df: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster_id, level, k, cov, n_have): share of members with any attributes that have the attribute."""
     long = first_values(pairs(df)).join(members, "row_ord")
     filled = members.join(df.where(~X.is_empty_filter(F.col("filters"))).select("row_ord"), "row_ord", "left_semi").groupBy("cluster_id").agg(F.count("*").alias("n_peers"))
     have = long.groupBy("cluster_id", "level", "k").agg(F.count("*").alias("n_have"))
     return have.join(filled, "cluster_id").withColumn("cov", F.col("n_have") / F.col("n_peers"))
 
 
-def learn_schema(df: DataFrame, assigned: DataFrame, min_const_in_name: float = 0.8, min_slot: float = 0.98, top_slots: int = 12) -> DataFrame:
+def learn_schema(df: DataFrame, members: DataFrame, min_const_in_name: float = 0.8, min_slot: float = 0.98, top_slots: int = 12) -> DataFrame:
     """(cluster_id, level, k, n_have, n_peers, mode, value, slot, template, accuracy, in_name).
 
     mode CONST: one value on all rows that have the attribute; SLOT: a template
     around the number at one position of the name, right on nearly all rows;
     NONE: the most frequent value, as a hint only.
     """
-    covered = cluster_coverage(df, assigned)
-    kept = covered.where(F.col("cov") >= F.when(F.col("level") == 1, COVERAGE[1]).otherwise(COVERAGE[3]))
-    members = assigned.where("cluster_id is not null").select("row_ord", "cluster_id")
+    covered = cluster_coverage(df, members)
+    wide = covered.where(F.col("cov") >= F.when(F.col("level") == 3, GROUP_COVERAGE).otherwise(COVERAGE))
+    members = members.select("row_ord", "cluster_id")
     named = df.select("row_ord", F.col("description").alias("name"), X.numbers(F.col("description")).alias("nums"))
-    long = first_values(pairs(df)).join(members, "row_ord").join(kept.select("cluster_id", "k", "level", "n_have", "n_peers"), ["cluster_id", "k"]).join(named, "row_ord")
+    wide = kept(wide)
+    long = kept(first_values(pairs(df)).join(members, "row_ord").join(wide.select("cluster_id", "k", "level", "n_have", "n_peers"), ["cluster_id", "k"]).join(named, "row_ord"))
     const = long.groupBy("cluster_id", "k").agg(F.count_distinct("v").alias("values"), F.min("v").alias("value"), F.avg(F.lower("name").contains(F.lower("v")).cast("int")).alias("share")).where("values = 1")
     const = const.select("cluster_id", "k", F.lit("CONST").alias("mode"), "value", (F.col("share") >= min_const_in_name).alias("in_name"))
 
     last = last_values(pairs(df)).select("row_ord", "k", F.col("v").alias("last"))
     placed = long.join(last, ["row_ord", "k"]).select("cluster_id", "k", "row_ord", F.col("last").alias("v"), F.posexplode("nums").alias("slot", "num"))
     even = df.select("row_ord", F.size(X.numbers(F.col("description"))).alias("c")).join(members, "row_ord").groupBy("cluster_id").agg((F.min("c") == F.max("c")).alias("even"))
-    placed = placed.join(long.select("cluster_id", "level").distinct(), "cluster_id").join(even, "cluster_id").where("level = 1 or even")
+    placed = kept(placed.join(long.select("cluster_id", "level").distinct(), "cluster_id").join(even, "cluster_id").where("level = 1 or even"))
     cands = placed.withColumn("template", X.sub_first_num(F.col("v"), F.col("num"))).where("template is not null").groupBy("cluster_id", "k", "slot", "template").agg(F.count("*").alias("n"), F.min("row_ord").alias("first"))
     cands = cands.withColumn("_r", F.row_number().over(W.partitionBy("cluster_id", "k").orderBy(F.desc("n"), "first", "slot", "template"))).where(F.col("_r") <= top_slots)
     scored = placed.join(cands.select("cluster_id", "k", "slot", "template", "_r"), ["cluster_id", "k", "slot"]).groupBy("cluster_id", "k", "slot", "template", "_r").agg(F.avg((X.render(F.col("template"), F.col("num")) == F.col("v")).cast("int")).alias("accuracy"))
     best = scored.withColumn("_b", F.row_number().over(W.partitionBy("cluster_id", "k").orderBy(F.desc("accuracy"), "_r"))).where((F.col("_b") == 1) & (F.col("accuracy") >= min_slot)).select("cluster_id", "k", "slot", "template", "accuracy")
     modal = mode_first(long, ["cluster_id", "k"], "v", "row_ord", "modal")
-    out = kept.join(const, ["cluster_id", "k"], "left").join(best, ["cluster_id", "k"], "left").join(modal, ["cluster_id", "k"], "left")
+    out = wide.join(const, ["cluster_id", "k"], "left").join(best, ["cluster_id", "k"], "left").join(modal, ["cluster_id", "k"], "left")
     mode = F.coalesce("mode", F.when(F.col("slot").isNotNull(), "SLOT").otherwise("NONE"))
     slot = F.col("mode") == "SLOT"
     return out.select("cluster_id", "level", "k", "n_have", "n_peers", "value", "slot", "template", "accuracy", "in_name", "modal", "n_modal", mode.alias("mode")).select(
@@ -130,12 +166,12 @@ def contradictions(df: DataFrame, assigned: DataFrame, schema: DataFrame) -> Dat
     return have.select("row_ord", "k", "mode", "v", expected.alias("expected")).where("expected is not null and expected <> v")
 
 
-def odd_attributes(df: DataFrame, assigned: DataFrame, rare: float = 0.05, min_peers: int = MIN_PEERS) -> DataFrame:
+def odd_attributes(df: DataFrame, assigned: DataFrame, members: DataFrame, rare: float = 0.05, min_peers: int = MIN_PEERS) -> DataFrame:
     """N/A keys beside other pairs, and attributes that under ``rare`` of the peers have."""
     filled = df.where(~X.is_empty_filter(F.col("filters"))).select("row_ord")
     long = pairs(df).join(filled, "row_ord", "left_semi")
     na = long.where(F.upper("k") == "N/A").select("row_ord", "k", F.lit("NA_KEY").alias("reason"))
-    few = cluster_coverage(df, assigned).where((F.col("n_peers") >= min_peers) & (F.col("cov") < rare)).select("cluster_id", "k")
+    few = cluster_coverage(df, members).where((F.col("n_peers") >= min_peers) & (F.col("cov") < rare)).select("cluster_id", "k")
     odd = first_values(long).join(assigned.select("row_ord", "cluster_id"), "row_ord").join(few, ["cluster_id", "k"]).select("row_ord", "k", F.lit("RARE").alias("reason"))
     return na.unionByName(odd)
 
@@ -212,11 +248,12 @@ def fix_names(df: DataFrame, assigned: DataFrame, conventions: DataFrame, predic
     spaced = X.norm_space(F.col("description"))
     crossed = F.translate(spaced, "×✕", "xx")
     unit = F.coalesce("unit_space", "predicted")
-    united = F.when(unit, F.regexp_replace(crossed, r"(?<=[0-9])(mm|cm|inch|kg|ml|oz)\b", " $1")).otherwise(crossed)
-    tight = F.when(F.col("dim_tight"), F.regexp_replace(united, r"(?<=[0-9])\s+[xX]\s+(?=[0-9])", "x")).otherwise(united)
+    united = F.when(unit, F.regexp_replace(crossed, r"([0-9])(mm|cm|inch|kg|ml|oz)\b", "$1 $2")).otherwise(crossed)
+    closed = lambda c: F.regexp_replace(c, r"([0-9])\s+[xX]\s+([0-9])", "$1x$2")
+    tight = F.when(F.col("dim_tight"), closed(closed(united))).otherwise(united)  # twice: neighbours share a number
     steps = rows.select("row_ord", "description", spaced.alias("s1"), crossed.alias("s2"), united.alias("s3"), tight.alias("s4"))
     words = steps.select("row_ord", F.posexplode(F.split("s4", " ")).alias("i", "w")).withColumn("core", F.regexp_replace("w", "[^0-9A-Za-zÀ-ỹ]", ""))
-    cased = words.join(F.broadcast(canon.select(F.col("w").alias("core"), "best")), "core", "left").withColumn("w", F.when(F.col("best").isNotNull(), F.replace("w", F.col("core"), F.col("best"))).otherwise(F.col("w")))
+    cased = words.join(canon.select(F.col("w").alias("core"), "best"), "core", "left").withColumn("w", F.when(F.col("best").isNotNull(), F.replace("w", F.col("core"), F.col("best"))).otherwise(F.col("w")))
     whole = cased.groupBy("row_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda s: s["w"]), " ").alias("s5"))
     out = steps.join(whole, "row_ord")
     reason = lambda a, b, text: F.when(F.col(a) != F.col(b), text)
@@ -227,24 +264,24 @@ def fix_names(df: DataFrame, assigned: DataFrame, conventions: DataFrame, predic
 def proposals(df: DataFrame, missing: DataFrame) -> DataFrame:
     """Attribute strings with the filled pairs appended, for rows that lack something."""
     fills = missing.where("fill is not null").groupBy("row_ord").agg(F.array_sort(F.collect_list(F.struct("k", "fill"))).alias("f"))
-    kept = F.transform(F.when(X.is_empty_filter(F.col("filters")), F.array().cast("array<struct<k:string,v:string>>")).otherwise(X.parse_filters(F.col("filters"))), lambda p: F.concat(p["k"], F.lit(": "), p["v"]))
+    given = F.transform(F.when(X.is_empty_filter(F.col("filters")), F.array().cast("array<struct<k:string,v:string>>")).otherwise(X.parse_filters(F.col("filters"))), lambda p: F.concat(p["k"], F.lit(": "), p["v"]))
     added = F.transform("f", lambda s: F.concat(s["k"], F.lit(": "), s["fill"]))
-    return df.join(fills, "row_ord").select("row_ord", F.array_join(F.concat(kept, added), " | ").alias("proposal"))
+    return df.join(fills, "row_ord").select("row_ord", F.array_join(F.concat(given, added), " | ").alias("proposal"))
 
 
 def audit_summary(df: DataFrame, assigned: DataFrame, missing: DataFrame, contradicted: DataFrame) -> DataFrame:
     """Counters of the audit as one row."""
     a = df.agg(F.count("*").alias("n_rows"), F.count_if(X.is_empty_filter(F.col("filters"))).alias("empty_rows"))
-    b = assigned.agg(F.count_if(F.col("level") == 1).alias("level1_rows"), F.count_if(F.col("level") == 3).alias("level3_rows"), F.count_if(F.col("cluster_id").isNull()).alias("alone_rows"), F.count_distinct("cluster_id").alias("clusters"))
+    b = assigned.agg(*[F.count_if(F.col("level") == i).alias(f"level{i}_rows") for i in (1, 2, 3, 4)], F.count_if(F.col("cluster_id").isNull()).alias("alone_rows"), F.count_distinct("cluster_id").alias("clusters"))
     c = missing.agg(F.count_if(F.col("action") == "FILLED").alias("filled"), F.count_if(F.col("action") == "LOOKUP").alias("lookups"), F.count_distinct("row_ord").alias("rows_missing"))
     d = contradicted.agg(F.count("*").alias("contradictions"))
     return a.crossJoin(b).crossJoin(c).crossJoin(d)  # one row each
 
 
-def without_filled_peers(df: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Rows (row_ord) in no cluster, or in one that has no row with any attributes."""
+def without_filled_peers(df: DataFrame, assigned: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows (row_ord) in no cluster, or in one that has no member with any attributes."""
     filled = df.where(~X.is_empty_filter(F.col("filters"))).select("row_ord")
-    served = assigned.where("cluster_id is not null").join(filled, "row_ord", "left_semi").select("cluster_id").distinct()
+    served = members.join(filled, "row_ord", "left_semi").select("cluster_id").distinct()
     return assigned.join(served, "cluster_id", "left_anti").select("row_ord")
 
 
@@ -261,5 +298,5 @@ def rescue_peers(df: DataFrame, wanted: DataFrame, max_postings: int = 4000, top
     sets = toks.select("row_ord", "t")
     full = near.join(sets.select(F.col("row_ord").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("row_ord").alias("b"), F.col("t").alias("tb")), "b")
     j = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
-    kept = full.select("a", "b", F.bround(j, 6).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    return kept.withColumn("_n", F.count("*").over(W.partitionBy("a"))).where(F.col("_n") >= min_peers).drop("_n")
+    near = full.select("a", "b", F.bround(j, 6).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return near.withColumn("_n", F.count("*").over(W.partitionBy("a"))).where(F.col("_n") >= min_peers).drop("_n")

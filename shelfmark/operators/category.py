@@ -170,8 +170,9 @@ def disputes(queue: DataFrame, resolved: DataFrame, n_judges: int = 2) -> DataFr
 
 
 def coverage_curve(disputed: DataFrame, tops=(5, 10, 15, 20, 30)) -> DataFrame:
-    """Rows covered by the largest pairs; ranks are taken over pairs (deduplicated, few), sums by top."""
-    ranked = disputed.withColumn("_r", F.row_number().over(W.orderBy(F.desc("row_count"), "first_ord")))
+    """Rows covered by the largest pairs; only the ``max(tops)`` largest are ranked."""
+    largest = disputed.orderBy(F.desc("row_count"), "first_ord").limit(max(tops))
+    ranked = largest.withColumn("_r", F.row_number().over(W.orderBy(F.desc("row_count"), "first_ord")))
     rows = [ranked.where(F.col("_r") <= t).agg(F.lit(t).alias("top"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("n_rows")) for t in tops]
     out = disputed.agg(F.lit(-1).alias("top"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("n_rows"))
     for r in rows:

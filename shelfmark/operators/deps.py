@@ -123,9 +123,13 @@ def name_guard(names: DataFrame, long: DataFrame, candidates: DataFrame, min_row
     """Candidate values to reject: the attribute is written in names, this value is not in the name, and another one is."""
     inside = lambda name, v: F.lower(name).contains(F.lower(v))
     encoded = long.join(names, ["grp", "row_ord"]).groupBy("grp", "k").agg(F.count("*").alias("n"), F.avg(inside(F.col("name"), F.col("v")).cast("int")).alias("s")).where((F.col("n") >= min_rows) & (F.col("s") >= share)).select("grp", "k")
+    # a value meets only the names that hold its first three characters
+    lead = lambda v: F.substring(F.lower(v), 1, 3)
+    starts = lambda name: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(name) + 1), lambda i: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda n: F.substr(name, i, n)))))
     c = candidates.join(encoded, ["grp", "k"]).join(names, ["grp", "row_ord"]).where(~inside(F.col("name"), F.col("v")))
-    others = long.select("grp", "k", F.col("v").alias("other")).distinct()
-    return c.join(others, ["grp", "k"]).where((F.col("other") != F.col("v")) & inside(F.col("name"), F.col("other"))).groupBy("grp", "row_ord", "k", "v").agg(F.min("other").alias("in_name"))
+    c = c.select("grp", "row_ord", "k", "v", "name", F.explode(starts(F.lower("name"))).alias("lead"))
+    others = long.select("grp", "k", F.col("v").alias("other"), lead(F.col("v")).alias("lead")).distinct()
+    return c.join(others, ["grp", "k", "lead"]).where((F.col("other") != F.col("v")) & inside(F.col("name"), F.col("other"))).groupBy("grp", "row_ord", "k", "v").agg(F.min("other").alias("in_name"))
 
 
 def asks(open_cells: DataFrame, long: DataFrame, relations: DataFrame, names: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def label_segments(pages: DataFrame, labels: list[str]) -> DataFrame:
     """(page_id, label, value): text after each known label up to the next one; longer labels first."""
     rx = "|".join("\\Q" + x + "\\E" for x in sorted(labels, key=lambda x: (-len(x), x)))
     hits = pages.select("page_id", "body", F.regexp_extract_all("body", F.lit(f"({rx})"), 1).alias("ls"), F.split("body", rx, -1).alias("ps"))
-    long = hits.select("page_id", F.posexplode(F.arrays_zip(F.col("ls").alias("l"), F.slice("ps", 2, 1_000_000).alias("v"))).alias("i", "z"))
+    long = hits.select("page_id", F.posexplode(F.arrays_zip(F.col("ls").alias("l"), F.slice("ps", F.lit(2), F.size("ps")).alias("v"))).alias("i", "z"))
     first = W.partitionBy("page_id", "label").orderBy("i")
     return long.select("page_id", "i", F.col("z")["l"].alias("label"), F.trim(F.col("z")["v"]).alias("value")).where("value <> ''").withColumn("_r", F.row_number().over(first)).where("_r = 1").select("page_id", "label", "value")
 

@@ -29,8 +29,8 @@ def runs(df: DataFrame) -> DataFrame:
 def order_codes(df: DataFrame) -> DataFrame:
     """order_code, and for repeats the row of the first one."""
     out = df.withColumn("order_code", X.norm_order_code(F.col("order_raw")))
-    first = F.min("row_ord").over(W.partitionBy("order_code"))
-    return out.withColumn("dup_of", F.when(F.col("order_code").isNotNull() & (first < F.col("row_ord")), first))
+    first = out.where("order_code is not null").groupBy("order_code").agg(F.min("row_ord").alias("_first"))
+    return out.join(first, "order_code", "left").select(*out.columns, F.when(F.col("_first") < F.col("row_ord"), F.col("_first")).alias("dup_of"))
 
 
 def prices(df: DataFrame) -> DataFrame:

@@ -46,11 +46,15 @@ def blank_cells(df: DataFrame, n: int, seed: str, column: str, key: str = "part_
 
 def misassign(df: DataFrame, n: int, seed: str, column: str, key: str = "part_id") -> tuple[DataFrame, DataFrame]:
     """The table with ``n`` values replaced by other values of the column, and the answers."""
-    values = df.agg(F.array_sort(F.collect_set(column)).alias("vs"))
-    picked = sample_rows(df, n, seed, key).select(key, F.col(column).alias("truth")).crossJoin(values)  # one row of distinct values
-    others = F.array_remove("vs", F.col("truth"))
-    number = F.conv(F.substring(draw(seed, F.col(key), F.lit("value")), 1, 8), 16, 10).cast("long")
-    answers = picked.where(F.size("vs") >= 2).select(key, "truth", F.get(others, (number % F.size(others)).cast("int")).alias("wrong"))
+    values = df.select(F.col(column).alias("wrong")).where("wrong is not null").distinct()
+    values = values.withColumn("at", F.row_number().over(W.orderBy("wrong")) - 1)  # distinct values only
+    count = values.agg(F.count("*").alias("m"))
+    picked = sample_rows(df, n, seed, key).select(key, F.col(column).alias("truth")).crossJoin(count).where("m >= 2")  # one row
+    picked = picked.join(values.select(F.col("wrong").alias("truth"), F.col("at").alias("own")), "truth", "left")
+    others = F.col("m") - F.col("own").isNotNull().cast("int")
+    number = F.conv(F.substring(draw(seed, F.col(key), F.lit("value")), 1, 8), 16, 10).cast("long") % others
+    at = number + F.coalesce((number >= F.col("own")).cast("int"), F.lit(0))  # the own value is passed over
+    answers = picked.withColumn("at", at.cast("int")).join(values, "at").select(key, "truth", "wrong")
     out = df.join(answers, key, "left").withColumn(column, F.coalesce("wrong", column)).drop("truth", "wrong")
     return out, answers
 

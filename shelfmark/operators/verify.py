@@ -37,18 +37,30 @@ def curves(ratios: DataFrame, min_points: int = 6, min_pairs: int = 6, monotone:
     return ratios.where((F.col("n_points") >= min_points) & (F.col("n_pairs") >= min_pairs)).select("grp", direction.alias("direction"), "n_points", "ratio").where("direction is not null")
 
 
+def _axis(values: DataFrame, at: DataFrame, stats: list[str]) -> DataFrame:
+    """Rows of ``at`` (grp, x, stats) and the other x of ``values``, where the stats are null."""
+    other = values.where("x is not null").select("grp", "x").distinct().join(at.select("grp", "x"), ["grp", "x"], "left_anti")
+    return at.unionByName(other.select("grp", "x", *[F.lit(None).cast("double").alias(c) for c in stats]))
+
+
 def brackets(values: DataFrame, pts: DataFrame, found: DataFrame) -> DataFrame:
-    """(grp, row_ord, x, y) with the range [lo, hi] that the curve allows at x; null where one side is missing."""
-    c = values.join(found.select("grp", "direction"), "grp").join(pts.select("grp", F.col("x").alias("px"), F.col("y").alias("py")), "grp")
-    at, below, above = F.col("px") == F.col("x"), F.col("px") < F.col("x"), F.col("px") > F.col("x")
-    agg = c.groupBy("grp", "row_ord", "x", "y", "direction").agg(
-        F.min(F.when(at, F.col("py"))).alias("e0"), F.max(F.when(at, F.col("py"))).alias("e1"),
-        F.max(F.when(below, F.col("py"))).alias("bmax"), F.min(F.when(below, F.col("py"))).alias("bmin"), F.max(F.when(above, F.col("py"))).alias("amax"), F.min(F.when(above, F.col("py"))).alias("amin"),
-    )
+    """(grp, row_ord, x, y) with the range [lo, hi] that the curve allows at x; null where one side is missing.
+
+    Points and values are laid on one axis; what comes before and after an x are
+    running extremes, so no value meets all points.
+    """
+    at = pts.join(found.select("grp"), "grp", "left_semi").groupBy("grp", "x").agg(F.min("y").cast("double").alias("e0"), F.max("y").cast("double").alias("e1"))
+    by = W.partitionBy("grp").orderBy("x")
+    before, after = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(1, W.unboundedFollowing)
+    axis = _axis(values.join(found.select("grp"), "grp", "left_semi"), at, ["e0", "e1"]).withColumns({
+        "bmax": F.max("e1").over(before), "bmin": F.min("e0").over(before), "amax": F.max("e1").over(after), "amin": F.min("e0").over(after),
+    })
+    c = values.join(found.select("grp", "direction"), "grp").join(axis, ["grp", "x"], "left")
     up = F.col("direction") == "up"
     l0, h0 = F.when(up, F.col("bmax")).otherwise(F.col("amax")), F.when(up, F.col("amin")).otherwise(F.col("bmin"))
-    lo, hi = F.coalesce("e0", F.when(l0.isNotNull() & h0.isNotNull(), F.least(l0, h0))), F.coalesce("e1", F.when(l0.isNotNull() & h0.isNotNull(), F.greatest(l0, h0)))
-    return agg.select("grp", "row_ord", "x", "y", "direction", lo.alias("lo"), hi.alias("hi"))
+    both = l0.isNotNull() & h0.isNotNull()
+    lo, hi = F.coalesce("e0", F.when(both, F.least(l0, h0))), F.coalesce("e1", F.when(both, F.greatest(l0, h0)))
+    return c.select("grp", "row_ord", "x", "y", "direction", lo.alias("lo"), hi.alias("hi")).distinct()
 
 
 def verify_values(bracketed: DataFrame, pad: float = 0.02, segmented: bool = True) -> DataFrame:
@@ -136,8 +148,22 @@ def output_checks(source: DataFrame, output: DataFrame, columns: list[str], long
 
 
 def neighbours(values: DataFrame, pts: DataFrame, n: int = 3) -> DataFrame:
-    """The ``n`` nearest curve points of each value, by distance on the axis."""
-    near = values.select("grp", "row_ord", F.col("x").alias("x0")).join(pts, "grp").withColumn("dist", F.abs(F.col("x") - F.col("x0")))
+    """The ``n`` nearest curve points of each value, by distance on the axis, then by x and y.
+
+    Points are numbered along the axis both ways; a value takes the next n of
+    either numbering, and the n nearest of these.
+    """
+    up, down = W.partitionBy("grp").orderBy("x", "y"), W.partitionBy("grp").orderBy(F.desc("x"), "y")
+    numbered = pts.withColumns({"up": F.row_number().over(up), "down": F.row_number().over(down)})
+    at = pts.groupBy("grp", "x").agg(F.count("*").cast("double").alias("c"))
+    before = W.partitionBy("grp").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
+    axis = _axis(values, at, ["c"]).withColumn("below", F.coalesce(F.sum("c").over(before), F.lit(0.0)).cast("int"))
+    total = pts.groupBy("grp").agg(F.count("*").cast("int").alias("total"))
+    v = values.where("x is not null").select("grp", "row_ord", "x").join(axis.select("grp", "x", "below"), ["grp", "x"]).join(total, "grp").withColumnRenamed("x", "x0")
+    steps = F.explode(F.sequence(F.lit(1), F.lit(n)))
+    above = v.select("grp", "row_ord", "x0", "below", steps.alias("i")).select("grp", "row_ord", "x0", (F.col("below") + F.col("i")).alias("up")).join(numbered.select("grp", "up", "x", "y"), ["grp", "up"])
+    under = v.select("grp", "row_ord", "x0", (F.col("total") - F.col("below")).alias("rest"), steps.alias("i")).select("grp", "row_ord", "x0", (F.col("rest") + F.col("i")).alias("down")).join(numbered.select("grp", "down", "x", "y"), ["grp", "down"])
+    near = above.drop("up").unionByName(under.drop("down")).withColumn("dist", F.abs(F.col("x") - F.col("x0")))
     w = W.partitionBy("grp", "row_ord").orderBy("dist", "x", "y")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("grp", "row_ord", "rank", "x", "y", "dist")
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
 from shelfmark.operators import attrs as A
+from shelfmark.operators.steps import kept
 from shelfmark.plans import duck as D
 from shelfmark.plans.registry import query
-from shelfmark.plans.views import CATALOG_CTE, catalog
+from shelfmark.plans.views import CATALOG_CTE, catalog, once
 
 _EMPTY = "(len(pl) <= 1 AND len(list_filter(pl, lambda p: upper(p.k) <> 'N/A')) = 0)"
 _PL = """list_transform(list_filter(list_transform(string_split(coalesce(filters,''),'|'), lambda p: trim(p)), lambda p: p <> ''), lambda p: {'k': trim(regexp_extract(p, '^([^:]*)', 1)), 'v': trim(regexp_extract(p, '^[^:]*:(.*)$', 1))})"""
@@ -20,13 +21,22 @@ GROUPS = f"""keyed AS (SELECT row_ord, pos, {_GRP} g FROM long), gc AS (SELECT r
 gv AS (SELECT f.skeleton, o.g, count(*) n, min(row_ord) fo FROM own o JOIN flags f USING (row_ord) GROUP BY 1, 2), maj AS (SELECT skeleton, g FROM gv QUALIFY row_number() OVER (PARTITION BY skeleton ORDER BY n DESC, fo) = 1),
 grouped AS (SELECT f.row_ord, f.skeleton, coalesce(o.g, m.g) grp, o.g IS NULL voted FROM flags f LEFT JOIN own o USING (row_ord) LEFT JOIN maj m ON m.skeleton = f.skeleton),
 sized AS (SELECT *, count(*) OVER (PARTITION BY skeleton) s, CASE WHEN grp IS NOT NULL THEN count(*) OVER (PARTITION BY grp) END g FROM grouped),
-assigned AS (SELECT row_ord, grp, CASE WHEN s >= 5 THEN 's:' || md5(skeleton) WHEN g >= 5 THEN 'g:' || grp END cluster_id, CASE WHEN s >= 5 THEN 1 WHEN g >= 5 THEN 3 END AS level FROM sized)"""
-COVER = """peers AS (SELECT cluster_id, count(*) n_peers FROM assigned JOIN flags USING (row_ord) WHERE cluster_id IS NOT NULL AND NOT emp GROUP BY 1),
-cover AS (SELECT a.cluster_id, a.level, k, count(*) n_have, any_value(n_peers) n_peers, count(*) / any_value(n_peers)::DOUBLE cov FROM fv JOIN assigned a USING (row_ord) JOIN peers p ON p.cluster_id = a.cluster_id GROUP BY 1, 2, 3)"""
-SCHEMA = f"""kept AS (SELECT * FROM cover WHERE cov >= CASE WHEN level = 1 THEN 0.90 ELSE 0.95 END),
-lg AS (SELECT fv.row_ord, fv.k, fv.v, fv.lastv, kept.cluster_id, kept.level, f.description, f.nums FROM fv JOIN assigned a USING (row_ord) JOIN kept ON kept.cluster_id = a.cluster_id AND kept.k = fv.k JOIN flags f USING (row_ord)),
+tks AS (SELECT row_ord, emp, {D.tokens('description')} t FROM flags),
+l2p AS (SELECT a, b, ov / un::DOUBLE jac FROM (SELECT x.row_ord a, y.row_ord b, len(list_intersect(tx.t, ty.t)) ov, len(list_distinct(list_concat(tx.t, ty.t))) un FROM sized x JOIN sized y ON x.grp = y.grp AND x.row_ord <> y.row_ord JOIN tks tx ON tx.row_ord = x.row_ord JOIN tks ty ON ty.row_ord = y.row_ord WHERE x.s < 5) WHERE ov > 0 AND ov >= 0.6 * un),
+l2c AS (SELECT a FROM l2p GROUP BY 1 HAVING count(*) + 1 >= 5),
+asg AS (SELECT row_ord, grp, CASE WHEN s >= 5 THEN 's:' || md5(skeleton) WHEN a IS NOT NULL THEN 'p:' || row_ord WHEN g >= 5 THEN 'g:' || grp END cluster_id, CASE WHEN s >= 5 THEN 1 WHEN a IS NOT NULL THEN 2 WHEN g >= 5 THEN 3 END AS level FROM sized LEFT JOIN l2c ON a = row_ord),
+mem0 AS (SELECT cluster_id, level, row_ord FROM asg WHERE level <= 2 UNION ALL SELECT cluster_id, level, b FROM asg JOIN l2p ON a = row_ord WHERE level = 2 UNION ALL SELECT c.cluster_id, 3, g.row_ord FROM (SELECT DISTINCT cluster_id, grp FROM asg WHERE level = 3) c JOIN grouped g USING (grp)),
+served AS (SELECT DISTINCT cluster_id FROM mem0 JOIN flags USING (row_ord) WHERE NOT emp), wanted AS (SELECT row_ord FROM asg a WHERE NOT EXISTS (SELECT 1 FROM served s WHERE s.cluster_id = a.cluster_id)),
+rc AS (SELECT a.row_ord a, b.row_ord b, list_intersect(a.t, b.t) sh, len(list_distinct(list_concat(a.t, b.t))) un FROM tks a JOIN wanted w ON w.row_ord = a.row_ord JOIN tks b ON NOT b.emp AND a.row_ord <> b.row_ord), post AS (SELECT tok, count(*) df FROM (SELECT unnest(t) tok FROM tks WHERE NOT emp) GROUP BY 1 HAVING count(*) <= 4000),
+rh4 AS (SELECT a, b, len(sh) ov, un, (SELECT count(*) FROM post WHERE list_contains(sh, tok)) hits FROM rc), rk AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY hits DESC, b) k FROM rh4 WHERE hits > 0), rescued AS (SELECT a, b, round_even((ov / un::DOUBLE)::DECIMAL(18,9), 6)::DOUBLE jaccard FROM rk WHERE k <= 400 AND round_even((ov / un::DOUBLE)::DECIMAL(18,9), 6) >= 0.5 QUALIFY count(*) OVER (PARTITION BY a) >= 5),
+assigned AS (SELECT row_ord, grp, CASE WHEN a IS NOT NULL THEN 'r:' || row_ord ELSE cluster_id END cluster_id, CASE WHEN a IS NOT NULL THEN 4 ELSE level END AS level FROM asg LEFT JOIN (SELECT DISTINCT a FROM rescued) ON a = row_ord),
+members AS (SELECT cluster_id, level, row_ord FROM mem0 UNION ALL SELECT 'r:' || a, 4, b FROM rescued)"""
+COVER = """peers AS (SELECT cluster_id, count(*) n_peers FROM members JOIN flags USING (row_ord) WHERE NOT emp GROUP BY 1),
+cover AS (SELECT a.cluster_id, a.level, k, count(*) n_have, any_value(n_peers) n_peers, count(*) / any_value(n_peers)::DOUBLE cov FROM fv JOIN members a USING (row_ord) JOIN peers p ON p.cluster_id = a.cluster_id GROUP BY 1, 2, 3)"""
+SCHEMA = f"""kept AS (SELECT * FROM cover WHERE cov >= CASE WHEN level = 3 THEN 0.95 ELSE 0.90 END),
+lg AS (SELECT fv.row_ord, fv.k, fv.v, fv.lastv, kept.cluster_id, kept.level, f.description, f.nums FROM fv JOIN members a USING (row_ord) JOIN kept ON kept.cluster_id = a.cluster_id AND kept.k = fv.k JOIN flags f USING (row_ord)),
 const AS (SELECT cluster_id, k, min(v) cval, avg(contains(lower(description), lower(v))::INT) >= 0.8 in_name FROM lg GROUP BY 1, 2 HAVING count(DISTINCT v) = 1),
-even AS (SELECT cluster_id, min(len(nums)) = max(len(nums)) ev FROM assigned JOIN flags USING (row_ord) WHERE cluster_id IS NOT NULL GROUP BY 1),
+even AS (SELECT cluster_id, min(len(nums)) = max(len(nums)) ev FROM members JOIN flags USING (row_ord) GROUP BY 1),
 placed AS (SELECT lg.cluster_id, k, row_ord, lastv v, z[2] slot, z[1] num FROM (SELECT *, unnest(list_zip(nums, range(len(nums)))) z FROM lg) lg JOIN even USING (cluster_id) WHERE level = 1 OR ev),
 tp AS (SELECT *, CASE WHEN regexp_extract(v, '{D.NUM}') = num AND num <> '' THEN regexp_replace(v, '{D.NUM}', '{{N}}') END template FROM placed),
 cand AS (SELECT cluster_id, k, slot, template, row_number() OVER (PARTITION BY cluster_id, k ORDER BY count(*) DESC, min(row_ord), slot, template) r FROM tp WHERE template IS NOT NULL GROUP BY 1, 2, 3, 4),
@@ -50,12 +60,20 @@ def grouped(spark: SparkSession, d: str) -> DataFrame:
     return A.resolve_groups(catalog(spark, d))
 
 
+def clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return once(spark, d, "clusters", lambda: A.clusters(catalog(spark, d), grouped(spark, d)))
+
+
 def assigned(spark: SparkSession, d: str) -> DataFrame:
-    return A.assign_clusters(grouped(spark, d))
+    return clustered(spark, d)[0]
+
+
+def members(spark: SparkSession, d: str) -> DataFrame:
+    return clustered(spark, d)[1]
 
 
 def schema(spark: SparkSession, d: str) -> DataFrame:
-    return A.learn_schema(catalog(spark, d), assigned(spark, d))
+    return once(spark, d, "schema", lambda: kept(A.learn_schema(catalog(spark, d), members(spark, d))))
 
 
 def missing(spark: SparkSession, d: str) -> DataFrame:
@@ -116,18 +134,20 @@ def b02_b04_clusters(spark, d):
     return assigned(spark, d)
 
 
-_SIM = f"""tk AS (SELECT f.row_ord, g.grp, {D.tokens('f.description')} t, s.s FROM flags f JOIN grouped g USING (row_ord) JOIN sized s USING (row_ord) WHERE g.grp IS NOT NULL)"""
+@query(f"{G} SELECT a, b, round_even(jac::DECIMAL(18,9), 6)::DOUBLE jaccard FROM l2p")
+def b03_similar_peers(spark, d):
+    return A.similar_peers(catalog(spark, d), grouped(spark, d))
 
 
-@query(f"{G}, {_SIM}, prs AS (SELECT a.row_ord a, b.row_ord b, len(list_intersect(a.t, b.t)) ov, len(a.t) na, len(b.t) nb FROM tk a JOIN tk b ON a.grp = b.grp AND a.row_ord <> b.row_ord WHERE a.s < 40) SELECT a, b, round_even((ov / (na + nb - ov)::DOUBLE)::DECIMAL(18,9), 6)::DOUBLE jaccard FROM prs WHERE ov > 0 AND ov >= 0.6 * (na + nb - ov)")
-def b03_similar_peers(spark, d):
-    """Skeletons of under 40 rows count as rare here, so that the join has work at every size."""
-    return A.similar_peers(catalog(spark, d), grouped(spark, d), min_peers=40)
+@query(f"{G} SELECT cluster_id, level, row_ord FROM members")
+def b02_b05_members(spark, d):
+    """What each cluster learns from."""
+    return members(spark, d)
 
 
 @query(f"{G}, {COVER} SELECT cluster_id, level, k, n_have, n_peers, round_even(cov::DECIMAL(18,9), 6)::DOUBLE cov FROM cover")
 def b06_coverage(spark, d):
-    return A.cluster_coverage(catalog(spark, d), assigned(spark, d)).withColumn("cov", F.bround("cov", 6))
+    return A.cluster_coverage(catalog(spark, d), members(spark, d)).withColumn("cov", F.bround("cov", 6))
 
 
 @query(f"{S} SELECT * FROM schema")
@@ -156,7 +176,7 @@ def _odd(spark, d):
 @query(f"WITH {_ODD_CAT}, {PAIRS}, {GROUPS}, {COVER} SELECT row_ord, k, 'NA_KEY' reason FROM long JOIN flags USING (row_ord) WHERE NOT emp AND upper(k) = 'N/A' UNION ALL SELECT row_ord, fv.k, 'RARE' FROM fv JOIN flags USING (row_ord) JOIN assigned a USING (row_ord) JOIN cover c ON c.cluster_id = a.cluster_id AND c.k = fv.k WHERE NOT emp AND c.n_peers >= 5 AND cov < 0.05")
 def b12_odd_attributes(spark, d):
     rows = _odd(spark, d)
-    return A.odd_attributes(rows, A.assign_clusters(A.resolve_groups(rows)))
+    return A.odd_attributes(rows, *A.clusters(rows, A.resolve_groups(rows)))
 
 
 _DUP_CAT = CATALOG_CTE.replace("catalog AS", "catalog0 AS") + ", catalog AS (SELECT * REPLACE (CASE WHEN part_id % 60 = 1 THEN filters || ' | ' || filters ELSE filters END AS filters) FROM catalog0)"
@@ -214,11 +234,22 @@ def b18_cluster_conventions(spark, d):
     return A.cluster_conventions(catalog(spark, d), assigned(spark, d))
 
 
-@query()
+_CASED_CAT = CATALOG_CTE.replace("catalog AS", "catalog0 AS") + ", catalog AS (SELECT * REPLACE (CASE WHEN row_ord % 50 = 0 THEN upper(description) ELSE description END AS description) FROM catalog0), cc AS (SELECT row_ord, description FROM catalog)"
+_FIX = rf"""cv AS (SELECT cluster_id, count(*) FILTER (regexp_matches(description, '[0-9]\s(?:mm|cm|inch|kg|ml|oz)\b')) us, count(*) FILTER (regexp_matches(description, '[0-9](?:mm|cm|inch|kg|ml|oz)\b')) ut, count(*) FILTER (regexp_matches(description, '[0-9]x[0-9]')) dt, count(*) FILTER (regexp_matches(description, '[0-9]\s[xX]\s[0-9]')) ds FROM assigned JOIN flags USING (row_ord) WHERE cluster_id IS NOT NULL GROUP BY 1),
+cw2 AS (SELECT cluster_id, CASE WHEN us + ut >= 5 AND least(us, ut) <= 0.1 * (us + ut) THEN us > ut END unit_space, CASE WHEN dt + ds >= 5 AND least(dt, ds) <= 0.1 * (dt + ds) THEN dt > ds END dim_tight FROM cv),
+vw AS (SELECT row_ord, unnest(list_distinct(regexp_extract_all(lower(description), '([0-9A-Za-zÀ-ỹ/#]+)', 1))) word FROM catalog), vp AS (SELECT row_ord, sum(p * ln(n + 1.0) * abs(p - 0.5)) / sum(ln(n + 1.0) * abs(p - 0.5)) p FROM vw JOIN mk USING (word) GROUP BY 1),
+s1 AS (SELECT c.row_ord, c.description, {D.norm_space('c.description')} a, coalesce(unit_space, CASE WHEN p >= 0.8 THEN true WHEN p <= 0.2 THEN false END) us, dim_tight FROM catalog c LEFT JOIN assigned g ON g.row_ord = c.row_ord LEFT JOIN cw2 ON cw2.cluster_id = g.cluster_id LEFT JOIN vp ON vp.row_ord = c.row_ord),
+s2 AS (SELECT *, translate(a, '×✕', 'xx') b FROM s1), s3 AS (SELECT *, CASE WHEN us THEN regexp_replace(b, '([0-9])(mm|cm|inch|kg|ml|oz)\b', '\1 \2', 'g') ELSE b END c FROM s2),
+s4 AS (SELECT *, CASE WHEN dim_tight THEN regexp_replace(regexp_replace(c, '([0-9])\s+[xX]\s+([0-9])', '\1x\2', 'g'), '([0-9])\s+[xX]\s+([0-9])', '\1x\2', 'g') ELSE c END d FROM s3),
+canon AS (SELECT w, best FROM cr WHERE total >= 30 AND w <> best AND n / total < 0.2), wz AS (SELECT row_ord, z[2] i, z[1] w FROM (SELECT row_ord, unnest(list_zip(string_split(d, ' '), range(len(string_split(d, ' '))))) z FROM s4)),
+wc AS (SELECT row_ord, i, CASE WHEN best IS NOT NULL THEN replace(wz.w, k.w, best) ELSE wz.w END w FROM wz LEFT JOIN canon k ON k.w = regexp_replace(wz.w, '[^0-9A-Za-zÀ-ỹ]', '', 'g')), s5 AS (SELECT row_ord, string_agg(w, ' ' ORDER BY i) e FROM wc GROUP BY 1)"""
+
+
+@query(f"WITH {_CASED_CAT}, {PAIRS}, {GROUPS}, {_MARK}, {_CANON}, {_FIX} SELECT row_ord, {D.norm_space('e')} proposed, array_to_string(list_filter([CASE WHEN description <> a THEN 'spaces' END, CASE WHEN a <> b THEN 'multiplication sign' END, CASE WHEN b <> c THEN 'space before unit' END, CASE WHEN c <> d THEN 'spaces around x' END, CASE WHEN d <> e THEN 'casing' END], lambda x: x IS NOT NULL), ', ') reasons FROM s4 JOIN s5 USING (row_ord)")
 def b19_fix_names(spark, d):
-    """Names in the learned conventions; tested against a plain implementation (lookbehind is not in the SQL engine)."""
+    """Names in the learned conventions; one row in fifty is written in capitals."""
     rows = _cased(spark, d)
-    groups = A.assign_clusters(A.resolve_groups(rows))
+    groups = A.clusters(rows, A.resolve_groups(rows))[0]
     return A.fix_names(rows, groups, A.cluster_conventions(rows, groups), A.predict_convention(rows, A.markers(rows, A.UNIT_SPACED, A.UNIT_TIGHT)), A.casing_canon(rows))
 
 
@@ -227,13 +258,14 @@ def b20_proposals(spark, d):
     return A.proposals(catalog(spark, d), missing(spark, d))
 
 
-@query(f"{M}, {CONTRA} SELECT (SELECT count(*) FROM flags) n_rows, (SELECT count(*) FROM flags WHERE emp) empty_rows, (SELECT count(*) FROM assigned WHERE level=1) level1_rows, (SELECT count(*) FROM assigned WHERE level=3) level3_rows, (SELECT count(*) FROM assigned WHERE cluster_id IS NULL) alone_rows, (SELECT count(DISTINCT cluster_id) FROM assigned) clusters, (SELECT count(*) FROM missing WHERE action='FILLED') filled, (SELECT count(*) FROM missing WHERE action='LOOKUP') lookups, (SELECT count(DISTINCT row_ord) FROM missing) rows_missing, (SELECT count(*) FROM contra) contradictions")
+@query(f"{M}, {CONTRA} SELECT (SELECT count(*) FROM flags) n_rows, (SELECT count(*) FROM flags WHERE emp) empty_rows, {", ".join(f"(SELECT count(*) FROM assigned WHERE level={i}) level{i}_rows" for i in (1, 2, 3, 4))}, (SELECT count(*) FROM assigned WHERE cluster_id IS NULL) alone_rows, (SELECT count(DISTINCT cluster_id) FROM assigned) clusters, (SELECT count(*) FROM missing WHERE action='FILLED') filled, (SELECT count(*) FROM missing WHERE action='LOOKUP') lookups, (SELECT count(DISTINCT row_ord) FROM missing) rows_missing, (SELECT count(*) FROM contra) contradictions")
 def b21_audit_summary(spark, d):
     rows, groups, learned = catalog(spark, d), assigned(spark, d), schema(spark, d)
     return A.audit_summary(rows, groups, missing(spark, d), A.contradictions(rows, groups, learned))
 
 
-@query(f"{G}, served AS (SELECT DISTINCT cluster_id FROM assigned JOIN flags USING (row_ord) WHERE cluster_id IS NOT NULL AND NOT emp), wanted AS (SELECT row_ord FROM assigned a WHERE NOT EXISTS (SELECT 1 FROM served s WHERE s.cluster_id = a.cluster_id)), tk AS (SELECT row_ord, emp, {D.tokens('description')} t FROM flags), cand AS (SELECT a.row_ord a, b.row_ord b, list_intersect(a.t, b.t) sh, len(list_distinct(list_concat(a.t, b.t))) un FROM tk a JOIN wanted w ON w.row_ord = a.row_ord JOIN tk b ON NOT b.emp AND a.row_ord <> b.row_ord), post AS (SELECT tok, count(*) df FROM (SELECT unnest(t) tok FROM tk WHERE NOT emp) GROUP BY 1 HAVING count(*) <= 4000), h AS (SELECT a, b, len(sh) ov, un, (SELECT count(*) FROM post WHERE list_contains(sh, tok)) hits FROM cand), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY hits DESC, b) k FROM h WHERE hits > 0), q AS (SELECT a, b, round_even((ov / un::DOUBLE)::DECIMAL(18,9), 6)::DOUBLE jaccard FROM r WHERE k <= 400) SELECT * FROM q WHERE jaccard >= 0.5 QUALIFY count(*) OVER (PARTITION BY a) >= 5")
+@query(f"{G} SELECT * FROM rescued")
 def b05_rescue_peers(spark, d):
-    rows = catalog(spark, d)
-    return A.rescue_peers(rows, A.without_filled_peers(rows, assigned(spark, d)))
+    """Asked by the rows that levels 1 to 3 leave without a filled peer."""
+    rows, (groups, teaching) = catalog(spark, d), clustered(spark, d)
+    return A.rescue_peers(rows, groups.where("level = 4").select("row_ord").union(A.without_filled_peers(rows, groups, teaching)))

@@ -9,10 +9,11 @@ from shelfmark.functions import text as X
 from shelfmark.operators import attrs as A
 from shelfmark.operators import deps as P
 from shelfmark.operators import verify as V
+from shelfmark.operators.steps import kept
 from shelfmark.plans import duck as D
 from shelfmark.plans import q_attrs as QA
 from shelfmark.plans.registry import query
-from shelfmark.plans.views import catalog
+from shelfmark.plans.views import catalog, once
 
 _LONG = f"{QA.G}, lg AS (SELECT g.grp, fv.row_ord, fv.k, fv.v FROM fv JOIN grouped g USING (row_ord) WHERE g.grp IS NOT NULL), nm AS (SELECT g.grp, f.row_ord, f.description AS name FROM flags f JOIN grouped g USING (row_ord) WHERE g.grp IS NOT NULL)"
 _POOL = """gs AS (SELECT grp, count(DISTINCT row_ord) gr FROM lg GROUP BY 1), pool AS (SELECT grp, k, count(*) AS rows, count(*) / any_value(gr)::DOUBLE cover FROM lg JOIN gs USING (grp) GROUP BY 1, 2 HAVING count(*) >= 8 AND count(*) / any_value(gr)::DOUBLE >= 0.2 QUALIFY row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, k) <= 14)"""
@@ -35,7 +36,7 @@ _VOC = rf"""dv AS (SELECT DISTINCT grp, k, v FROM lg), voc AS (SELECT grp, k, CA
 
 def long(spark: SparkSession, d: str) -> DataFrame:
     rows = catalog(spark, d)
-    return A.first_values(A.pairs(rows)).join(QA.grouped(spark, d).select("row_ord", "grp"), "row_ord").where("grp is not null").select("grp", "row_ord", "k", "v")
+    return once(spark, d, "long", lambda: kept(A.first_values(A.pairs(rows)).join(QA.grouped(spark, d).select("row_ord", "grp"), "row_ord").where("grp is not null").select("grp", "row_ord", "k", "v")))
 
 
 def names(spark: SparkSession, d: str) -> DataFrame:
@@ -43,10 +44,14 @@ def names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mined(spark: SparkSession, d: str):
+    return once(spark, d, "mined", lambda: _mined(spark, d))
+
+
+def _mined(spark: SparkSession, d: str):
     rows = long(spark, d)
-    pool = P.attribute_pool(rows)
-    keys = P.dependency_keys(rows, pool)
-    relations = P.mine_dependencies(rows, pool, keys)
+    pool = kept(P.attribute_pool(rows))
+    keys = kept(P.dependency_keys(rows, pool))
+    relations = kept(P.mine_dependencies(rows, pool, keys))
     cells = names(spark, d).select("grp", "row_ord").join(pool.select("grp", F.col("k").alias("target")), "grp")
     opened = cells.join(rows.select("row_ord", F.col("k").alias("target")), ["row_ord", "target"], "left_anti")
     return rows, pool, keys, relations, opened

@@ -101,9 +101,34 @@ def h08_stated_but_missing(spark, d):
     return H.stated_but_missing(rows, specs)
 
 
-@query(f"{_I} SELECT sheet, name, d_mm, count(DISTINCT code) n_codes, min(row_ord) first_ord FROM items GROUP BY 1, 2, 3 HAVING count(DISTINCT code) > 1")
+def _described(spark, d):
+    """Items with a description that repeats code, maker and measures around the name."""
+    c = lambda x: F.col(x).cast("string")
+    told = F.concat("code", F.lit(" "), "name", F.lit(" - "), "sheet", F.lit(", dài "), c("d_mm"), F.lit(" MM x "), c("dd_mm"), F.lit("; 55 kg"))
+    specs = F.array(F.struct(c("d_mm").alias("n"), F.lit("mm").alias("unit")), F.struct(c("dd_mm").alias("n"), F.lit("mm").alias("unit")))
+    return items(spark, d).withColumn("description", told).withColumn("clean", X.clean_desc(F.col("description"), F.col("code"), F.col("sheet"), specs))
+
+
+@query(f"{_I} SELECT row_ord, name || ' - , x ' || dd_mm AS clean FROM items")
+def x37_clean_descriptions(spark, d):
+    return _described(spark, d).select("row_ord", "clean")
+
+
+@query(f"{_I} SELECT sheet, name || ' - , x ' || dd_mm AS clean, d_mm, dd_mm, count(DISTINCT code) n_codes, min(row_ord) first_ord FROM items GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT code) > 1")
 def h09_indistinct_rows(spark, d):
-    return H.indistinct_rows(items(spark, d), ["sheet", "name", "d_mm"])
+    return H.indistinct_rows(_described(spark, d), ["sheet", "clean", "d_mm", "dd_mm"])
+
+
+_TAGS = "tg AS (SELECT row_ord, CASE row_ord % 5 WHEN 0 THEN upper(substr(name, 1, 2)) WHEN 1 THEN substr(name, 1, 1) WHEN 2 THEN name || '_Đường-Kính' WHEN 3 THEN 'Ø' || substr(name, 1, 3) ELSE upper(substr(name, 1, 1)) || substr(name, 2, 2) END AS label, name, code FROM items)"
+
+
+@query(rf"""{_I}, {_TAGS}, le AS (SELECT *, regexp_replace(label, '[^\p{{L}}]', '', 'g') l, length(regexp_replace(label, '[^\p{{Lu}}]', '', 'g')) up FROM tg) SELECT row_ord, trim(lower(regexp_replace(strip_accents(replace(replace(label, 'đ', 'd'), 'Đ', 'D')), '[\s_-]+', ' ', 'g'))) header, length(l) <= 1 OR regexp_matches(label, '[ΦφØøΔδ₀0-9]') OR up >= length(l) - 1 AS symbol, substr(sha256(CAST(to_json({{'code': code, 'name': name, 'v': 2}}) AS VARCHAR)), 1, 16) AS key FROM le""".replace("\\\\", "\\"))
+def x25_x34_x39_labels(spark, d):
+    """Header folding, the symbol test and cache keys over labels made from the names."""
+    m, n = F.col("row_ord") % 5, F.col("name")
+    label = F.when(m == 0, F.upper(F.substring(n, 1, 2))).when(m == 1, F.substring(n, 1, 1)).when(m == 2, F.concat(n, F.lit("_Đường-Kính"))).when(m == 3, F.concat(F.lit("Ø"), F.substring(n, 1, 3))).otherwise(F.concat(F.upper(F.substring(n, 1, 1)), F.substring(n, 2, 2)))
+    rows = items(spark, d).withColumn("label", label)
+    return rows.select("row_ord", X.fold_header(F.col("label")).alias("header"), X.is_symbol(F.col("label")).alias("symbol"), X.content_key(2, code=F.col("code"), name=n).alias("key"))
 
 
 @query(f"{_I} SELECT DISTINCT name, CASE WHEN contains(' ' || name || ' ', ' bolt ') THEN 'fastener' WHEN contains(' ' || name || ' ', ' ring ') OR contains(' ' || name || ' ', ' gear ') THEN 'drive' ELSE 'default' END family, contains(' ' || name || ' ', ' bolt ') OR contains(' ' || name || ' ', ' ring ') OR contains(' ' || name || ' ', ' gear ') matched FROM items")

@@ -6,13 +6,17 @@ The SQL runs unchanged in Spark and in DuckDB; queries build the views with
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 _CATALOG = """WITH b AS (SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, split_part(p_name,' ',2) AS noun FROM {part}),
 c AS (SELECT *, CASE WHEN p_partkey % 97 = 0 THEN 'other' WHEN p_partkey % 20 = 0 AND noun <> 'bolt' THEN 'bolt' WHEN p_partkey % 20 = 0 THEN 'ring' WHEN p_partkey % 6 = 1 THEN concat(noun, ' ', split_part(p_name,' ',1)) WHEN p_partkey % 6 = 2 THEN concat('steel ', noun) ELSE noun END AS leaf FROM b)
 SELECT p_partkey AS part_id, p_partkey AS row_ord,
  CASE p_partkey % 4 WHEN 0 THEN concat('SAT-', CAST(10000+p_partkey AS STRING)) WHEN 1 THEN concat('BSI-BS', CAST(p_partkey AS STRING)) WHEN 2 THEN concat('ANE-No.', CAST(p_partkey AS STRING)) ELSE concat('PM-', CAST(p_partkey AS STRING), 'BLA') END AS part_number,
- concat(p_name, ' M', CAST(p_size AS STRING), 'x', CAST(p_size*3 AS STRING), CASE WHEN p_partkey % 7 = 0 THEN ' 55 mm' ELSE ' 55mm' END) AS description,
+ concat(p_name, CASE WHEN p_partkey % 23 = 4 THEN ' - M' ELSE ' M' END, CAST(p_size AS STRING), 'x', CAST(p_size*3 AS STRING), CASE WHEN p_partkey % 7 = 0 THEN ' 55 mm' ELSE ' 55mm' END) AS description,
  leaf AS leaf_name, concat(substr(md5(leaf),1,6), CASE WHEN leaf='bolt' AND p_partkey % 4 = 0 AND p_type='PROMO' THEN 'b' ELSE '' END) AS leaf_id,
  3 AS leaf_depth, p_type AS level1_name,
  CASE WHEN p_partkey % 10 = 3 THEN NULL ELSE concat('Size Of ', noun, ': M', CAST(p_size AS STRING),
@@ -46,3 +50,19 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def web_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_WEB, pages=table(spark, sf_dir, "pages"))
+
+
+#: steps of the query that is being built, by session, folder and name
+_steps: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], T]) -> T:
+    """The step ``name`` over ``sf_dir``, built once for each query (``start_query`` forgets them)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _steps:
+        _steps[key] = build()
+    return _steps[key]
+
+
+def start_query() -> None:
+    _steps.clear()

@@ -36,14 +36,31 @@ def test_schema_constant_slot_and_contradiction(spark):
     rows.append((30, 30, "p", "bolt M30x9", "l", "i", 3, "g", None))
     rows.append((31, 31, "p", "bolt M31x9", "l", "i", 3, "g", "Size Of bolt: M31 | Head Of bolt: hex"))
     df = catalog(spark, rows)
-    groups = attrs.assign_clusters(attrs.resolve_groups(df))
-    schema = {r.k: r for r in attrs.learn_schema(df, groups).collect()}
+    groups, members = attrs.clusters(df, attrs.resolve_groups(df))
+    schema = {r.k: r for r in attrs.learn_schema(df, members).collect()}
     assert schema["Size Of bolt"].mode == "SLOT" and schema["Size Of bolt"].template == "M{N}"
     assert schema["Head Of bolt"].mode == "CONST" and schema["Head Of bolt"].value == "hex"
-    fills = {(r.row_ord, r.k): r.fill for r in attrs.missing_attributes(df, groups, attrs.learn_schema(df, groups)).collect()}
+    fills = {(r.row_ord, r.k): r.fill for r in attrs.missing_attributes(df, groups, attrs.learn_schema(df, members)).collect()}
     assert fills[(30, "Size Of bolt")] == "M30" and fills[(5, "Head Of bolt")] == "hex"
 
 
+def test_the_four_levels_of_clusters(spark):
+    """Rare names are judged by similar rows of their group, else by the whole group, else by filled rows anywhere."""
+    rows = [(i, i, "p", f"red steel bolt plain M{i}x9", "l", "i", 3, "g", "Size Of bolt: M1 | Head Of bolt: hex") for i in range(10)]
+    rows += [(20, 20, "p", "red steel bolt, plain M3x9", "l", "i", 3, "g", "Size Of bolt: M3"), (21, 21, "p", "quite other name", "l", "i", 3, "g", "Size Of bolt: M3")]
+    rows += [(22, 22, "p", "red steel bolt plain M4x9 M4x9", "l", "i", 3, "g", None), (23, 23, "p", "nothing like it", "l", "i", 3, "g", None)]
+    df = catalog(spark, rows)
+    groups, members = attrs.clusters(df, attrs.resolve_groups(df))
+    level = {r.row_ord: r.level for r in groups.collect()}
+    assert level == {**dict.fromkeys(range(10), 1), 20: 2, 21: 3, 22: 4, 23: None}
+    teaching = {}
+    for r in members.collect():
+        teaching.setdefault(r.cluster_id, set()).add(r.row_ord)
+    assert teaching["p:20"] == {*range(10), 20} and teaching["g:bolt"] == {*range(10), 20, 21} and 22 not in teaching["r:22"] and len(teaching["r:22"]) >= 5
+    fills = {(r.row_ord, r.k): r.fill for r in attrs.missing_attributes(df, groups, attrs.learn_schema(df, members)).collect()}
+    assert fills[(20, "Head Of bolt")] == "hex" and fills[(22, "Head Of bolt")] == "hex"
+
+
 def test_names_are_fixed_by_rule(spark):
     rows = [(i, i, "p", f"bolt M{i} 5 mm", "l", "i", 3, "g", None) for i in range(20)] + [(99, 99, "p", "bolt  M9 × 5mm", "l", "i", 3, "g", None)]
     df = catalog(spark, rows)
