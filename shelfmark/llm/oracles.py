@@ -58,13 +58,13 @@ _FURNITURE = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
 _CLOSING = ", ".join("'" + c.replace("'", "''") + "'" for c in CLOSING)
 _RULE = rf"""CASE WHEN length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > 0.1 * length(x) THEN 'symbols' WHEN length(regexp_replace(x, '[^|»•]', '', 'g')) > 2 THEN 'bars' WHEN ({_FURNITURE}) AND n < 20 THEN 'furniture'
   WHEN n < 5 AND regexp_matches(x, '{BULLET}') THEN 'bullet' WHEN sh AND (lag(sh, 2, false) OVER q AND lag(sh, 1, false) OVER q OR lag(sh, 1, false) OVER q AND lead(sh, 1, false) OVER q OR lead(sh, 1, false) OVER q AND lead(sh, 2, false) OVER q) THEN 'menu'
-  WHEN n >= 20 AND NOT regexp_matches(x, '{SENTENCE}') THEN 'unpunctuated' END"""
+  WHEN marks AND n >= 20 AND NOT regexp_matches(x, '{SENTENCE}') THEN 'unpunctuated' END"""
 _COUNTS = ", ".join(f"count(*) FILTER (rule = '{r}') n_{r}_lines" for r in RULES)
 QUALITY = rf"""WITH w AS (SELECT doc_id, row_number() OVER () r, coalesce(text, '') t, {_spaced("coalesce(text, '')")} ws FROM documents),
 g AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') k FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) i FROM w)),
 tw AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, k) > 1), rp AS (SELECT r, count(DISTINCT p) n FROM (SELECT r, unnest(range(i, i + 5)) p FROM tw) GROUP BY 1),
-li AS (SELECT r, p, x, {_spaced('x')} xw FROM (SELECT r, unnest(string_split(t, chr(10))) x, generate_subscripts(string_split(t, chr(10)), 1) p FROM w)),
-ln AS (SELECT r, p, x, len(xw) n, len(xw) <= 6 AND right(xw[len(xw)], 1) NOT IN ({_CLOSING}) sh FROM li WHERE len(xw) > 0),
+li AS (SELECT r, p, x, marks, {_spaced('x')} xw FROM (SELECT r, regexp_matches(t, '{SENTENCE}') marks, unnest(string_split(t, chr(10))) x, generate_subscripts(string_split(t, chr(10)), 1) p FROM w)),
+ln AS (SELECT r, p, x, marks, len(xw) n, len(xw) <= 6 AND right(xw[len(xw)], 1) NOT IN ({_CLOSING}) sh FROM li WHERE len(xw) > 0),
 ju AS (SELECT *, {_RULE} rule FROM ln WINDOW q AS (PARTITION BY r ORDER BY p)),
 ag AS (SELECT r, count(*) - count(DISTINCT x) dups, {_COUNTS} FROM ju GROUP BY 1), lf AS (SELECT r, sum(n) kw FROM (SELECT DISTINCT r, x, n FROM ju WHERE rule IS NULL) GROUP BY 1),
 m AS (SELECT doc_id, len(ws)::BIGINT n_words, length(array_to_string(ws, ''))::BIGINT word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT n_symbols, coalesce(dups, 0) n_dup_lines, coalesce(rp.n, 0)::BIGINT n_repeat_words, coalesce(kw, 0) kw, {", ".join(f"coalesce(n_{r}_lines, 0) n_{r}_lines" for r in RULES)} FROM w LEFT JOIN rp USING (r) LEFT JOIN ag USING (r) LEFT JOIN lf USING (r))

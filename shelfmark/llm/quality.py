@@ -9,7 +9,7 @@ rejected.  The rules, in the order in which a line is counted under one of them:
 - furniture: fewer than 20 words and one of the given phrases;
 - bullet: starts with a bullet or a list number and has fewer than four words;
 - menu: one of three or more short lines in a row without closing punctuation;
-- unpunctuated: twenty words or more without any sentence mark;
+- unpunctuated: twenty words or more without any sentence mark, in a text that has sentence marks;
 - repeated: equal to an earlier line that passes.
 """
 
@@ -67,13 +67,13 @@ def _menu(lines: Column, i: Column) -> Column:
     return reduce(Column.__or__, runs)
 
 
-def line_rule(line: Column, n: Column, in_menu: Column, has_symbols: Column, has_furniture: Column, phrases: list[str], max_symbol_share: float = 0.1, max_bars: int = 2) -> Column:
+def line_rule(line: Column, n: Column, in_menu: Column, has_symbols: Column, has_furniture: Column, has_marks: Column, phrases: list[str], max_symbol_share: float = 0.1, max_bars: int = 2) -> Column:
     """The first rule that a line of ``n`` words breaks, null for none; ``has_...`` tell whether the whole text has any."""
     low = F.lower(line)
     furniture = has_furniture & (n < 20) & reduce(Column.__or__, [low.contains(p) for p in phrases], F.lit(False))
     symbols = has_symbols & (F.regexp_count(line, F.lit(SYMBOLS)) > max_symbol_share * F.length(line))
     barred = (line.contains("|") | line.contains("»") | line.contains("•")) & (F.regexp_count(line, F.lit(BARS)) > max_bars)
-    rules = zip(RULES, [symbols, barred, furniture, (n < 5) & line.rlike(BULLET), in_menu, (n >= LONG_LINE) & ~line.rlike(SENTENCE)], strict=True)
+    rules = zip(RULES, [symbols, barred, furniture, (n < 5) & line.rlike(BULLET), in_menu, has_marks & (n >= LONG_LINE) & ~line.rlike(SENTENCE)], strict=True)
     return F.coalesce(*[F.when(broken, name) for name, broken in rules])
 
 
@@ -95,7 +95,7 @@ def clean_lines(docs: DataFrame, min_words: int = 10, max_repeat_percent: int =
         return F.transform(F.filter(parts, lambda x: F.size(x["ws"]) > 0), lambda x: F.struct(x["t"].alias("t"), x["ws"].alias("ws"), ((F.size(x["ws"]) <= SHORT_LINE) & ~last(x).isin(CLOSING)).alias("short")))
 
     def measured(lines: Column) -> Column:
-        judged = F.transform(lines, lambda x, i: F.struct(x["t"].alias("t"), F.size(x["ws"]).alias("n"), line_rule(x["t"], F.size(x["ws"]), _menu(lines, i), F.col("n_symbols") > 0, F.col("_furniture"), phrases).alias("rule")))
+        judged = F.transform(lines, lambda x, i: F.struct(x["t"].alias("t"), F.size(x["ws"]).alias("n"), line_rule(x["t"], F.size(x["ws"]), _menu(lines, i), F.col("n_symbols") > 0, F.col("_furniture"), F.col("_marks"), phrases).alias("rule")))
         texts = F.transform(lines, lambda x: x["t"])
         hashes = lambda ws: F.transform(ws, lambda w: F.xxhash64(w))
         in_words = let(F.flatten(F.transform(lines, lambda x: x["ws"])), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), F.length(F.array_join(ws, "")).cast("long").alias("word_chars"), let(hashes(ws), lambda hs: repeated_window_words(hs)).cast("long").alias("n_repeat_words")))
@@ -105,8 +105,8 @@ def clean_lines(docs: DataFrame, min_words: int = 10, max_repeat_percent: int =
         ))
         return F.struct(in_words.alias("w"), of_lines.alias("l"), (F.size(texts) - F.size(F.array_distinct(texts))).cast("long").alias("n_dup_lines"))
 
-    keep = [c for c in docs.columns if c not in {"n_symbols", "_furniture", "_m"}]
-    out = docs.select(*keep, F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), has_furniture.alias("_furniture"))
+    keep = [c for c in docs.columns if c not in {"n_symbols", "_furniture", "_marks", "_m"}]
+    out = docs.select(*keep, F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), has_furniture.alias("_furniture"), body.rlike(SENTENCE).alias("_marks"))
     out = out.withColumn("_m", let(let(F.split(body, "\n"), split), measured))
     n, repeats = F.col("_m.w.n_words"), F.col("_m.w.n_repeat_words")
     failed = (n < min_words) | (100 * repeats > max_repeat_percent * n)
@@ -115,4 +115,4 @@ def clean_lines(docs: DataFrame, min_words: int = 10, max_repeat_percent: int =
     return out.withColumns({
         "n_words": n, "word_chars": F.col("_m.w.word_chars"), "n_dup_lines": F.col("_m.n_dup_lines"), "n_repeat_words": repeats,
         "base_failed": failed, "kept": ~failed & (left >= min_kept_share * n), **counts, "cleaned_text": F.array_join(F.transform("_m.l.passing", lambda x: x["t"]), "\n"),
-    }).drop("_m", "_furniture")
+    }).drop("_m", "_furniture", "_marks")

@@ -56,6 +56,8 @@ def place(key: Column, tree: Node) -> Column:
     if not tree.children:
         return F.lit(tree.shard)
     live = [c for c in tree.children if c.weight > 0]
+    if not live:
+        raise ValueError(f"no shard below {tree.name} has a weight above 0")
     if len(live) == 1:
         return place(key, live[0])
     best = F.least(*[F.struct(_draw(key, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(live)])["i"]
