@@ -77,4 +77,17 @@ h AS (SELECT doc_id, g.n, i, item_id FROM g JOIN k ON g.n = k.n AND g.k = k.k),
 t AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) its FROM h GROUP BY 1)
 SELECT doc_id, len(ws)::BIGINT n_words, coalesce(n_hit, 0) n_hit, coalesce(len(its), 0)::BIGINT n_items, sha256(coalesce(array_to_string(its, ','), '')) items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(ws) contaminated FROM w LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
-ORACLES = {"op1_minhash": MINHASH, "op3_substring_dedup": SUBSTRINGS, "op7_licenses": LICENSES, "op9_quality": QUALITY, "op10_decontamination": DECONTAMINATION}
+#: checksums of one byte by the reversed polynomial, then of a text byte by byte
+SPELLING = """WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) t),
+r AS (SELECT doc_id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') x, count(*) c FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) x FROM documents) WHERE length(x) >= 7 GROUP BY ALL),
+b AS (SELECT *, hex(encode(concat(doc_id, ':', x))) hx FROM r),
+h AS (SELECT x, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(hx) // 2), lambda i: (strpos('0123456789ABCDEF', hx[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', hx[2 * i + 2]) - 1)), lambda s, v: xor(s >> 8, t[(xor(s, v) & 255) + 1])), 4294967295) h FROM b, tab),
+w AS (SELECT word, sum(c)::BIGINT n FROM (SELECT CASE WHEN h % 31 = 0 THEN concat(left(x, h % length(x)), substr(x, h % length(x) + 2)) ELSE x END word, c FROM h) WHERE length(word) >= 7 GROUP BY 1 HAVING sum(c) >= 2),
+d AS (SELECT word, n, i, concat(left(word, i), substr(word, i + 2)) rest FROM (SELECT *, unnest(range(length(word))) i FROM w)),
+e AS (SELECT a.word, a.n, b.word o, b.n m FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word UNION SELECT d.word, d.n, w.word, w.n FROM d JOIN w ON d.rest = w.word UNION SELECT w.word, w.n, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+g AS (SELECT word, count(*) n_near, arg_min(o, (-m, o)) o, max(m) m FROM e GROUP BY 1),
+f AS (SELECT word, n, coalesce(n_near, 0) n_near, CASE WHEN m >= 10 * n THEN o END form, CASE WHEN m >= 10 * n THEN m END form_n FROM w LEFT JOIN g USING (word)),
+c AS (SELECT word, word root, form FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON f.word = c.form)
+SELECT word, f.form, c.root, n, n_near, form_n FROM f JOIN c USING (word) WHERE c.form IS NULL"""
+
+ORACLES = {"op1_minhash": MINHASH, "op3_substring_dedup": SUBSTRINGS, "op7_licenses": LICENSES, "op9_quality": QUALITY, "op10_decontamination": DECONTAMINATION, "op11_spelling": SPELLING}

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfmark.llm.bytebpe import decode_ids, encode_texts, rank_file
 from shelfmark.llm.common import table
 from shelfmark.llm.decontam import decontaminate
 from shelfmark.llm.licenses import scan_licenses
@@ -16,8 +18,10 @@ from shelfmark.llm.pieces import encode_pieces
 from shelfmark.llm.quality import clean_lines
 from shelfmark.llm.repeats import remove_repeats
 from shelfmark.llm.sharding import assign_shards
+from shelfmark.llm.spelling import spelling_variants
 from shelfmark.llm.toxicity import score_toxicity, train_toxicity
 from shelfmark.llm.warc import archive_round_trip
+from shelfmark.llm.whiten import whitened_components
 
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -66,6 +70,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text", "cleaned_text")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_sharding, op3_substring_dedup, op4_sentencepiece, op5_warc, op6_lm_score, op7_licenses, op8_toxicity, op9_quality, op10_decontamination)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = rank_file(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = encode_texts(docs, ranks).select("doc_id", "n_tokens", "ids_sha256", "token_ids")
+    return decode_ids(ids, ranks, with_bytes=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_sharding, op3_substring_dedup, op4_sentencepiece, op5_warc, op6_lm_score, op7_licenses, op8_toxicity, op9_quality, op10_decontamination, op11_spelling, op12_byte_bpe, op13_whitening)}
 
 __all__ = ["ORACLES", "QUERIES"]
