@@ -85,19 +85,6 @@ def index_lookup(asks: DataFrame, long: DataFrame, keys: DataFrame, min_rows: in
     return hits.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("grp", "row_ord", "target", "value", "d1", "n_dom", "n_tot")
 
 
-def refine_lookup(found: DataFrame, long: DataFrame, keys: DataFrame, min_rows: int = 3, purity: float = 0.95) -> DataFrame:
-    """One more known attribute in the key (no merchandising tag); taken only where it changes the answer."""
-    known = not_merchandising(long).select("grp", "row_ord", F.col("k").alias("x"), F.col("v").alias("vx"))
-    double = keys.where((F.col("d2") != "") & (F.col("n_dom") >= min_rows) & (F.col("n_dom") >= purity * F.col("n_tot")))
-    base = found.join(long.select("grp", "row_ord", F.col("k").alias("d1"), F.col("v").alias("v1")), ["grp", "row_ord", "d1"]).withColumnRenamed("value", "old")
-    both = base.select("grp", "row_ord", "target", "old", "d1", "v1").join(known, ["grp", "row_ord"]).where("x <> d1 and x <> target")
-    swap = F.col("d1") > F.col("x")
-    key = both.select("grp", "row_ord", "target", "old", F.when(swap, F.col("x")).otherwise(F.col("d1")).alias("d1"), F.when(swap, F.col("d1")).otherwise(F.col("x")).alias("d2"), F.when(swap, F.col("vx")).otherwise(F.col("v1")).alias("v1"), F.when(swap, F.col("v1")).otherwise(F.col("vx")).alias("v2"))
-    hits = key.join(double, ["grp", "target", "d1", "d2", "v1", "v2"]).where("value <> old")
-    best = W.partitionBy("grp", "row_ord", "target").orderBy(F.desc("n_dom"), "d1", "d2")
-    return hits.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("grp", "row_ord", "target", "old", "value", "d1", "d2", "n_dom")
-
-
 def note_attributes(long: DataFrame, min_values: int = 5) -> DataFrame:
     """Attributes that hold remarks (long, mostly without digits): never inferred."""
     v = long.select("grp", "k", "v").distinct()
@@ -119,17 +106,24 @@ def labels_from_names(names: DataFrame, long: DataFrame) -> DataFrame:
     return hits.groupBy("grp", "row_ord", "k").agg(F.count_distinct("v").alias("n"), F.min("v").alias("v")).where("n = 1").drop("n")
 
 
-def name_guard(names: DataFrame, long: DataFrame, candidates: DataFrame, min_rows: int = 10, share: float = 0.3) -> DataFrame:
-    """Candidate values to reject: the attribute is written in names, this value is not in the name, and another one is."""
-    inside = lambda name, v: F.lower(name).contains(F.lower(v))
-    encoded = long.join(names, ["grp", "row_ord"]).groupBy("grp", "k").agg(F.count("*").alias("n"), F.avg(inside(F.col("name"), F.col("v")).cast("int")).alias("s")).where((F.col("n") >= min_rows) & (F.col("s") >= share)).select("grp", "k")
-    # a value meets only the names that hold its first three characters
-    lead = lambda v: F.substring(F.lower(v), 1, 3)
+def name_evidence(names: DataFrame, long: DataFrame, min_rows: int = 10, share: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """Attributes that are written in names, over all groups, and all values (base, other, lead) of base attributes."""
+    written = F.lower("name").contains(F.lower("v")).cast("int")
+    encoded = long.join(names.select("row_ord", "name"), "row_ord").groupBy("k").agg(F.count("*").alias("n"), F.avg(written).alias("s")).where((F.col("n") >= min_rows) & (F.col("s") >= share)).select("k")
+    return encoded, long.select(X.base_attr(F.col("k")).alias("base"), F.col("v").alias("other"), F.substring(F.lower("v"), 1, 3).alias("lead")).distinct()
+
+
+def name_guard(names: DataFrame, evidence: tuple[DataFrame, DataFrame], candidates: DataFrame) -> DataFrame:
+    """Candidate values to reject: the attribute is written in names, this value is not in the name, and another one of its base attribute is.
+
+    A value meets only the names that hold its first three characters.
+    """
+    encoded, others = evidence
+    inside = lambda v: F.lower("name").contains(F.lower(v))
     starts = lambda name: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(name) + 1), lambda i: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda n: F.substr(name, i, n)))))
-    c = candidates.join(encoded, ["grp", "k"]).join(names, ["grp", "row_ord"]).where(~inside(F.col("name"), F.col("v")))
-    c = c.select("grp", "row_ord", "k", "v", "name", F.explode(starts(F.lower("name"))).alias("lead"))
-    others = long.select("grp", "k", F.col("v").alias("other"), lead(F.col("v")).alias("lead")).distinct()
-    return c.join(others, ["grp", "k", "lead"]).where((F.col("other") != F.col("v")) & inside(F.col("name"), F.col("other"))).groupBy("grp", "row_ord", "k", "v").agg(F.min("other").alias("in_name"))
+    c = candidates.join(encoded, "k").join(names.select("row_ord", "name"), "row_ord").where(~inside("v"))
+    c = c.select("grp", "row_ord", "k", "v", "name", X.base_attr(F.col("k")).alias("base"), F.explode(starts(F.lower("name"))).alias("lead"))
+    return c.join(others, ["base", "lead"]).where((F.col("other") != F.col("v")) & inside("other")).groupBy("grp", "row_ord", "k", "v").agg(F.min("other").alias("in_name"))
 
 
 def asks(open_cells: DataFrame, long: DataFrame, relations: DataFrame, names: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from shelfmark.functions import text as X
+from shelfmark.operators.scan import running_sum
 
 
 def draw(seed: str, *keys: Column) -> Column:
@@ -21,8 +22,7 @@ def sample_rows(df: DataFrame, n: int, seed: str, key: str = "part_id") -> DataF
 def sample_groups(df: DataFrame, n: int, seed: str, group: str) -> DataFrame:
     """Whole groups in drawn order until there are ``n`` rows."""
     sizes = df.groupBy(group).agg(F.count("*").alias("c"))
-    w = W.orderBy(draw(seed, F.col(group)), group).rowsBetween(W.unboundedPreceding, -1)  # a row for each group
-    taken = sizes.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0))).where(F.col("before") < n)
+    taken = running_sum(sizes, "c", draw(seed, F.col(group)), group).where(F.col("before") < n)
     return df.join(taken.select(group), group, "left_semi")
 
 
@@ -31,8 +31,7 @@ def sample_round_robin(df: DataFrame, n: int, group: str, cluster: str) -> DataF
     sizes = df.groupBy(group, cluster).agg(F.count("*").alias("c"), F.min("row_ord").alias("f"))
     first = F.min("f").over(W.partitionBy(group))
     ranked = sizes.withColumns({"g": first, "r": F.row_number().over(W.partitionBy(group).orderBy(F.desc("c"), "f"))})
-    w = W.orderBy("r", "g", group).rowsBetween(W.unboundedPreceding, -1)  # a row for each cluster
-    taken = ranked.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0))).where(F.col("before") < n)
+    taken = running_sum(ranked, "c", "r", "g", group).where(F.col("before") < n)
     return df.join(taken.select(group, cluster), [group, cluster], "left_semi")
 
 

@@ -1,4 +1,4 @@
-"""Verification of values and the merge of answers: curves, brackets, judges, priorities."""
+"""The merge of answers, gates and review: judges, priorities, neighbours (curves are in ``curves``)."""
 
 from __future__ import annotations
 
@@ -19,90 +19,12 @@ def points(long: DataFrame, x_attr: str, y_attr: str) -> DataFrame:
     return x.join(y, ["grp", "row_ord"]).select("grp", "x", "y").distinct()
 
 
-def monotone_ratio(pts: DataFrame) -> DataFrame:
-    """Share of pairs with x1 < x2 that have y1 <= y2, for each group, over distinct points.
-
-    Pairs meet on the group only after points are distinct, so the work is the
-    square of a curve's points, not of its rows.
-    """
-    a, b = pts.select("grp", F.col("x").alias("x1"), F.col("y").alias("y1")), pts.select("grp", F.col("x").alias("x2"), F.col("y").alias("y2"))
-    both = a.join(b, "grp").where("x1 < x2")
-    n = pts.groupBy("grp").agg(F.count("*").alias("n_points"))
-    return both.groupBy("grp").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("y1") <= F.col("y2")).alias("n_up")).join(n, "grp").select("grp", "n_points", "n_pairs", F.bround(F.col("n_up") / F.col("n_pairs"), 6).alias("ratio"))
-
-
-def curves(ratios: DataFrame, min_points: int = 6, min_pairs: int = 6, monotone: float = 0.95) -> DataFrame:
-    """Groups whose points are a curve, with its direction."""
-    direction = F.when(F.col("ratio") >= monotone, "up").when(F.col("ratio") <= F.lit(1 - monotone), "down")
-    return ratios.where((F.col("n_points") >= min_points) & (F.col("n_pairs") >= min_pairs)).select("grp", direction.alias("direction"), "n_points", "ratio").where("direction is not null")
-
-
 def _axis(values: DataFrame, at: DataFrame, stats: list[str]) -> DataFrame:
     """Rows of ``at`` (grp, x, stats) and the other x of ``values``, where the stats are null."""
     other = values.where("x is not null").select("grp", "x").distinct().join(at.select("grp", "x"), ["grp", "x"], "left_anti")
     return at.unionByName(other.select("grp", "x", *[F.lit(None).cast("double").alias(c) for c in stats]))
 
 
-def brackets(values: DataFrame, pts: DataFrame, found: DataFrame) -> DataFrame:
-    """(grp, row_ord, x, y) with the range [lo, hi] that the curve allows at x; null where one side is missing.
-
-    Points and values are laid on one axis; what comes before and after an x are
-    running extremes, so no value meets all points.
-    """
-    at = pts.join(found.select("grp"), "grp", "left_semi").groupBy("grp", "x").agg(F.min("y").cast("double").alias("e0"), F.max("y").cast("double").alias("e1"))
-    by = W.partitionBy("grp").orderBy("x")
-    before, after = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(1, W.unboundedFollowing)
-    axis = _axis(values.join(found.select("grp"), "grp", "left_semi"), at, ["e0", "e1"]).withColumns({
-        "bmax": F.max("e1").over(before), "bmin": F.min("e0").over(before), "amax": F.max("e1").over(after), "amin": F.min("e0").over(after),
-    })
-    c = values.join(found.select("grp", "direction"), "grp").join(axis, ["grp", "x"], "left")
-    up = F.col("direction") == "up"
-    l0, h0 = F.when(up, F.col("bmax")).otherwise(F.col("amax")), F.when(up, F.col("amin")).otherwise(F.col("bmin"))
-    both = l0.isNotNull() & h0.isNotNull()
-    lo, hi = F.coalesce("e0", F.when(both, F.least(l0, h0))), F.coalesce("e1", F.when(both, F.greatest(l0, h0)))
-    return c.select("grp", "row_ord", "x", "y", "direction", lo.alias("lo"), hi.alias("hi")).distinct()
-
-
-def verify_values(bracketed: DataFrame, pad: float = 0.02, segmented: bool = True) -> DataFrame:
-    """PLAUSIBLE, OUT_OF_RANGE (or DISAGREE_UNSEGMENTED over a whole group), NOT_NUMERIC, NO_REFERENCE."""
-    inside = (F.col("y") >= F.col("lo") - pad * F.abs("lo")) & (F.col("y") <= F.col("hi") + pad * F.abs("hi"))
-    out = F.when(F.col("y").isNull(), "NOT_NUMERIC").when(F.col("lo").isNull(), "NO_REFERENCE").when(inside, "PLAUSIBLE").otherwise("OUT_OF_RANGE" if segmented else "DISAGREE_UNSEGMENTED")
-    return bracketed.withColumn("status", out)
-
-
-def axis_label_choice(long: DataFrame, target: str, min_rows: int = 6, min_keys: int = 2, min_purity: float = 0.9) -> DataFrame:
-    """Axis and label attributes so that (label, axis) decides the target; the best for each group, ties by name."""
-    b = long.select("grp", "row_ord", X.base_attr(F.col("k")).alias("k"), "v")
-    y = b.where(F.col("k") == target).select("grp", "row_ord", F.col("v").alias("y"))
-    ax = b.where((F.col("k") != target) & X.axis(F.col("v")).isNotNull()).select("grp", "row_ord", F.col("k").alias("axis"), X.axis(F.col("v")).alias("x"))
-    la = b.where((F.col("k") != target) & X.axis(F.col("v")).isNull()).select("grp", "row_ord", F.col("k").alias("label"), F.col("v").alias("lv"))
-    rows = y.join(ax, ["grp", "row_ord"]).join(la, ["grp", "row_ord"])
-    keys = rows.groupBy("grp", "axis", "label", "x", "lv", "y").agg(F.count("*").alias("n")).groupBy("grp", "axis", "label", "x", "lv").agg(F.sum("n").alias("n"), F.max("n").alias("dom"))
-    cand = keys.groupBy("grp", "axis", "label").agg(F.sum("n").alias("total"), F.count("*").alias("n_keys"), (F.sum("dom") / F.sum("n")).alias("purity"))
-    good = cand.where((F.col("total") >= min_rows) & (F.col("n_keys") >= min_keys) & (F.col("purity") >= min_purity))
-    best = W.partitionBy("grp").orderBy(F.desc(F.bround("purity", 6)), F.desc("total"), "axis", "label")
-    return good.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("grp", "axis", "label", "total", "n_keys", F.bround("purity", 6).alias("purity"))
-
-
-def cross_check(answers: DataFrame, found: DataFrame) -> DataFrame:
-    """Answers (id, grp, x, y) in conflict with each other: same x and other y, or order against the curve.
-
-    Each distinct (grp, x, y) is held against the least and greatest y at its x,
-    before it and after it, so no pairs are listed.  Two answers of one id that
-    differ are in conflict as well.
-    """
-    at = answers.where("x is not null and y is not null").groupBy("grp", "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    by = W.partitionBy("grp").orderBy("x")
-    before, after = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(1, W.unboundedFollowing)
-    seen = at.withColumns({"lo_before": F.min("lo").over(before), "hi_before": F.max("hi").over(before), "lo_after": F.min("lo").over(after), "hi_after": F.max("hi").over(after)})
-    both = answers.select("grp", "id", "x", "y").distinct().join(seen, ["grp", "x"]).join(found.select("grp", "direction"), "grp", "left")
-    up = (F.col("direction") == "up") & ((F.col("hi_before") > F.col("y")) | (F.col("lo_after") < F.col("y")))
-    down = (F.col("direction") == "down") & ((F.col("lo_before") < F.col("y")) | (F.col("hi_after") > F.col("y")))
-    same = F.col("y").isNotNull() & (F.col("lo") != F.col("hi"))
-    reasons = F.array(F.when(same, "SAME_X"), F.when(up | down, "ORDER"))
-    return both.select("id", F.explode(reasons).alias("reason")).where("reason is not null").distinct()
-
-
 def merge_judges(answers: DataFrame) -> DataFrame:
     """One value for each key: kept with its least confidence where judges agree, dropped where they differ."""
     out = answers.groupBy("key_hash").agg(F.count_distinct("value").alias("opinions"), F.min("value").alias("value"), F.min("confidence").alias("confidence"))

@@ -31,7 +31,19 @@ _ITEMS = """SELECT p_partkey AS row_ord, p_brand AS sheet, p_name AS name, conca
 
 _WEB = """SELECT page_id, url, html, regexp_extract(url, '/([0-9]+)', 1) AS code, url LIKE '%spam-farm%' AS own_domain FROM {pages}"""
 
+#: parts with attributes that decide each other: a rare thread has its own pitch, a tap follows the pitch, a few finishes stand only in names
+_SPECS = """WITH b AS (SELECT p_partkey AS i, p_name, split_part(p_name,' ',2) AS noun, CASE WHEN split_part(p_name,' ',2) = 'bolt' THEN p_partkey % 2 ELSE p_partkey % 5 END AS s, CASE WHEN p_partkey % 40 = 7 THEN 'Fine' ELSE 'Coarse' END AS thread FROM {part}),
+c AS (SELECT *, CASE WHEN thread = 'Fine' THEN concat(CAST(s+1 AS STRING), '.5 mm') ELSE concat(CAST(s+2 AS STRING), ' mm') END AS pitch, CASE WHEN i % 43 = 5 THEN 'Nickel' WHEN s % 2 = 0 THEN 'Zinc' ELSE 'Black' END AS finish FROM b)
+SELECT i AS row_ord, noun AS grp, concat(p_name, ' ', finish, CASE WHEN thread = 'Fine' THEN ' Fine' ELSE '' END, ' M', CAST(2*s+4 AS STRING)) AS name,
+ CASE WHEN i % 31 <> 6 THEN concat('M', CAST(2*s+4 AS STRING)) END AS size, CASE WHEN i % 9 <> 4 THEN thread END AS thread, CASE WHEN i % 13 <> 3 THEN pitch END AS pitch, CASE WHEN i % 26 <> 3 AND i % 11 <> 2 THEN concat('T', pitch) END AS tap,
+ CASE WHEN i % 17 <> 5 AND i % 86 <> 5 THEN finish END AS finish, CASE WHEN i % 19 <> 4 THEN concat('sold without the ', CASE i % 7 WHEN 0 THEN 'nut' WHEN 1 THEN 'pin' WHEN 2 THEN 'cap' WHEN 3 THEN 'box' WHEN 4 THEN 'key' WHEN 5 THEN 'bag' ELSE 'lid' END) END AS note,
+ CASE WHEN i % 23 <> 8 THEN CASE WHEN s % 2 = 0 THEN 'Japan' ELSE 'Taiwan' END END AS origin FROM c"""
+
+#: attribute names of the columns of ``specs``
+SPEC_KEYS = {"size": "Size", "thread": "Thread", "pitch": "Pitch", "tap": "Tap", "finish": "Finish", "note": "Note", "origin": "Original"}
+
 CATALOG_CTE = "catalog AS (" + _CATALOG.format(part="part") + ")"
+SPECS_CTE = "specs AS (" + _SPECS.format(part="part") + ")"
 ITEMS_CTE = "items AS (" + _ITEMS.format(part="part") + ")"
 WEB_CTE = "web AS (" + _WEB.format(pages="pages") + ")"
 
@@ -44,6 +56,10 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_CATALOG, part=table(spark, sf_dir, "part"))
 
 
+def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_SPECS, part=table(spark, sf_dir, "part"))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_ITEMS, part=table(spark, sf_dir, "part"))
 

@@ -71,12 +71,6 @@ def test_names_are_fixed_by_rule(spark):
     assert got[99].proposed == "Bolt M9 x 5 mm" and got[99].reasons == "spaces, multiplication sign, space before unit, casing"
 
 
-def test_out_of_range_is_for_review_only_where_segmented(spark):
-    b = spark.createDataFrame([("g", 1, 1.0, 50.0, "up", 1.0, 10.0), ("g", 2, 1.0, None, "up", 1.0, 10.0), ("g", 3, 1.0, 5.0, "up", None, None), ("g", 4, 1.0, 10.1, "up", 1.0, 10.0)], "grp string, row_ord long, x double, y double, direction string, lo double, hi double")
-    assert [r.status for r in verify.verify_values(b).orderBy("row_ord").collect()] == ["OUT_OF_RANGE", "NOT_NUMERIC", "NO_REFERENCE", "PLAUSIBLE"]
-    assert verify.verify_values(b, segmented=False).orderBy("row_ord").first()["status"] == "DISAGREE_UNSEGMENTED"
-
-
 def test_merge_never_overwrites(spark):
     fills = spark.createDataFrame([(1, "g", "a", "m", "model"), (1, "g", "a", "r", "rule"), (1, "g", "b", "x", "rule"), (2, "g", "z", "x", "rule")], "row_ord long, grp string, k string, value string, source string")
     present = spark.createDataFrame([(1, "b")], "row_ord long, k string")
@@ -152,25 +146,6 @@ def test_every_row_without_filled_peers_asks_the_whole_catalog(spark, tmp_path):
     assert {(r.a, r.b) for r in q_attrs.b05_rescue_peers(spark, d).collect()} == want and {a for a, _ in want} == {13, 53}
 
 
-def test_answers_are_checked_against_all_others(spark):
-    import itertools
-    import random
-
-    r = random.Random(5)
-    rows = [(i, r.choice("uvn"), r.choice([None, *map(float, range(12))]), r.choice([None, *map(float, range(30))])) for i in range(60)]
-    rows += [(100 + i, "u", float(20 + i), float(50 + i)) for i in range(20)]
-    way = {"u": "up", "v": "down"}
-    want = set()
-    for a, b in itertools.permutations(rows, 2):
-        if a[1] == b[1] and None not in (*a[2:], *b[2:]):
-            if a[2] == b[2] and a[3] != b[3]:
-                want |= {(a[0], "SAME_X"), (b[0], "SAME_X")}
-            if a[2] < b[2] and ((way.get(a[1]) == "up" and a[3] > b[3]) or (way.get(a[1]) == "down" and a[3] < b[3])):
-                want |= {(a[0], "ORDER"), (b[0], "ORDER")}
-    got = verify.cross_check(spark.createDataFrame(rows, "id long, grp string, x double, y double"), spark.createDataFrame([*way.items()], "grp string, direction string"))
-    assert sorted((x.id, x.reason) for x in got.collect()) == sorted(want)
-
-
 def test_dependency_queries_read_whole_texts_and_all_rows(spark, tmp_path):
     from shelfmark.plans import q_deps
 
