@@ -97,29 +97,6 @@ def match_families(names: DataFrame, families: DataFrame, default: str) -> DataF
     return hit.groupBy("name").agg(F.min(F.struct("rank", "family"))["family"].alias("f")).select("name", F.coalesce("f", F.lit(default)).alias("family"), F.col("f").isNotNull().alias("matched"))
 
 
-def split_series(df: DataFrame) -> DataFrame:
-    """Subgroups by bearing series, numbered in order of first row; unparseable codes are ``other``."""
-    s = df.withColumn("_s", X.bearing_series(F.col("code"))).withColumns({"series": F.coalesce(F.col("_s.key"), F.lit("other")), "series_label": F.col("_s.label")}).drop("_s")
-    first = F.min("row_ord").over(W.partitionBy("sheet", "series"))
-    return s.withColumn("_f", first).withColumn("sub", F.dense_rank().over(W.partitionBy("sheet").orderBy("_f"))).drop("_f")
-
-
-def split_column(df: DataFrame, column: str) -> DataFrame:
-    """Subgroups by the value of a column, in order of first row; blank is ``other``."""
-    s = df.withColumn("part_key", F.coalesce(F.nullif(F.trim(F.col(column).cast("string")), F.lit("")), F.lit("other")))
-    first = F.min("row_ord").over(W.partitionBy("sheet", "part_key"))
-    return s.withColumn("_f", first).withColumn("sub", F.dense_rank().over(W.partitionBy("sheet").orderBy("_f"))).drop("_f")
-
-
-def sort_columns(labels: DataFrame, patterns: DataFrame) -> DataFrame:
-    """For each sheet and pattern rank: the first column the pattern matches (exactly, else as regex on the raw or accent-free label)."""
-    both = labels.join(F.broadcast(patterns), F.rlike("label", F.col("pattern")) | F.rlike(X.fold_price(F.col("label")), F.col("pattern")) | (F.col("label") == F.col("pattern")))
-    exact = F.col("label") == F.col("pattern")
-    pick = both.withColumn("_r", F.row_number().over(W.partitionBy("sheet", "rank").orderBy(F.desc(exact), "pos"))).where("_r = 1")
-    once = pick.withColumn("_o", F.row_number().over(W.partitionBy("sheet", "label").orderBy("rank"))).where("_o = 1")
-    return once.select("sheet", "rank", "pattern", "label")
-
-
 def sorted_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Row position in its sheet by numeric keys, then by natural order of the code."""
     keys = [X.num_key(F.col(c).cast("string")) for c in columns]
@@ -179,62 +156,12 @@ def chunk_cards(df: DataFrame, most: int = 12) -> DataFrame:
     return df.withColumn("chunk", F.floor(i / size).cast("int")).withColumn("slug", X.safe_name(F.concat_ws(" ", "sheet", "name"))).withColumn("card_id", F.concat("slug", F.lit("-"), (F.col("chunk") + 1).cast("string")))
 
 
-def apply_patches(specs: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Specs with values of patches (row code, label, value, source); patches without source or match are violations,
-    and one violation refuses all."""
-    codes = specs.select("code").distinct()
-    bad = patches.where(F.trim(F.coalesce("source", F.lit(""))) == "").select("patch_id", F.lit("NO_SOURCE").alias("violation"))
-    lost = patches.join(codes, "code", "left_anti").select("patch_id", F.lit("NO_MATCH").alias("violation"))
-    violations = bad.unionByName(lost)
-    blocked = violations.agg((F.count("*") > 0).alias("blocked"))
-    new = patches.crossJoin(blocked).where("not blocked").select("code", "label", F.col("value").alias("new"))  # blocked is one row
-    out = specs.join(new, ["code", "label"], "full_outer").select("code", "label", F.coalesce("new", "value").alias("value"))
-    return out, violations
-
-
 def unit_conflicts(patches: DataFrame, columns: DataFrame) -> DataFrame:
     """Patch values whose unit is not the unit of the column."""
     u = patches.withColumn("u", X.unit_value(F.col("value"))).join(columns.select("label", "unit"), "label")
     return u.where("u is not null and unit is not null and u.unit <> unit").select("patch_id", "label", "value", "unit")
 
 
-# Fields a card edit may change.
-EDITABLE = ["title", "lines", "legend", "note"]
-
-
-def validate_edits(edits: DataFrame, cards: DataFrame) -> DataFrame:
-    """Violations: unknown card, field not allowed, title owned by the data, two edits of one field."""
-    e = edits.join(cards.select("card_id", "title_source"), "card_id", "left")
-    reason = F.when(F.col("title_source").isNull(), "UNKNOWN_CARD").when(~F.col("field").isin(EDITABLE), "FIELD").when((F.col("field") == "title") & (F.col("title_source") == "data"), "TITLE_FROM_DATA").when(F.count("*").over(W.partitionBy("card_id", "field")) > 1, "TWICE")
-    return e.select("edit_id", reason.alias("violation")).where("violation is not null")
-
-
-def apply_edits(cards: DataFrame, edits: DataFrame) -> DataFrame:
-    """Cards (card_id, title, note) with accepted edits."""
-    wide = edits.groupBy("card_id").pivot("field", ["title", "note"]).agg(F.max("value"))
-    return cards.join(wide.select("card_id", F.col("title").alias("_t"), F.col("note").alias("_n")), "card_id", "left").select("card_id", F.coalesce("_t", "title").alias("title"), F.coalesce("_n", "note").alias("note"))
-
-
-def kb_learn(kb: DataFrame, learned: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Upsert of (code, title, status): entries that are ok stay unless forced; differences are conflicts."""
-    n = learned.select("code", F.col("title").alias("new"))
-    both = kb.join(n, "code", "full_outer")
-    keep = (F.col("status") == "ok") & ~F.lit(force)
-    stored = both.select("code", F.when(F.col("new").isNull() | (F.col("title").isNotNull() & keep), F.col("title")).otherwise(F.col("new")).alias("title"), F.when(F.col("new").isNull() | (F.col("title").isNotNull() & keep), F.col("status")).otherwise("review").alias("status"))
-    return stored, both.where("title is not null and new is not null and title <> new").select("code", "title", "new", "status")
-
-
-def kb_apply(rows: DataFrame, kb: DataFrame, override: bool = False) -> DataFrame:
-    """Cards split by knowledge-base title where two or more meet; empty titles filled, titles of the data kept."""
-    k = rows.join(kb.select("code", F.col("title").alias("kb_title")), "code", "left")
-    titles = F.size(F.collect_set("kb_title").over(W.partitionBy("card_id")))
-    first = F.min(F.when(F.col("kb_title").isNotNull(), F.col("row_ord"))).over(W.partitionBy("card_id", "kb_title"))
-    out = k.withColumns({"_n": titles, "_f": F.coalesce(first, F.lit((1 << 62)))})
-    part = F.when(F.col("_n") >= 2, F.dense_rank().over(W.partitionBy("card_id").orderBy("_f"))).otherwise(1)
-    fill = (F.trim(F.coalesce("title", F.lit(""))) == "") | (F.lit(override) & (F.col("title_source") != "data"))
-    return out.select("card_id", "row_ord", "code", part.alias("part"), F.when(fill, F.coalesce("kb_title", "title")).otherwise(F.col("title")).alias("title"))
-
-
 def kb_approve(kb: DataFrame, codes: DataFrame) -> DataFrame:
     return kb.join(codes.select("code", F.lit(True).alias("_a")), "code", "left").select("code", "title", F.when((F.col("status") == "review") & F.col("_a"), "ok").otherwise(F.col("status")).alias("status"))
 

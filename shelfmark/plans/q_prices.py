@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
+from shelfmark.operators import plans as L
 from shelfmark.operators import prices as H
 from shelfmark.plans.registry import query
 from shelfmark.plans.views import ITEMS_CTE, items
@@ -15,7 +16,9 @@ _I = f"WITH {ITEMS_CTE}"
 _OC = r"oc AS (SELECT *, CASE WHEN regexp_matches(regexp_replace(trim(order_raw), '\.0+$', ''), '^[0-9]{1,7}$') THEN lpad(regexp_replace(trim(order_raw), '\.0+$', ''), 7, '0') END order_code FROM items), od AS (SELECT *, CASE WHEN order_code IS NOT NULL AND min(row_ord) OVER (PARTITION BY order_code) < row_ord THEN min(row_ord) OVER (PARTITION BY order_code) END dup_of FROM oc)"
 _PR = "pr AS (SELECT *, CAST(round_even(TRY_CAST(trim(price_raw) AS DOUBLE)::DECIMAL(18,4), 0) AS BIGINT) price, CASE WHEN coalesce(trim(price_raw),'') = '' THEN 'MISSING' WHEN TRY_CAST(trim(price_raw) AS DOUBLE) IS NULL THEN 'NOT_NUMERIC' END price_warning FROM od)"
 _ALL = f"{_I}, {_OC}, {_PR}"
-_SERIES = r"sr0 AS (SELECT *, regexp_extract(upper(code), '^([A-Z]*)([0-9]+)(/)?', 1) px, regexp_extract(upper(code), '^([A-Z]*)([0-9]+)(/)?', 2) dg FROM items), sr AS (SELECT *, CASE WHEN px = '' AND length(dg) = 3 THEN 'mini' WHEN px = '' AND length(dg) = 4 THEN substr(dg,1,2) WHEN px = '' AND length(dg) >= 5 THEN substr(dg,1,3) ELSE 'other' END series FROM sr0)"
+_CODE2 = "CASE row_ord % 4 WHEN 1 THEN 'NU' || substr(code, 2, 3) WHEN 2 THEN substr(code, 2, 3) WHEN 3 THEN CASE WHEN row_ord % 8 = 3 THEN 'XX' ELSE code END ELSE code END"
+_CODED = f"coded AS (SELECT * REPLACE ({_CODE2} AS code) FROM items)"
+_SERIES = r"sr0 AS (SELECT *, regexp_extract(upper(code), '^([A-Z]*)([0-9]+)', 1) px, regexp_extract(upper(code), '^([A-Z]*)([0-9]+)', 2) dg FROM items), sr AS (SELECT *, CASE WHEN dg = '' THEN 'other' WHEN px = '' AND length(dg) = 3 THEN 'mini' WHEN px = '' AND length(dg) = 4 THEN substr(dg,1,2) WHEN px = '' AND length(dg) >= 5 THEN substr(dg,1,3) WHEN px <> '' AND length(dg) BETWEEN 3 AND 4 THEN px || left(dg, length(dg) - 2) WHEN px <> '' AND length(dg) > 4 THEN px || left(dg, 3) ELSE 'other' END series FROM sr0)"
 
 
 def priced(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +30,7 @@ def carded(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CARD = f"{_ALL}, cd0 AS (SELECT *, count(*) OVER (PARTITION BY sheet, name) n, row_number() OVER (PARTITION BY sheet, name ORDER BY row_ord) - 1 i FROM pr), cd1 AS (SELECT *, ceil(n / ceil(n / 12.0)) sz, regexp_replace(lower(sheet || ' ' || name), '[^a-z0-9]+', '-', 'g') slug FROM cd0), cd AS (SELECT *, CAST(floor(i / sz) AS INT) chunk, slug || '-' || CAST(CAST(floor(i / sz) AS INT) + 1 AS VARCHAR) card_id FROM cd1)"
-_CARDS = f"{_CARD}, cards AS (SELECT card_id, arg_min(CASE row_ord % 7 WHEN 0 THEN name WHEN 1 THEN '' WHEN 2 THEN upper(name) || ': X' WHEN 3 THEN upper(name) || repeat(' LONG', 9) ELSE upper(name) END, row_ord) title, CASE WHEN min(row_ord) % 3 = 0 THEN [] WHEN min(row_ord) % 3 = 1 THEN ['Steel', 'x', 'lower case words here and more'] ELSE ['Good Line', '* Dotted  Line.'] END AS lines, CASE WHEN min(row_ord) % 11 = 0 THEN repeat('note ', 30) END note, CASE WHEN min(row_ord) % 2 = 0 THEN 'a.png' END image, CASE WHEN min(row_ord) % 5 = 0 THEN 'data' ELSE 'model' END title_source FROM cd GROUP BY card_id)"
+_CARDS = f"{_CARD}, cards AS (SELECT card_id, arg_min(CASE row_ord % 7 WHEN 0 THEN name WHEN 1 THEN '' WHEN 2 THEN upper(name) || ': X' WHEN 3 THEN upper(name) || repeat(' LONG', 9) ELSE upper(name) END, row_ord) title, CASE WHEN min(row_ord) % 3 = 0 THEN [] WHEN min(row_ord) % 3 = 1 THEN ['Steel', 'x', 'lower case words here and more'] ELSE ['Good Line', '* Dotted  Line.'] END AS lines, CASE WHEN min(row_ord) % 11 = 0 THEN repeat('note ', 30) END note, CASE WHEN min(row_ord) % 2 = 0 THEN 'a.png' END image, CASE WHEN min(row_ord) % 5 = 0 THEN 'data' ELSE 'model' END title_source, CASE WHEN min(row_ord) % 4 = 0 THEN ['d: Inner'] ELSE [] END legend FROM cd GROUP BY card_id)"
 
 
 def cards(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +38,7 @@ def cards(spark: SparkSession, d: str) -> DataFrame:
     title = F.when(m == 0, F.col("name")).when(m == 1, "").when(m == 2, F.concat(F.upper("name"), F.lit(": X"))).when(m == 3, F.concat(F.upper("name"), F.repeat(F.lit(" LONG"), 9))).otherwise(F.upper("name"))
     g = carded(spark, d).groupBy("card_id").agg(F.min_by(title, "row_ord").alias("title"), F.min("row_ord").alias("f"))
     lines = F.when(F.col("f") % 3 == 0, F.array().cast("array<string>")).when(F.col("f") % 3 == 1, F.array(*map(F.lit, ["Steel", "x", "lower case words here and more"]))).otherwise(F.array(*map(F.lit, ["Good Line", "* Dotted  Line."])))
-    return g.select("card_id", "title", lines.alias("lines"), F.when(F.col("f") % 11 == 0, F.repeat(F.lit("note "), 30)).alias("note"), F.when(F.col("f") % 2 == 0, "a.png").alias("image"), F.when(F.col("f") % 5 == 0, "data").otherwise("model").alias("title_source"))
+    return g.select("card_id", "title", lines.alias("lines"), F.when(F.col("f") % 11 == 0, F.repeat(F.lit("note "), 30)).alias("note"), F.when(F.col("f") % 2 == 0, "a.png").alias("image"), F.when(F.col("f") % 5 == 0, "data").otherwise("model").alias("title_source"), F.when(F.col("f") % 4 == 0, F.array(F.lit("d: Inner"))).otherwise(F.array().cast("array<string>")).alias("legend"))
 
 
 @query(f"{_I}, n AS (SELECT *, CASE WHEN name IS DISTINCT FROM lag(name) OVER w OR lag(row_ord) OVER w IS NULL THEN 1 ELSE 0 END c FROM items WINDOW w AS (PARTITION BY sheet ORDER BY row_ord)) SELECT row_ord, CAST(sum(c) OVER (PARTITION BY sheet ORDER BY row_ord) AS BIGINT) grp_run FROM n")
@@ -137,29 +140,64 @@ def h10_families(spark, d):
     return H.match_families(items(spark, d).select("name").distinct(), families, "default")
 
 
-@query(f"{_I}, {_SERIES}, f AS (SELECT *, min(row_ord) OVER (PARTITION BY sheet, series) f FROM sr) SELECT row_ord, series, CASE WHEN series = 'mini' THEN 'LOẠI MINI' WHEN series <> 'other' THEN 'DÒNG ' || series || '00' END series_label, CAST(dense_rank() OVER (PARTITION BY sheet ORDER BY f) AS INT) sub FROM f")
+def _coded(spark, d):
+    """Items with plain, small, prefixed and unparseable codes."""
+    m = F.col("row_ord") % 4
+    three = F.substring("code", 2, 3)
+    return items(spark, d).withColumn("code", F.when(m == 1, F.concat(F.lit("NU"), three)).when(m == 2, three).when((m == 3) & (F.col("row_ord") % 8 == 3), "XX").otherwise(F.col("code")))
+
+
+@query(f"""{_I}, {_CODED}, {_SERIES.replace('FROM items', 'FROM coded')}, o AS (SELECT *, CASE WHEN series = 'mini' THEN 0 WHEN series = 'other' THEN 3 WHEN regexp_matches(series, '^[A-Z]') THEN 2 ELSE 1 END kind, regexp_extract(series, '^([A-Z]*)', 1) p, coalesce(TRY_CAST(regexp_extract(series, '([0-9]+)$', 1) AS BIGINT), 0) num FROM sr)
+SELECT row_ord, series, CASE WHEN series = 'mini' THEN 'LOẠI MINI' WHEN series <> 'other' THEN 'DÒNG ' || series || '00' END series_label, CAST(dense_rank() OVER (PARTITION BY sheet ORDER BY kind, p, num) AS INT) sub FROM o""")
 def h11_split_series(spark, d):
-    return H.split_series(items(spark, d)).select("row_ord", "series", "series_label", "sub")
+    return L.split_series(_coded(spark, d)).select("row_ord", "series", "series_label", "sub")
 
 
 @query(f"{_I}, f AS (SELECT *, min(row_ord) OVER (PARTITION BY sheet, name) f FROM items) SELECT row_ord, name part_key, CAST(dense_rank() OVER (PARTITION BY sheet ORDER BY f) AS INT) sub FROM f")
 def h11_split_column(spark, d):
-    return H.split_column(items(spark, d), "name").select("row_ord", "part_key", "sub")
+    return L.split_column(items(spark, d), "name").select("row_ord", "part_key", "sub")
+
+
+@query(rf"{_I}, k AS (SELECT row_ord, sheet, coalesce(nullif(regexp_extract(code, '-([0-9])RS$', 1), ''), 'other') part_key FROM items), f AS (SELECT *, min(row_ord) OVER (PARTITION BY sheet, part_key) f FROM k) SELECT row_ord, part_key, CASE WHEN part_key <> 'other' THEN 'DÒNG ' || part_key END part_label, CAST(dense_rank() OVER (PARTITION BY sheet ORDER BY f) AS INT) sub FROM f")
+def h11_split_regex(spark, d):
+    return L.split_regex(items(spark, d), "-([0-9])RS$").select("row_ord", "part_key", "part_label", "sub")
+
+
+_DESC = "ds AS (SELECT *, CASE WHEN row_ord % 9 = 4 THEN NULL ELSE name || CASE row_ord % 3 WHEN 0 THEN ' Coarse grit' WHEN 1 THEN ', fine GRIT -' ELSE '' END END desc_clean FROM items)"
+
+
+@query(rf"""{_I}, {_DESC}, v AS (SELECT *, regexp_extract(coalesce(desc_clean, ''), '(?i)(coarse|fine) grit', 1) va FROM ds), b AS (SELECT *, trim(regexp_replace(regexp_replace(coalesce(desc_clean, ''), '(?i)(coarse|fine) grit', ' '), '\s+', ' ', 'g'), ' -,') part_key FROM v), f AS (SELECT *, min(row_ord) OVER (PARTITION BY sheet, part_key) f FROM b)
+SELECT row_ord, part_key, nullif(upper(part_key), '') title, CASE WHEN desc_clean IS NOT NULL THEN 'Grit=' || va || ';' ELSE '' END || 'd=' || d_mm AS specs, CAST(dense_rank() OVER (PARTITION BY sheet ORDER BY f) AS INT) sub FROM f""")
+def h11_split_description(spark, d):
+    m = F.col("row_ord") % 3
+    text = F.concat("name", F.when(m == 0, " Coarse grit").when(m == 1, ", fine GRIT -").otherwise(""))
+    rows = items(spark, d).withColumns({"desc_clean": F.when(F.col("row_ord") % 9 != 4, text), "specs": F.create_map(F.lit("d"), F.col("d_mm").cast("string"))})
+    return L.split_description(rows, "(coarse|fine) grit", "Grit").select("row_ord", "part_key", "title", _flat("specs").alias("specs"), "sub")
+
+
+def _flat(specs: str):
+    """A map of specs as text, by label."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(specs)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), ";")
 
 
 _FOLDP = lambda x: f"trim(regexp_replace(lower(strip_accents(replace(replace({x}, 'đ', 'd'), 'Đ', 'D'))), '\\s+', ' ', 'g'))"
-_HEADS = "hl AS (SELECT DISTINCT sheet, CASE row_ord % 4 WHEN 0 THEN 'Chiều Dài' WHEN 1 THEN 'd_mm' WHEN 2 THEN 'dd_mm' ELSE split_part(name, ' ', 2) || ' dài' END AS label, row_ord % 4 pos FROM items WHERE d_mm % 3 = 0)"
+_HEADS = "hl AS (SELECT DISTINCT sheet, CASE WHEN sheet LIKE '%4' THEN CASE row_ord % 2 WHEN 0 THEN 'Quy Cách' ELSE 'Số' END ELSE CASE row_ord % 4 WHEN 0 THEN 'Chiều Dài' WHEN 1 THEN 'd_mm' WHEN 2 THEN 'dd_mm' ELSE split_part(name, ' ', 2) || ' dài' END END AS label, CASE WHEN sheet LIKE '%4' THEN row_ord % 2 ELSE row_ord % 4 END pos FROM items WHERE d_mm % 3 = 0)"
 
 
-@query(f"""{_I}, {_HEADS}, hp(rank, pattern) AS (VALUES (1, '^d_'), (2, 'dd_mm'), (3, '(?i)chieu dai'), (4, 'ring'), (5, 'nothing')), hb AS (SELECT sheet, rank, pattern, label, row_number() OVER (PARTITION BY sheet, rank ORDER BY label = pattern DESC, pos, label) r FROM hl JOIN hp ON regexp_matches(label, pattern) OR regexp_matches({_FOLDP('label')}, pattern) OR label = pattern)
-SELECT sheet, rank, pattern, label FROM hb WHERE r = 1 QUALIFY row_number() OVER (PARTITION BY sheet, label ORDER BY rank) = 1""")
+@query(f"""{_I.replace('WITH', 'WITH RECURSIVE')}, {_HEADS}, hc AS (SELECT sheet, list({{'pos': pos, 'label': label, 'plain': {_FOLDP('label')}, 'num': label LIKE '%_mm' OR label = 'Số'}} ORDER BY pos, label) cols FROM hl GROUP BY 1), hp(rank, pattern) AS (VALUES (1, '_mm'), (2, '_mm'), (3, '(?i)chieu dai'), (4, 'ring dài'), (5, 'nothing'), (6, 'd_mm')),
+st AS (SELECT sheet, cols, 0 rank, '' pattern, NULL::VARCHAR label, []::VARCHAR[] taken, '' how FROM hc UNION ALL SELECT sheet, cols, rank, pattern, label, CASE WHEN label IS NULL THEN taken ELSE list_append(taken, label) END, CASE WHEN label IS NULL THEN 'MISSING' WHEN label = pattern THEN 'EXACT' ELSE 'MATCH' END FROM
+ (SELECT s.sheet, s.cols, p.rank, p.pattern, s.taken, coalesce(list_filter(s.cols, lambda c: c.label = p.pattern AND NOT list_contains(s.taken, c.label))[1].label, list_filter(s.cols, lambda c: NOT list_contains(s.taken, c.label) AND (regexp_matches(c.label, p.pattern) OR regexp_matches(c.plain, p.pattern)))[1].label) label FROM st s JOIN hp p ON p.rank = s.rank + 1)),
+fb AS (SELECT sheet, list_filter(cols, lambda c: c.num)[1].label label FROM st WHERE rank = 6 AND len(taken) = 0)
+SELECT sheet, rank, pattern, label, how FROM st WHERE rank > 0 AND sheet NOT IN (SELECT sheet FROM fb WHERE label IS NOT NULL) UNION ALL SELECT sheet, 0, '', label, 'FALLBACK' FROM fb WHERE label IS NOT NULL""")
 def h12_sort_columns(spark, d):
     """Column labels of a sheet come from its rows, so sheets differ in what they have."""
-    m = F.col("row_ord") % 4
-    label = F.when(m == 0, "Chiều Dài").when(m == 1, "d_mm").when(m == 2, "dd_mm").otherwise(F.concat(F.split("name", " ")[1], F.lit(" dài")))
-    labels = items(spark, d).where("d_mm % 3 = 0").select("sheet", label.alias("label"), m.alias("pos")).distinct()
-    patterns = spark.createDataFrame([(1, "^d_"), (2, "dd_mm"), (3, "(?i)chieu dai"), (4, "ring"), (5, "nothing")], "rank int, pattern string")
-    return H.sort_columns(labels, patterns)
+    n, odd = F.col("row_ord"), F.col("sheet").endswith("4")
+    usual = F.when(n % 4 == 0, "Chiều Dài").when(n % 4 == 1, "d_mm").when(n % 4 == 2, "dd_mm").otherwise(F.concat(F.split("name", " ")[1], F.lit(" dài")))
+    label = F.when(odd, F.when(n % 2 == 0, "Quy Cách").otherwise("Số")).otherwise(usual)
+    labels = items(spark, d).where("d_mm % 3 = 0").select("sheet", label.alias("label"), F.when(odd, n % 2).otherwise(n % 4).alias("pos")).distinct()
+    labels = labels.withColumn("numeric", F.col("label").endswith("_mm") | (F.col("label") == "Số"))
+    patterns = spark.createDataFrame([(1, "_mm"), (2, "_mm"), (3, "(?i)chieu dai"), (4, "ring dài"), (5, "nothing"), (6, "d_mm")], "rank int, pattern string")
+    return L.sort_columns(labels, patterns)
 
 
 @query(f"{_I} SELECT row_ord, CAST(row_number() OVER (PARTITION BY sheet ORDER BY d_mm, dd_mm, CAST(regexp_extract(code, '^([0-9]+)', 1) AS BIGINT), length(code), row_ord) AS INT) AS position FROM items")
@@ -167,9 +205,9 @@ def h13_sorted_rows(spark, d):
     return H.sorted_rows(items(spark, d), ["d_mm", "dd_mm"]).select("row_ord", "position")
 
 
-@query(f"{_I}, {_SERIES}, g AS (SELECT sheet, count(*) n, count(DISTINCT series) s FROM sr GROUP BY 1) SELECT sheet, array_to_string(list_filter([CASE WHEN sheet LIKE '%1' THEN 'NO_RULE' END, CASE WHEN sheet LIKE '%2' THEN 'NO_SORT_COLUMN' END, CASE WHEN n > 40 AND s <= 1 THEN 'LARGE' END, CASE WHEN sheet LIKE '%3' THEN 'BRANDS' END], lambda x: x IS NOT NULL), ',') flags FROM g")
+@query(f"{_I}, {_CODED}, {_SERIES.replace('FROM items', 'FROM coded')}, g AS (SELECT sheet, count(*) n, count(DISTINCT series) s, count(*) FILTER (series = 'other') u FROM sr GROUP BY 1) SELECT sheet, array_to_string(list_filter([CASE WHEN sheet LIKE '%1' THEN 'NO_RULE' END, CASE WHEN sheet LIKE '%2' THEN 'NO_SORT_COLUMN' END, CASE WHEN u > 0 THEN 'UNPARSEABLE_CODES' END, CASE WHEN n > 40 AND s <= 1 THEN 'LARGE' END, CASE WHEN sheet LIKE '%3' THEN 'BRANDS' END], lambda x: x IS NOT NULL), ',') flags FROM g")
 def h14_plan_flags(spark, d):
-    g = H.split_series(items(spark, d)).groupBy("sheet").agg(F.count("*").alias("n_rows"), F.max("sub").alias("n_sub"), F.count_if(F.col("series") == "other").alias("unparseable"))
+    g = L.split_series(_coded(spark, d)).groupBy("sheet").agg(F.count("*").alias("n_rows"), F.max("sub").alias("n_sub"), F.count_if(F.col("series") == "other").alias("unparseable"))
     e = F.col("sheet").endswith
     return H.plan_flags(g.withColumns({"matched": ~e("1"), "sort_columns": F.when(e("2"), 0).otherwise(1), "n_brands": F.when(e("3"), 2).otherwise(1)}))
 
@@ -231,80 +269,150 @@ def h21_chunk_cards(spark, d):
 
 
 def _patches(spark, d, bad: bool):
-    p = items(spark, d).where("row_ord % 40 = 1").groupBy("code").agg(F.min("row_ord").alias("patch_id")).select("patch_id", "code", F.lit("d").alias("label"), F.lit("99 mm").alias("value"), F.when((F.col("patch_id") % 3 == 0) & F.lit(bad), "").otherwise("catalogue page").alias("source"))
-    return p
+    """Changes in five passes: a spec, a new name for it, the spec by that name, brands of groups and of codes."""
+    i = items(spark, d)
+    n = F.min("row_ord").alias("f")
+    none = F.lit(None).cast("string")
+    by_code = lambda k, rest, seq, op, label, value: i.where(F.col("row_ord") % k == rest).groupBy("code").agg(n).select((F.col("f") * 10 + seq).alias("patch_id"), F.lit(seq).alias("seq"), F.lit(op).alias("op"), none.alias("grp"), "code", F.lit(label).cast("string").alias("label"), F.lit(value).alias("value"))
+    by_name = lambda k, seq, op, label, value: i.groupBy("name").agg(n).where(F.col("f") % k == 0).select((F.col("f") * 10 + seq).alias("patch_id"), F.lit(seq).alias("seq"), F.lit(op).alias("op"), F.col("name").alias("grp"), none.alias("code"), F.lit(label).cast("string").alias("label"), F.lit(value).alias("value"))
+    p = by_code(40, 1, 1, "set_spec", "D", "99 mm").unionByName(by_name(3, 2, "rename_label", "d", "Bore")).unionByName(by_code(50, 2, 3, "set_spec", "bore", "7")).unionByName(by_name(4, 4, "set_brand", None, "ACME")).unionByName(by_code(60, 3, 5, "set_brand", None, "Other"))
+    p = p.withColumn("source", F.when((F.col("patch_id") % 3 == 0) & F.lit(bad), " ").otherwise("catalogue page"))
+    lost = spark.createDataFrame([(-1, 9, "set_spec", None, "no such code", "d", "1", "page"), (-2, 9, "rename_label", "no such group", None, "d", "x", "page"), (-3, 9, "rename_label", None, None, "d", "x", "page")], "patch_id long, seq int, op string, grp string, code string, label string, value string, source string")
+    heavy = i.groupBy("code").agg(n).where("f % 70 = 5").select((F.col("f") * 10 + 6).alias("patch_id"), F.lit(6).alias("seq"), F.lit("set_spec").alias("op"), none.alias("grp"), "code", F.lit("Outer").alias("label"), F.lit("20 kg").alias("value"), F.lit("page").alias("source"))
+    return p.unionByName(lost).unionByName(heavy) if bad else p
+
 
+def _priced_rows(spark, d):
+    specs = F.create_map(F.lit("d\n(mm)"), F.col("d_mm").cast("string"), F.lit("Outer\n(mm)"), F.col("dd_mm").cast("string"))
+    return items(spark, d).select(F.col("name").alias("grp"), "row_ord", "code", F.col("sheet").alias("brand"), specs.alias("specs"))
 
-def _specs(spark, d):
-    return items(spark, d).groupBy("code").agg(F.min("d_mm").cast("string").alias("value")).select("code", F.lit("d").alias("label"), "value")
 
+_PT = """c1 AS (SELECT code, min(row_ord) f FROM items WHERE row_ord % 40 = 1 GROUP BY 1), g2 AS (SELECT name, min(row_ord) f FROM items GROUP BY 1 HAVING min(row_ord) % 3 = 0), c3 AS (SELECT code, min(row_ord) f FROM items WHERE row_ord % 50 = 2 GROUP BY 1), g4 AS (SELECT name, min(row_ord) f FROM items GROUP BY 1 HAVING min(row_ord) % 4 = 0), c5 AS (SELECT code, min(row_ord) f FROM items WHERE row_ord % 60 = 3 GROUP BY 1),
+c6 AS (SELECT code, min(row_ord) f FROM items GROUP BY 1 HAVING min(row_ord) % 70 = 5)"""
 
-@query(f"{_I}, p AS (SELECT DISTINCT code FROM items WHERE row_ord % 40 = 1) SELECT i.code, 'd' AS label, CASE WHEN i.code IN (SELECT code FROM p) THEN '99 mm' ELSE CAST(min(d_mm) AS VARCHAR) END AS value FROM items i GROUP BY 1, 2")
+
+@query(f"""{_I}, {_PT}, r AS (SELECT i.*, code IN (SELECT code FROM c1) a1, name IN (SELECT name FROM g2) a2, code IN (SELECT code FROM c3) a3, name IN (SELECT name FROM g4) a4, code IN (SELECT code FROM c5) a5 FROM items i)
+SELECT row_ord, CASE WHEN a5 THEN 'Other' WHEN a4 THEN 'ACME' ELSE sheet END brand, array_to_string(list_sort(list_filter([CASE WHEN a2 THEN 'Bore' ELSE 'd' END || chr(10) || '(mm)=' || CASE WHEN a2 AND a3 THEN '7' WHEN a1 THEN '99' ELSE CAST(d_mm AS VARCHAR) END, 'Outer' || chr(10) || '(mm)=' || dd_mm, CASE WHEN a3 AND NOT a2 THEN 'bore=7' END], lambda x: x IS NOT NULL)), ';') specs FROM r""")
 def h22_apply_patches(spark, d):
-    return H.apply_patches(_specs(spark, d), _patches(spark, d, False))[0]
+    return L.replay_patches(_priced_rows(spark, d), _patches(spark, d, False))[0].select("row_ord", "brand", _flat("specs").alias("specs"))
+
 
+_HITS = f"""{_I}, {_PT}, ht AS (SELECT f * 10 + 1 patch_id, 'set_spec' op, count(*) hits FROM c1 JOIN items USING (code) GROUP BY f UNION ALL SELECT f * 10 + 2, 'rename_label', 1 FROM g2 UNION ALL SELECT f * 10 + 3, 'set_spec', count(*) FROM c3 JOIN items USING (code) GROUP BY f UNION ALL SELECT f * 10 + 4, 'set_brand', count(*) FROM g4 JOIN items USING (name) GROUP BY f UNION ALL SELECT f * 10 + 5, 'set_brand', count(*) FROM c5 JOIN items USING (code) GROUP BY f)"""
 
-@query(f"{_I}, p AS (SELECT code, min(row_ord) id FROM items WHERE row_ord % 40 = 1 GROUP BY 1) SELECT id patch_id, 'NO_SOURCE' violation FROM p WHERE id % 3 = 0 UNION ALL SELECT 5, 'NO_MATCH'")
+
+@query(f"{_HITS} SELECT patch_id, op, hits FROM ht")
+def h22_patch_hits(spark, d):
+    return L.replay_patches(_priced_rows(spark, d), _patches(spark, d, False))[1].select("patch_id", "op", "hits")
+
+
+@query(f"{_HITS} SELECT patch_id, 'NO_SOURCE' violation FROM ht WHERE patch_id % 3 = 0 UNION ALL SELECT unnest([-1, -2, -3]), 'NO_MATCH' UNION ALL SELECT f * 10 + 6, 'UNIT_MISMATCH' FROM c6")
 def h22_patch_violations(spark, d):
-    lost = spark.createDataFrame([(5, "no such code", "d", "1 mm", "page")], "patch_id long, code string, label string, value string, source string")
-    return H.apply_patches(_specs(spark, d), _patches(spark, d, True).unionByName(lost))[1]
+    return L.replay_patches(_priced_rows(spark, d), _patches(spark, d, True))[2]
+
+
+@query(f"{_I}, m AS (SELECT count(*) n FROM items) SELECT n, true AS unchanged FROM m")
+def h22_refused_log(spark, d):
+    """A log with violations leaves the multiset of rows as it was."""
+    rows = _priced_rows(spark, d)
+    flat = lambda df: L.row_digest(df.withColumn("s", _flat("specs")), "grp", "row_ord", "code", "brand", "s")
+    after = flat(L.replay_patches(rows, _patches(spark, d, True))[0])
+    return flat(rows).crossJoin(after.select(F.col("n").alias("m"), F.col("digest").alias("e"))).select("n", ((F.col("n") == F.col("m")) & (F.col("digest") == F.col("e"))).alias("unchanged"))  # one row each
+
+
+def _unit_patches(spark, d):
+    return items(spark, d).where("row_ord % 40 = 1").groupBy("code").agg(F.min("row_ord").alias("patch_id")).select("patch_id", F.lit("d").alias("label"), F.lit("99 mm").alias("value"))
 
 
 @query(f"{_I}, p AS (SELECT code, min(row_ord) id FROM items WHERE row_ord % 40 = 1 GROUP BY 1) SELECT id patch_id, 'd' AS label, '99 mm' AS value, 'inch' unit FROM p")
 def x40_unit_conflicts(spark, d):
-    return H.unit_conflicts(_patches(spark, d, False), spark.createDataFrame([("d", "inch")], "label string, unit string"))
+    return H.unit_conflicts(_unit_patches(spark, d), spark.createDataFrame([("d", "inch")], "label string, unit string"))
 
 
-_EDITS = "ed AS (SELECT min(row_ord) edit_id, CASE WHEN min(row_ord) % 17 = 0 THEN 'none' ELSE card_id END card_id, CASE min(row_ord) % 4 WHEN 0 THEN 'title' WHEN 1 THEN 'note' WHEN 2 THEN 'rows' ELSE 'title' END field, 'NEW ' || card_id AS value FROM cd GROUP BY card_id)"
+_EDITS = """e0 AS (SELECT min(row_ord) f, card_id FROM cd GROUP BY card_id), e1 AS (SELECT f edit_id, CASE WHEN f % 17 = 0 THEN 'none' ELSE card_id END card_id, CASE f % 6 WHEN 1 THEN 'note' WHEN 2 THEN 'rows' WHEN 4 THEN 'lines' WHEN 5 THEN 'legend' ELSE 'title' END field, 'NEW ' || card_id AS value FROM e0), ed AS (SELECT * FROM e1 UNION ALL SELECT edit_id + 100000000, card_id, field, value || ' again' FROM e1 WHERE edit_id % 19 = 0)"""
 
 
 def _edits(spark, d):
+    f = F.col("edit_id") % 6
     g = carded(spark, d).groupBy("card_id").agg(F.min("row_ord").alias("edit_id"))
-    m = F.col("edit_id") % 4
-    return g.select("edit_id", F.when(F.col("edit_id") % 17 == 0, "none").otherwise(F.col("card_id")).alias("card_id"), F.when((m == 0) | (m == 3), "title").when(m == 1, "note").otherwise("rows").alias("field"), F.concat(F.lit("NEW "), "card_id").alias("value"))
+    field = F.when(f == 1, "note").when(f == 2, "rows").when(f == 4, "lines").when(f == 5, "legend").otherwise("title")
+    e = g.select("edit_id", F.when(F.col("edit_id") % 17 == 0, "none").otherwise(F.col("card_id")).alias("card_id"), field.alias("field"), F.concat(F.lit("NEW "), "card_id").alias("value"))
+    e = e.unionByName(e.where("edit_id % 19 = 0").withColumns({"edit_id": F.col("edit_id") + 100000000, "value": F.concat("value", F.lit(" again"))}))
+    return e.withColumn("items", F.array(F.col("value"), F.lit("Second Line")))
 
 
-_EV = f"{_CARDS}, {_EDITS}, ev AS (SELECT edit_id, CASE WHEN c.title_source IS NULL THEN 'UNKNOWN_CARD' WHEN field NOT IN ('title','lines','legend','note') THEN 'FIELD' WHEN field = 'title' AND c.title_source = 'data' THEN 'TITLE_FROM_DATA' WHEN count(*) OVER (PARTITION BY e.card_id, field) > 1 THEN 'TWICE' END violation FROM ed e LEFT JOIN cards c USING (card_id))"
+_EV = f"{_CARDS}, {_EDITS}, ev0 AS (SELECT e.*, CASE WHEN c.title_source IS NULL THEN 'UNKNOWN_CARD' WHEN field NOT IN ('title','lines','legend','note') THEN 'FIELD' WHEN field = 'title' AND c.title_source = 'data' THEN 'TITLE_FROM_DATA' END v FROM ed e LEFT JOIN cards c USING (card_id)), ev AS (SELECT *, CASE WHEN v IS NOT NULL THEN v WHEN row_number() OVER (PARTITION BY card_id, field, v ORDER BY edit_id) > 1 THEN 'CONFLICT' END violation FROM ev0)"
 
 
-@query(f"{_EV} SELECT * FROM ev WHERE violation IS NOT NULL")
+@query(f"{_EV} SELECT edit_id, violation FROM ev WHERE violation IS NOT NULL")
 def h23_edit_violations(spark, d):
-    return H.validate_edits(_edits(spark, d), cards(spark, d))
+    return L.validate_edits(_edits(spark, d), cards(spark, d))
 
 
-@query(f"{_EV}, ok AS (SELECT ed.* FROM ed JOIN ev USING (edit_id) WHERE violation IS NULL) SELECT card_id, coalesce((SELECT max(value) FROM ok WHERE ok.card_id = c.card_id AND field = 'title'), title) title, coalesce((SELECT max(value) FROM ok WHERE ok.card_id = c.card_id AND field = 'note'), note) note FROM cards c")
+@query(f"""{_EV}, ok AS (SELECT * FROM ev WHERE violation IS NULL) SELECT card_id, coalesce((SELECT max(value) FROM ok WHERE ok.card_id = c.card_id AND field = 'title'), title) title, coalesce((SELECT max(value) FROM ok WHERE ok.card_id = c.card_id AND field = 'note'), note) note,
+ coalesce((SELECT max(value) || ';Second Line' FROM ok WHERE ok.card_id = c.card_id AND field = 'lines'), array_to_string(lines, ';')) AS lines, coalesce((SELECT max(value) || ';Second Line' FROM ok WHERE ok.card_id = c.card_id AND field = 'legend'), array_to_string(legend, ';')) legend FROM cards c""")
 def h23_apply_edits(spark, d):
+    """Edits that nothing speaks against."""
     e, c = _edits(spark, d), cards(spark, d)
-    return H.apply_edits(c, e.join(H.validate_edits(e, c).select("edit_id"), "edit_id", "left_anti"))
+    out = L.apply_edits(c, e.join(L.validate_edits(e, c).select("edit_id"), "edit_id", "left_anti"))
+    return out.select("card_id", "title", "note", F.array_join("lines", ";").alias("lines"), F.array_join("legend", ";").alias("legend"))
+
 
+@query(f"{_CARDS} SELECT card_id, title, array_to_string(lines, ';') AS lines FROM cards")
+def h23_refused_edits(spark, d):
+    """Edits of which some are violations change nothing."""
+    return L.apply_edits(cards(spark, d), _edits(spark, d)).select("card_id", "title", F.array_join("lines", ";").alias("lines"))
 
-_KB = "kb AS (SELECT code, min(name) title, CASE WHEN min(row_ord) % 2 = 0 THEN 'ok' ELSE 'review' END status FROM items WHERE row_ord % 3 <> 0 GROUP BY 1), ln AS (SELECT code, CASE WHEN min(row_ord) % 5 = 0 THEN min(name) || ' NEW' ELSE min(name) END title FROM items GROUP BY 1)"
+
+_KB = """kb AS (SELECT code, min(name) title, [min(sheet)] AS lines, CASE WHEN min(row_ord) % 4 = 1 THEN ['d: Inner'] ELSE [] END legend, CASE WHEN min(row_ord) % 2 = 0 THEN 'ok' ELSE 'review' END status FROM items WHERE row_ord % 3 <> 0 GROUP BY 1),
+ln AS (SELECT code, CASE WHEN min(row_ord) % 5 = 0 THEN min(name) || ' NEW' ELSE min(name) END title, CASE WHEN min(row_ord) % 7 = 0 THEN ['other'] ELSE [min(sheet)] END AS lines, CASE WHEN min(row_ord) % 4 = 1 THEN ['d: Inner'] ELSE [] END legend FROM items GROUP BY 1)"""
+
+
+def _kb_legend():
+    return F.when(F.col("f") % 4 == 1, F.array(F.lit("d: Inner"))).otherwise(F.array().cast("array<string>")).alias("legend")
 
 
 def _kb(spark, d):
-    g = items(spark, d).where("row_ord % 3 <> 0").groupBy("code").agg(F.min("name").alias("title"), F.min("row_ord").alias("f"))
-    return g.select("code", "title", F.when(F.col("f") % 2 == 0, "ok").otherwise("review").alias("status"))
+    g = items(spark, d).where("row_ord % 3 <> 0").groupBy("code").agg(F.min("name").alias("title"), F.min("sheet").alias("s"), F.min("row_ord").alias("f"))
+    return g.select("code", "title", F.array("s").alias("lines"), _kb_legend(), F.when(F.col("f") % 2 == 0, "ok").otherwise("review").alias("status"))
 
 
 def _learned(spark, d):
-    g = items(spark, d).groupBy("code").agg(F.min("name").alias("t"), F.min("row_ord").alias("f"))
-    return g.select("code", F.when(F.col("f") % 5 == 0, F.concat("t", F.lit(" NEW"))).otherwise(F.col("t")).alias("title"))
+    g = items(spark, d).groupBy("code").agg(F.min("name").alias("t"), F.min("sheet").alias("s"), F.min("row_ord").alias("f"))
+    return g.select("code", F.when(F.col("f") % 5 == 0, F.concat("t", F.lit(" NEW"))).otherwise(F.col("t")).alias("title"), F.array(F.when(F.col("f") % 7 == 0, "other").otherwise(F.col("s"))).alias("lines"), _kb_legend())
+
 
+_DIFF = "(k.title <> l.title OR k.lines <> l.lines OR k.legend <> l.legend)"
 
-@query(f"{_I}, {_KB} SELECT code, CASE WHEN l.title IS NULL OR k.status = 'ok' THEN k.title ELSE l.title END title, CASE WHEN l.title IS NULL OR k.status = 'ok' THEN k.status ELSE 'review' END status FROM kb k FULL JOIN ln l USING (code)")
+
+@query(f"{_I}, {_KB}, b AS (SELECT coalesce(k.code, l.code) code, k.title kt, k.lines kl, k.legend kg, k.status, l.title lt, l.lines ll, l.legend lg, l.code IS NULL OR (k.code IS NOT NULL AND {_DIFF} AND k.status = 'ok') keep FROM kb k FULL JOIN ln l ON k.code = l.code) SELECT code, CASE WHEN keep THEN kt ELSE lt END title, array_to_string(CASE WHEN keep THEN kl ELSE ll END, ';') AS lines, array_to_string(CASE WHEN keep THEN kg ELSE lg END, ';') legend, CASE WHEN keep THEN status ELSE 'review' END status FROM b")
 def h24_kb_learn(spark, d):
-    return H.kb_learn(_kb(spark, d), _learned(spark, d))[0]
+    stored = L.kb_learn(_kb(spark, d), _learned(spark, d))[0]
+    return stored.withColumns({"lines": F.array_join("lines", ";"), "legend": F.array_join("legend", ";")})
 
 
-@query(f"{_I}, {_KB} SELECT code, k.title, l.title AS new, k.status FROM kb k JOIN ln l USING (code) WHERE k.title <> l.title")
+@query(f"{_I}, {_KB} SELECT k.code, k.title, l.title AS new, k.status FROM kb k JOIN ln l ON k.code = l.code WHERE {_DIFF}")
 def h24_kb_conflicts(spark, d):
-    return H.kb_learn(_kb(spark, d), _learned(spark, d))[1]
+    return L.kb_learn(_kb(spark, d), _learned(spark, d))[1]
 
 
-@query(f"{_CARDS}, {_KB}, k AS (SELECT cd.card_id, cd.row_ord, cd.code, c.title, kb.title kt, count(DISTINCT kb.title) OVER (PARTITION BY cd.card_id) n, coalesce(min(CASE WHEN kb.title IS NOT NULL THEN cd.row_ord END) OVER (PARTITION BY cd.card_id, kb.title), 4611686018427387904) f FROM cd JOIN cards c USING (card_id) LEFT JOIN kb ON kb.code = cd.code) SELECT card_id, row_ord, code, CAST(CASE WHEN n >= 2 THEN dense_rank() OVER (PARTITION BY card_id ORDER BY f) ELSE 1 END AS INT) part, CASE WHEN trim(title) = '' THEN coalesce(kt, title) ELSE title END title FROM k")
+@query(f"""{_CARDS}, {_KB}, kr AS (SELECT cd.card_id, cd.row_ord, cd.code, c.title_source = 'data' fixed, kb.title kt, kb.lines kl, kb.legend kg FROM cd JOIN cards c USING (card_id) LEFT JOIN kb ON kb.code = cd.code),
+ca AS (SELECT card_id, count(DISTINCT kt) nt, bool_and(kt IS NOT NULL) alln, arg_min(kt, row_ord) t1, arg_min({{'l': kl, 'g': kg}}, row_ord) FILTER (kt IS NOT NULL) e1 FROM kr GROUP BY 1), tf AS (SELECT card_id, kt, min(row_ord) f, arg_min({{'l': kl, 'g': kg}}, row_ord) e FROM kr GROUP BY ALL), tn AS (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY kt IS NULL, f) part FROM tf)
+SELECT k.row_ord, k.code, CASE WHEN NOT fixed AND nt >= 2 THEN k.card_id || '-' || part ELSE k.card_id END card_id,
+ CASE WHEN fixed OR nt = 0 THEN c.title WHEN nt >= 2 THEN coalesce(k.kt, c.title) WHEN alln THEN t1 ELSE c.title END title,
+ array_to_string(CASE WHEN NOT fixed AND nt >= 2 THEN CASE WHEN k.kt IS NULL THEN c.lines ELSE tn.e.l END WHEN nt > 0 AND (fixed OR alln) AND len(c.lines) = 0 THEN e1.l ELSE c.lines END, ';') AS lines,
+ array_to_string(CASE WHEN NOT fixed AND nt >= 2 THEN CASE WHEN k.kt IS NULL THEN c.legend ELSE tn.e.g END WHEN nt > 0 AND (fixed OR alln) AND len(c.legend) = 0 THEN e1.g ELSE c.legend END, ';') legend
+FROM kr k JOIN cards c USING (card_id) JOIN ca USING (card_id) JOIN tn ON tn.card_id = k.card_id AND tn.kt IS NOT DISTINCT FROM k.kt""")
 def h25_kb_apply(spark, d):
-    rows = carded(spark, d).select("card_id", "row_ord", "code").join(cards(spark, d).select("card_id", "title", "title_source"), "card_id")
-    return H.kb_apply(rows, _kb(spark, d))
+    rows, made = L.kb_apply(carded(spark, d).select("card_id", "row_ord", "code"), cards(spark, d), _kb(spark, d))
+    return rows.join(made, "card_id").select("row_ord", "code", "card_id", "title", F.array_join("lines", ";").alias("lines"), F.array_join("legend", ";").alias("legend"))
+
+
+@query(f"{_CARDS}, {_KB} SELECT count(*) n, true AS unchanged FROM cd")
+def h25_rows_unchanged(spark, d):
+    """Rows after the knowledge base are the same multiset as before."""
+    before = carded(spark, d).select("card_id", "row_ord", "code")
+    a, b = L.row_digest(before, "row_ord", "code"), L.row_digest(L.kb_apply(before, cards(spark, d), _kb(spark, d))[0], "row_ord", "code")
+    return a.crossJoin(b.select(F.col("n").alias("m"), F.col("digest").alias("e"))).select("n", ((F.col("n") == F.col("m")) & (F.col("digest") == F.col("e"))).alias("unchanged"))  # one row each
 
 
 @query(f"{_I}, {_KB} SELECT code, title, CASE WHEN status = 'review' AND code LIKE '60%' THEN 'ok' ELSE status END status FROM kb")

@@ -90,15 +90,6 @@ def test_code_repair(spark):
     assert [r[0] for r in df.select(evidence.repair_code(F.col("n"), F.col("c"))).collect()] == ["Dao C-1 450x16x21 thép", "Dao khác", "Dao C-1 ok", "Dao C 1"]
 
 
-def test_patches_are_all_or_nothing(spark):
-    specs = spark.createDataFrame([("c1", "d", "1")], "code string, label string, value string")
-    schema = "patch_id long, code string, label string, value string, source string"
-    out, bad = prices.apply_patches(specs, spark.createDataFrame([(1, "c1", "d", "2", "page"), (2, "c1", "D", "9", "page")], schema))
-    assert sorted((r.label, r.value) for r in out.collect()) == [("D", "9"), ("d", "2")] and bad.count() == 0
-    out, bad = prices.apply_patches(specs, spark.createDataFrame([(1, "c1", "d", "2", "page"), (2, "c1", "D", "9", " ")], schema))
-    assert [(r.label, r.value) for r in out.collect()] == [("d", "1")] and [r.violation for r in bad.collect()] == ["NO_SOURCE"]
-
-
 def test_same_seed_same_rows(spark):
     df = spark.range(500).withColumnRenamed("id", "part_id")
     a, b = ({r.part_id for r in sampling.sample_rows(df, 50, s).collect()} for s in ("s", "s"))
