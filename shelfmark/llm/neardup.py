@@ -19,10 +19,11 @@ pairs although the pairs of a large group are never listed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import textkit as tk
@@ -37,6 +38,9 @@ COMPARED = 96
 #: pairs estimated this far below the threshold are still verified (over four standard deviations)
 MARGIN = 0.2
 
+#: two bits of each register, packed in longs; pairs of similarity 0.75 agree in 81 % of them
+MARKS = REGISTERS // 32
+
 _SEEDS = np.random.default_rng(20240501).integers(1, 1 << 32, (REGISTERS, 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
@@ -87,6 +91,29 @@ def registers(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def marks(regs: np.ndarray) -> np.ndarray:
+    """The two lowest bits of all registers, documents x ``MARKS`` longs."""
+    pairs = (regs & 3).astype(np.uint64).reshape(len(regs), MARKS, 32)
+    return np.bitwise_or.reduce(pairs << (2 * np.arange(32, dtype=np.uint64)), 2).view(np.int64)
+
+
+def least_agreement(percent: int, deviations: float = 5.0) -> int:
+    """How many marks a pair of the threshold agrees in at least, by five standard deviations: 3e-7 of such pairs have fewer."""
+    p = percent / 100 + (1 - percent / 100) / 4
+    return int(REGISTERS * p - deviations * (REGISTERS * p * (1 - p)) ** 0.5)
+
+
+def _agree(one: str, two: str) -> Column:
+    """How many marks of two rows agree."""
+    odd = 0x5555555555555555
+
+    def differ(i: int) -> Column:
+        x = F.col(f"{one}{i}").bitwiseXOR(F.col(f"{two}{i}"))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(odd)))
+
+    return F.lit(REGISTERS) - reduce(Column.__add__, (differ(i) for i in range(MARKS)))
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, steps: int = 30) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity of pairs of register rows with known set sizes."""
     above, below = (a > b).sum(1).astype(float), (a < b).sum(1).astype(float)
@@ -118,8 +145,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 one[full] = np.add.reduceat(sets, offsets[full])
                 two[full] = np.bitwise_xor.reduceat(tk.mix64(sets), offsets[full])
             rows = b.slice(s.first, s.n_docs)
-            cols = [rows.column(0), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([r.tobytes() for r in regs], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "s1", "s2", "regs"])
+            cols = [rows.column(0), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([r.tobytes() for r in regs], pa.binary()), *(pa.array(c) for c in marks(regs).T)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "s1", "s2", "regs", *(f"m{i}" for i in range(MARKS))])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +248,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(old.union(joined.join(labels, "v", "left_anti")), "labels")
 
 
-def _beyond_centres(measured: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _beyond_centres(measured: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of one centre and different components that may be links.
 
     ``measured``: v, pv, n, i (shingles shared with the centre pv), rest (those it
@@ -231,33 +258,42 @@ def _beyond_centres(measured: DataFrame, labels: DataFrame, percent: int) -> Dat
     they meet in the rarest ones (prefix filtering): ordered by rarity, the first
     |rest| - t + 1 of either side hold a common one, if t are shared.  Shingles
     that only one component has come first and need not be joined at all.
+
+    Texts made from one stock of sentences meet in nearly every shingle, so the
+    exact bounds tell them apart too rarely.  Each row therefore carries marks of
+    its registers, and a pair is listed only if it agrees in as many as a link
+    does: an estimate inside the join, before anything is written.
     """
+    sign = [f"m{i}" for i in range(MARKS)]
+    alike = _agree("xm", "ym") >= least_agreement(percent)
+    named = lambda side: [F.col(c).alias(f"{side}{c}") for c in sign]
     salt = F.pmod(F.xxhash64("v"), F.lit(16))
     around = measured.join(labels, "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component", "np").withColumn("salt", salt)
     around = written(around, "around")
     sizes = around.groupBy("pv", "c").agg(F.count("*").alias("m"), F.min("n").alias("least")).groupBy("pv").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.min("least").alias("least"), F.count("*").alias("cs"))
     sizes = sizes.where("cs > 1").select("pv", "top", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("salt"))
-    around = written(around.join(sizes, ["pv", "salt"]), "around")
+    around = written(around.join(sizes, ["pv", "salt"]).join(reps.select("v", *sign), "v"), "around")
 
     need = lambda n: F.ceil(percent * n / (100 + percent) - 1e-6)
     # the bound needs x to come near the centre itself, unless y is smaller than it: checked before the join
     near = around.where(F.col("i") >= need(F.col("n") + F.greatest("least", F.ceil(percent * F.col("n") / 100 - 1e-6))))
-    x = near.where("c <> top").select("pv", F.col("v").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
-    y = near.select(F.col("pv").alias("py"), F.col("v").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"))
-    bounded = x.join(y, (F.col("pv") == F.col("py")) & (F.col("cx") != F.col("cy")) & (F.least("ix", "iy") >= need(F.col("nx") + F.col("ny")))).select("x", "y")
+    x = near.where("c <> top").select("pv", F.col("v").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"), *named("x"))
+    y = near.select(F.col("pv").alias("py"), F.col("v").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"), *named("y"))
+    # files of these tables are far smaller than their rows: no broadcast by file size
+    bounded = x.join(y.hint("merge"), (F.col("pv") == F.col("py")) & (F.col("cx") != F.col("cy")) & (F.least("ix", "iy") >= need(F.col("nx") + F.col("ny"))) & alike).select("x", "y")
 
-    beyond = around.select("pv", "v", "c", "n", "i", "least", F.size("rest").alias("own"), F.explode("rest").alias("h"))
+    beyond = around.select("pv", "v", "c", "n", "i", "least", F.size("rest").alias("own"), *sign, F.explode("rest").alias("h"))
     useful = beyond.groupBy("pv", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("pv", "h", "df")
-    lists = beyond.join(useful, ["pv", "h"]).groupBy("pv", "v", "c", "n", "i", "least", "own").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    lists = beyond.join(useful.hint("merge"), ["pv", "h"]).groupBy("pv", "v", "c", "n", "i", "least", "own", *sign).agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
     alone = F.col("own") - F.size("hs")
     smaller = F.greatest(need(2 * F.col("n")) - F.col("i"), F.lit(1))
     larger = F.greatest(need(F.col("n") + F.greatest("least", F.ceil(percent * F.col("n") / 100 - 1e-6))) - F.col("i"), F.lit(1))
     lists = lists.withColumn("as_smaller", F.col("own") - smaller + 1 - alone).withColumn("as_larger", F.col("own") - larger + 1 - alone)
-    prefixes = written(lists.where("as_larger > 0").select("pv", "v", "c", "n", "as_smaller", F.posexplode(F.slice("hs", F.lit(1), F.greatest(F.col("as_larger"), F.lit(0)).cast("int"))).alias("at", "e")).select("pv", "v", "c", "n", F.col("e.h").alias("h"), (F.col("at") < F.col("as_smaller")).alias("small")), "prefixes")
-    small = prefixes.where("small").select("pv", "h", F.col("v").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-    large = prefixes.select("pv", "h", F.col("v").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
-    fit = (F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny")) & (100 * F.col("nx") >= percent * F.col("ny"))
-    return bounded.union(small.join(large, ["pv", "h"]).where(fit).select("x", "y"))
+    prefixes = written(lists.where("as_larger > 0").select("pv", "v", "c", "n", "as_smaller", *sign, F.posexplode(F.slice("hs", F.lit(1), F.greatest(F.col("as_larger"), F.lit(0)).cast("int"))).alias("at", "e")).select("pv", "v", "c", "n", *sign, F.col("e.h").alias("h"), (F.col("at") < F.col("as_smaller")).alias("small")), "prefixes")
+    small = prefixes.where("small").select("pv", "h", F.col("v").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), *named("x"))
+    large = prefixes.select("pv", "h", F.col("v").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), *named("y"))
+    fit = (F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny")) & (100 * F.col("nx") >= percent * F.col("ny")) & alike
+    return bounded.union(small.join(large.hint("merge"), ["pv", "h"]).where(fit).select("x", "y"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -273,11 +309,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     """
     threshold = percent / 100
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = written(base.mapInArrow(tk.tidy(_sketch), "doc_id long, n long, s1 long, s2 long, regs binary"), "sketches")
+    sketched = written(base.mapInArrow(tk.tidy(_sketch), "doc_id long, n long, s1 long, s2 long, regs binary, " + ", ".join(f"m{i} long" for i in range(MARKS))), "sketches")
     linked = sketched.where("n > 0 and doc_id is not null")
     classes = linked.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("v"))
     member = written(linked.select("doc_id", "n", "s1", "s2").distinct().join(classes, ["n", "s1", "s2"]).select("doc_id", "v").distinct(), "members")
-    reps = written(linked.withColumnRenamed("doc_id", "v").join(classes, ["v", "n", "s1", "s2"], "left_semi").select("v", "n", "regs"), "classes")
+    reps = written(linked.withColumnRenamed("doc_id", "v").join(classes, ["v", "n", "s1", "s2"], "left_semi").select("v", "n", "regs", *(f"m{i}" for i in range(MARKS))), "classes")
 
     bands = reps.select("v", "regs").mapInArrow(tk.tidy(_bands), "band long, v long")
     # small tables by band are written before they are joined, so that adaptive execution can split a large bucket
@@ -330,7 +366,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     measured = written(spokes.join(of_v, "v").join(of_p, "pv").select("v", "pv", "sv", "sp").mapInArrow(tk.tidy(_against), "v long, pv long, n long, np long, i long, rest array<long>"), "spokes")
     star = measured.where((F.col("v") != F.col("pv")) & (100 * F.col("i") >= percent * (F.col("n") + F.col("np") - F.col("i"))))
     labels = merged(labels, star.select(F.least("v", "pv").alias("a"), F.greatest("v", "pv").alias("b")))
-    labels = merged(labels, written(verified(likely(ordered(_beyond_centres(measured, labels, percent)).join(candidates, ["a", "b"], "left_anti"))), "links"))
+    labels = merged(labels, written(verified(likely(ordered(_beyond_centres(measured, labels, reps, percent)).join(candidates, ["a", "b"], "left_anti"))), "links"))
 
     nodes = member.join(labels, "v", "left").select("doc_id", F.col("v").alias("class_id"), F.coalesce("component", "v").alias("c"))
     nodes = nodes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("c").alias("c"))

@@ -38,6 +38,9 @@ def record_bytes(headers: list[tuple[str, str]], payload: bytes) -> bytes:
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + f"Content-Length: {len(payload)}\r\n\r\n"
     return head.encode("utf-8") + payload + b"\r\n\r\n"
 
+#: an archive is fed to the decoder in pieces of this size
+PIECE_BYTES = 16 << 10
+
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and payload; raises ValueError on a malformed head or a wrong length."""
@@ -76,12 +79,14 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     reader = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     view = memoryview(data)
     while at < len(data):
-        one = reader.decompressobj()
-        raw = one.decompress(view[at:])
+        one, parts, fed = reader.decompressobj(), [], at
+        while not one.eof and fed < len(data):  # what follows the frame is copied back, so pieces are small
+            parts.append(one.decompress(view[fed : fed + PIECE_BYTES]))
+            fed = min(fed + PIECE_BYTES, len(data))
         if not one.eof:
             raise ValueError(f"the frame at byte {at} is cut short")
-        at = len(data) - len(one.unused_data)
-        yield parse_record(raw)
+        at = fed - len(one.unused_data)
+        yield parse_record(b"".join(parts))
 
 
 def train_dictionary(pages: DataFrame, html: str, sample_rows: int, dict_bytes: int) -> bytes:
