@@ -9,7 +9,7 @@ grouped and joined on (cluster, attribute) keys of the exploded pair table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -21,9 +21,24 @@ MIN_PEERS = 5
 COVERAGE, GROUP_COVERAGE = 0.90, 0.95
 
 
+def prepared(df: DataFrame) -> DataFrame:
+    """The table with what all steps read from its texts (attribute pairs, numbers, tokens and skeleton of the name), parsed once and written."""
+    c = F.col("description")
+    return kept(df.withColumns({"_pairs": X.parse_filters(F.col("filters")), "_empty": X.is_empty_filter(F.col("filters")), "_nums": X.numbers(c), "_toks": X.tokens(c), "_skeleton": X.skeleton(c), "_own": X.row_group(F.col("filters"))}))
+
+
+def _read(df: DataFrame, name: str) -> Column:
+    """A column of ``prepared``, or its expression where the table was not prepared."""
+    if name in df.columns:
+        return F.col(name)
+    make = {"_pairs": (X.parse_filters, "filters"), "_empty": (X.is_empty_filter, "filters"), "_own": (X.row_group, "filters"), "_nums": (X.numbers, "description"), "_toks": (X.tokens, "description"), "_skeleton": (X.skeleton, "description")}
+    f, c = make[name]
+    return f(F.col(c))
+
+
 def pairs(df: DataFrame) -> DataFrame:
     """(row_ord, pos, k, v), one row for each pair of the attribute string, repeats included."""
-    return df.select("row_ord", F.posexplode(X.parse_filters(F.col("filters"))).alias("pos", "p")).select("row_ord", "pos", "p.k", "p.v")
+    return df.select("row_ord", F.posexplode(_read(df, "_pairs")).alias("pos", "p")).select("row_ord", "pos", "p.k", "p.v")
 
 
 def first_values(long: DataFrame) -> DataFrame:
@@ -44,7 +59,7 @@ def mode_first(df: DataFrame, keys: list[str], value: str, order: str, out: str)
 
 def resolve_groups(df: DataFrame) -> DataFrame:
     """Row group from its own keys, else the majority group of its skeleton (one vote on the original groups)."""
-    own = df.select("row_ord", X.skeleton(F.col("description")).alias("skeleton"), X.row_group(F.col("filters")).alias("own"))
+    own = df.select("row_ord", _read(df, "_skeleton").alias("skeleton"), _read(df, "_own").alias("own"))
     major = mode_first(own.where("own is not null"), ["skeleton"], "own", "row_ord", "major").drop("n_major")
     return own.join(major, "skeleton", "left").select("row_ord", "skeleton", F.coalesce("own", "major").alias("grp"), F.col("own").isNull().alias("voted"))
 
@@ -59,23 +74,26 @@ def _sized(grouped: DataFrame) -> DataFrame:
 def clusters(df: DataFrame, grouped: DataFrame, min_peers: int = MIN_PEERS) -> tuple[DataFrame, DataFrame]:
     """Which cluster judges each row, and the members that a cluster learns from.
 
-    The first that has enough rows: level 1, rows of one skeleton; level 2, a row
-    of a rare skeleton and its similar peers in the group; level 3, the whole
+    The first that has enough rows: level 1, rows of one skeleton; level 2, rows of
+    rare skeletons with one token set and their similar peers in the group; level 3, the whole
     group.  A row without a cluster, or in one in which no row has attributes, is
     judged by filled rows that are like it anywhere (level 4), if there are enough.
     Returns (row_ord, grp, cluster_id, level), with nulls where a row stands alone,
     and (cluster_id, level, row_ord).
     """
+    grouped = kept(grouped)
     sized = _sized(grouped)
-    similar = kept(similar_peers(df, grouped, min_peers=min_peers).select("a", "b"))
-    own = similar.groupBy(F.col("a").alias("row_ord")).agg(F.count("*").alias("n_similar")).where(F.col("n_similar") + 1 >= min_peers)
+    classes = kept(name_classes(df, grouped, min_peers))
+    similar = kept(similar_classes(classes).select("a", "b", "n"))
+    own = similar.groupBy("a").agg(F.sum("n").alias("n_similar")).where(F.col("n_similar") + 1 >= min_peers)
+    asking = kept(classes.where("rare").select("row_ord", "a").join(own, "a"))
     level = F.when(F.col("n_skeleton") >= min_peers, 1).when(F.col("n_similar").isNotNull(), 2).when(F.col("n_grp") >= min_peers, 3)
-    placed = sized.join(own, "row_ord", "left").withColumn("level", level)
-    key = F.when(F.col("level") == 1, F.concat(F.lit("s:"), F.md5(F.col("skeleton").cast("binary")))).when(F.col("level") == 2, F.concat(F.lit("p:"), F.col("row_ord").cast("string"))).when(F.col("level") == 3, F.concat(F.lit("g:"), "grp"))
+    placed = sized.join(asking, "row_ord", "left").withColumn("level", level)
+    key = F.when(F.col("level") == 1, F.concat(F.lit("s:"), F.md5(F.col("skeleton").cast("binary")))).when(F.col("level") == 2, F.concat(F.lit("p:"), F.col("a").cast("string"))).when(F.col("level") == 3, F.concat(F.lit("g:"), "grp"))
     first = kept(placed.select("row_ord", "grp", key.alias("cluster_id"), "level"))
-    lone = first.where("level = 2").select("row_ord", "cluster_id", "level")
-    members = first.where("level <= 2").select("cluster_id", "level", "row_ord")
-    members = members.unionByName(lone.withColumnRenamed("row_ord", "a").join(similar, "a").select("cluster_id", "level", F.col("b").alias("row_ord")))
+    members = first.where("level = 1").select("cluster_id", "level", "row_ord")
+    peers = similar.join(own, "a").select("a", "b").unionByName(classes.join(own, "a").select("a", "b")).distinct()
+    members = members.unionByName(peers.join(classes.select("b", "row_ord"), "b").select(F.concat(F.lit("p:"), F.col("a").cast("string")).alias("cluster_id"), F.lit(2).alias("level"), "row_ord"))
     whole = first.where("level = 3").select("grp", "cluster_id", "level").distinct()
     members = kept(members.unionByName(whole.join(grouped.select("grp", "row_ord"), "grp").select("cluster_id", "level", "row_ord")))
     rescued = kept(rescue_peers(df, without_filled_peers(df, first, members), min_peers=min_peers).select("a", "b"))
@@ -85,30 +103,42 @@ def clusters(df: DataFrame, grouped: DataFrame, min_peers: int = MIN_PEERS) -> t
     return kept(assigned), kept(members.unionByName(rescued.select(label.alias("cluster_id"), F.lit(4).alias("level"), F.col("b").alias("row_ord"))))
 
 
-def similar_peers(df: DataFrame, grouped: DataFrame, threshold: float = 0.6, min_peers: int = MIN_PEERS) -> DataFrame:
-    """For rows whose skeleton is rare: peers of the same group by token Jaccard similarity.
+def name_classes(df: DataFrame, grouped: DataFrame, min_peers: int = MIN_PEERS) -> DataFrame:
+    """(row_ord, grp, rare, t, b, a, n): rows of one group and token set are one class.
+
+    ``b`` is its first row, ``n`` its size, and ``a`` its first row with a rare
+    skeleton, null where it has none.
+    """
+    toks = df.select("row_ord", _read(df, "_toks").alias("t")).join(_sized(grouped).select("row_ord", "grp", (F.col("n_skeleton") < min_peers).alias("rare")), "row_ord").where("grp is not null").withColumn("t", F.array_sort("t"))
+    by = toks.groupBy("grp", "t").agg(F.min("row_ord").alias("b"), F.min(F.when(F.col("rare"), F.col("row_ord"))).alias("a"), F.count("*").alias("n"))
+    return toks.join(by, ["grp", "t"])
+
+
+def similar_classes(classes: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(a, b, n, jaccard): for classes with a rare row, the classes of the same group with similar tokens, and their rows (other than ``a``).
 
-    Prefix filtering: ordered by rarity in the group, rows that share enough tokens
+    Prefix filtering: ordered by rarity in the group, sets that share enough tokens
     share one among the first n - ceil(threshold * n) + 1 of either, so tokens that
-    the whole group has join nothing; pairs that meet are then compared in full.
+    the whole group has join nothing; classes that meet are then compared in full.
+    Alike rows are one class, so their number does not matter.
     """
-    toks = df.select("row_ord", X.tokens(F.col("description")).alias("t")).join(_sized(grouped).select("row_ord", "grp", (F.col("n_skeleton") < min_peers).alias("rare")), "row_ord").where("grp is not null")
-    long = toks.select("row_ord", "grp", F.explode("t").alias("tok"))
+    own = classes.select("grp", "t", "a", "b", "n").distinct()
+    long = own.select("grp", "b", F.explode("t").alias("tok"))
     common = long.groupBy("grp", "tok").agg(F.count("*").alias("df"))
-    ordered = long.join(common, ["grp", "tok"]).groupBy("row_ord").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"))
+    ordered = long.join(common, ["grp", "tok"]).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"))
     n = F.size("o")
-    lead = toks.join(ordered, "row_ord").select("row_ord", "grp", "rare", "t", F.explode(F.slice("o", F.lit(1), (n - F.ceil(threshold * n - 1e-9) + 1).cast("int"))).alias("e")).select("row_ord", "grp", "rare", "t", F.col("e.tok").alias("tok"))
-    asking = lead.where("rare").select(F.col("row_ord").alias("a"), "grp", "tok", F.col("t").alias("ta"))
-    met = asking.join(lead.select(F.col("row_ord").alias("b"), "grp", "tok", F.col("t").alias("tb")), ["grp", "tok"]).where("a <> b").dropDuplicates(["a", "b"])
+    lead = own.join(ordered, "b").select("grp", "a", "b", "n", "t", F.explode(F.slice("o", F.lit(1), (n - F.ceil(threshold * n - 1e-9) + 1).cast("int"))).alias("e")).select("grp", "a", "b", "n", "t", F.col("e.tok").alias("tok"))
+    asking = lead.where("a is not null").select("a", F.col("b").alias("own"), "grp", "tok", F.col("t").alias("ta"))
+    met = asking.join(lead.select("b", "grp", "tok", "n", F.col("t").alias("tb")), ["grp", "tok"]).select("a", "b", (F.col("n") - (F.col("own") == F.col("b")).cast("int")).alias("n"), "ta", "tb").where("n > 0").dropDuplicates(["a", "b"])
     ov = F.size(F.array_intersect("ta", "tb"))
-    both = met.select("a", "b", ov.alias("ov"), (F.size("ta") + F.size("tb") - ov).alias("un"))
-    return both.where((F.col("ov") > 0) & (F.col("ov") >= threshold * F.col("un"))).select("a", "b", F.bround(F.col("ov") / F.col("un"), 6).alias("jaccard"))
+    both = met.select("a", "b", "n", ov.alias("ov"), (F.size("ta") + F.size("tb") - ov).alias("un"))
+    return both.where((F.col("ov") > 0) & (F.col("ov") >= threshold * F.col("un"))).select("a", "b", "n", F.bround(F.col("ov") / F.col("un"), 6).alias("jaccard"))
 
 
 def cluster_coverage(df: DataFrame, members: DataFrame) -> DataFrame:
     """(cluster_id, level, k, cov, n_have): share of members with any attributes that have the attribute."""
     long = first_values(pairs(df)).join(members, "row_ord")
-    filled = members.join(df.where(~X.is_empty_filter(F.col("filters"))).select("row_ord"), "row_ord", "left_semi").groupBy("cluster_id").agg(F.count("*").alias("n_peers"))
+    filled = members.join(df.where(~_read(df, "_empty")).select("row_ord"), "row_ord", "left_semi").groupBy("cluster_id").agg(F.count("*").alias("n_peers"))
     have = long.groupBy("cluster_id", "level", "k").agg(F.count("*").alias("n_have"))
     return have.join(filled, "cluster_id").withColumn("cov", F.col("n_have") / F.col("n_peers"))
 
@@ -123,7 +153,7 @@ def learn_schema(df: DataFrame, members: DataFrame, min_const_in_name: float = 0
     covered = cluster_coverage(df, members)
     wide = covered.where(F.col("cov") >= F.when(F.col("level") == 3, GROUP_COVERAGE).otherwise(COVERAGE))
     members = members.select("row_ord", "cluster_id")
-    named = df.select("row_ord", F.col("description").alias("name"), X.numbers(F.col("description")).alias("nums"))
+    named = df.select("row_ord", F.col("description").alias("name"), _read(df, "_nums").alias("nums"))
     wide = kept(wide)
     long = kept(first_values(pairs(df)).join(members, "row_ord").join(wide.select("cluster_id", "k", "level", "n_have", "n_peers"), ["cluster_id", "k"]).join(named, "row_ord"))
     const = long.groupBy("cluster_id", "k").agg(F.count_distinct("v").alias("values"), F.min("v").alias("value"), F.avg(F.lower("name").contains(F.lower("v")).cast("int")).alias("share")).where("values = 1")
@@ -131,7 +161,7 @@ def learn_schema(df: DataFrame, members: DataFrame, min_const_in_name: float = 0
 
     last = last_values(pairs(df)).select("row_ord", "k", F.col("v").alias("last"))
     placed = long.join(last, ["row_ord", "k"]).select("cluster_id", "k", "row_ord", F.col("last").alias("v"), F.posexplode("nums").alias("slot", "num"))
-    even = df.select("row_ord", F.size(X.numbers(F.col("description"))).alias("c")).join(members, "row_ord").groupBy("cluster_id").agg((F.min("c") == F.max("c")).alias("even"))
+    even = df.select("row_ord", F.size(_read(df, "_nums")).alias("c")).join(members, "row_ord").groupBy("cluster_id").agg((F.min("c") == F.max("c")).alias("even"))
     placed = kept(placed.join(long.select("cluster_id", "level").distinct(), "cluster_id").join(even, "cluster_id").where("level = 1 or even"))
     cands = placed.withColumn("template", X.sub_first_num(F.col("v"), F.col("num"))).where("template is not null").groupBy("cluster_id", "k", "slot", "template").agg(F.count("*").alias("n"), F.min("row_ord").alias("first"))
     cands = cands.withColumn("_r", F.row_number().over(W.partitionBy("cluster_id", "k").orderBy(F.desc("n"), "first", "slot", "template"))).where(F.col("_r") <= top_slots)
@@ -168,7 +198,7 @@ def contradictions(df: DataFrame, assigned: DataFrame, schema: DataFrame) -> Dat
 
 def odd_attributes(df: DataFrame, assigned: DataFrame, members: DataFrame, rare: float = 0.05, min_peers: int = MIN_PEERS) -> DataFrame:
     """N/A keys beside other pairs, and attributes that under ``rare`` of the peers have."""
-    filled = df.where(~X.is_empty_filter(F.col("filters"))).select("row_ord")
+    filled = df.where(~_read(df, "_empty")).select("row_ord")
     long = pairs(df).join(filled, "row_ord", "left_semi")
     na = long.where(F.upper("k") == "N/A").select("row_ord", "k", F.lit("NA_KEY").alias("reason"))
     few = cluster_coverage(df, members).where((F.col("n_peers") >= min_peers) & (F.col("cov") < rare)).select("cluster_id", "k")
@@ -280,7 +310,7 @@ def audit_summary(df: DataFrame, assigned: DataFrame, missing: DataFrame, contra
 
 def without_filled_peers(df: DataFrame, assigned: DataFrame, members: DataFrame) -> DataFrame:
     """Rows (row_ord) in no cluster, or in one that has no member with any attributes."""
-    filled = df.where(~X.is_empty_filter(F.col("filters"))).select("row_ord")
+    filled = df.where(~_read(df, "_empty")).select("row_ord")
     served = members.join(filled, "row_ord", "left_semi").select("cluster_id").distinct()
     return assigned.join(served, "cluster_id", "left_anti").select("row_ord")
 
@@ -288,7 +318,7 @@ def without_filled_peers(df: DataFrame, assigned: DataFrame, members: DataFrame)
 def rescue_peers(df: DataFrame, wanted: DataFrame, max_postings: int = 4000, top: int = 400, threshold: float = 0.5, min_peers: int = MIN_PEERS) -> DataFrame:
     """Corpus-wide peers among filled rows for rows whose cluster has none: frequent tokens do not nominate,
     the ``top`` rows by shared tokens are compared by Jaccard similarity."""
-    toks = df.select("row_ord", X.tokens(F.col("description")).alias("t"), (~X.is_empty_filter(F.col("filters"))).alias("filled"))
+    toks = df.select("row_ord", _read(df, "_toks").alias("t"), (~_read(df, "_empty")).alias("filled"))
     long = toks.select("row_ord", "filled", F.size("t").alias("n"), F.explode("t").alias("tok"))
     posting = long.where("filled").groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") <= max_postings)
     index = long.where("filled").join(posting, "tok").select(F.col("row_ord").alias("b"), F.col("n").alias("nb"), "tok")

@@ -106,7 +106,7 @@ def ingest_replies(replies: DataFrame, dealt: DataFrame) -> DataFrame:
 def resolve(verdicts: DataFrame, queue: DataFrame, leaves: DataFrame) -> DataFrame:
     """Suggested leaf looked up in its level 1 catalog by folded name; the id only if there is exactly one."""
     names = leaves.select("level1_name", X.fold(F.col("leaf_name")).alias("_f"), F.col("leaf_name").alias("target_name"), "leaf_ids").withColumn("_n", F.row_number().over(W.partitionBy("level1_name", "_f").orderBy("target_name"))).where("_n = 1").drop("_n")
-    out = verdicts.join(queue.select("key_hash", "level1_name"), "key_hash").withColumn("_f", X.fold(F.col("suggested"))).join(F.broadcast(names), ["level1_name", "_f"], "left")
+    out = verdicts.join(queue.select("key_hash", "level1_name"), "key_hash").withColumn("_f", X.fold(F.col("suggested"))).join(names, ["level1_name", "_f"], "left")
     status = F.when(F.col("suggested").isNull(), "NONE").when(F.col("target_name").isNull(), "NOT_IN_CATALOG").when(F.size("leaf_ids") == 1, "OK").otherwise("AMBIGUOUS")
     return out.withColumn("target_status", status).withColumn("target_id", F.when(F.col("target_status") == "OK", F.col("leaf_ids")[0])).drop("_f", "leaf_ids")
 

@@ -190,8 +190,8 @@ def lint_cards(cards: DataFrame) -> DataFrame:
 
 def lint_rows(rows: DataFrame) -> DataFrame:
     """Violations of card rows: order codes, codes, empty markers, order codes of other cards."""
-    elsewhere = F.min("card_id").over(W.partitionBy("order_code")) != F.max("card_id").over(W.partitionBy("order_code"))
-    df = rows.withColumn("_e", elsewhere)
+    twice = rows.where("order_code is not null").groupBy("order_code").agg((F.min("card_id") != F.max("card_id")).alias("_e"))
+    df = rows.join(twice, "order_code", "left")
     rules = [
         ("error", "ORDER_CODE", ~F.coalesce("order_code", F.lit("")).rlike("^[0-9]{7}$")), ("error", "ORDER_CODE_ELSEWHERE", F.col("_e") & F.coalesce("order_code", F.lit("")).rlike("^[0-9]{7}$")),
         ("error", "EMPTY_CODE", F.trim(F.coalesce("code", F.lit(""))) == ""), ("warning", "EMPTY_MARKER", F.col("code").isin(EMPTY_MARKERS) | F.col("price_raw").isin(EMPTY_MARKERS)),

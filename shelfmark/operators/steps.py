@@ -14,11 +14,14 @@ _own: dict[str, str] = {}
 def kept(df: DataFrame) -> DataFrame:
     """The table, written below ``spark.checkpoint.dir`` and read back: computed once, and safe from lost executors.
 
-    Where that setting is unset, as in local runs, a folder of its own is used.
+    Where that setting is unset, local runs get a folder of their own; on a cluster,
+    whose executors would each write to their own disk, that is an error.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         app = spark.sparkContext.applicationId
         folder = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-steps-"))
     path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"

@@ -98,6 +98,6 @@ def review_order(cells: DataFrame) -> DataFrame:
 
 
 def standards_available(long: DataFrame, standards: DataFrame) -> DataFrame:
-    """Rows that name a standard, and whether its reference table is at hand (small table, broadcast)."""
+    """Rows that name a standard, and whether its reference table is at hand ."""
     s = long.where(X.base_attr(F.col("k")) == "Standard").select("row_ord", F.col("v").alias("standard"))
-    return s.join(F.broadcast(standards.select("standard").distinct().withColumn("available", F.lit(True))), "standard", "left").select("row_ord", "standard", F.coalesce("available", F.lit(False)).alias("available"))
+    return s.join(standards.select("standard").distinct().withColumn("available", F.lit(True)), "standard", "left").select("row_ord", "standard", F.coalesce("available", F.lit(False)).alias("available"))

@@ -22,10 +22,11 @@ gv AS (SELECT f.skeleton, o.g, count(*) n, min(row_ord) fo FROM own o JOIN flags
 grouped AS (SELECT f.row_ord, f.skeleton, coalesce(o.g, m.g) grp, o.g IS NULL voted FROM flags f LEFT JOIN own o USING (row_ord) LEFT JOIN maj m ON m.skeleton = f.skeleton),
 sized AS (SELECT *, count(*) OVER (PARTITION BY skeleton) s, CASE WHEN grp IS NOT NULL THEN count(*) OVER (PARTITION BY grp) END g FROM grouped),
 tks AS (SELECT row_ord, emp, {D.tokens('description')} t FROM flags),
-l2p AS (SELECT a, b, ov / un::DOUBLE jac FROM (SELECT x.row_ord a, y.row_ord b, len(list_intersect(tx.t, ty.t)) ov, len(list_distinct(list_concat(tx.t, ty.t))) un FROM sized x JOIN sized y ON x.grp = y.grp AND x.row_ord <> y.row_ord JOIN tks tx ON tx.row_ord = x.row_ord JOIN tks ty ON ty.row_ord = y.row_ord WHERE x.s < 5) WHERE ov > 0 AND ov >= 0.6 * un),
-l2c AS (SELECT a FROM l2p GROUP BY 1 HAVING count(*) + 1 >= 5),
-asg AS (SELECT row_ord, grp, CASE WHEN s >= 5 THEN 's:' || md5(skeleton) WHEN a IS NOT NULL THEN 'p:' || row_ord WHEN g >= 5 THEN 'g:' || grp END cluster_id, CASE WHEN s >= 5 THEN 1 WHEN a IS NOT NULL THEN 2 WHEN g >= 5 THEN 3 END AS level FROM sized LEFT JOIN l2c ON a = row_ord),
-mem0 AS (SELECT cluster_id, level, row_ord FROM asg WHERE level <= 2 UNION ALL SELECT cluster_id, level, b FROM asg JOIN l2p ON a = row_ord WHERE level = 2 UNION ALL SELECT c.cluster_id, 3, g.row_ord FROM (SELECT DISTINCT cluster_id, grp FROM asg WHERE level = 3) c JOIN grouped g USING (grp)),
+ntok AS (SELECT x.row_ord, x.grp, x.s, list_sort(t) tk FROM sized x JOIN tks USING (row_ord) WHERE x.grp IS NOT NULL), ncls AS (SELECT grp, tk, min(row_ord) b, min(row_ord) FILTER (s < 5) a, count(*) n FROM ntok GROUP BY 1, 2),
+l2p AS (SELECT a, b, n, ov / un::DOUBLE jac FROM (SELECT x.a, y.b, y.n - (x.tk = y.tk)::INT n, len(list_intersect(x.tk, y.tk)) ov, len(list_distinct(list_concat(x.tk, y.tk))) un FROM ncls x JOIN ncls y ON x.grp = y.grp WHERE x.a IS NOT NULL) WHERE n > 0 AND ov > 0 AND ov >= 0.6 * un),
+l2c AS (SELECT a FROM l2p GROUP BY 1 HAVING sum(n) + 1 >= 5), l2r AS (SELECT t.row_ord, c.a FROM ntok t JOIN ncls c USING (grp, tk) JOIN l2c ON l2c.a = c.a WHERE t.s < 5),
+asg AS (SELECT row_ord, grp, CASE WHEN s >= 5 THEN 's:' || md5(skeleton) WHEN a IS NOT NULL THEN 'p:' || a WHEN g >= 5 THEN 'g:' || grp END cluster_id, CASE WHEN s >= 5 THEN 1 WHEN a IS NOT NULL THEN 2 WHEN g >= 5 THEN 3 END AS level FROM sized LEFT JOIN l2r USING (row_ord)),
+mem0 AS (SELECT cluster_id, level, row_ord FROM asg WHERE level = 1 UNION ALL SELECT DISTINCT 'p:' || p.a, 2, t.row_ord FROM (SELECT a, b FROM l2p UNION ALL SELECT a, b FROM ncls) p JOIN l2c ON l2c.a = p.a JOIN ncls c ON c.b = p.b JOIN ntok t ON t.grp = c.grp AND t.tk = c.tk UNION ALL SELECT c.cluster_id, 3, g.row_ord FROM (SELECT DISTINCT cluster_id, grp FROM asg WHERE level = 3) c JOIN grouped g USING (grp)),
 served AS (SELECT DISTINCT cluster_id FROM mem0 JOIN flags USING (row_ord) WHERE NOT emp), wanted AS (SELECT row_ord FROM asg a WHERE NOT EXISTS (SELECT 1 FROM served s WHERE s.cluster_id = a.cluster_id)),
 rc AS (SELECT a.row_ord a, b.row_ord b, list_intersect(a.t, b.t) sh, len(list_distinct(list_concat(a.t, b.t))) un FROM tks a JOIN wanted w ON w.row_ord = a.row_ord JOIN tks b ON NOT b.emp AND a.row_ord <> b.row_ord), post AS (SELECT tok, count(*) df FROM (SELECT unnest(t) tok FROM tks WHERE NOT emp) GROUP BY 1 HAVING count(*) <= 4000),
 rh4 AS (SELECT a, b, len(sh) ov, un, (SELECT count(*) FROM post WHERE list_contains(sh, tok)) hits FROM rc), rk AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY hits DESC, b) k FROM rh4 WHERE hits > 0), rescued AS (SELECT a, b, round_even((ov / un::DOUBLE)::DECIMAL(18,9), 6)::DOUBLE jaccard FROM rk WHERE k <= 400 AND round_even((ov / un::DOUBLE)::DECIMAL(18,9), 6) >= 0.5 QUALIFY count(*) OVER (PARTITION BY a) >= 5),
@@ -56,12 +57,16 @@ S = f"{G}, {COVER}, {SCHEMA}"
 M = f"{S}, {MISSING}"
 
 
+def prepared(spark: SparkSession, d: str) -> DataFrame:
+    return once(spark, d, "prepared", lambda: A.prepared(catalog(spark, d)))
+
+
 def grouped(spark: SparkSession, d: str) -> DataFrame:
-    return A.resolve_groups(catalog(spark, d))
+    return once(spark, d, "grouped", lambda: kept(A.resolve_groups(prepared(spark, d))))
 
 
 def clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return once(spark, d, "clusters", lambda: A.clusters(catalog(spark, d), grouped(spark, d)))
+    return once(spark, d, "clusters", lambda: A.clusters(prepared(spark, d), grouped(spark, d)))
 
 
 def assigned(spark: SparkSession, d: str) -> DataFrame:
@@ -73,11 +78,11 @@ def members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def schema(spark: SparkSession, d: str) -> DataFrame:
-    return once(spark, d, "schema", lambda: kept(A.learn_schema(catalog(spark, d), members(spark, d))))
+    return once(spark, d, "schema", lambda: kept(A.learn_schema(prepared(spark, d), members(spark, d))))
 
 
 def missing(spark: SparkSession, d: str) -> DataFrame:
-    return A.missing_attributes(catalog(spark, d), assigned(spark, d), schema(spark, d))
+    return A.missing_attributes(prepared(spark, d), assigned(spark, d), schema(spark, d))
 
 
 @query(rf"WITH {CATALOG_CTE} SELECT part_id, {D.norm_space('description')} spaced, {D.skeleton('description')} skeleton, array_to_string({D.numbers('description')}, ',') nums, array_to_string(list_sort({D.tokens('description')}), ' ') toks, regexp_replace(coalesce(filters,''), '[0-9.,]+', '#', 'g') shaped FROM catalog")
@@ -134,9 +139,10 @@ def b02_b04_clusters(spark, d):
     return assigned(spark, d)
 
 
-@query(f"{G} SELECT a, b, round_even(jac::DECIMAL(18,9), 6)::DOUBLE jaccard FROM l2p")
+@query(f"{G} SELECT a, b, n, round_even(jac::DECIMAL(18,9), 6)::DOUBLE jaccard FROM l2p")
 def b03_similar_peers(spark, d):
-    return A.similar_peers(catalog(spark, d), grouped(spark, d))
+    """Classes of rows with one token set, with how many rows each peer class stands for."""
+    return A.similar_classes(A.name_classes(prepared(spark, d), grouped(spark, d)))
 
 
 @query(f"{G} SELECT cluster_id, level, row_ord FROM members")
@@ -147,7 +153,7 @@ def b02_b05_members(spark, d):
 
 @query(f"{G}, {COVER} SELECT cluster_id, level, k, n_have, n_peers, round_even(cov::DECIMAL(18,9), 6)::DOUBLE cov FROM cover")
 def b06_coverage(spark, d):
-    return A.cluster_coverage(catalog(spark, d), members(spark, d)).withColumn("cov", F.bround("cov", 6))
+    return A.cluster_coverage(prepared(spark, d), members(spark, d)).withColumn("cov", F.bround("cov", 6))
 
 
 @query(f"{S} SELECT * FROM schema")
@@ -162,7 +168,7 @@ def b10_missing(spark, d):
 
 @query(f"{S}, {CONTRA} SELECT * FROM contra")
 def b11_contradictions(spark, d):
-    return A.contradictions(catalog(spark, d), assigned(spark, d), schema(spark, d))
+    return A.contradictions(prepared(spark, d), assigned(spark, d), schema(spark, d))
 
 
 _ODD_CAT = CATALOG_CTE.replace("catalog AS", "catalog0 AS") + ", catalog AS (SELECT * REPLACE (CASE WHEN part_id % 200 = 1 AND filters IS NOT NULL THEN filters || ' | N/A: x | Odd Of bolt: 1' ELSE filters END AS filters) FROM catalog0)"

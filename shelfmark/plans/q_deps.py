@@ -41,8 +41,7 @@ _BASE = r"CASE WHEN regexp_matches(k, '(?i)^(.*?)\s+(Of|Của)\s+(.+)$') AND low
 
 
 def long(spark: SparkSession, d: str) -> DataFrame:
-    rows = catalog(spark, d)
-    return once(spark, d, "long", lambda: kept(A.first_values(A.pairs(rows)).join(QA.grouped(spark, d).select("row_ord", "grp"), "row_ord").where("grp is not null").select("grp", "row_ord", "k", "v")))
+    return once(spark, d, "long", lambda: kept(A.first_values(A.pairs(QA.prepared(spark, d))).join(QA.grouped(spark, d).select("row_ord", "grp"), "row_ord").where("grp is not null").select("grp", "row_ord", "k", "v")))
 
 
 def names(spark: SparkSession, d: str) -> DataFrame:
@@ -278,7 +277,7 @@ ver AS (SELECT v.grp, v.row_ord, v.k, v.value, sk seg_k, sv seg_v, xk x_k, x, lo
 
 def _known(spark, d):
     """Cells of rows that have a group, with their place in the row."""
-    cells = A.pairs(catalog(spark, d)).groupBy("row_ord", "k").agg(F.min_by("v", "pos").alias("v"), F.min("pos").alias("pos"))
+    cells = A.pairs(QA.prepared(spark, d)).groupBy("row_ord", "k").agg(F.min_by("v", "pos").alias("v"), F.min("pos").alias("pos"))
     return once(spark, d, "known", lambda: kept(cells.join(QA.grouped(spark, d).select("row_ord", "grp"), "row_ord").where("grp is not null")))
 
 

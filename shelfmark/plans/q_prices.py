@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
+from shelfmark.operators import lint as N
 from shelfmark.operators import plans as L
 from shelfmark.operators import prices as H
 from shelfmark.plans.registry import query
@@ -434,6 +435,50 @@ def h27_lint_cards(spark, d):
     return H.lint_cards(cards(spark, d))
 
 
+#: cards with legends, drawings and columns that break the rules in turn
+_LC = f"""{_CARDS}, lf AS (SELECT card_id, min(row_ord) f FROM cd GROUP BY 1), lc AS (SELECT card_id, f AS ord, title, title_source, CASE WHEN f % 6 = 1 THEN list_append(lines, 'AB: text') ELSE lines END AS lines, CASE f % 4 WHEN 0 THEN ['d: Inner'] WHEN 1 THEN ['D: Outer (mm)', 'bad'] WHEN 2 THEN ['D: Outer'] ELSE [] END legend, CASE WHEN f % 9 = 0 THEN 'b.png' END drawing, image, CASE WHEN f % 4 = 0 THEN 'review' ELSE 'ok' END image_status FROM cards JOIN lf USING (card_id)),
+lk AS (SELECT card_id, f, 0 pos, CASE WHEN f % 13 = 2 THEN 'spec' ELSE 'code' END AS role, 'Mã' AS label FROM lf UNION ALL SELECT card_id, f, 1, 'spec', CASE f % 3 WHEN 0 THEN 'd' || chr(10) || 'mm' WHEN 1 THEN 'D' || chr(10) || '(inch)' ELSE 'Chiều Dài' || chr(10) || '(mm)' END FROM lf UNION ALL SELECT card_id, f, 2, 'spec', CASE WHEN f % 5 = 0 THEN 'L' ELSE 'Size' END FROM lf UNION ALL SELECT card_id, f, 3, 'order_code', 'Order' FROM lf UNION ALL SELECT card_id, f, 4, 'price', 'Price' FROM lf)"""
+
+
+def _lint_input(spark, d):
+    first = carded(spark, d).groupBy("card_id").agg(F.min("row_ord").alias("f"))
+    f = F.col("f")
+    strings = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    legend = F.when(f % 4 == 0, strings("d: Inner")).when(f % 4 == 1, strings("D: Outer (mm)", "bad")).when(f % 4 == 2, strings("D: Outer")).otherwise(strings())
+    c = cards(spark, d).drop("legend").join(first, "card_id")
+    c = c.select("card_id", f.alias("ord"), "title", "title_source", F.when(f % 6 == 1, F.array_append("lines", "AB: text")).otherwise(F.col("lines")).alias("lines"), legend.alias("legend"), F.when(f % 9 == 0, "b.png").alias("drawing"), "image", F.when(f % 4 == 0, "review").otherwise("ok").alias("image_status"))
+    one = F.when(f % 3 == 0, "d\nmm").when(f % 3 == 1, "D\n(inch)").otherwise("Chiều Dài\n(mm)")
+    cols = [(F.when(f % 13 == 2, "spec").otherwise("code"), F.lit("Mã")), (F.lit("spec"), one), (F.lit("spec"), F.when(f % 5 == 0, "L").otherwise("Size")), (F.lit("order_code"), F.lit("Order")), (F.lit("price"), F.lit("Price"))]
+    k = first.select("card_id", F.explode(F.array(*(F.struct(F.lit(i).alias("pos"), r.alias("role"), x.alias("label")) for i, (r, x) in enumerate(cols)))).alias("c")).select("card_id", "c.*")
+    return c, k
+
+
+@query(f"""{_LC} SELECT card_id, 'error' severity, 'LEGEND_IN_LINES' AS rule FROM lc WHERE ord % 6 = 1 UNION ALL SELECT card_id, 'error', 'LEGEND_FORM' FROM lc WHERE ord % 4 = 1 UNION ALL SELECT card_id, 'warning', 'IMAGE_REVIEW' FROM lc WHERE image IS NOT NULL AND image_status = 'review'
+UNION ALL SELECT card_id, 'error', 'COLUMN_ROLES' FROM (SELECT card_id, list(role ORDER BY pos) r FROM lk GROUP BY 1) WHERE r[1] <> 'code' OR r[len(r) - 1] <> 'order_code' OR r[len(r)] <> 'price' OR len(list_filter(r, lambda x: x = 'price')) <> 1""")
+def h27_lint_sequences(spark, d):
+    c, k = _lint_input(spark, d)
+    return N.lint_legends(c).unionByName(N.lint_roles(k))
+
+
+@query(f"""{_LC}, sy AS (SELECT card_id, label, regexp_extract(label, '^([A-Za-z]+)', 1) s, regexp_extract(label, '\\((mm|inch)\\)', 1) u, list_transform(list_filter(legend, lambda x: contains(x, ': ')), lambda x: split_part(x, ':', 1)) ls, legend, drawing FROM lk JOIN lc USING (card_id) WHERE role = 'spec' AND regexp_matches(label, '^[dDL](\\n.*)?$'))
+SELECT card_id, label, 'error' severity, 'LETTER_CASE' AS rule FROM sy WHERE NOT list_contains(ls, s) AND list_contains(list_transform(ls, lambda x: lower(x)), lower(s)) UNION ALL SELECT card_id, label, 'error', 'LETTER_WITHOUT_LEGEND' FROM sy WHERE NOT list_contains(list_transform(ls, lambda x: lower(x)), lower(s)) AND drawing IS NULL
+UNION ALL SELECT card_id, label, 'warning', 'LEGEND_UNIT' FROM sy WHERE u <> '' AND len(list_filter(legend, lambda x: split_part(x, ':', 1) = s AND regexp_extract(x, '\\((mm|inch)\\)', 1) NOT IN ('', u))) > 0""")
+def h27_lint_letters(spark, d):
+    c, k = _lint_input(spark, d)
+    return N.lint_letters(k, c)
+
+
+@query(f"""{_LC}, sg AS (SELECT lc.*, concat_ws('|', (SELECT string_agg(label, '|' ORDER BY pos) FROM lk WHERE lk.card_id = lc.card_id), coalesce(image, '-')) sig FROM lc), fs AS (SELECT *, min(ord) OVER (PARTITION BY title) f0, first_value(sig) OVER (PARTITION BY title ORDER BY ord) s0 FROM sg)
+SELECT card_id, CASE WHEN title_source = 'data' AND sig <> s0 THEN 'warning' ELSE 'error' END severity, CASE WHEN title_source = 'data' AND sig <> s0 THEN 'TITLE_AGAIN_IN_DATA' ELSE 'TITLE_AGAIN' END AS rule FROM fs WHERE ord > f0""")
+def h27_lint_titles(spark, d):
+    return N.lint_titles(*_lint_input(spark, d))
+
+
+@query(f"{_LC} SELECT 'Chiều Dài / L' AS labels, 'warning' severity, 'SYNONYMS' AS rule FROM lk HAVING bool_or(split_part(label, chr(10), 1) = 'Chiều Dài') AND bool_or(label = 'L')")
+def h27_lint_synonyms(spark, d):
+    return N.lint_synonyms(_lint_input(spark, d)[1])
+
+
 @query(f"""{_CARD}, e AS (SELECT *, min(card_id) OVER (PARTITION BY order_code) <> max(card_id) OVER (PARTITION BY order_code) els FROM cd) SELECT row_ord, 'error' severity, 'ORDER_CODE' AS rule FROM e WHERE order_code IS NULL UNION ALL SELECT row_ord, 'error', 'ORDER_CODE_ELSEWHERE' FROM e WHERE els AND order_code IS NOT NULL""")
 def h27_lint_rows(spark, d):
     return H.lint_rows(carded(spark, d))

@@ -19,8 +19,8 @@ SELECT p_partkey AS part_id, p_partkey AS row_ord,
  concat(p_name, CASE WHEN p_partkey % 23 = 4 THEN ' - M' ELSE ' M' END, CAST(p_size AS STRING), 'x', CAST(p_size*3 AS STRING), CASE WHEN p_partkey % 7 = 0 THEN ' 55 mm' ELSE ' 55mm' END) AS description,
  leaf AS leaf_name, concat(substr(md5(leaf),1,6), CASE WHEN leaf='bolt' AND p_partkey % 4 = 0 AND p_type='PROMO' THEN 'b' ELSE '' END) AS leaf_id,
  3 AS leaf_depth, p_type AS level1_name,
- CASE WHEN p_partkey % 10 = 3 THEN NULL ELSE concat('Size Of ', noun, ': M', CAST(p_size AS STRING),
-   CASE WHEN p_partkey % 11 = 5 THEN '' ELSE concat(' | Key Of ', noun, ': ', CAST(p_size*2+1 + CASE WHEN p_partkey % 53 = 0 THEN 7 ELSE 0 END AS STRING), ' mm') END,
+ CASE WHEN p_partkey % 10 = 3 THEN NULL ELSE concat(CASE WHEN p_partkey % 71 = 9 THEN concat('Size Of ', noun, ': M99 | ') ELSE '' END, 'Size Of ', noun, ': M', CAST(p_size AS STRING),
+   CASE WHEN p_partkey % 29 = 5 OR p_name LIKE 'small %' THEN '' ELSE concat(' | Key Of ', noun, ': ', CAST(p_size*2+1 + CASE WHEN p_partkey % 53 = 0 THEN 7 ELSE 0 END AS STRING), ' mm') END,
    ' | Standard Of ', noun, ': DIN ', CAST(900 + ascii(noun) % 7 AS STRING), ' | Brand of Group Home: ', p_brand) END AS filters
 FROM c"""
 
