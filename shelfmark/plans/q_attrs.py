@@ -97,7 +97,7 @@ def x12_parse_filters(spark, d):
     return A.pairs(catalog(spark, d))
 
 
-@query(f"{P} SELECT row_ord, k, v, CAST(pos AS INT) pos FROM (SELECT *, row_number() OVER (PARTITION BY row_ord, k ORDER BY pos) r FROM long WHERE upper(k) <> 'N/A' AND v <> '') WHERE r = 1")
+@query(f"{P} SELECT row_ord, k, v, CAST(row_number() OVER (PARTITION BY row_ord ORDER BY pos) - 1 AS INT) pos FROM (SELECT *, row_number() OVER (PARTITION BY row_ord, k ORDER BY pos) r FROM long WHERE upper(k) <> 'N/A' AND v <> '') WHERE r = 1")
 def x13_parse_kv(spark, d):
     """First values by the strict parser; X14's pairs give the same rows here, as no value is empty."""
     kv = catalog(spark, d).select("row_ord", F.posexplode(X.parse_kv(F.col("filters"))).alias("pos", "p"))
