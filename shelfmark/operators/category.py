@@ -270,3 +270,26 @@ def effectiveness(judged: DataFrame, queue: DataFrame, compared: DataFrame, guar
     d = guarded.agg(F.count_if(F.col("reason").isNull()).alias("accepted_changes"), F.count_if(F.col("reason") == "REFUSED_AMBIGUOUS_TARGET").alias("refused_ambiguous"))
     wide = a.crossJoin(b).crossJoin(c).crossJoin(d)  # one row each
     return wide.unpivot([], wide.columns, "metric", "value")
+
+
+def delivery_gate(queue: DataFrame, verdicts: DataFrame, settled: DataFrame, source: DataFrame, output: DataFrame) -> DataFrame:
+    """(check_name, failed): what stops a delivery.
+
+    ``unsettled_pairs``: questions that are not ``settled`` (key_hash) and on which
+    the judges differ in their verdict or, for wrong ones, in the folded leaf they
+    suggest; a judge without a verdict differs from one with.  ``rows_lost`` and
+    ``rows_added``: part_ids of only one side.
+    """
+    target = F.when(F.col("verdict") == "wrong", X.fold(F.col("suggested"))).otherwise("")
+    judges = verdicts.agg(F.count_distinct("judge").alias("judges"))
+    said = verdicts.groupBy("key_hash").agg(F.count_distinct("judge").alias("n"), F.count_distinct(F.coalesce("verdict", F.lit(""))).alias("labels"), F.count_distinct(F.coalesce(target, F.lit(""))).alias("targets"))
+    open_ = queue.select("key_hash").join(settled.select("key_hash"), "key_hash", "left_anti").join(said, "key_hash", "left").crossJoin(judges)  # one row
+    unsettled = open_.where("n is not null and (labels > 1 or targets > 1 or n < judges)").agg(F.count("*").alias("unsettled_pairs"))
+    a, b = source.select("part_id").distinct(), output.select("part_id").distinct()
+    lost, added = a.join(b, "part_id", "left_anti").agg(F.count("*").alias("rows_lost")), b.join(a, "part_id", "left_anti").agg(F.count("*").alias("rows_added"))
+    return unsettled.crossJoin(lost).crossJoin(added).unpivot([], ["unsettled_pairs", "rows_lost", "rows_added"], "check_name", "failed")  # one row each
+
+
+def gated(delivered: DataFrame, gate: DataFrame) -> DataFrame:
+    """The delivery, or no rows while any check of the gate fails."""
+    return delivered.crossJoin(gate.agg(F.sum("failed").alias("_failed"))).where("_failed = 0").drop("_failed")  # one row

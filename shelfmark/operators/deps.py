@@ -153,6 +153,31 @@ def vocabulary_values(long: DataFrame, vocab: DataFrame, examples: int = 10) ->
     return ranked.groupBy("grp", "k", "kind").agg(F.array_sort(F.collect_list("v")).alias("values"))
 
 
+def vocabulary_for(questions: DataFrame, long: DataFrame, max_enum: int = 40, examples: int = 10) -> DataFrame:
+    """(key_hash, kind, values, scope): the values shown with each question.
+
+    Those of its group and attribute, else, where the group has none, those of the
+    attribute in all groups.
+    """
+    own = vocabulary_values(long, vocabulary(long, max_enum), examples).select("grp", F.col("k").alias("target"), F.struct("kind", "values").alias("own"))
+    pooled = long.withColumn("grp", F.lit(""))
+    wide = vocabulary_values(pooled, vocabulary(pooled, max_enum), examples).select(F.col("k").alias("target"), F.struct("kind", "values").alias("wide"))
+    both = questions.select("key_hash", "grp", "target").join(own, ["grp", "target"], "left").join(wide, "target", "left").withColumn("v", F.coalesce("own", "wide")).where("v is not null")
+    return both.select("key_hash", "v.kind", "v.values", F.when(F.col("own").isNotNull(), "group").otherwise("attribute").alias("scope"))
+
+
+def standard_slug(value):
+    """A standard's name as its reference table is filed: lower case, dashes and runs of space as one space."""
+    return F.trim(F.regexp_replace(F.lower(value), r"[\s-]+", " "))
+
+
+def with_standard(questions: DataFrame, known: DataFrame, standards: DataFrame, attribute: str = "Standard") -> DataFrame:
+    """Questions of which a row's known standard (cells (row_ord, k, v) of an attribute of that base name) has a reference table."""
+    named = known.where(X.base_attr(F.col("k")) == attribute).select(F.col("row_ord").alias("first_ord"), standard_slug(F.col("v")).alias("slug"))
+    have = standards.select(standard_slug(F.col("standard")).alias("slug")).distinct()
+    return questions.join(named.join(have, "slug", "left_semi").select("first_ord").distinct(), "first_ord", "left_semi")
+
+
 def open_asks(questions: DataFrame, answers: DataFrame, retry_empty: bool = False) -> DataFrame:
     """Questions without an answer; blank answers count as none where asked to retry."""
     done = answers.where(F.trim(F.coalesce("value", F.lit(""))) != "") if retry_empty else answers

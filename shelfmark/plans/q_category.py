@@ -251,6 +251,35 @@ def a22_delivery(spark, d):
     return C.delivery(applied(spark, d), C.with_key(rows), resolved(spark, d))
 
 
+_GATE = f"""{_V}, un AS (SELECT key_hash FROM verdicts WHERE substr(key_hash, 3, 1) >= '4' GROUP BY 1 HAVING count(DISTINCT verdict) > 1 OR count(DISTINCT CASE WHEN verdict = 'wrong' THEN {D.fold('suggested')} ELSE '' END) > 1)"""
+
+
+def _settled(spark, d):
+    return queue(spark, d).where(F.substring("key_hash", 3, 1) < "4")
+
+
+@query(f"{_GATE} SELECT 'unsettled_pairs' check_name, count(*) failed FROM un UNION ALL SELECT 'rows_lost', count(*) FROM catalog WHERE part_id % 401 = 3 UNION ALL SELECT 'rows_added', 1")
+def a22_gate(spark, d):
+    """Some pairs settled, some rows lost and one added."""
+    rows = catalog(spark, d)
+    out = rows.where("part_id % 401 <> 3").select("part_id").unionByName(rows.limit(1).select((-F.col("part_id") - 1).alias("part_id")))
+    return C.delivery_gate(queue(spark, d), verdicts(spark, d), _settled(spark, d), rows, out)
+
+
+@query(f"{_J} SELECT part_id, leaf_name FROM judged WHERE false")
+def a22_blocked_delivery(spark, d):
+    """Nothing is delivered while pairs are unsettled."""
+    rows = catalog(spark, d)
+    return C.gated(rows.select("part_id", "leaf_name"), C.delivery_gate(queue(spark, d), verdicts(spark, d), _settled(spark, d), rows, rows))
+
+
+@query(f"{_J} SELECT part_id, leaf_name FROM judged")
+def a22_open_delivery(spark, d):
+    """All is delivered once every pair is settled."""
+    rows, q = catalog(spark, d), queue(spark, d)
+    return C.gated(rows.select("part_id", "leaf_name"), C.delivery_gate(q, verdicts(spark, d), q, rows, rows))
+
+
 @query(f"""{_C}, {_RULINGS}, {_CONS}, {_GUARD} SELECT 'n_rows' metric, count(*) AS value FROM judged UNION ALL SELECT 'suspect_rows', count(*) FROM judged WHERE verdict IN ('PARTIAL','NO_OVERLAP') UNION ALL SELECT 'unique_pairs', count(*) FROM queue
 UNION ALL SELECT 'agreeing_pairs', count(*) FROM compared WHERE kind='AGREE' UNION ALL SELECT 'agreeing_rows', CAST(coalesce(sum(row_count),0) AS BIGINT) FROM compared WHERE kind='AGREE' UNION ALL SELECT 'accepted_changes', count(*) FROM guarded WHERE reason IS NULL UNION ALL SELECT 'refused_ambiguous', count(*) FROM guarded WHERE reason='REFUSED_AMBIGUOUS_TARGET'""")
 def a23_effectiveness(spark, d):

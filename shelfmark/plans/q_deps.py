@@ -34,6 +34,8 @@ _TRUST = "tr AS (SELECT grp, row_ord, target, value, d1, d2, n_dom, n_tot, CASE
 _IDX = "ix AS (SELECT o.grp, o.row_ord, o.target, k.value, k.d1, k.n_dom, k.n_tot FROM opn o JOIN lg a ON a.row_ord = o.row_ord JOIN keys k ON k.grp = o.grp AND k.d1 = a.k AND k.v1 = a.v AND k.d2 = '' AND k.target = o.target WHERE n_dom >= 3 AND n_dom >= 0.95 * n_tot QUALIFY row_number() OVER (PARTITION BY o.grp, o.row_ord, o.target ORDER BY n_dom DESC, k.d1) = 1)"
 _ASK = """ctx AS (SELECT grp, row_ord, target, d1 || '=' || v1 || CASE WHEN d2 <> '' THEN '; ' || d2 || '=' || v2 ELSE '' END context FROM rh QUALIFY row_number() OVER (PARTITION BY grp, row_ord, target ORDER BY rank) = 1),
 ask AS (SELECT o.grp, o.target, coalesce(c.context, 'name=' || n.name) context, count(*) n_rows, min(o.row_ord) first_ord, substr(sha1(o.grp || '|' || o.target || '|' || coalesce(c.context, 'name=' || n.name)), 1, 16) key_hash FROM opn o LEFT JOIN ctx c USING (grp, row_ord, target) JOIN nm n ON n.row_ord = o.row_ord GROUP BY o.grp, o.target, coalesce(c.context, 'name=' || n.name))"""
+_NUMX = f"TRY_CAST(replace(regexp_extract(v, '(-?[0-9]+(?:[.,][0-9]+)?)', 1), ',', '.') AS DOUBLE)"
+_ISM = r"""regexp_matches(v, '^\s*-?[0-9]+(?:[.,][0-9]+)?\s*[a-zA-Z%°"''/]*\s*$')"""
 _VOC = rf"""dv AS (SELECT DISTINCT grp, k, v FROM lg), voc AS (SELECT grp, k, CASE WHEN avg(regexp_matches(v, '^\s*-?[0-9]+(?:[.,][0-9]+)?\s*[a-zA-Z%°"''/]*\s*$')::INT) < 0.8 AND count(*) <= 40 THEN 'enum' ELSE 'format' END kind, count(*) n_values FROM dv GROUP BY 1, 2)"""
 
 
@@ -226,6 +228,24 @@ def d12_vocabulary_values(spark, d):
     return P.vocabulary_values(rows, P.vocabulary(rows)).withColumn("values", F.array_join("values", ";"))
 
 
+#: questions of which every third is about an attribute that its group has no value of
+_VQ = "vq AS (SELECT key_hash, CASE WHEN first_ord % 3 = 0 THEN 'no group' ELSE grp END grp, target FROM ask)"
+
+
+@query(f"""{_B}, {_OPEN}, {_HAVE}, {_ASK}, {_VQ}, {_VOC}, vo AS (SELECT grp, k, any_value(kind) kind, array_to_string(list_sort(list(v)), ';') vs FROM (SELECT dv.*, kind, row_number() OVER (PARTITION BY grp, k ORDER BY v) rn FROM dv JOIN voc USING (grp, k)) WHERE kind = 'enum' OR rn <= 10 GROUP BY 1, 2),
+da AS (SELECT DISTINCT k, v FROM lg), va AS (SELECT k, CASE WHEN avg(({_ISM})::INT) < 0.8 AND count(*) <= 40 THEN 'enum' ELSE 'format' END kind FROM da GROUP BY 1), vw AS (SELECT k, any_value(kind) kind, array_to_string(list_sort(list(v)), ';') vs FROM (SELECT da.*, kind, row_number() OVER (PARTITION BY k ORDER BY v) rn FROM da JOIN va USING (k)) WHERE kind = 'enum' OR rn <= 10 GROUP BY 1)
+SELECT key_hash, coalesce(o.kind, w.kind) kind, coalesce(o.vs, w.vs) AS values, CASE WHEN o.k IS NOT NULL THEN 'group' ELSE 'attribute' END AS scope FROM vq q LEFT JOIN vo o ON o.grp = q.grp AND o.k = q.target LEFT JOIN vw w ON w.k = q.target WHERE coalesce(o.kind, w.kind) IS NOT NULL""")
+def d12_question_vocabulary(spark, d):
+    q = _asks(spark, d).withColumn("grp", F.when(F.col("first_ord") % 3 == 0, "no group").otherwise(F.col("grp")))
+    return P.vocabulary_for(q, long(spark, d)).withColumn("values", F.array_join("values", ";"))
+
+
+@query(rf"{_B}, {_OPEN}, {_HAVE}, {_ASK} SELECT key_hash, first_ord FROM ask WHERE EXISTS (SELECT 1 FROM lg WHERE lg.row_ord = ask.first_ord AND lg.k LIKE 'Standard Of %' AND lg.v IN ('DIN 900', 'DIN 902', 'DIN 903'))")
+def d13_with_standard(spark, d):
+    standards = spark.createDataFrame([("din-900",), ("DIN  902",), ("din 903",)], "standard string")
+    return P.with_standard(_asks(spark, d), long(spark, d), standards).select("key_hash", "first_ord")
+
+
 @query(f"{_B}, {_OPEN}, {_HAVE}, {_ASK} SELECT key_hash, n_rows FROM ask WHERE substr(key_hash, 1, 1) NOT IN ('0', '1', '2', '3', '4', '5', '6')")
 def d13_open_questions(spark, d):
     q = _asks(spark, d)
@@ -255,8 +275,6 @@ def d15_validation_report(spark, d):
     return P.validation_report(q, _answers(q), P.vocabulary_values(rows, P.vocabulary(rows)))
 
 
-_NUMX = f"TRY_CAST(replace(regexp_extract(v, '(-?[0-9]+(?:[.,][0-9]+)?)', 1), ',', '.') AS DOUBLE)"
-_ISM = r"""regexp_matches(v, '^\s*-?[0-9]+(?:[.,][0-9]+)?\s*[a-zA-Z%°"''/]*\s*$')"""
 _ISA = rf"({_ISM} OR regexp_matches(v, '^\s*[A-Za-z]{{1,2}}\s?-?[0-9]+(?:[.,][0-9]+)?\s*$'))"
 _CV = "grp, sk, sv, xk, yk"
 #: the lattice: whole groups and slices, every axis and target, pairs of points listed

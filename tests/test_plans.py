@@ -167,3 +167,18 @@ def test_a_title_of_the_data_is_never_split(spark):
     assert [tuple(r) for r in made.collect()] == [("c", "OLD", "data", ["l"], [])] and {r.card_id for r in moved.collect()} == {"c"}
     _, split = L.kb_apply(rows, cards.withColumn("title_source", F.lit("model")), kb)
     assert {(r.card_id, r.title) for r in split.collect()} == {("c-1", "A"), ("c-2", "B")}
+
+
+def test_a_delivery_waits_for_disputes_and_for_all_rows(spark):
+    from shelfmark.operators import category as C
+
+    queue = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "key_hash string")
+    said = [("x", "a", "correct", None), ("y", "a", "correct", None), ("x", "b", "wrong", "Bu lông"), ("y", "b", "wrong", "bu long"), ("x", "c", "wrong", "bolt"), ("y", "c", "wrong", "nut"), ("x", "d", "correct", None)]
+    verdicts = spark.createDataFrame(said, "judge string, key_hash string, verdict string, suggested string")
+    rows, fewer = spark.createDataFrame([(1,), (2,)], "part_id long"), spark.createDataFrame([(1,), (9,)], "part_id long")
+    none = queue.where("false")
+    gate = lambda settled, out: {r.check_name: r.failed for r in C.delivery_gate(queue, verdicts, settled, rows, out).collect()}
+    assert gate(none, rows) == {"unsettled_pairs": 2, "rows_lost": 0, "rows_added": 0}  # c: other leaves, d: one judge only
+    assert gate(queue.where("key_hash in ('c', 'd')"), fewer) == {"unsettled_pairs": 0, "rows_lost": 1, "rows_added": 1}
+    assert C.gated(rows, C.delivery_gate(queue, verdicts, none, rows, rows)).count() == 0
+    assert C.gated(rows, C.delivery_gate(queue, verdicts, queue, rows, rows)).count() == 2
