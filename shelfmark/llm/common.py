@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset, as in tests, a local one."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, a local one for local runs, as in tests, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         path = _own.setdefault(spark.sparkContext.applicationId, "")
         if not path:
             path = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="shelfmark-")

@@ -272,24 +272,25 @@ def _beyond_centres(measured: DataFrame, labels: DataFrame, reps: DataFrame, per
     around = written(around, "around")
     sizes = around.groupBy("pv", "c").agg(F.count("*").alias("m"), F.min("n").alias("least")).groupBy("pv").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.min("least").alias("least"), F.count("*").alias("cs"))
     sizes = sizes.where("cs > 1").select("pv", "top", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("salt"))
-    around = written(around.join(sizes, ["pv", "salt"]).join(reps.select("v", *sign), "v"), "around")
+    around = written(around.join(sizes, ["pv", "salt"]), "around")
 
     need = lambda n: F.ceil(percent * n / (100 + percent) - 1e-6)
     # the bound needs x to come near the centre itself, unless y is smaller than it: checked before the join
-    near = around.where(F.col("i") >= need(F.col("n") + F.greatest("least", F.ceil(percent * F.col("n") / 100 - 1e-6))))
+    signed = reps.select("v", *sign)
+    near = around.join(signed, "v").where(F.col("i") >= need(F.col("n") + F.greatest("least", F.ceil(percent * F.col("n") / 100 - 1e-6))))
     x = near.where("c <> top").select("pv", F.col("v").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"), *named("x"))
     y = near.select(F.col("pv").alias("py"), F.col("v").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"), *named("y"))
     # files of these tables are far smaller than their rows: no broadcast by file size
     bounded = x.join(y.hint("merge"), (F.col("pv") == F.col("py")) & (F.col("cx") != F.col("cy")) & (F.least("ix", "iy") >= need(F.col("nx") + F.col("ny"))) & alike).select("x", "y")
 
-    beyond = around.select("pv", "v", "c", "n", "i", "least", F.size("rest").alias("own"), *sign, F.explode("rest").alias("h"))
+    beyond = around.select("pv", "v", "c", "n", "i", "least", F.size("rest").alias("own"), F.explode("rest").alias("h"))
     useful = beyond.groupBy("pv", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("pv", "h", "df")
-    lists = beyond.join(useful.hint("merge"), ["pv", "h"]).groupBy("pv", "v", "c", "n", "i", "least", "own", *sign).agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    lists = beyond.join(useful.hint("merge"), ["pv", "h"]).groupBy("pv", "v", "c", "n", "i", "least", "own").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
     alone = F.col("own") - F.size("hs")
     smaller = F.greatest(need(2 * F.col("n")) - F.col("i"), F.lit(1))
     larger = F.greatest(need(F.col("n") + F.greatest("least", F.ceil(percent * F.col("n") / 100 - 1e-6))) - F.col("i"), F.lit(1))
     lists = lists.withColumn("as_smaller", F.col("own") - smaller + 1 - alone).withColumn("as_larger", F.col("own") - larger + 1 - alone)
-    prefixes = written(lists.where("as_larger > 0").select("pv", "v", "c", "n", "as_smaller", *sign, F.posexplode(F.slice("hs", F.lit(1), F.greatest(F.col("as_larger"), F.lit(0)).cast("int"))).alias("at", "e")).select("pv", "v", "c", "n", *sign, F.col("e.h").alias("h"), (F.col("at") < F.col("as_smaller")).alias("small")), "prefixes")
+    prefixes = written(lists.where("as_larger > 0").select("pv", "v", "c", "n", "as_smaller", F.posexplode(F.slice("hs", F.lit(1), F.greatest(F.col("as_larger"), F.lit(0)).cast("int"))).alias("at", "e")).select("pv", "v", "c", "n", F.col("e.h").alias("h"), (F.col("at") < F.col("as_smaller")).alias("small")).join(signed, "v"), "prefixes")
     small = prefixes.where("small").select("pv", "h", F.col("v").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), *named("x"))
     large = prefixes.select("pv", "h", F.col("v").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), *named("y"))
     fit = (F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny")) & (100 * F.col("nx") >= percent * F.col("ny")) & alike
