@@ -4,14 +4,17 @@
    chosen by its hash (the smallest), so equal windows choose equal phrases.
    Only chosen phrases are counted over the corpus: a window can recur only if
    its phrase does.
-2. Documents are dealt into buckets of a bounded size.  For each bucket the
-   recurring phrases that stand in it are compiled into an Aho-Corasick
-   automaton (the automata are sharded as the documents are), and all documents
-   of the bucket are streamed through it to locate every occurrence.
-3. Windows around located phrases are compared over the corpus by hash, one row
-   for each distinct window and bucket; all but the first bucket's are flagged.
-4. Each bucket removes the words of flagged windows and of windows that repeat
-   one that starts earlier in the bucket itself.
+2. Confirmation.  Phrases whose hash recurs are written out in words, and those
+   whose words recur over the corpus are the confirmed ones.
+3. Automata.  Documents are dealt into buckets of a bounded size.  For each bucket
+   the confirmed phrases that stand in it are compiled into Aho-Corasick automata
+   of at most ``AUTOMATON_PHRASES`` each, and every document of the bucket is
+   streamed through them to locate every occurrence.
+4. Only windows around located phrases are looked at.  They are compared over the
+   corpus by hash, one row for each distinct window and bucket; all but the first
+   bucket's are flagged.
+5. Each bucket removes the words of flagged windows and of windows around located
+   phrases that repeat one that starts earlier in the bucket itself.
 
 A phrase, line or document that is in a third of all documents costs one row for
 each bucket, not for each occurrence, so no key is hot.  The buckets' exchange is
@@ -21,6 +24,7 @@ the same in all steps and is written once.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -36,6 +40,9 @@ from shelfmark.llm.common import text_bytes
 
 PHRASE = 5
 
+#: phrases of one automaton, about 35 bytes each; a bucket with more is streamed through several
+AUTOMATON_PHRASES = 50_000
+
 
 def _argmin_in(h: np.ndarray, width: int) -> np.ndarray:
     """Position of the leftmost smallest entry among h[i : i + width], for every i."""
@@ -100,65 +107,113 @@ def _text(docs: pa.Table) -> pa.Array:
     return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
-def _locate(s: tk.Slice, phrases: np.ndarray, owners: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Flags of the words where a wanted phrase stands, found by an automaton of their texts."""
-    at = np.unique(owners)
-    k = np.minimum(np.searchsorted(wanted, phrases[at]), len(wanted) - 1)
-    at = at[wanted[k] == phrases[at]]
-    found = np.zeros(len(s.starts), bool)
-    if not len(at):
-        return found
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    _, first = np.unique(phrases[at], return_index=True)
-    for i in at[first].tolist():
-        automaton.add_word((b" " + b" ".join([s.word(j) for j in range(i, i + PHRASE)]) + b" ").decode("latin-1"))
-    automaton.make_automaton()
-    for d in np.unique(np.searchsorted(s.word_offsets, at, "right") - 1).tolist():
-        line = b" " + b" ".join(s.doc_bytes(d).split()) + b" "
-        hits = [end - n + 1 for end, n in automaton.iter(line.decode("latin-1"))]
-        if hits:
-            spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20)
-            found[s.word_offsets[d] + np.searchsorted(spaces, hits)] = True
+def _spell(window: int):
+    """Phrases of one bucket whose hash recurs, in words, with the number of their places."""
+
+    def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
+        keys, words = np.sort(wanted.column("h").to_numpy().view(np.uint64)), Counter()
+        if len(keys) and len(docs):
+            for s in tk.slices(_text(docs)):
+                _, phrases, _, owners = _anchored(s, window)
+                at = np.unique(owners)
+                at = at[keys[np.minimum(np.searchsorted(keys, phrases[at]), len(keys) - 1)] == phrases[at]]
+                data = s.data.tobytes()
+                words.update(b" ".join(data[a:z].split()) for a, z in zip(s.starts[at].tolist(), s.ends[at + PHRASE - 1].tolist(), strict=True))
+        tk.release()
+        bucket = docs.column("bucket")[0].as_py() if len(docs) else 0
+        return pa.table([pa.array([bucket] * len(words), pa.int32()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int32())], schema=_SPELLED)
+
+    return run
+
+
+def _automata(phrases: list[bytes]) -> Iterator[ahocorasick.Automaton]:
+    for a in range(0, len(phrases), AUTOMATON_PHRASES):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in phrases[a : a + AUTOMATON_PHRASES]:
+            automaton.add_word((b" " + p + b" ").decode("latin-1"))
+        automaton.make_automaton()
+        yield automaton
+
+
+def _locate(docs: pa.Array, phrases: list[bytes]) -> list[np.ndarray]:
+    """Words of each document where a phrase starts, in order."""
+    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(docs)
+    for automaton in _automata(phrases):
+        for s in tk.slices(docs):
+            for d in range(s.n_docs):
+                line = b" " + b" ".join(s.doc_bytes(d).split()) + b" "
+                hits = [end - n + 1 for end, n in automaton.iter(line.decode("latin-1"))]
+                if hits:
+                    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20)
+                    found[s.first + d] = np.union1d(found[s.first + d], np.searchsorted(spaces, hits))
     return found
 
 
 def _candidates(window: int):
-    """Distinct windows around located phrases of one bucket, with the first place of each."""
+    """Distinct windows around located phrases of one bucket, each with its first place, and all located places of each document."""
 
-    def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
         docs, out = _in_order(docs), []
-        keys = np.sort(wanted.column("h").to_numpy().view(np.uint64))
-        ids = docs.column("doc_id").combine_chunks()
-        if len(keys) and len(docs):
-            for s in tk.slices(_text(docs)):
-                words, phrases, starts, owners = _anchored(s, window)
-                if not len(starts):
-                    continue
-                at = starts[_locate(s, phrases, owners, keys)[owners]]
-                d = np.searchsorted(s.word_offsets, at, "right") - 1
-                h = tk.ngram_hashes(words, window)[at]
-                _, first = np.unique(h, return_index=True)
-                out.append((h[first], s.first + d[first], (at - s.word_offsets[d])[first]))
+        if not len(docs) or not len(confirmed):
+            return _CANDIDATE.empty_table()
+        ids, text = docs.column("doc_id").combine_chunks(), _text(docs)
+        located = _locate(text, confirmed.column("phrase").to_pylist())
+        for s in tk.slices(text):
+            words, _, starts, owners = _anchored(s, window)
+            if not len(starts):
+                continue
+            here = np.zeros(len(s.starts), bool)
+            for d in range(s.n_docs):
+                here[s.word_offsets[d] + located[s.first + d]] = True
+            at = starts[here[owners]]
+            d = np.searchsorted(s.word_offsets, at, "right") - 1
+            h = tk.ngram_hashes(words, window)[at]
+            _, first = np.unique(h, return_index=True)
+            out.append((h[first], s.first + d[first], (at - s.word_offsets[d])[first]))
+        tk.release()
         if not out:
             return _CANDIDATE.empty_table()
         h, d, start = (np.concatenate(x) for x in zip(*out, strict=True))
         _, first = np.unique(h, return_index=True)  # parts are in document order
-        tk.release()
-        return pa.table([pa.array(h[first].view(np.int64)), ids.take(pa.array(d[first])), pa.array(start[first].astype(np.int32))], schema=_CANDIDATE)
+        windows = [pa.array(h[first].view(np.int64)), ids.take(pa.array(d[first])), pa.array(start[first].astype(np.int32)), pa.nulls(len(first), pa.binary())]
+        rows = [i for i, x in enumerate(located) if len(x)]
+        places = [np.diff(located[i], prepend=0).astype(np.int32).tobytes() for i in rows]
+        some = ids.take(pa.array(rows, pa.int64()))
+        hits = [some.fill_null(0), some, pa.nulls(len(rows), pa.int32()), pa.array(places, pa.binary())]
+        return pa.concat_tables([pa.table(windows, schema=_CANDIDATE), pa.table(hits, schema=_CANDIDATE)])
 
     return run
 
 
-_CANDIDATE = pa.schema([("w", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32())])
+_SPELLED = pa.schema([("bucket", pa.int32()), ("phrase", pa.binary()), ("n", pa.int32())])
+
+#: a window (places null), or a document's located places (start null, w its id), each as the distance from the one before
+_CANDIDATE = pa.schema([("w", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("places", pa.binary())])
+
+
+def _around(s: tk.Slice, starts: np.ndarray, ids: list, places: dict, window: int) -> np.ndarray:
+    """Those starts whose window holds a located phrase of the document."""
+    edge = np.zeros(len(s.starts) + 2, np.int32)
+    for d in range(s.n_docs):
+        a, n = int(s.word_offsets[d]), int(s.word_offsets[d + 1] - s.word_offsets[d])
+        for at in places.get(ids[s.first + d], ()):
+            at = at[at < n]
+            np.add.at(edge, a + np.maximum(at - (window - PHRASE), 0), 1)
+            np.add.at(edge, a + at + 1, -1)
+    return starts[(np.cumsum(edge) > 0)[starts]]
 
 
 def _remove(window: int, out_schema: pa.Schema, with_text: bool):
     def run(docs: pa.Table, flagged: pa.Table) -> pa.Table:
         docs = _in_order(docs)
-        late = np.sort(flagged.column("w").to_numpy().view(np.uint64))
-        rank, parts = _rank(docs), []
+        window_row = pc.is_null(flagged.column("places"))
+        late = np.sort(flagged.filter(window_row).column("w").to_numpy().view(np.uint64))
+        hits, places = flagged.filter(pc.invert(window_row)), {}
+        for i, x in zip(hits.column("doc_id").to_pylist(), hits.column("places").to_pylist(), strict=True):
+            places.setdefault(i, []).append(np.cumsum(np.frombuffer(x, np.int32)))
+        rank, ids, parts = _rank(docs), docs.column("doc_id").to_pylist(), []
         for s in tk.slices(_text(docs)) if len(docs) else ():
-            starts = tk.windows_inside(s.word_offsets, window)
+            starts = _around(s, tk.windows_inside(s.word_offsets, window), ids, places, window)
             h = tk.ngram_hashes(s.word_hashes(), window)[starts] if len(starts) else np.zeros(0, np.uint64)
             d = np.searchsorted(s.word_offsets, starts, "right") - 1
             parts.append((s, h, starts, rank[s.first + d], starts - s.word_offsets[d]))
@@ -220,9 +275,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, bucket_bytes: int = 4 << 2
     dealt = kept.repartition("bucket")  # all its users take all its columns, so that the exchange is written once
     phrases = dealt.mapInArrow(tk.tidy(_count_phrases(window)), "h long, bucket int, n int")
     recurring = phrases.withColumn("total", F.sum("n").over(W.partitionBy("h"))).where("total > 1").select("bucket", "h")
-    windows = dealt.groupBy("bucket").cogroup(recurring.groupBy("bucket")).applyInArrow(_candidates(window), "w long, doc_id long, start int")
-    order = W.partitionBy("w").orderBy("doc_id", "start")
-    late = windows.withColumn("r", F.dense_rank().over(order)).where("r > 1").select(F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(n_buckets)).cast("int").alias("bucket"), "w")
+    spelled = dealt.groupBy("bucket").cogroup(recurring.groupBy("bucket")).applyInArrow(_spell(window), "bucket int, phrase binary, n int")
+    confirmed = spelled.withColumn("total", F.sum("n").over(W.partitionBy("phrase"))).where("total > 1").select("bucket", "phrase")
+    found = dealt.groupBy("bucket").cogroup(confirmed.groupBy("bucket")).applyInArrow(_candidates(window), "w long, doc_id long, start int, places binary")
+    order = W.partitionBy(F.col("places").isNull(), "w").orderBy("doc_id", "start")
+    ranked = found.withColumn("r", F.dense_rank().over(order)).where("r > 1 or places is not null")
+    late = ranked.select(F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(n_buckets)).cast("int").alias("bucket"), "w", "doc_id", "places")
     extra = [docs.schema[c] for c in carry]
     ddl = ", ".join(["doc_id long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra), "n_words long, n_removed long, kept_sha256 string, kept_text string"])
     from pyspark.sql.pandas.types import to_arrow_type

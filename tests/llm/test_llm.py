@@ -221,6 +221,25 @@ def test_repeats(spark, docs, none):
     assert repeats.remove_repeats(repeated(spark, docs)).count() == len(texts()) + 4
 
 
+def test_automata_decide_what_is_removed(monkeypatch):
+    """Phrases are located wherever their words stand, by several automata too; without located phrases nothing goes."""
+    rows = [None, "", "a b", "a b c d e", "x a  b\tc\nd e f a b c d e", "é b c d e " * 9, "aa b c d e", "a b c d ee"]
+    phrases = ["a b c d e", "b c d e f", "é b c d e", "d e é b c"]
+    want = [[j for j in range(len(spaced(t)) - 4) if " ".join(spaced(t)[j : j + 5]) in phrases] for t in rows]
+    for size in (50_000, 1):
+        monkeypatch.setattr(repeats, "AUTOMATON_PHRASES", size)
+        assert [x.tolist() for x in repeats._locate(pa.array(rows), [p.encode() for p in phrases])] == want
+    text = " ".join(f"w{i}" for i in range(25))
+    docs = pa.table({"bucket": pa.array([0, 0], pa.int32()), "doc_id": [1, 2], "text": [text, text]})
+    out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+    spelled = repeats._spell(20)(docs, pa.table({"h": np.concatenate([repeats._anchored(s, 20)[1] for s in textkit.slices(docs["text"].chunk(0))]).view(np.int64)}))
+    assert set(spelled["n"].to_pylist()) == {2}
+    for phrases, removed in ((spelled, [0, 25]), (spelled.slice(0, 0), [0, 0])):
+        found = repeats._candidates(20)(docs, phrases)
+        later = found.filter(pa.compute.is_valid(found["places"]))  # equal windows of one bucket are judged in it
+        assert repeats._remove(20, out, True)(docs, later)["n_removed"].to_pylist() == removed
+
+
 @pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file")
 def test_pieces(spark, docs, none):
     out = {r.doc_id: r for r in pieces.encode_pieces(docs, MODEL).collect()}
