@@ -103,6 +103,12 @@ def ingest_replies(replies: DataFrame, dealt: DataFrame) -> DataFrame:
     return joined.withColumn("_r", F.row_number().over(last)).where("_r = 1").select("judge", "key_hash", "_x.verdict", "_x.confidence", "_x.suggested")
 
 
+def rejected_replies(replies: DataFrame, form: Column) -> DataFrame:
+    """Replies that give no answers, with why: no text of the form (``X.reply_array`` or ``X.reply_object`` of the reply), or one that is no JSON."""
+    why = F.when(form.isNull(), "NO_JSON").when(F.try_parse_json(form).isNull(), "NOT_PARSED")
+    return replies.withColumn("reason", why).where("reason is not null")
+
+
 def resolve(verdicts: DataFrame, queue: DataFrame, leaves: DataFrame) -> DataFrame:
     """Suggested leaf looked up in its level 1 catalog by folded name; the id only if there is exactly one."""
     names = leaves.select("level1_name", X.fold(F.col("leaf_name")).alias("_f"), F.col("leaf_name").alias("target_name"), "leaf_ids").withColumn("_n", F.row_number().over(W.partitionBy("level1_name", "_f").orderBy("target_name"))).where("_n = 1").drop("_n")

@@ -6,19 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from shelfmark.functions import decode
 from shelfmark.functions import text as X
 
-# Entities that pages use, in the order they are replaced.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 MEASURE = r'(?i)[0-9]+(?:[.,][0-9]+)?\s*(?:mm|cm|kg|g|ml|Nm|W|V|A|inch|"|本)\b'
 
 
 def page_text(html: Column) -> Column:
-    """Text of a page: scripts and styles out, tags out, entities back, spaces collapsed."""
+    """Text of a page: scripts and styles out, tags out, entities back, white space of every kind collapsed."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(X.text(html), r"(?is)<script[^>]*>.*?</script>", " "), r"(?is)<style[^>]*>.*?</style>", " "), r"(?s)<[^>]+>", " ")
-    for entity, char in ENTITIES:
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return F.trim(F.regexp_replace(decode.unescape(bare), r"(?U)[\s\x1C-\x1F]+", " "))
 
 
 def page_title(html: Column) -> Column:
@@ -37,8 +34,8 @@ def block_products(rows: DataFrame) -> DataFrame:
 
 
 def codes_with_rows(rows: DataFrame) -> DataFrame:
-    """Each distinct code with its number of rows and first row; X20 splits it."""
-    return rows.groupBy("part_number").agg(F.count("*").alias("n_rows"), F.min("row_ord").alias("first_ord")).withColumn("c", X.split_code(F.col("part_number"))).select("part_number", "n_rows", "first_ord", "c.prefix", "c.brand", "c.maker_code")
+    """Each distinct code with its number of rows and first row, split in its compatibility form (X20)."""
+    return rows.groupBy("part_number").agg(F.count("*").alias("n_rows"), F.min("row_ord").alias("first_ord")).withColumn("c", X.split_code(decode.compatible(F.col("part_number")))).select("part_number", "n_rows", "first_ord", "c.prefix", "c.brand", "c.maker_code")
 
 
 def shares(df: DataFrame, column: str) -> DataFrame:

@@ -116,6 +116,31 @@ def merge_groups(df: DataFrame) -> DataFrame:
     return df.groupBy("name", "labels").agg(F.count("*").alias("n_rows"), F.count_distinct("sheet").alias("n_sheets"), F.min("row_ord").alias("first_ord"))
 
 
+_MERGED = ["name", "labels"]
+
+
+def merged_rows(df: DataFrame) -> DataFrame:
+    """Rows of merged groups (name, labels, group_ord, row_ord, sheet): in order of group_ord, the first row of the row's own sheet's group, and row_ord they stand as one table."""
+    groups = df.groupBy("sheet", *_MERGED).agg(F.min("row_ord").alias("group_ord"))
+    return df.join(groups, ["sheet", *_MERGED]).select(*_MERGED, "group_ord", "row_ord", "sheet")
+
+
+def merged_texts(groups: DataFrame, lists: tuple[str, ...] = ("lines", "legend"), single: tuple[str, ...] = ("note", "image")) -> DataFrame:
+    """Texts of merged groups (name, labels, kind, text, group_ord, pos).
+
+    ``groups`` is one row for each sheet's group, with group_ord.  Of each list
+    column every distinct text stays, at its first place; of each single column
+    the first nonblank text.  One row a text, so no group is gathered in one value.
+    """
+    some = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("texts")) for c in lists])
+    long = groups.select(*_MERGED, "group_ord", F.explode(some).alias("g")).select(*_MERGED, "group_ord", "g.kind", F.posexplode("g.texts").alias("pos", "text")).where("text is not null")
+    first = long.groupBy(*_MERGED, "kind", "text").agg(F.min(F.struct("group_ord", "pos")).alias("at")).select(*_MERGED, "kind", "text", "at.*")
+    one = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("text")) for c in single])
+    nonblank = groups.select(*_MERGED, "group_ord", F.explode(one).alias("g")).where(F.trim(X.text(F.col("g.text"))) != "")
+    kept = nonblank.groupBy(*_MERGED, "g.kind").agg(F.min(F.struct("group_ord", F.col("g.text").alias("text"))).alias("at"))
+    return first.unionByName(kept.select(*_MERGED, "kind", "at.text", "at.group_ord", F.lit(0).alias("pos")))
+
+
 def live_rows(df: DataFrame) -> DataFrame:
     return df.where("dup_of is null and order_code is not null")
 

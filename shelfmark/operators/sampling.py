@@ -65,11 +65,23 @@ def detection_score(answers: DataFrame, log: DataFrame, rows: DataFrame, key: st
     return both.agg(F.count_if(seeded & hit).alias("caught"), F.count_if(seeded & ~hit).alias("missed"), F.count_if(~seeded & hit).alias("false_alarms"), F.count_if(~seeded).alias("intact"), F.count_if(seeded & (F.col("new_leaf_name") == F.col("truth"))).alias("restored"))
 
 
-def holdout_score(truth: DataFrame, fills: DataFrame) -> DataFrame:
-    """identical (but for space and case), same measure, different or blank, for each held-out (part_id, k)."""
+def holdout_score(truth: DataFrame, fills: DataFrame, later: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """identical (but for space and case), same measure, different or blank, for each held-out (part_id, k).
+
+    What ``later`` holds for a cell, blank or not, stands over ``fills``.  With
+    ``rows`` given, cells of part_ids that have no row there are ``no_row``: they
+    were never delivered, which is no answer of the fill.
+    """
+    if later is not None:
+        old, new = fills.select("part_id", "k", "v"), later.select("part_id", "k", F.col("v").alias("_v"), F.lit(True).alias("_later"))
+        fills = old.join(new, ["part_id", "k"], "full").select("part_id", "k", F.when(F.col("_later"), F.col("_v")).otherwise(F.col("v")).alias("v"))
     norm = lambda c: F.lower(F.regexp_replace(X.text(c), r"\s+", ""))
     both = truth.join(fills.select("part_id", "k", F.col("v").alias("got")), ["part_id", "k"], "left")
-    bin_ = F.when(norm(F.col("got")) == "", "blank").when(norm(F.col("got")) == norm(F.col("v")), "identical").when(X.measure(F.col("got")) == X.measure(F.col("v")), "same_measure").otherwise("different")
+    there = F.lit(True)
+    if rows is not None:
+        both = both.join(rows.select("part_id", F.lit(True).alias("_row")).distinct(), "part_id", "left")
+        there = F.col("_row").isNotNull()
+    bin_ = F.when(~there, "no_row").when(norm(F.col("got")) == "", "blank").when(norm(F.col("got")) == norm(F.col("v")), "identical").when(X.measure(F.col("got")) == X.measure(F.col("v")), "same_measure").otherwise("different")
     return both.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
 from shelfmark.operators import attrs as A
+from shelfmark.operators import category as G
 from shelfmark.operators import evidence as E
 from shelfmark.operators import sampling as K
 from shelfmark.plans import duck as D
@@ -17,12 +18,15 @@ from shelfmark.sources import tables as S
 _C = f"WITH {CATALOG_CTE}"
 _TITLE = "trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1))"
 
+# white space of all of Unicode, as the engine's own class is ASCII without the vertical tab
+_SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 
 def _text(x: str) -> str:
     out = rf"regexp_replace(regexp_replace(regexp_replace(coalesce({x},''), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
-    for a, b in E.ENTITIES:
+    for a, b in [("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]:
         out = f"replace({out}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
-    return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
+    return rf"trim(regexp_replace({out}, '{_SPACES}+', ' ', 'g'))"
 
 
 def _ks(x: str) -> str:
@@ -66,6 +70,21 @@ def g04_g05_page_text(spark, d):
     return web_candidates(spark, d).select("page_id", E.page_text(F.col("html")).alias("body"), E.page_title(F.col("html")).alias("title"))
 
 
+@query(f"WITH {WEB_CTE} SELECT page_id, trim({_text('html')} || ' caf\u00e9 5\u2013' || page_id || ' A' || chr(192 + CAST(page_id % 600 AS INT)) || '\u2026 \u00a92024 &lt; &nosuch; \u2022\ufffd end') AS body FROM web")
+def g04_entities(spark, d):
+    """Pages with named entities, decimal and hexadecimal ones, ones without semicolon, unknown, double, misnumbered and impossible ones, and spaces that are none of ASCII."""
+    tail = F.concat(F.lit("<p>caf&eacute;&nbsp;5&#8211;"), "page_id", F.lit("&#x2003;&#x41;&#"), (192 + F.col("page_id") % 600).cast("string"), F.lit(";&hellip;&emsp;&copy2024 &amp;lt; &nosuch; &#149;&#xD800;&#10;end</p>"))
+    return web_candidates(spark, d).select("page_id", E.page_text(F.concat("html", tail)).alias("body"))
+
+
+@query(r"SELECT part_number, maker_code, brand, prefix, n_rows, first_ord FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'ＳＡＴ－' || CAST(p_size AS VARCHAR) || '㎜' WHEN 1 THEN 'BSI-①' || CAST(p_size AS VARCHAR) || 'Å' WHEN 2 THEN 'ＡＮＥ-Ｎｏ．' || CAST(p_size AS VARCHAR) ELSE 'Ⅳ－' || CAST(p_size AS VARCHAR) || '×３' END AS part_number, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) || 'mm' WHEN 1 THEN '1' || CAST(p_size AS VARCHAR) || 'Å' WHEN 2 THEN CAST(p_size AS VARCHAR) ELSE 'IV-' || CAST(p_size AS VARCHAR) || 'x3' END AS maker_code, CASE p_partkey % 4 WHEN 0 THEN 'SATA' WHEN 1 THEN 'Bosi' WHEN 2 THEN 'Anex' ELSE '' END AS brand, CASE p_partkey % 4 WHEN 0 THEN 'SAT' WHEN 1 THEN 'BSI' WHEN 2 THEN 'ANE' ELSE '' END AS prefix, count(*) n_rows, min(p_partkey) first_ord FROM part GROUP BY 1, 2, 3, 4)")
+def x20_compatible_codes(spark, d):
+    """Codes in full-width letters, circled digits, squared units and Roman numerals."""
+    s, m = F.col("p_size").cast("string"), F.col("p_partkey") % 4
+    code = F.when(m == 0, F.concat(F.lit("ＳＡＴ－"), s, F.lit("㎜"))).when(m == 1, F.concat(F.lit("BSI-①"), s, F.lit("Å"))).when(m == 2, F.concat(F.lit("ＡＮＥ-Ｎｏ．"), s)).otherwise(F.concat(F.lit("Ⅳ－"), s, F.lit("×３")))
+    return E.codes_with_rows(table(spark, d, "part").select(code.alias("part_number"), F.col("p_partkey").alias("row_ord")))
+
+
 @query(f"WITH {WEB_CTE} SELECT page_id, 'Code' AS label, code AS value FROM web UNION ALL SELECT page_id, 'Domain', CASE WHEN own_domain THEN 'own' ELSE 'other' END FROM web")
 def g06_table_pairs(spark, d):
     """The pages hold no tables, so a two-cell table is put behind an anchor, with a repeated and a one-cell row."""
@@ -300,6 +319,29 @@ def k07_holdout_score(spark, d):
     return K.holdout_score(truth, fills)
 
 
+@query(r"WITH " + CATALOG_CTE + ", t AS (SELECT part_id FROM catalog) SELECT CASE WHEN part_id % 11 = 5 THEN 'no_row' WHEN part_id % 7 = 1 THEN 'identical' WHEN part_id % 7 = 2 OR part_id % 3 = 0 THEN 'blank' WHEN part_id % 3 = 1 THEN 'same_measure' ELSE 'different' END AS bin, count(*) n FROM t GROUP BY 1")
+def k07_two_columns(spark, d):
+    """Fills of two columns, the later over the earlier even where it is blank, and parts that were not delivered."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("part_id"), F.lit("Size").alias("k"), F.col("p_size").cast("string").alias("s"))
+    i = F.col("part_id")
+    truth = p.select("part_id", "k", F.concat("s", F.lit(" mm")).alias("v"))
+    first = p.where(i % 3 != 0).select("part_id", "k", F.when(i % 3 == 1, F.concat("s", F.lit(".0 mm"))).otherwise(F.concat("s", F.lit("9 mm"))).alias("v"))
+    later = p.where((i % 7).isin(1, 2)).select("part_id", "k", F.when(i % 7 == 1, F.concat("s", F.lit(" MM"))).otherwise(F.lit("")).alias("v"))
+    return K.holdout_score(truth, first, later, p.where(i % 11 != 5))
+
+
+_REPLY = "CASE part_id % 6 WHEN 0 THEN 'See [1]. ```json\n[{\"id\": 1}]\n``` as in [2' WHEN 1 THEN 'no answer' WHEN 2 THEN '[{\"id\": 1,]' WHEN 3 THEN 'So: {\"id\": 7, \"of\": {\"n\": []}} done' WHEN 4 THEN '{\"id\": [1, 2}' ELSE NULL END"
+
+
+@query(f"{_C} SELECT part_id, f.form, CASE WHEN part_id % 6 IN (1, 5) THEN 'NO_JSON' WHEN f.form = 'array' AND part_id % 6 = 4 THEN 'NO_JSON' WHEN f.form = 'object' AND part_id % 6 = 2 THEN 'NO_JSON' ELSE 'NOT_PARSED' END AS reason FROM catalog CROSS JOIN (VALUES ('array'), ('object')) f(form) WHERE part_id % 6 IN (1, 5, 2, 4)")
+def x41_rejected_replies(spark, d):
+    """Fenced, bare, broken and missing arrays and objects."""
+    replies = catalog(spark, d).select("part_id", F.expr(_REPLY).alias("reply"))
+    forms = {"array": X.reply_array, "object": X.reply_object}
+    array, object_ = (G.rejected_replies(replies, f(F.col("reply"))).select("part_id", F.lit(n).alias("form"), "reason") for n, f in forms.items())
+    return array.unionByName(object_)
+
+
 @query("WITH t AS (SELECT p_partkey key, p_size truth FROM part) SELECT judge, count(*) FILTER (key % k > 1) n_right, count(*) FILTER (key % k = 0) n_blank, count(*) FILTER (key % k = 1) n_wrong FROM t CROSS JOIN (VALUES ('a', 5), ('b', 3)) j(judge, k) GROUP BY 1")
 def k08_judge_score(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").alias("truth"))

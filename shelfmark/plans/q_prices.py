@@ -218,6 +218,34 @@ def h15_merge_groups(spark, d):
     return H.merge_groups(items(spark, d).withColumn("labels", F.when(F.col("sheet") < "Brand#3", "d").otherwise("d,dd")))
 
 
+_LABELS = "CASE WHEN sheet < 'Brand#3' THEN 'd' ELSE 'd,dd' END"
+_GROUPS = f"li AS (SELECT *, {_LABELS} labels FROM items), gr AS (SELECT sheet, name, labels, min(row_ord) group_ord FROM li GROUP BY 1, 2, 3)"
+
+
+def _labelled(spark, d):
+    return items(spark, d).withColumn("labels", F.when(F.col("sheet") < "Brand#3", "d").otherwise("d,dd"))
+
+
+@query(f"{_I}, {_GROUPS} SELECT name, labels, group_ord, row_ord, sheet FROM li JOIN gr USING (sheet, name, labels)")
+def h15_merged_rows(spark, d):
+    return H.merged_rows(_labelled(spark, d))
+
+
+@query(
+    f"{_I}, {_GROUPS}, tx AS (SELECT name, labels, group_ord, k.kind, k.pos, CASE k.n WHEN 0 THEN 'Steel' WHEN 1 THEN 'Sheet ' || sheet WHEN 2 THEN name ELSE 'd: ' || CAST(group_ord % 3 AS VARCHAR) END AS text FROM gr CROSS JOIN (VALUES ('lines', 0, 0), ('lines', 1, 1), ('lines', 2, 0), ('legend', 0, 3)) k(kind, pos, n)), "
+    "firsts AS (SELECT *, row_number() OVER (PARTITION BY name, labels, kind, text ORDER BY group_ord, pos) r FROM tx), "
+    "ones AS (SELECT name, labels, group_ord, 'note' AS kind, 'from ' || sheet AS text FROM gr WHERE group_ord % 2 = 0 UNION ALL SELECT name, labels, group_ord, 'image', CAST(group_ord AS VARCHAR) || '.png' FROM gr WHERE group_ord % 3 = 0) "
+    "SELECT name, labels, kind, text, group_ord, pos FROM firsts WHERE r = 1 UNION ALL SELECT name, labels, kind, arg_min(text, group_ord), min(group_ord), 0 FROM ones GROUP BY 1, 2, 3"
+)
+def h15_merged_texts(spark, d):
+    """Groups with a repeated line, a legend of three kinds, notes that may be blank and images that may be missing."""
+    g = _labelled(spark, d).groupBy("sheet", "name", "labels").agg(F.min("row_ord").alias("group_ord"))
+    at = F.col("group_ord")
+    lines = F.array(F.lit("Steel"), F.concat(F.lit("Sheet "), "sheet"), F.lit("Steel"), F.lit(None))
+    note = F.when(at % 2 == 0, F.concat(F.lit("from "), "sheet")).otherwise(F.lit(" "))
+    return H.merged_texts(g.withColumns({"lines": lines, "legend": F.array(F.concat(F.lit("d: "), (at % 3).cast("string"))), "note": note, "image": F.when(at % 3 == 0, F.concat(at.cast("string"), F.lit(".png")))}))
+
+
 @query(f"{_ALL} SELECT row_ord, order_code FROM pr WHERE dup_of IS NULL AND order_code IS NOT NULL")
 def h16_live_rows(spark, d):
     return H.live_rows(priced(spark, d)).select("row_ord", "order_code")

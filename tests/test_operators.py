@@ -151,3 +151,25 @@ def test_dependency_queries_read_whole_texts_and_all_rows(spark, tmp_path):
     named = lambda i: f"red bolt m{7 * i % 50 + 1}x"
     want = {i for i in sized if f"m{i % 50 + 1}" not in named(i)}  # the guessed value is not in the name, the row's own is
     assert guarded == want and any(i % 9 for i in want)
+
+
+def test_merged_groups_keep_rows_and_texts(spark):
+    """Against a plain merge in order of first appearance, with null names, repeated texts and an empty table."""
+    groups = [("a", "n", "d", 1, ["x", "y", "x", None], ["l"], None, ""), ("b", "n", "d", 5, ["y", "z"], None, "late", "i.png"), ("c", "n", "d,dd", 3, [], ["m"], "  ", None), ("d", "n", "d", 2, ["z"], ["l", "k"], "note", "j.png")]
+    df = spark.createDataFrame(groups, "sheet string, name string, labels string, group_ord int, lines array<string>, legend array<string>, note string, image string")
+    got = {}
+    for r in prices.merged_texts(df).orderBy("group_ord", "pos").collect():
+        got.setdefault((r.labels, r.kind), []).append(r.text)
+    want = {}
+    for _, _, labels, _, lines, legend, note, image in sorted(groups, key=lambda g: g[3]):
+        for kind, texts in (("lines", lines), ("legend", legend)):
+            for t in texts or []:
+                if t is not None and t not in want.setdefault((labels, kind), []):
+                    want[labels, kind].append(t)
+        for kind, t in (("note", note), ("image", image)):
+            if (t or "").strip():
+                want.setdefault((labels, kind), [t])
+    assert got == {k: v for k, v in want.items() if v}
+    rows = spark.createDataFrame([("b", "n", "d", 1), ("a", "n", "d", 2), ("b", "n", "d", 4), ("a", "n", "d", 3), ("a", "n", "x", 0)], "sheet string, name string, labels string, row_ord int")
+    assert [(r.labels, r.row_ord) for r in prices.merged_rows(rows).orderBy("labels", "group_ord", "row_ord").collect()] == [("d", 1), ("d", 4), ("d", 2), ("d", 3), ("x", 0)]
+    assert prices.merged_texts(df.limit(0)).count() == 0 == prices.merged_rows(rows.limit(0)).count()
