@@ -1,6 +1,6 @@
 """Character decoding that has no built-in column function: one Arrow pass each.
 
-Both take nulls as empty texts.  Apply them to distinct values where rows repeat
+All take null texts as empty ones.  Apply them to distinct values where rows repeat
 (codes); page texts are distinct anyway.
 """
 
@@ -12,7 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from shelfmark.functions.text import text
 
@@ -22,6 +22,11 @@ def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _unescape_all(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: None if xs is None else [html.unescape(x) for x in xs])
+
+
 @F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x))
@@ -32,6 +37,11 @@ def unescape(c: Column) -> Column:
     return _unescape(text(c))
 
 
+def unescape_all(c: Column) -> Column:
+    """``unescape`` of each text of an array, for use where a lambda function would have to call it (Python cannot run inside one)."""
+    return _unescape_all(F.transform(c, text))
+
+
 def compatible(c: Column) -> Column:
     """Compatibility normal form (NFKC): full-width letters, circled digits, squared units as plain ones."""
     return _nfkc(text(c))

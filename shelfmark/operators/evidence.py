@@ -12,10 +12,22 @@ from shelfmark.functions import text as X
 MEASURE = r'(?i)[0-9]+(?:[.,][0-9]+)?\s*(?:mm|cm|kg|g|ml|Nm|W|V|A|inch|"|本)\b'
 
 
+def _bare(html: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(X.text(html), r"(?is)<script[^>]*>.*?</script>", " "), r"(?is)<style[^>]*>.*?</style>", " "), r"(?s)<[^>]+>", " ")
+
+
+def _collapsed(s: Column) -> Column:
+    return F.trim(F.regexp_replace(s, r"(?U)[\s\x1C-\x1F]+", " "))
+
+
 def page_text(html: Column) -> Column:
     """Text of a page: scripts and styles out, tags out, entities back, white space of every kind collapsed."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(X.text(html), r"(?is)<script[^>]*>.*?</script>", " "), r"(?is)<style[^>]*>.*?</style>", " "), r"(?s)<[^>]+>", " ")
-    return F.trim(F.regexp_replace(decode.unescape(bare), r"(?U)[\s\x1C-\x1F]+", " "))
+    return _collapsed(decode.unescape(_bare(html)))
+
+
+def page_texts(htmls: Column) -> Column:
+    """``page_text`` of each piece of an array."""
+    return F.transform(decode.unescape_all(F.transform(htmls, _bare)), _collapsed)
 
 
 def page_title(html: Column) -> Column:
@@ -55,7 +67,7 @@ def table_pairs(pages: DataFrame, anchor: str, window: int = 20_000) -> DataFram
     at = F.instr(X.text(F.col("html")), anchor)
     region = F.when(at > 0, F.substring(X.text(F.col("html")), at, F.lit(window)))
     rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(region, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)).alias("p", "tr"))
-    cells = rows.withColumn("c", F.filter(F.transform(F.regexp_extract_all("tr", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1), page_text), lambda x: x != "")).where("size(c) = 2")
+    cells = rows.withColumn("c", F.filter(page_texts(F.regexp_extract_all("tr", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1)), lambda x: x != "")).where("size(c) = 2")
     first = W.partitionBy("page_id", "label").orderBy("p")
     return cells.select("page_id", "p", F.col("c")[0].alias("label"), F.col("c")[1].alias("value")).withColumn("_r", F.row_number().over(first)).where("_r = 1").select("page_id", "label", "value")
 

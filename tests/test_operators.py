@@ -173,3 +173,12 @@ def test_merged_groups_keep_rows_and_texts(spark):
     rows = spark.createDataFrame([("b", "n", "d", 1), ("a", "n", "d", 2), ("b", "n", "d", 4), ("a", "n", "d", 3), ("a", "n", "x", 0)], "sheet string, name string, labels string, row_ord int")
     assert [(r.labels, r.row_ord) for r in prices.merged_rows(rows).orderBy("labels", "group_ord", "row_ord").collect()] == [("d", 1), ("d", 4), ("d", 2), ("d", 3), ("x", 0)]
     assert prices.merged_texts(df.limit(0)).count() == 0 == prices.merged_rows(rows.limit(0)).count()
+
+
+def test_cells_of_tables_are_decoded(spark):
+    """Entities in cells become characters, cells of spaces only do not count, and nulls and pages without the anchor give nothing."""
+    table = '<p id="specs"><table><tr><th>Gr&ouml;&szlig;e</th><td>5&nbsp;&#8211; <b>6</b>&#x2003;mm</td></tr><tr><td>a</td><td>&emsp;</td></tr><tr><td>x</td><td> </td><td>&lt;y&gt;</td></tr><tr><td>Größe</td><td>7</td></tr></table>'
+    pages = spark.createDataFrame([(1, table), (2, None), (3, "<tr><td>a</td><td>b</td></tr>")], "page_id long, html string")
+    assert sorted(tuple(r) for r in evidence.table_pairs(pages, 'id="specs"').collect()) == [(1, "Größe", "5 – 6 mm"), (1, "x", "<y>")]
+    arrays = spark.createDataFrame([(["a&amp;b", None],), (None,), ([],)], "v array<string>")
+    assert [r[0] for r in arrays.select(evidence.page_texts(F.col("v"))).collect()] == [["a&b", ""], None, []]
