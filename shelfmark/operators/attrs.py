@@ -135,6 +135,19 @@ def similar_classes(classes: DataFrame, threshold: float = 0.6) -> DataFrame:
     return both.where((F.col("ov") > 0) & (F.col("ov") >= threshold * F.col("un"))).select("a", "b", "n", F.bround(F.col("ov") / F.col("un"), 6).alias("jaccard"))
 
 
+def similar_peers(classes: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(a, b, jaccard): every row with a rare skeleton and every other row of its group with similar tokens.
+
+    Token sets are compared once for each pair of classes; the rows of either
+    class are joined to the result, so the work beyond the answer's own rows
+    does not grow with the number of alike rows.
+    """
+    met = similar_classes(classes, threshold).select("a", "b", "jaccard")
+    asking = classes.where("rare").select("a", F.col("row_ord").alias("x"))
+    peers = classes.select("b", F.col("row_ord").alias("y"))
+    return met.join(asking, "a").join(peers, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"), "jaccard")
+
+
 def cluster_coverage(df: DataFrame, members: DataFrame) -> DataFrame:
     """(cluster_id, level, k, cov, n_have): share of members with any attributes that have the attribute."""
     long = first_values(pairs(df)).join(members, "row_ord")

@@ -139,10 +139,10 @@ def b02_b04_clusters(spark, d):
     return assigned(spark, d)
 
 
-@query(f"{G} SELECT a, b, n, round_even(jac::DECIMAL(18,9), 6)::DOUBLE jaccard FROM l2p")
+@query(f"{G}, pairs AS (SELECT x.row_ord a, y.row_ord b, len(list_intersect(tx.t, ty.t)) ov, len(list_distinct(list_concat(tx.t, ty.t))) un FROM sized x JOIN sized y ON x.grp = y.grp AND x.row_ord <> y.row_ord JOIN tks tx ON tx.row_ord = x.row_ord JOIN tks ty ON ty.row_ord = y.row_ord WHERE x.s < 5) SELECT a, b, round_even((ov / un::DOUBLE)::DECIMAL(18,9), 6)::DOUBLE jaccard FROM pairs WHERE ov > 0 AND ov >= 0.6 * un")
 def b03_similar_peers(spark, d):
-    """Classes of rows with one token set, with how many rows each peer class stands for."""
-    return A.similar_classes(A.name_classes(prepared(spark, d), grouped(spark, d)))
+    """Every row with a rare skeleton and each of its similar peers."""
+    return A.similar_peers(A.name_classes(prepared(spark, d), grouped(spark, d)))
 
 
 @query(f"{G} SELECT cluster_id, level, row_ord FROM members")

@@ -182,3 +182,15 @@ def test_cells_of_tables_are_decoded(spark):
     assert sorted(tuple(r) for r in evidence.table_pairs(pages, 'id="specs"').collect()) == [(1, "Größe", "5 – 6 mm"), (1, "x", "<y>")]
     arrays = spark.createDataFrame([(["a&amp;b", None],), (None,), ([],)], "v array<string>")
     assert [r[0] for r in arrays.select(evidence.page_texts(F.col("v"))).collect()] == [["a&b", ""], None, []]
+
+
+def test_every_rare_row_has_each_of_its_peers(spark):
+    """Rows of one token set are peers of each other and of similar rows one by one, not one for their class."""
+    names = ["red steel bolt plain", "red steel bolt - plain", "plain red steel bolt", "red steel bolt", "quite other name"] + ["big red steel bolt plain"] * 6
+    rows = [(i, i, "p", n, "l", "i", 3, "g", "Size Of bolt: M1") for i, n in enumerate(names)]
+    df = catalog(spark, rows)
+    got = attrs.similar_peers(attrs.name_classes(df, attrs.resolve_groups(df))).collect()
+    words = [set(n.replace("-", " ").split()) for n in names]
+    alike = lambda i, j: len(words[i] & words[j]) / len(words[i] | words[j])
+    want = {(i, j): round(alike(i, j), 6) for i in range(5) for j in range(len(names)) if i != j and alike(i, j) >= 0.6}
+    assert {(r.a, r.b): r.jaccard for r in got} == want and len(got) == len(want) > 30
