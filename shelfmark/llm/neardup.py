@@ -331,7 +331,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    candidates = written(likely(ordered(shared.select(F.col("v").alias("x"), F.col("p").alias("y")))), "pairs")
     wanted = shared.select("v").distinct()
     texts = base.where("doc_id is not null").withColumnRenamed("doc_id", "v").join(wanted, "v", "left_semi")
     sets = written(texts.mapInArrow(tk.tidy(_shingled), "v long, shingles binary"), "shingles")
@@ -346,11 +345,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         out = pairs.join(la, "a", "left").join(lb, "b", "left")
         return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
-    # first each document's likeliest pair, then what is still apart
-    best = candidates.groupBy("b").agg(F.max_by("a", F.struct("j", -F.col("a"))).alias("a"))
-    labels = components(verified(best.select("a", "b")))
-    rest = apart(candidates.join(best, ["a", "b"], "left_anti"), labels)
-    labels = merged(labels, written(verified(rest), "links"))
+    # Two rounds, each of at most one pair a document: the pivot of most of its buckets, then, of those that are still in
+    # another component, the next.  Near copies have another pivot in nearly every bucket, up to BANDS a document; pairs
+    # that these rounds leave out are in one component already, or in a bucket of several, which the centres below settle.
+    met = written(shared.where("v <> p").groupBy("v", "p").agg(F.count("*").alias("k")), "met")
+
+    def nearest(met: DataFrame) -> DataFrame:
+        best = met.groupBy("v").agg(F.max_by("p", F.struct("k", F.xxhash64("p"))).alias("p"))
+        return written(likely(ordered(best.select(F.col("v").alias("x"), F.col("p").alias("y")))), "pairs")
+
+    candidates = nearest(met)
+    labels = components(verified(candidates))
+    left = met.withColumns({"a": F.least("v", "p"), "b": F.greatest("v", "p")}).join(candidates, ["a", "b"], "left_anti")
+    others = nearest(apart(left, labels).select("v", "p", "k"))
+    labels = merged(labels, written(verified(others), "links"))
+    candidates = candidates.union(others)
 
     # Buckets that still hold several components are measured against a centre.  The hub of a component is its member
     # that meets most others in such buckets, and a bucket's centre is the strongest hub of the components in it.  Two

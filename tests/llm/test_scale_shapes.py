@@ -102,3 +102,27 @@ def test_marks_of_links_agree():
         assert neardup.REGISTERS - sum(int((v | v >> np.uint64(1)) & np.uint64(0x5555555555555555)).bit_count() for v in x) == agree
         assert len(one & two) < 0.75 * len(one | two) or agree >= least
 
+
+
+def test_near_copies_meet_one_pivot_a_round(spark, monkeypatch):
+    """Copies that differ in a few words have another pivot in nearly every bucket; each round compares one pair a document."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(9000)}" for _ in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for j in rng.sample(range(120), rng.choice((1, 2, 3))):
+            words[j] = f"x{rng.randrange(9000)}"
+        rows.append((i, " ".join(words)))
+    sizes, real = [], neardup.written
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "pairs":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "written", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == plain_components(rows)
+    assert sizes and max(sizes) <= len(rows)
