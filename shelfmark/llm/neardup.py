@@ -40,6 +40,10 @@ MARGIN = 0.2
 
 #: two bits of each register, packed in longs; pairs of similarity 0.75 agree in 81 % of them
 MARKS = REGISTERS // 32
+#: shingles by which a row beyond a centre looks for its hub
+HUB_SHINGLES = 8
+#: longs of a parity map: a bit is set where an odd number of a set's shingles hash to it
+PARITY = 8
 
 _SEEDS = np.random.default_rng(20240501).integers(1, 1 << 32, (REGISTERS, 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
@@ -114,6 +118,17 @@ def _agree(one: str, two: str) -> Column:
     return F.lit(REGISTERS) - reduce(Column.__add__, (differ(i) for i in range(MARKS)))
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """The parity map of one set.  Maps of two sets differ in at most as many bits as the sets have shingles apart."""
+    odd = np.bincount((shingles & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _odd(one: str, two: str) -> Column:
+    """In how many bits the parity maps of two rows differ."""
+    return reduce(Column.__add__, (F.bit_count(F.col(f"{one}{i}").bitwiseXOR(F.col(f"{two}{i}"))) for i in range(PARITY)))
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, steps: int = 30) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity of pairs of register rows with known set sizes."""
     above, below = (a > b).sum(1).astype(float), (a < b).sum(1).astype(float)
@@ -184,9 +199,9 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sizes of two sets, how many shingles they share, and the first set's shingles that the second lacks."""
+    """Sizes of two sets, how many shingles they share, and the first set's shingles that the second lacks, and parity map."""
     for b in batches:
-        n, m, shared, rest = [], [], [], []
+        n, m, shared, rest, maps = [], [], [], [], np.zeros((len(b), PARITY), np.int64)
         for x, y in zip(b.column(2), b.column(3), strict=True):
             p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             inside = q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p
@@ -194,8 +209,9 @@ def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m.append(len(q))
             shared.append(int(inside.sum()))
             rest.append(p[~inside].view(np.int64))
-        cols = [b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in (n, m, shared)), pa.array(rest, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, ["v", "pv", "n", "np", "i", "rest"])
+            maps[len(n) - 1] = parity(p)
+        cols = [b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in (n, m, shared)), pa.array(rest, pa.list_(pa.int64())), *(pa.array(c) for c in maps.T)]
+        yield pa.RecordBatch.from_arrays(cols, ["v", "pv", "n", "np", "i", "rest", *(f"b{i}" for i in range(PARITY))])
 
 
 def _verified(percent: int):
@@ -248,49 +264,113 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(old.union(joined.join(labels, "v", "left_anti")), "labels")
 
 
-def _beyond_centres(measured: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of one centre and different components that may be links.
+def _need(n: Column, percent: int) -> Column:
+    """How many shingles two sets share at least, if they are a link and have ``n`` together."""
+    return F.ceil(percent * n / (100 + percent) - 1e-6)
 
-    ``measured``: v, pv, n, i (shingles shared with the centre pv), rest (those it
-    lacks).  A link needs ``need`` shared shingles, at most min(ix, iy) of them
-    the centre's.  Where that suffices, a pair is listed by its sizes.  All other
-    links share need - min(ix, iy) shingles or more that the centre lacks, so
-    they meet in the rarest ones (prefix filtering): ordered by rarity, the first
-    |rest| - t + 1 of either side hold a common one, if t are shared.  Shingles
-    that only one component has come first and need not be joined at all.
-
-    Texts made from one stock of sentences meet in nearly every shingle, so the
-    exact bounds tell them apart too rarely.  Each row therefore carries marks of
-    its registers, and a pair is listed only if it agrees in as many as a link
-    does: an estimate inside the join, before anything is written.
-    """
-    sign = [f"m{i}" for i in range(MARKS)]
-    alike = _agree("xm", "ym") >= least_agreement(percent)
-    named = lambda side: [F.col(c).alias(f"{side}{c}") for c in sign]
+
+def _around(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of centres that still hold several components, with their own (c), the largest of the centre (top), its least set and number of rows (rows)."""
     salt = F.pmod(F.xxhash64("v"), F.lit(16))
-    around = measured.join(labels, "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component", "np").withColumn("salt", salt)
+    around = measured.drop("np", "c", "top", "least", "cs", "rows", "salt").join(labels, "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component").withColumn("salt", salt)
     around = written(around, "around")
-    sizes = around.groupBy("pv", "c").agg(F.count("*").alias("m"), F.min("n").alias("least")).groupBy("pv").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.min("least").alias("least"), F.count("*").alias("cs"))
-    sizes = sizes.where("cs > 1").select("pv", "top", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("salt"))
-    around = written(around.join(sizes, ["pv", "salt"]), "around")
+    sizes = around.groupBy("pv", "c").agg(F.count("*").alias("m"), F.min("n").alias("least")).groupBy("pv").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.min("least").alias("least"), F.count("*").alias("cs"), F.sum("m").alias("rows"))
+    return written(around.join(_salted(sizes.where("cs > 1").select("pv", "top", "least", "rows")), ["pv", "salt"]), "around")
+
+
+def _salted(centres: DataFrame) -> DataFrame:
+    """One row of a centre for each salt of its rows."""
+    return centres.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+
+
+def _lacked(around: DataFrame) -> DataFrame:
+    """(pv, common): the shingles that a centre lacks and most of its rows have.  Fewer than two sets of mean size hold."""
+    beyond = around.select("pv", "rows", F.explode("rest").alias("h"))
+    common = beyond.groupBy("pv", "h").agg(F.count("*").alias("df"), F.max("rows").alias("rows")).where("2 * df > rows")
+    return common.groupBy("pv").agg(F.collect_set("h").alias("common"))
+
+
+def _with_lacked(around: DataFrame, common: DataFrame) -> DataFrame:
+    """The rows as measured against each centre together with the shingles that it lacks and most rows have.
+
+    A centre is a text of the group, with changes of its own: all others share
+    what it lacks there and would meet in it.  The bounds hold for any set as centre.
+    """
+    also = around.join(_salted(common), ["pv", "salt"], "left")
+    held = F.when(F.col("common").isNotNull(), F.size(F.array_intersect("rest", "common"))).otherwise(0)
+    return also.withColumns({"i": F.col("i") + held, "rest": F.coalesce(F.array_except("rest", "common"), "rest")}).drop("common")
+
+
+def _with_nearest(around: DataFrame) -> DataFrame:
+    """Pairs (x, y) of each row and the row that comes nearest to its centre (pv)."""
+    best = around.where("v <> pv").groupBy("pv").agg(F.max_by("v", F.struct(2 * F.col("i") - F.col("n"), F.xxhash64("v"))).alias("y"))
+    return around.select("pv", "salt", F.col("v").alias("x")).join(_salted(written(best, "nearest")), ["pv", "salt"]).select("x", "y")
+
+
+def _rarest_first(around: DataFrame) -> DataFrame:
+    """Per row of a centre: its shingles that the centre lacks and several components have, rarest first (hs), and the number of all (own)."""
+    beyond = around.select("pv", "v", "c", "n", "i", "least", F.size("rest").alias("own"), F.explode("rest").alias("h"))
+    useful = beyond.groupBy("pv", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("pv", "h", "df")
+    # files of these tables are far smaller than their rows: no broadcast by file size
+    lists = beyond.join(useful.hint("merge"), ["pv", "h"]).groupBy("pv", "v", "c", "n", "i", "least", "own").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    return written(lists, "lists")
+
+
+def _with_hubs(lists: DataFrame) -> DataFrame:
+    """At most one pair (x, y) a row: a row of another component that has the same shingles beyond the centre, and most common ones.
+
+    A group may hold a second one around another text.  The hub of a shingle
+    is the row whose shingles are the most frequent of its centre; a row meets the
+    hub of most of its HUB_SHINGLES most frequent ones.  This only merges early:
+    what is left apart is listed in full.
+    """
+    score = F.aggregate("hs", F.lit(0).cast("long"), lambda s, e: s + e["df"])
+    ends = lists.select("pv", "v", "c", score.alias("score"), F.slice(F.reverse("hs"), 1, HUB_SHINGLES).alias("hs")).select("pv", "v", "c", "score", F.explode("hs.h").alias("h"))
+    hubs = ends.groupBy("pv", "h").agg(F.max_by(F.struct("v", "c"), F.struct("score", "v")).alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    hubs = hubs.select("pv", "h", F.col("hub.v").alias("y"), F.col("hub.c").alias("cy"))
+    met = ends.join(hubs.hint("merge"), ["pv", "h"]).where("c <> cy").groupBy("v", "y").agg(F.count("*").alias("k"))
+    return met.groupBy(F.col("v").alias("x")).agg(F.max_by("y", F.struct("k", F.xxhash64("y"))).alias("y"))
+
+
+def _beyond_centres(around: DataFrame, lists: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of one centre and different components that may be links.
+
+    ``around``: v, pv, n, i (shingles shared with the centre pv), components and
+    parity maps; ``lists``: shingles that the centre lacks, rarest first.  A link
+    needs ``need`` shared shingles, at most min(ix, iy) of them the centre's.
+    Where that suffices, a pair is listed by its sizes.  All other links share
+    need - min(ix, iy) shingles or more that the centre lacks, so they meet in
+    the rarest ones (prefix filtering): ordered by rarity, the first |rest| - t + 1
+    of either side hold a common one, if t are shared.  Shingles that only one
+    component has come first and need not be joined at all.
+
+    Texts made from one stock of sentences, or one text with many changes, meet
+    in shingles far more often than they are links.  Each row therefore carries
+    its parity map: a link of n shingles together has at most n - 2 * need of them
+    apart, and maps that differ in more bits rule a pair out, exactly.  Maps of
+    more than 64 * PARITY shingles are too full for that; marks of the registers
+    are carried too, and a pair is listed only if it agrees in as many as a link
+    does: both inside the join, before anything is written.
+    """
+    sign, bits = [f"m{i}" for i in range(MARKS)], [f"b{i}" for i in range(PARITY)]
+    need = lambda n: _need(n, percent)
+    both = F.col("nx") + F.col("ny")
+    alike = (_odd("xb", "yb") <= both - 2 * need(both)) & (_agree("xm", "ym") >= least_agreement(percent))
+    named = lambda side: [F.col(c).alias(f"{side}{c}") for c in (*sign, *bits)]
 
-    need = lambda n: F.ceil(percent * n / (100 + percent) - 1e-6)
     # the bound needs x to come near the centre itself, unless y is smaller than it: checked before the join
     signed = reps.select("v", *sign)
-    near = around.join(signed, "v").where(F.col("i") >= need(F.col("n") + F.greatest("least", F.ceil(percent * F.col("n") / 100 - 1e-6))))
+    near = around.where(F.col("i") >= need(F.col("n") + F.greatest("least", F.ceil(percent * F.col("n") / 100 - 1e-6)))).join(signed, "v")
     x = near.where("c <> top").select("pv", F.col("v").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"), *named("x"))
     y = near.select(F.col("pv").alias("py"), F.col("v").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"), *named("y"))
-    # files of these tables are far smaller than their rows: no broadcast by file size
-    bounded = x.join(y.hint("merge"), (F.col("pv") == F.col("py")) & (F.col("cx") != F.col("cy")) & (F.least("ix", "iy") >= need(F.col("nx") + F.col("ny"))) & alike).select("x", "y")
+    bounded = x.join(y.hint("merge"), (F.col("pv") == F.col("py")) & (F.col("cx") != F.col("cy")) & (F.least("ix", "iy") >= need(both)) & alike).select("x", "y")
 
-    beyond = around.select("pv", "v", "c", "n", "i", "least", F.size("rest").alias("own"), F.explode("rest").alias("h"))
-    useful = beyond.groupBy("pv", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("pv", "h", "df")
-    lists = beyond.join(useful.hint("merge"), ["pv", "h"]).groupBy("pv", "v", "c", "n", "i", "least", "own").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    lists = lists.drop("c").join(around.select("pv", "v", "c", *bits).hint("merge"), ["pv", "v"])
     alone = F.col("own") - F.size("hs")
     smaller = F.greatest(need(2 * F.col("n")) - F.col("i"), F.lit(1))
     larger = F.greatest(need(F.col("n") + F.greatest("least", F.ceil(percent * F.col("n") / 100 - 1e-6))) - F.col("i"), F.lit(1))
     lists = lists.withColumn("as_smaller", F.col("own") - smaller + 1 - alone).withColumn("as_larger", F.col("own") - larger + 1 - alone)
-    prefixes = written(lists.where("as_larger > 0").select("pv", "v", "c", "n", "as_smaller", F.posexplode(F.slice("hs", F.lit(1), F.greatest(F.col("as_larger"), F.lit(0)).cast("int"))).alias("at", "e")).select("pv", "v", "c", "n", F.col("e.h").alias("h"), (F.col("at") < F.col("as_smaller")).alias("small")).join(signed, "v"), "prefixes")
+    prefixes = written(lists.where("as_larger > 0").join(signed, "v").select("pv", "v", "c", "n", *sign, *bits, "as_smaller", F.posexplode(F.slice("hs", F.lit(1), F.greatest(F.col("as_larger"), F.lit(0)).cast("int"))).alias("at", "e")).select("pv", "v", "c", "n", *sign, *bits, F.col("e.h").alias("h"), (F.col("at") < F.col("as_smaller")).alias("small")), "prefixes")
     small = prefixes.where("small").select("pv", "h", F.col("v").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), *named("x"))
     large = prefixes.select("pv", "h", F.col("v").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), *named("y"))
     fit = (F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny")) & (100 * F.col("nx") >= percent * F.col("ny")) & alike
@@ -373,10 +453,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     central = mixed.select("band", "c").distinct().join(hubs, "c").groupBy("band").agg(F.max_by("pv", F.struct("met", F.xxhash64("pv"))).alias("pv"))
     spokes = mixed.join(written(central, "central"), "band").select("v", "pv").distinct()
     of_v, of_p = sets.select("v", F.col("shingles").alias("sv")), sets.select(F.col("v").alias("pv"), F.col("shingles").alias("sp"))
-    measured = written(spokes.join(of_v, "v").join(of_p, "pv").select("v", "pv", "sv", "sp").mapInArrow(tk.tidy(_against), "v long, pv long, n long, np long, i long, rest array<long>"), "spokes")
+    measured = written(spokes.join(of_v, "v").join(of_p, "pv").select("v", "pv", "sv", "sp").mapInArrow(tk.tidy(_against), "v long, pv long, n long, np long, i long, rest array<long>, " + ", ".join(f"b{i} long" for i in range(PARITY))), "spokes")
     star = measured.where((F.col("v") != F.col("pv")) & (100 * F.col("i") >= percent * (F.col("n") + F.col("np") - F.col("i"))))
     labels = merged(labels, star.select(F.least("v", "pv").alias("a"), F.greatest("v", "pv").alias("b")))
-    labels = merged(labels, written(verified(likely(ordered(_beyond_centres(measured, labels, reps, percent)).join(candidates, ["a", "b"], "left_anti"))), "links"))
+
+    def linked_in(pairs: DataFrame) -> DataFrame:
+        return merged(labels, written(verified(likely(ordered(pairs).join(candidates, ["a", "b"], "left_anti"))), "links"))
+
+    # Each row also meets the one nearest to centre and majority, then the hub of its shingles beyond these.
+    around = _around(measured, labels)
+    around = written(_with_lacked(around, written(_lacked(around), "lacked")), "around")
+    labels = linked_in(_with_nearest(around))
+    around = _around(around, labels)
+    lists = _rarest_first(around)
+    labels = linked_in(_with_hubs(lists))
+    labels = linked_in(_beyond_centres(_around(around, labels), lists, reps, percent))
 
     nodes = member.join(labels, "v", "left").select("doc_id", F.col("v").alias("class_id"), F.coalesce("component", "v").alias("c"))
     nodes = nodes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("c").alias("c"))

@@ -126,3 +126,35 @@ def test_near_copies_meet_one_pivot_a_round(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == plain_components(rows)
     assert sizes and max(sizes) <= len(rows)
+
+
+def test_parity_maps_differ_in_at_most_as_many_bits_as_sets_have_shingles_apart():
+    h = textkit.mix64(np.arange(1, 5001, dtype=np.uint64))
+    for a, b in ((h[:200], h[10:210]), (h[:200], h[:199]), (h[:3000], h[2000:5000]), (h[:7], h[7:9])):
+        apart = len(np.setxor1d(a, b))
+        differ = sum(int(v).bit_count() for v in (neardup.parity(a) ^ neardup.parity(b)).view(np.uint64))
+        assert differ <= apart and (apart - differ) % 2 == 0 and (apart > 40 or differ >= apart - 8)
+
+
+@pytest.mark.parametrize("least", [0, 1])
+def test_copies_with_many_changes_list_few_pairs(spark, monkeypatch, least):
+    """Copies of one text, one in two below the threshold to it, with and without the text itself: few of the pairs are listed."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(9000)}" for _ in range(150)]
+    rows = []
+    for i in range(700):
+        words = list(base)
+        for j in rng.sample(range(150), max(least, i % 9)):
+            words[j] = rng.choice(("the", "of", "and", f"x{rng.randrange(40)}"))
+        rows.append((i, " ".join(words)))
+    listed, real = [], neardup._beyond_centres
+
+    def counted(*args):
+        out = real(*args)
+        listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "_beyond_centres", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == plain_components(rows)
+    assert listed[0] < 4 * len(rows)  # of 244,650 pairs
