@@ -238,19 +238,26 @@ def components(edges: DataFrame) -> DataFrame:
     halves.  Only grouped minima and joins on node keys are used; every round is
     written to the shared folder.
     """
-    edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    labels = written(edges.select(F.col("a").alias("v")).union(edges.select(F.col("b").alias("v"))).distinct().withColumn("component", F.col("v")), "labels")
-    while edges.limit(1).count():
+    return _contracted(written(edges.select("a", "b").where("a <> b").distinct(), "edges"))
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """``components`` of written edges without loops and repeats; every step costs the driver a plan, so none runs for nothing."""
+    labels = None
+    while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("low")).select("v", F.least("v", "low").alias("p")), "hooks")
         up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
         root = written(hook.join(up, "p").select("v", F.col("pp").alias("p")), "roots")
-        labels = written(labels.join(root.select(F.col("v").alias("component"), "p"), "component", "left").select("v", F.coalesce("p", "component").alias("component")), "labels")
+        if labels is None:  # the first round has every node
+            labels = root.select("v", F.col("p").alias("component"))
+        else:
+            labels = written(labels.join(root.select(F.col("v").alias("component"), "p"), "component", "left").select("v", F.coalesce("p", "component").alias("component")), "labels")
         links = both.where("a < b").join(root.select(F.col("v").alias("a"), F.col("p").alias("x")), "a").join(root.select(F.col("v").alias("b"), F.col("p").alias("y")), "b").select("x", "y")
         chain = root.select(F.col("p").alias("v")).distinct().join(root, "v").select(F.col("v").alias("x"), F.col("p").alias("y"))
         joined = links.union(chain).where("x <> y")
         edges = written(joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-    return labels
+    return edges.select(F.col("a").alias("v"), F.col("b").alias("component")) if labels is None else labels
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -258,7 +265,10 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select("a", "b")
     for c in ("a", "b"):
         ends = ends.join(labels.select(F.col("v").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
-    joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    edges = written(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "edges")
+    if edges.isEmpty():
+        return labels
+    joined = _contracted(edges)
     new = joined.select(F.col("v").alias("component"), F.col("component").alias("to"))
     old = labels.join(new, "component", "left").select("v", F.coalesce("to", "component").alias("component"))
     return written(old.union(joined.join(labels, "v", "left_anti")), "labels")
@@ -462,12 +472,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     # Each row also meets the one nearest to centre and majority, then the hub of its shingles beyond these.
     around = _around(measured, labels)
-    around = written(_with_lacked(around, written(_lacked(around), "lacked")), "around")
-    labels = linked_in(_with_nearest(around))
-    around = _around(around, labels)
-    lists = _rarest_first(around)
-    labels = linked_in(_with_hubs(lists))
-    labels = linked_in(_beyond_centres(_around(around, labels), lists, reps, percent))
+    if not around.isEmpty():
+        around = written(_with_lacked(around, written(_lacked(around), "lacked")), "around")
+        labels = linked_in(_with_nearest(around))
+        around = _around(around, labels)
+    if not around.isEmpty():
+        lists = _rarest_first(around)
+        labels = linked_in(_with_hubs(lists))
+        around = _around(around, labels)
+    if not around.isEmpty():
+        labels = linked_in(_beyond_centres(around, lists, reps, percent))
 
     nodes = member.join(labels, "v", "left").select("doc_id", F.col("v").alias("class_id"), F.coalesce("component", "v").alias("c"))
     nodes = nodes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("c").alias("c"))

@@ -50,13 +50,22 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _design(x: np.ndarray, earlier: np.ndarray, rows: np.ndarray, ones: int = 0) -> np.ndarray:
+    """The chosen rows of the features and the earlier probabilities, with as many columns of ones at the end; copied a few rows at a time."""
+    f, k = x.shape[1], earlier.shape[1]
+    out = np.ones((len(rows), f + k + ones), np.float32)
+    for a in range(0, len(rows), 256):
+        part = rows[a : a + 256]
+        out[a : a + 256, :f], out[a : a + 256, f : f + k] = x[part], earlier[part]
+    return out
+
+
 def _fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 120) -> np.ndarray:
-    """Logistic regression by accelerated gradient descent on scaled columns; the last weight is the bias."""
+    """Logistic regression by accelerated gradient descent on scaled columns, the last of them ones for the bias; ``x`` is overwritten."""
     n = len(x)
     if not n:
-        return np.zeros(x.shape[1] + 1, np.float32)
-    x = np.hstack([x, np.ones((n, 1), np.float32)]).astype(np.float32)
-    scale = (1 / np.sqrt(np.square(x).mean(0) + 1e-6)).astype(np.float32)
+        return np.zeros(x.shape[1], np.float32)
+    scale = np.concatenate([1 / np.sqrt(np.square(x[:, a : a + 64]).mean(0) + 1e-6) for a in range(0, x.shape[1], 64)]).astype(np.float32)
     x *= scale
     top = np.ones(x.shape[1], np.float32)
     for _ in range(12):  # power iteration for the step length
@@ -77,14 +86,15 @@ def fit_chain(x: np.ndarray, labels: dict[str, np.ndarray], features: np.ndarray
     fold = np.arange(n) % folds
     earlier, weights = np.zeros((n, 0), np.float32), []
     for k, name in enumerate(names):
-        y, inputs = labels[name].astype(float), np.hstack([x, earlier])
+        y = labels[name].astype(float)
         known = ~np.isnan(y)
         out = np.zeros(n)
         for f in range(folds):
-            test = fold == f
-            w = _fit(inputs[known & ~test], y[known & ~test], l2)
-            out[test] = _sigmoid(inputs[test] @ w[:-1] + w[-1])
-        w = _fit(inputs[known], y[known], l2)
+            test, train = np.flatnonzero(fold == f), np.flatnonzero(known & (fold != f))
+            w = _fit(_design(x, earlier, train, 1), y[train], l2)
+            out[test] = _sigmoid(_design(x, earlier, test) @ w[:-1] + w[-1])
+        train = np.flatnonzero(known)
+        w = _fit(_design(x, earlier, train, 1), y[train], l2)
         weights.append(np.concatenate([w[:-1], np.zeros(len(names) - k), w[-1:]]))
         earlier = np.hstack([earlier, out[:, None].astype(np.float32)])
     return Chain(names, features, np.array(weights))
@@ -177,18 +187,22 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000
                 order = np.argsort(d, kind="stable")
                 bounds = np.searchsorted(d[order], np.arange(s.n_docs + 1))
                 at = at[order]
-                lists = [np.unique(at[bounds[i] : bounds[i + 1]]).tolist() for i in range(s.n_docs)]
+                lists = [np.unique(at[bounds[i] : bounds[i + 1]]).astype(">i4").tobytes() for i in range(s.n_docs)]  # as bytes they sort as the numbers do
                 rows = b.slice(s.first, s.n_docs)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(lists, pa.list_(pa.int32()))], ["key", "y", "q", "at"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(lists, pa.binary())], ["key", "y", "q", "at"])
 
-    rows = sample.select(F.xxhash64("_id"), "_t", "_y", "_q").mapInArrow(tk.tidy(encoded), "key long, y int, q int, at array<int>").collect()
+    rows = sample.select(F.xxhash64("_id"), "_t", "_y", "_q").mapInArrow(tk.tidy(encoded), "key long, y int, q int, at binary").collect()
     rows.sort(key=lambda r: (r["key"], r["at"]))
     x, y = np.zeros((len(rows), len(features)), np.float32), np.array([r["y"] for r in rows])
     for i, r in enumerate(rows):
-        x[i, r["at"]] = 1
+        x[i, np.frombuffer(r["at"], ">i4")] = 1
     low = np.array([1.0 - r["q"] if r["q"] in (0, 1) else np.nan for r in rows])
     one, two = toxic_groups(x, y)
-    return fit_chain(x, dict(zip(CATEGORIES, (low, one, two, y), strict=True)), features)
+    del rows
+    chain = fit_chain(x, dict(zip(CATEGORIES, (low, one, two, y), strict=True)), features)
+    del x
+    tk.release()  # the driver keeps the chain only
+    return chain
 
 
 def score_toxicity(docs: DataFrame, chain: Chain | None, threshold: float = 0.5, text: str = "text") -> DataFrame:

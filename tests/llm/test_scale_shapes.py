@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ import zstandard
 
 pytest.importorskip("shelfmark.llm")
 
-from shelfmark.llm import neardup, textkit, warc  # noqa: E402
+from shelfmark.llm import neardup, textkit, toxicity, warc  # noqa: E402
 
 
 def record(i: int, payload: bytes) -> bytes:
@@ -158,3 +159,32 @@ def test_copies_with_many_changes_list_few_pairs(spark, monkeypatch, least):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == plain_components(rows)
     assert listed[0] < 4 * len(rows)  # of 244,650 pairs
+
+
+def test_training_holds_its_features_little_more_than_twice():
+    """The driver trains: four more copies of 10,000 rows of 1,000 features took 160 MB of it."""
+    rng = np.random.default_rng(3)
+    x = (rng.random((4000, 400)) < 0.05).astype(np.float32)
+    labels = {"one": x[:, 0].astype(float), "two": np.where(rng.random(4000) < 0.1, np.nan, x[:, 1])}
+    tracemalloc.start()
+    try:
+        chain = toxicity.fit_chain(x, labels, np.arange(400, dtype=np.uint64))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.6 * x.nbytes
+    assert all(((chain.predict(x)[:, k] > 0.5) == (x[:, k] > 0)).mean() > 0.99 for k in (0, 1))
+
+
+def test_components_write_no_table_for_nothing(spark, monkeypatch):
+    """Every written table is a plan, jobs and threads of the driver."""
+    names, write = [], neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, name: names.append(name) or write(df, name))
+    star = spark.createDataFrame([(1, i) for i in range(2, 6)] + [(7, 7)], "a long, b long")
+    labels = neardup.components(star)
+    assert names == ["edges", "hooks", "roots", "edges"] and {(r.v, r.component) for r in labels.collect()} == {(i, 1) for i in range(1, 6)}
+    names.clear()
+    assert neardup.merged(labels, spark.createDataFrame([(2, 5), (4, 3), (9, 9)], "a long, b long")) is labels and names == ["edges"]
+    both = neardup.merged(labels, spark.createDataFrame([(5, 9), (0, 9), (20, 21)], "a long, b long"))
+    assert {(r.v, r.component) for r in both.collect()} == {*((i, 0) for i in (0, 1, 2, 3, 4, 5, 9)), (20, 20), (21, 20)}
+    assert neardup.components(star.where("a = 7")).count() == 0
