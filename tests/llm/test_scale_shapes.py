@@ -162,7 +162,7 @@ def test_copies_with_many_changes_list_few_pairs(spark, monkeypatch, least):
 
 
 def test_training_holds_its_features_little_more_than_twice():
-    """The driver trains: four more copies of 10,000 rows of 1,000 features took 160 MB of it."""
+    """The driver trains: it held four more copies of the features before (25.8 MB beside 6.4 here)."""
     rng = np.random.default_rng(3)
     x = (rng.random((4000, 400)) < 0.05).astype(np.float32)
     labels = {"one": x[:, 0].astype(float), "two": np.where(rng.random(4000) < 0.1, np.nan, x[:, 1])}
