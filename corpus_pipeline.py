@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +17,30 @@ from shelfmark.llm.repeats import remove_repeats
 from shelfmark.llm.toxicity import score_toxicity, train_toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: an Arrow batch of whole texts is held by the JVM and by a Python worker, on its way there and on its way back
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage, with Arrow batches of at most ``BATCH_BYTES`` (or one row) from here on, where the session names no limit."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(BATCH_LIMIT, None) is None:
+            spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@small_batches
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not call toxic."""
     docs = docs.select(*COLUMNS)
     return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels"))).where(~F.col("toxic")).select(*COLUMNS)
 
 
+@small_batches
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of smallest id."""
     docs = docs.select(*COLUMNS)
@@ -29,6 +48,7 @@ def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(out, "doc_id", "left_anti").select(*COLUMNS)
 
 
+@small_batches
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier document has; those of which nothing is left go."""
     kept = remove_repeats(docs.select(*COLUMNS), carry=("lang", "source", "n_chars"))
@@ -36,12 +56,14 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
+@small_batches
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated, without their stray benchmark passages."""
     clean = decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).where(~F.col("contaminated"))
     return clean.select("doc_id", F.col("cleaned_text").alias("text"), "lang", "source", F.when(F.col("n_hit") > 0, F.length("cleaned_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
+@small_batches
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, with what its N best segmentations score."""
     return encode_pieces(docs.select("doc_id", "text", "lang", "source"), PIECE_MODEL).drop("text", "n_best_cuts")

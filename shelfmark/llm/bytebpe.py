@@ -21,7 +21,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +83,7 @@ def cut(text: str, size: int = LONG_CHARS) -> Iterator[tuple[str, bool]]:
             yield text[a:at], True
 
 
-@lru_cache(2)
+@tk.kept(2)
 def _codec(raw: bytes, pattern: str) -> Codec:
     return Codec(raw, pattern)
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -134,7 +133,7 @@ def _cut(raw: bytes, spans: list[tuple[int, int]], hit: np.ndarray, limit: int)
     return b"".join([*parts, raw[at:]]).decode("utf-8", "replace")
 
 
-@lru_cache(1)
+@tk.kept(1)
 def _automaton(items: tuple[tuple[str, str | None], ...], window: int) -> SuffixAutomaton:
     """The last automaton used stays in the worker, for the tasks that follow."""
     return SuffixAutomaton(list(items), window)

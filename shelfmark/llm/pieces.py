@@ -277,7 +277,7 @@ class PieceModel:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
-@lru_cache(2)
+@tk.kept(2)
 def piece_model(path: str) -> PieceModel:
     """One model for each worker and file."""
     return PieceModel(path)

@@ -40,6 +40,9 @@ from shelfmark.llm.common import text_bytes
 
 PHRASE = 5
 
+#: bytes of text whose words and hashes are worked on at once; they take some sixty times as much
+PART_BYTES = 1 << 18
+
 #: phrases of one automaton, about 35 bytes each; a bucket with more is streamed through several
 AUTOMATON_PHRASES = 50_000
 
@@ -69,7 +72,7 @@ def _count_phrases(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buckets, parts = b.column(0).to_numpy(), []
-            for s in tk.slices(b.column(2)):
+            for s in tk.slices(b.column(2), limit=PART_BYTES):
                 _, phrases, _, owners = _anchored(s, window)
                 at = np.unique(owners)
                 doc = np.searchsorted(s.word_offsets, at, "right") - 1
@@ -111,9 +114,10 @@ def _spell(window: int):
     """Phrases of one bucket whose hash recurs, in words, with the number of their places."""
 
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
+        tk.forget(__name__)
         keys, words = np.sort(wanted.column("h").to_numpy().view(np.uint64)), Counter()
         if len(keys) and len(docs):
-            for s in tk.slices(_text(docs)):
+            for s in tk.slices(_text(docs), limit=PART_BYTES):
                 _, phrases, _, owners = _anchored(s, window)
                 at = np.unique(owners)
                 at = at[keys[np.minimum(np.searchsorted(keys, phrases[at]), len(keys) - 1)] == phrases[at]]
@@ -139,7 +143,7 @@ def _locate(docs: pa.Array, phrases: list[bytes]) -> list[np.ndarray]:
     """Words of each document where a phrase starts, in order."""
     found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(docs)
     for automaton in _automata(phrases):
-        for s in tk.slices(docs):
+        for s in tk.slices(docs, limit=PART_BYTES):
             for d in range(s.n_docs):
                 line = b" " + b" ".join(s.doc_bytes(d).split()) + b" "
                 hits = [end - n + 1 for end, n in automaton.iter(line.decode("latin-1"))]
@@ -153,12 +157,13 @@ def _candidates(window: int):
     """Distinct windows around located phrases of one bucket, each with its first place, and all located places of each document."""
 
     def run(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
+        tk.forget(__name__)
         docs, out = _in_order(docs), []
         if not len(docs) or not len(confirmed):
             return _CANDIDATE.empty_table()
         ids, text = docs.column("doc_id").combine_chunks(), _text(docs)
         located = _locate(text, confirmed.column("phrase").to_pylist())
-        for s in tk.slices(text):
+        for s in tk.slices(text, limit=PART_BYTES):
             words, _, starts, owners = _anchored(s, window)
             if not len(starts):
                 continue
@@ -205,6 +210,7 @@ def _around(s: tk.Slice, starts: np.ndarray, ids: list, places: dict, window: in
 
 def _remove(window: int, out_schema: pa.Schema, with_text: bool):
     def run(docs: pa.Table, flagged: pa.Table) -> pa.Table:
+        tk.forget(__name__)
         docs = _in_order(docs)
         window_row = pc.is_null(flagged.column("places"))
         late = np.sort(flagged.filter(window_row).column("w").to_numpy().view(np.uint64))
@@ -212,9 +218,10 @@ def _remove(window: int, out_schema: pa.Schema, with_text: bool):
         for i, x in zip(hits.column("doc_id").to_pylist(), hits.column("places").to_pylist(), strict=True):
             places.setdefault(i, []).append(np.cumsum(np.frombuffer(x, np.int32)))
         rank, ids, parts = _rank(docs), docs.column("doc_id").to_pylist(), []
-        for s in tk.slices(_text(docs)) if len(docs) else ():
+        for s in tk.slices(_text(docs), limit=PART_BYTES) if len(docs) else ():
             starts = _around(s, tk.windows_inside(s.word_offsets, window), ids, places, window)
             h = tk.ngram_hashes(s.word_hashes(), window)[starts] if len(starts) else np.zeros(0, np.uint64)
+            s.drop_sums()
             d = np.searchsorted(s.word_offsets, starts, "right") - 1
             parts.append((s, h, starts, rank[s.first + d], starts - s.word_offsets[d]))
         if not parts:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -57,22 +58,39 @@ _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.u
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = (1 << max(n - 2, 0).bit_length()) + 1
         up, down = np.full(size, _BASE), np.full(size, _BASE_INV)
         up[0] = down[0] = 1
         _powers = (np.multiply.accumulate(up), np.multiply.accumulate(down))
     return _powers
 
 
+#: caches of ``kept`` functions in this process
+_kept: list = []
+
+
+def kept(size: int) -> Callable:
+    """``lru_cache`` for models and automata that serve the tasks that follow; tasks of another module drop them."""
+
+    def wrap(f: Callable) -> Callable:
+        cached = functools.lru_cache(size)(f)
+        _kept.append(cached)
+        return cached
+
+    return wrap
+
+
 def tidy(f: Callable) -> Callable:
     """Wrap a function over Arrow batches: when it ends, freed memory goes back to the system.
 
     Python workers live on from stage to stage, and what their allocators keep
-    counts against the executor.
+    counts against the executor.  So does what other modules' tasks have kept:
+    it goes before the function begins.
     """
 
     @functools.wraps(f)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(f.__module__)
         try:
             yield from f(batches)
         finally:
@@ -81,6 +99,16 @@ def tidy(f: Callable) -> Callable:
     return run
 
 
+def forget(module: str) -> None:
+    """Drop what tasks of all modules but this one have kept."""
+    others = [c for c in _kept if c.__module__ != module and c.cache_info().currsize]
+    for c in others:
+        c.cache_clear()
+    if others:
+        gc.collect()  # a model and its own caches refer to each other
+        release()
+
+
 def release() -> None:
     global _powers
     _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -121,6 +149,10 @@ class Slice:
         h += (ends - starts).astype(np.uint64) * _COMBINE
         return mix64(h)
 
+    def drop_sums(self) -> None:
+        """Sums that ``span_hashes`` keeps take eight bytes for each byte of text; they are made anew when asked for."""
+        self._sums = None
+
     def word_hashes(self) -> np.ndarray:
         return self.span_hashes(self.starts, self.ends)
 
