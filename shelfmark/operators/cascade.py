@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from shelfmark.functions import text as X
 from shelfmark.operators.deps import MERCH_TAGS, name_evidence, name_guard, note_attributes
-from shelfmark.operators.steps import kept
+from shelfmark.operators.steps import by_merge, kept
 
 MIN_ROWS, PURITY_PCT = 3, 95
 CELL = ["grp", "row_ord", "target"]
@@ -35,14 +35,14 @@ def single_keys(long: DataFrame) -> DataFrame:
     a = long.select("grp", "row_ord", F.col("k").alias("d1"), F.col("v").alias("v1"))
     t = long.select("grp", "row_ord", F.col("k").alias("target"), F.col("v").alias("value"))
     key = ["grp", "d1", "v1", "target"]
-    return _dominant(a.join(t, ["grp", "row_ord"]).where("d1 <> target").groupBy(*key, "value").agg(F.count("*").alias("n"), F.min("row_ord").alias("first")), key)
+    return _dominant(a.join(by_merge(t), ["grp", "row_ord"]).where("d1 <> target").groupBy(*key, "value").agg(F.count("*").alias("n"), F.min("row_ord").alias("first")), key)
 
 
 def _by_relations(have: DataFrame, relations: DataFrame, keys: DataFrame) -> DataFrame:
     """The first sure hit in rank order, else the first weak one, of each cell."""
     one = have.select(*CELL, F.col("k").alias("d1"), F.col("v").alias("v1")).join(relations.select("grp", "target", "d1", "d2", "rank"), ["grp", "target", "d1"])
     two = have.select("row_ord", "target", F.col("k").alias("d2"), F.col("v").alias("v2"))
-    both = one.join(two, ["row_ord", "target", "d2"], "left").where("d2 = '' or v2 is not null").withColumn("v2", F.coalesce("v2", F.lit("")))
+    both = one.join(by_merge(two), ["row_ord", "target", "d2"], "left").where("d2 = '' or v2 is not null").withColumn("v2", F.coalesce("v2", F.lit("")))
     hits = both.join(keys, ["grp", "d1", "d2", "target", "v1", "v2"]).withColumn("sure", _sure())
     best = W.partitionBy("row_ord", "target").orderBy(F.desc("sure"), "rank")
     return hits.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(*CELL, "value", "d1", "d2", "v1", "v2", "n_dom", "sure")
@@ -68,7 +68,7 @@ def _accepted(hits: DataFrame, tables: Tables) -> DataFrame:
     """Hits without a merchandising tag among their determinants that no name speaks against."""
     free = hits.where(~F.col("d1").isin(MERCH_TAGS) & ~F.col("d2").isin(MERCH_TAGS))
     against = name_guard(tables["names"], (tables["encoded"], tables["others"]), free.select("grp", "row_ord", F.col("target").alias("k"), F.col("value").alias("v")))
-    return free.join(against.select("row_ord", F.col("k").alias("target")), ["row_ord", "target"], "left_anti")
+    return free.join(by_merge(against.select("row_ord", F.col("k").alias("target"))), ["row_ord", "target"], "left_anti")
 
 
 def refined(hits: DataFrame, have: DataFrame, long: DataFrame) -> DataFrame:
@@ -81,11 +81,11 @@ def refined(hits: DataFrame, have: DataFrame, long: DataFrame) -> DataFrame:
     """
     base = hits.select(*CELL, F.col("value").alias("old"), "d1", "d2", "v1", "v2")
     more = have.where(~F.col("k").isin(MERCH_TAGS)).select("row_ord", "target", F.col("k").alias("extra"), F.col("v").alias("ve"))
-    probes = base.join(more, ["row_ord", "target"]).where("extra <> d1 and extra <> d2")
+    probes = base.join(by_merge(more), ["row_ord", "target"]).where("extra <> d1 and extra <> d2")
     attrs = ["target", "d1", "d2", "extra"]
     sets = kept(probes.select(*attrs).distinct())
-    cell = lambda k, v: long.select("grp", "row_ord", F.col("k").alias(k), F.col("v").alias(v))
-    rows = cell("target", "value").join(sets, "target").join(cell("d1", "v1"), ["grp", "row_ord", "d1"]).join(cell("extra", "ve"), ["grp", "row_ord", "extra"])
+    cell = lambda k, v: by_merge(long.select("grp", "row_ord", F.col("k").alias(k), F.col("v").alias(v)))
+    rows = long.select("grp", "row_ord", F.col("k").alias("target"), F.col("v").alias("value")).join(sets, "target").join(cell("d1", "v1"), ["grp", "row_ord", "d1"]).join(cell("extra", "ve"), ["grp", "row_ord", "extra"])
     rows = rows.join(cell("d2", "v2"), ["grp", "row_ord", "d2"], "left").where("d2 = '' or v2 is not null").withColumn("v2", F.coalesce("v2", F.lit("")))
     values = ["v1", "v2", "ve"]
     counts = kept(rows.groupBy("grp", *attrs, *values, "value").agg(F.count("*").alias("n"), F.min("row_ord").alias("first")))
@@ -98,9 +98,9 @@ def refined(hits: DataFrame, have: DataFrame, long: DataFrame) -> DataFrame:
 
 def _hits(cells: DataFrame, context: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """(hits, have): accepted hits by relation or index, and what each cell's row knows by its turn."""
-    have = kept(cells.join(context, "row_ord").where("at < pos and k <> target").select(*CELL, "k", "v"))
+    have = kept(cells.join(by_merge(context), "row_ord").where("at < pos and k <> target").select(*CELL, "k", "v"))
     by_relation = kept(_accepted(_by_relations(have, tables["relations"], tables["keys"]).where("sure"), tables))
-    left = have.join(by_relation.select("row_ord", "target"), ["row_ord", "target"], "left_anti")
+    left = have.join(by_merge(by_relation.select("row_ord", "target")), ["row_ord", "target"], "left_anti")
     by_index = _accepted(_by_index(left, tables["singles"]), tables)
     return kept(by_relation.withColumn("tier", F.lit("RELATION")).unionByName(by_index.withColumn("tier", F.lit("INDEX")))), have
 
@@ -116,8 +116,8 @@ def _look_up(cells: DataFrame, context: DataFrame, tables: Tables) -> DataFrame:
     hits, have = _hits(cells, context, tables)
     sharp = refined(hits, have, tables["long"]).select("row_ord", "target", F.col("value").alias("sharp"), "extra", F.col("n_dom").alias("m"))
     det = F.concat_ws("+", "d1", F.when(F.col("d2") != "", F.col("d2")), "extra")
-    out = hits.join(sharp, ["row_ord", "target"], "left").select("row_ord", "target", F.coalesce("sharp", "value").alias("value"), F.when(F.col("sharp").isNotNull(), "REFINED").otherwise(F.col("tier")).alias("tier"), det.alias("det"), F.coalesce("m", "n_dom").alias("n_dom"))
-    return cells.join(out, ["row_ord", "target"], "left").select(*CELL, "pos", "value", "tier", "det", "n_dom")
+    out = hits.join(by_merge(sharp), ["row_ord", "target"], "left").select("row_ord", "target", F.coalesce("sharp", "value").alias("value"), F.when(F.col("sharp").isNotNull(), "REFINED").otherwise(F.col("tier")).alias("tier"), det.alias("det"), F.coalesce("m", "n_dom").alias("n_dom"))
+    return cells.join(by_merge(out), ["row_ord", "target"], "left").select(*CELL, "pos", "value", "tier", "det", "n_dom")
 
 
 def fill_cascade(cells: DataFrame, long: DataFrame, labels: DataFrame, names: DataFrame, relations: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,21 +136,21 @@ def fill_cascade(cells: DataFrame, long: DataFrame, labels: DataFrame, names: Da
     tables = _tables(long, names, relations, keys)
     todo = kept(cells.join(notes, "target", "left_anti"))
     base = long.select("row_ord", "k", "v").withColumn("at", F.lit(-2))
-    read = labels.select("row_ord", "k", "v").join(base, ["row_ord", "k"], "left_anti").withColumn("at", F.lit(-1))
-    fixed = kept(base.unionByName(read).join(todo.select("row_ord").distinct(), "row_ord", "left_semi"))
+    read = labels.select("row_ord", "k", "v").join(by_merge(base), ["row_ord", "k"], "left_anti").withColumn("at", F.lit(-1))
+    fixed = kept(base.unionByName(read).join(by_merge(todo.select("row_ord").distinct()), "row_ord", "left_semi"))
 
     def context(found: DataFrame) -> DataFrame:
         own = found.where("value is not null").select("row_ord", F.col("target").alias("k"), F.col("value").alias("v"), F.col("pos").alias("at"))
-        return fixed.unionByName(own.join(fixed.select("row_ord", "k"), ["row_ord", "k"], "left_anti"))
+        return fixed.unionByName(own.join(by_merge(fixed.select("row_ord", "k")), ["row_ord", "k"], "left_anti"))
 
     found = kept(_look_up(todo, fixed, tables))
     changed = kept(found.where("value is not null").groupBy("row_ord").agg(F.min("pos").alias("since")))
     while changed.head() is not None:
-        again = todo.join(changed, "row_ord").where("pos > since").drop("since")
+        again = todo.join(by_merge(changed), "row_ord").where("pos > since").drop("since")
         fresh = kept(_look_up(again, context(found), tables))
         old = found.select("row_ord", "target", F.col("value").alias("was"))
-        changed = kept(fresh.join(old, ["row_ord", "target"]).where("not value <=> was").groupBy("row_ord").agg(F.min("pos").alias("since")))
-        found = kept(found.join(fresh.select("row_ord", "target"), ["row_ord", "target"], "left_anti").unionByName(fresh))
+        changed = kept(fresh.join(by_merge(old), ["row_ord", "target"]).where("not value <=> was").groupBy("row_ord").agg(F.min("pos").alias("since")))
+        found = kept(found.join(by_merge(fresh.select("row_ord", "target")), ["row_ord", "target"], "left_anti").unionByName(fresh))
     why = F.when(F.col("target").isin(MERCH_TAGS), "TAG").otherwise("ASK")
     done = found.withColumn("tier", F.coalesce("tier", why))
     skipped = cells.join(notes, "target", "left_semi").select(*CELL, "pos", *(F.lit(None).cast(t).alias(c) for c, t in (("value", "string"), ("tier", "string"), ("det", "string"), ("n_dom", "long")))).withColumn("tier", F.lit("NOTE"))

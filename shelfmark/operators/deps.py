@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from shelfmark.functions import text as X
+from shelfmark.operators.steps import by_merge
 
 # Merchandising tags; they determine nothing and are never asked for.
 MERCH_TAGS = ["Ngành Hàng", "Brand of Group Home", "Original"]
@@ -35,8 +36,8 @@ def dependency_keys(long: DataFrame, pool: DataFrame) -> DataFrame:
     a = rows.select("grp", "row_ord", F.col("k").alias("d1"), F.col("v").alias("v1"))
     b = rows.select("grp", "row_ord", F.col("k").alias("d2"), F.col("v").alias("v2"))
     t = rows.select("grp", "row_ord", F.col("k").alias("target"), F.col("v").alias("value"))
-    one = a.join(t, ["grp", "row_ord"]).where("d1 <> target").selectExpr("grp", "row_ord", "d1", "'' as d2", "v1", "'' as v2", "target", "value")
-    two = a.join(b, ["grp", "row_ord"]).where("d1 < d2").join(t, ["grp", "row_ord"]).where("d1 <> target and d2 <> target").select("grp", "row_ord", "d1", "d2", "v1", "v2", "target", "value")
+    one = a.join(by_merge(t), ["grp", "row_ord"]).where("d1 <> target").selectExpr("grp", "row_ord", "d1", "'' as d2", "v1", "'' as v2", "target", "value")
+    two = a.join(by_merge(b), ["grp", "row_ord"]).where("d1 < d2").join(by_merge(t), ["grp", "row_ord"]).where("d1 <> target and d2 <> target").select("grp", "row_ord", "d1", "d2", "v1", "v2", "target", "value")
     key = ["grp", "d1", "d2", "target", "v1", "v2"]
     counts = one.unionByName(two).groupBy(*key, "value").agg(F.count("*").alias("n"), F.min("row_ord").alias("first"))
     by = W.partitionBy(*key)
@@ -102,14 +103,14 @@ def labels_from_names(names: DataFrame, long: DataFrame) -> DataFrame:
     pad = lambda c: F.concat(F.lit(" "), F.lower(c), F.lit(" "))
     vocab = long.select("grp", "k", "v").distinct().withColumn("w", F.split(F.lower("v"), " ")[0])
     words = names.select("grp", "row_ord", "name", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("w"))
-    hits = words.join(vocab, ["grp", "w"]).where(pad(F.col("name")).contains(pad(F.col("v")))).join(long.select("grp", "row_ord", "k"), ["grp", "row_ord", "k"], "left_anti")
+    hits = by_merge(words).join(vocab, ["grp", "w"]).where(pad(F.col("name")).contains(pad(F.col("v")))).join(by_merge(long.select("grp", "row_ord", "k")), ["grp", "row_ord", "k"], "left_anti")
     return hits.groupBy("grp", "row_ord", "k").agg(F.count_distinct("v").alias("n"), F.min("v").alias("v")).where("n = 1").drop("n")
 
 
 def name_evidence(names: DataFrame, long: DataFrame, min_rows: int = 10, share: float = 0.3) -> tuple[DataFrame, DataFrame]:
     """Attributes that are written in names, over all groups, and all values (base, other, lead) of base attributes."""
     written = F.lower("name").contains(F.lower("v")).cast("int")
-    encoded = long.join(names.select("row_ord", "name"), "row_ord").groupBy("k").agg(F.count("*").alias("n"), F.avg(written).alias("s")).where((F.col("n") >= min_rows) & (F.col("s") >= share)).select("k")
+    encoded = long.join(by_merge(names.select("row_ord", "name")), "row_ord").groupBy("k").agg(F.count("*").alias("n"), F.avg(written).alias("s")).where((F.col("n") >= min_rows) & (F.col("s") >= share)).select("k")
     return encoded, long.select(X.base_attr(F.col("k")).alias("base"), F.col("v").alias("other"), F.substring(F.lower("v"), 1, 3).alias("lead")).distinct()
 
 
@@ -121,7 +122,7 @@ def name_guard(names: DataFrame, evidence: tuple[DataFrame, DataFrame], candidat
     encoded, others = evidence
     inside = lambda v: F.lower("name").contains(F.lower(v))
     starts = lambda name: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(name) + 1), lambda i: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda n: F.substr(name, i, n)))))
-    c = candidates.join(encoded, "k").join(names.select("row_ord", "name"), "row_ord").where(~inside("v"))
+    c = candidates.join(encoded, "k").join(by_merge(names.select("row_ord", "name")), "row_ord").where(~inside("v"))
     c = c.select("grp", "row_ord", "k", "v", "name", X.base_attr(F.col("k")).alias("base"), F.explode(starts(F.lower("name"))).alias("lead"))
     return c.join(others, ["base", "lead"]).where((F.col("other") != F.col("v")) & inside("other")).groupBy("grp", "row_ord", "k", "v").agg(F.min("other").alias("in_name"))
 

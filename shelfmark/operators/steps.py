@@ -27,3 +27,13 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def by_merge(df: DataFrame) -> DataFrame:
+    """The table, which grows with the input's rows, to be joined by sorting and merging.
+
+    Its size is estimated from compressed files, where repeated values take almost
+    nothing, so that it would be broadcast through the driver at a hundredth of what
+    it takes there.
+    """
+    return df.hint("merge")

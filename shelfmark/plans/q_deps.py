@@ -12,7 +12,7 @@ from shelfmark.operators import cascade as K
 from shelfmark.operators import curves as C
 from shelfmark.operators import deps as P
 from shelfmark.operators import verify as V
-from shelfmark.operators.steps import kept
+from shelfmark.operators.steps import by_merge, kept
 from shelfmark.plans import duck as D
 from shelfmark.plans import q_attrs as QA
 from shelfmark.plans.registry import query
@@ -169,7 +169,7 @@ def cascade(spark, d):
         pool = kept(P.attribute_pool(rows))
         keys = kept(P.dependency_keys(rows, pool))
         relations = kept(P.mine_dependencies(rows, pool, keys))
-        cells = named.select("grp", "row_ord").join(pool.select("grp", F.col("k").alias("target")), "grp").join(rows.select("row_ord", F.col("k").alias("target")), ["row_ord", "target"], "left_anti")
+        cells = named.select("grp", "row_ord").join(pool.select("grp", F.col("k").alias("target")), "grp").join(by_merge(rows.select("row_ord", F.col("k").alias("target"))), ["row_ord", "target"], "left_anti")
         cells = cells.withColumn("pos", F.row_number().over(W.partitionBy("row_ord").orderBy("target")))
         found, context = K.fill_cascade(cells, rows, P.labels_from_names(named, rows), named, relations, keys)
         return found, context, relations

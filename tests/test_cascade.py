@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import collections
+import os
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import cascade as K
 from shelfmark.operators import deps as P
+from shelfmark.operators import steps
 
 TAGS = {"Original"}
 
@@ -135,3 +139,23 @@ def test_other_groups_values_speak_against_a_value(spark):
     names = spark.createDataFrame([(r[0], r[1], r[4]) for r in rows] + [("u", 99, "u steel Hot Dip DN40")], "grp string, row_ord long, name string")
     asked = spark.createDataFrame([("u", 99, "Finish Of u", "Zinc")], "grp string, row_ord long, k string, v string")
     assert P.name_guard(names, P.name_evidence(names, long), asked).first()["in_name"] == "Hot Dip"
+
+
+SF = "/root/testdata/sf0.001"
+JOINED_BY_ROW = ["d05_refine_lookup"]
+PLANS: list[str] = []
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", JOINED_BY_ROW)
+def test_no_table_of_rows_goes_through_the_driver(spark, monkeypatch, name):
+    """No join on rows or questions is a broadcast, in any written step or the result: the tables of a few rows here are of millions elsewhere."""
+    from shelfmark.plans import q_deps, registry
+
+    note = lambda df: PLANS.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (K, q_deps):
+        monkeypatch.setattr(module, "kept", lambda df: note(df) or steps.kept(df))
+    monkeypatch.setattr(registry, "start_query", lambda: None)  # the steps are built by the first query
+    note(registry.QUERIES[name](spark, SF))
+    broadcasts = [keys for p in PLANS for keys in re.findall(r"BroadcastHashJoin \[(.*?)\]", p)]
+    assert len(PLANS) > 20 and not [k for k in broadcasts if "row_ord" in k or "key_hash" in k]
