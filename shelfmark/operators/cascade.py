@@ -165,13 +165,13 @@ def question_rows(found: DataFrame, context: DataFrame, relations: DataFrame, na
     question.
     """
     cells = found.where("tier = 'ASK'").select(*CELL, "pos")
-    have = cells.join(context, "row_ord").where("at < pos and k <> target").select(*CELL, "k", "v")
+    have = cells.join(by_merge(context), "row_ord").where("at < pos and k <> target").select(*CELL, "k", "v")
     one = have.select(*CELL, F.col("k").alias("d1"), F.col("v").alias("v1")).join(relations.select("grp", "target", "d1", "d2", "rank"), ["grp", "target", "d1"])
     two = have.select("row_ord", "target", F.col("k").alias("d2"), F.col("v").alias("v2"))
-    r = one.join(two, ["row_ord", "target", "d2"], "left").where("d2 = '' or v2 is not null")
+    r = one.join(by_merge(two), ["row_ord", "target", "d2"], "left").where("d2 = '' or v2 is not null")
     text = F.concat("d1", F.lit("="), "v1", F.when(F.col("d2") != "", F.concat(F.lit("; "), "d2", F.lit("="), "v2")).otherwise(""))
     top = r.groupBy("row_ord", "target").agg(F.min_by(text, "rank").alias("context"))
-    full = cells.join(top, ["row_ord", "target"], "left").join(names.select("row_ord", "name"), "row_ord").withColumn("context", F.coalesce("context", F.concat(F.lit("name="), "name")))
+    full = cells.join(by_merge(top), ["row_ord", "target"], "left").join(by_merge(names.select("row_ord", "name")), "row_ord").withColumn("context", F.coalesce("context", F.concat(F.lit("name="), "name")))
     return full.select(F.substring(F.sha1(F.concat_ws("|", "grp", "target", "context").cast("binary")), 1, 16).alias("key_hash"), "grp", "target", "context", "row_ord")
 
 
