@@ -182,12 +182,12 @@ def questions(bridge: DataFrame) -> DataFrame:
 
 def name_contradictions(bridge: DataFrame, answers: DataFrame, names: DataFrame, long: DataFrame) -> DataFrame:
     """Questions whose answer (key_hash, value) is contradicted by the name of any of their rows."""
-    given = bridge.join(answers.select("key_hash", "value"), "key_hash")
+    given = bridge.join(by_merge(answers.select("key_hash", "value")), "key_hash")
     against = name_guard(names, name_evidence(names, long), given.select("grp", "row_ord", F.col("target").alias("k"), F.col("value").alias("v")))
-    return given.join(against.select("row_ord", F.col("k").alias("target"), F.col("v").alias("value")), ["row_ord", "target", "value"], "left_semi").select("key_hash").distinct()
+    return given.join(by_merge(against.select("row_ord", F.col("k").alias("target"), F.col("v").alias("value"))), ["row_ord", "target", "value"], "left_semi").select("key_hash").distinct()
 
 
 def answered_cells(bridge: DataFrame, gated: DataFrame) -> DataFrame:
     """(grp, row_ord, k, value, source): accepted answers, and those kept for review, as cells of all their rows."""
     good = gated.where("reason is null or reason = 'REVIEW_OUT_OF_RANGE'").select("key_hash", "value")
-    return bridge.join(good, "key_hash").select("grp", "row_ord", F.col("target").alias("k"), "value", F.lit("model").alias("source"))
+    return bridge.join(by_merge(good), "key_hash").select("grp", "row_ord", F.col("target").alias("k"), "value", F.lit("model").alias("source"))
