@@ -142,7 +142,7 @@ def test_other_groups_values_speak_against_a_value(spark):
 
 
 SF = "/root/testdata/sf0.001"
-JOINED_BY_ROW = ["d05_refine_lookup", "d10_fill_cascade", "d11_cascade_questions", "d11_question_rows", "e07_merge_judges", "e08_merge_sources", "e09_answer_gates"]
+JOINED_BY_ROW = ["d05_refine_lookup", "d10_fill_cascade", "d11_cascade_questions", "d11_question_rows", "e07_merge_judges", "e08_merge_sources", "e09_answer_gates", "e09_answered_cells"]
 PLANS: list[str] = []
 
 
