@@ -20,9 +20,12 @@ def _collapsed(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"(?U)[\s\x1C-\x1F]+", " "))
 
 
-def page_text(html: Column) -> Column:
-    """Text of a page: scripts and styles out, tags out, entities back, white space of every kind collapsed."""
-    return _collapsed(decode.unescape(_bare(html)))
+def page_text(html: Column, closed: bool = False) -> Column:
+    """Text of a page: scripts and styles out, tags out, entities back, white space of every kind collapsed.
+
+    ``closed``: entities without their semicolon stay as they are.
+    """
+    return _collapsed(decode.unescape(_bare(html), closed))
 
 
 def page_texts(htmls: Column) -> Column:
